@@ -112,24 +112,6 @@ def domain_columns(lon: Column, lat: Column) -> dict[str, Column]:
     }
 
 
-def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing in a zone (southern northings carry the false northing)."""
-    phi, dlon = F.radians(lat), F.radians(lon - (zone * 6.0 - 183.0))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(ECC) * F.atanh(F.lit(ECC) * s))
-    c = F.cos(dlon)
-    xi = F.atan2(t, c)
-    eta = F.asinh(F.sin(dlon) / F.sqrt(t * t + c * c))
-    north, east = xi, eta
-    for j, a in enumerate(ALPHA, start=1):
-        north = north + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-        east = east + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    scale = F.lit(UTM_SCALE * RECTIFYING)
-    easting = F.lit(UTM_FALSE_EASTING) + scale * east
-    northing = scale * north + F.when(lat < 0.0, UTM_FALSE_NORTHING).otherwise(0.0)
-    return easting, northing
-
-
 # Polar scale: 2 a k0 / sqrt((1+e)^(1+e) (1-e)^(1-e)).
 UPS_RADIUS = 2.0 * SEMI_MAJOR * UPS_SCALE / sqrt((1 + ECC) ** (1 + ECC) * (1 - ECC) ** (1 - ECC))
 
@@ -194,16 +176,59 @@ def ups_reference(easting: Column, northing: Column, north: Column, precision: i
     )
 
 
-def cell_of(lon: Column, lat: Column, precision: int) -> Column:
-    """MGRS reference of a point at a precision of 0 to 5 digit pairs."""
+def with_projected(df, lon: Column, lat: Column):
+    """Add zone, band, polar flag, easting and northing of each point as ``__`` columns.
+
+    Each step is a column of its own, so that no value is computed twice.
+    """
     wrapped = F.when(lon == 180.0, F.lit(-180.0)).otherwise(lon)
-    zone = utm_zone(lon, lat)
-    e, n = utm_forward(wrapped, lat, zone)
-    pe, pn = ups_forward(wrapped, lat)
-    polar = (lat >= UPS_NORTH_LAT) | (lat <= UPS_SOUTH_LAT)
-    return F.when(polar, ups_reference(pe, pn, lat >= 0.0, precision)).otherwise(
-        utm_reference(e, n, zone, band_index(lat), precision)
+    df = df.withColumns(
+        {
+            "__lon": wrapped,
+            "__lat": lat,
+            "__polar": (lat >= UPS_NORTH_LAT) | (lat <= UPS_SOUTH_LAT),
+            "__zone": utm_zone(lon, lat),
+            "__band": band_index(lat),
+        }
+    )
+    lon, lat, zone = F.col("__lon"), F.col("__lat"), F.col("__zone")
+    df = df.withColumns({"__phi": F.radians(lat), "__dlon": F.radians(lon - (zone * 6.0 - 183.0))})
+    s = F.sin(F.col("__phi"))
+    df = df.withColumns(
+        {
+            "__t": F.sinh(F.atanh(s) - F.lit(ECC) * F.atanh(F.lit(ECC) * s)),
+            "__c": F.cos(F.col("__dlon")),
+            "__s": F.sin(F.col("__dlon")),
+        }
+    )
+    t, c = F.col("__t"), F.col("__c")
+    df = df.withColumns({"__xi": F.atan2(t, c), "__eta": F.asinh(F.col("__s") / F.sqrt(t * t + c * c))})
+    xi, eta = F.col("__xi"), F.col("__eta")
+    north, east = xi, eta
+    for j, a in enumerate(ALPHA, start=1):
+        north = north + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
+        east = east + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
+    scale = F.lit(UTM_SCALE * RECTIFYING)
+    polar_east, polar_north = ups_forward(lon, lat)
+    df = df.withColumns(
+        {
+            "__e": F.when(F.col("__polar"), polar_east).otherwise(F.lit(UTM_FALSE_EASTING) + scale * east),
+            "__n": F.when(F.col("__polar"), polar_north).otherwise(
+                scale * north + F.when(lat < 0.0, UTM_FALSE_NORTHING).otherwise(0.0)
+            ),
+        }
+    )
+    return df.drop("__phi", "__dlon", "__t", "__c", "__s", "__xi", "__eta")
+
+
+def with_cell(df, lon: Column, lat: Column, precision: int, out: str):
+    """Add the MGRS reference of each point at a precision of 0 to 5 digit pairs."""
+    df = with_projected(df, lon, lat)
+    e, n = F.col("__e"), F.col("__n")
+    code = F.when(F.col("__polar"), ups_reference(e, n, F.col("__lat") >= 0.0, precision)).otherwise(
+        utm_reference(e, n, F.col("__zone"), F.col("__band"), precision)
     )
+    return df.withColumn(out, code).drop("__lon", "__lat", "__polar", "__zone", "__band", "__e", "__n")
 
 
 def is_polar(code: Column) -> Column:
