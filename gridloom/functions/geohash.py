@@ -55,44 +55,32 @@ def row_index(lat: Column, level: int) -> Column:
     return F.least(F.floor((lat + 90.0) / 180.0 * F.lit(float(n))).cast("long"), F.lit(n - 1).cast("long"))
 
 
-# Masks and shifts that move the bits of a 30-bit number to every second place.
-_SPREAD = (
-    (16, 0x0000FFFF0000FFFF),
-    (8, 0x00FF00FF00FF00FF),
-    (4, 0x0F0F0F0F0F0F0F0F),
-    (2, 0x3333333333333333),
-    (1, 0x5555555555555555),
-)
+def _interleave(lon_part: int, lat_part: int, k: int) -> int:
+    """Digit of character ``k`` from its longitude and latitude bits (3+2 at even places, 2+3 at odd)."""
+    digit = 0
+    for bit in range(5):
+        # The lowest bit belongs to longitude at even places and to latitude at odd ones.
+        from_lon = (bit + k) % 2 == 0
+        source = lon_part if from_lon else lat_part
+        digit |= ((source >> (bit // 2)) & 1) << bit
+    return digit
 
 
-def _spread(v: Column) -> Column:
-    for shift, mask in _SPREAD:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
-    return v
-
-
-def _squeeze(v: Column) -> Column:
-    v = v.bitwiseAND(F.lit(_SPREAD[-1][1]).cast("long"))
-    for (shift, _), mask in zip(reversed(_SPREAD), [m for _, m in reversed(_SPREAD[:-1])] + [0x00000000FFFFFFFF]):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
-    return v
+# Characters by (longitude bits, latitude bits) of even and odd places.
+_EVEN_CHARS = "".join(ALPHABET[_interleave(a, b, 0)] for a in range(8) for b in range(4))
+_ODD_CHARS = "".join(ALPHABET[_interleave(a, b, 1)] for a in range(4) for b in range(8))
 
 
 def encode(x: Column, y: Column, level: int) -> Column:
-    """Text code of cell (x, y) at a level."""
+    """Text code of cell (x, y) at a level; two shifts and one look-up per character."""
     x, y = x.cast("long"), y.cast("long")
-    if (5 * level) % 2 == 0:
-        morton = F.shiftleft(_spread(x), 1).bitwiseOR(_spread(y))
-    else:
-        morton = _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1))
-    chars = [
-        F.substring(
-            F.lit(ALPHABET),
-            (F.shiftright(morton, 5 * (level - 1 - k)).bitwiseAND(F.lit(31).cast("long")) + 1).cast("int"),
-            F.lit(1),
-        )
-        for k in range(level)
-    ]
+    chars = []
+    for k in range(level):
+        nx, ny = lon_bits(k + 1) - lon_bits(k), lat_bits(k + 1) - lat_bits(k)
+        px = F.shiftright(x, lon_bits(level) - lon_bits(k + 1)).bitwiseAND(F.lit((1 << nx) - 1).cast("long"))
+        py = F.shiftright(y, lat_bits(level) - lat_bits(k + 1)).bitwiseAND(F.lit((1 << ny) - 1).cast("long"))
+        table = _EVEN_CHARS if k % 2 == 0 else _ODD_CHARS
+        chars.append(F.substring(F.lit(table), (px * (1 << ny) + py + 1).cast("int"), F.lit(1)))
     return F.concat(*chars)
 
 
@@ -101,30 +89,33 @@ def cell_of(lon: Column, lat: Column, level: int) -> Column:
     return encode(column_index(lon, level), row_index(lat, level), level)
 
 
-def _morton60(code: Column) -> Column:
+def _corner30(code: Column) -> tuple[Column, Column]:
+    """South-west corner of a code of any length as two 30-bit integers."""
     padded = F.rpad(code, MAX_LEVEL, ALPHABET[0])
-    total = None
+    x = y = None
     for k in range(MAX_LEVEL):
-        digit = (F.instr(F.lit(ALPHABET), F.substring(padded, k + 1, 1)) - 1).cast("long")
-        part = F.shiftleft(digit, 5 * (MAX_LEVEL - 1 - k))
-        total = part if total is None else total.bitwiseOR(part)
-    return total
+        nx, ny = lon_bits(k + 1) - lon_bits(k), lat_bits(k + 1) - lat_bits(k)
+        table = _EVEN_CHARS if k % 2 == 0 else _ODD_CHARS
+        at = (F.instr(F.lit(table), F.substring(padded, k + 1, 1)) - 1).cast("long")
+        px = F.shiftleft(F.shiftright(at, ny), lon_bits(MAX_LEVEL) - lon_bits(k + 1))
+        py = F.shiftleft(at.bitwiseAND(F.lit((1 << ny) - 1).cast("long")), lat_bits(MAX_LEVEL) - lat_bits(k + 1))
+        x = px if x is None else x.bitwiseOR(px)
+        y = py if y is None else y.bitwiseOR(py)
+    return x, y
 
 
 def decode(code: Column, level: int) -> tuple[Column, Column]:
     """Column and row of a code at its level."""
-    morton = _morton60(code)
-    x30 = _squeeze(F.shiftright(morton, 1))
-    y30 = _squeeze(morton)
-    return F.shiftright(x30, 30 - lon_bits(level)), F.shiftright(y30, 30 - lat_bits(level))
+    x, y = _corner30(code)
+    return F.shiftright(x, 30 - lon_bits(level)), F.shiftright(y, 30 - lat_bits(level))
 
 
 def bbox_of(code: Column) -> dict[str, Column]:
     """Box of a code of any length; every edge is an exact binary fraction."""
-    morton = _morton60(code)
+    x, y = _corner30(code)
     n = F.length(code)
-    west = _squeeze(F.shiftright(morton, 1)) * F.lit(360.0 / (1 << 30)) - 180.0
-    south = _squeeze(morton) * F.lit(180.0 / (1 << 30)) - 90.0
+    west = x * F.lit(360.0 / (1 << 30)) - 180.0
+    south = y * F.lit(180.0 / (1 << 30)) - 90.0
     width = F.lit(360.0) / F.pow(F.lit(2.0), F.floor((n * 5 + 1) / 2))
     height = F.lit(180.0) / F.pow(F.lit(2.0), F.floor(n * 5 / 2))
     return {"min_lon": west, "min_lat": south, "max_lon": west + width, "max_lat": south + height}

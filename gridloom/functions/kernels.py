@@ -152,6 +152,27 @@ def unproject_metric(easting, northing, zone, northern, polar):
     return np.where(polar, polar_lon, utm_lon), np.where(polar, polar_lat, utm_lat)
 
 
+def project_metric(lon, lat, zone, northern, polar):
+    """UTM or UPS coordinates of points in degrees; arrays broadcast against each other."""
+    lam, phi = np.radians(lon), np.radians(lat)
+    dlon = lam - np.radians(zone * 6.0 - 183.0)
+    s = np.clip(np.sin(phi), -1 + 1e-16, 1 - 1e-16)
+    t = np.sinh(np.arctanh(s) - metric.ECC * np.arctanh(metric.ECC * s))
+    xi, eta = np.arctan2(t, np.cos(dlon)), np.arcsinh(np.sin(dlon) / np.hypot(t, np.cos(dlon)))
+    e, n = eta.copy(), xi.copy()
+    for j, a in enumerate(metric.ALPHA, start=1):
+        n += a * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        e += a * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    scale = metric.UTM_SCALE * metric.RECTIFYING
+    e = metric.UTM_FALSE_EASTING + scale * e
+    n = scale * n + np.where(northern, 0.0, metric.UTM_FALSE_NORTHING)
+    es = metric.ECC * np.sin(np.abs(phi))
+    rho = metric.UPS_RADIUS * np.tan(np.pi / 4 - np.abs(phi) / 2) / ((1 - es) / (1 + es)) ** (metric.ECC / 2)
+    polar_e = metric.UPS_FALSE + rho * np.sin(lam)
+    polar_n = metric.UPS_FALSE + np.where(northern, -1.0, 1.0) * rho * np.cos(lam)
+    return np.where(polar, polar_e, e), np.where(polar, polar_n, n)
+
+
 def _geodetic(taup):
     """Geodetic latitude from the tangent of the conformal one."""
     e2, e = metric.ECC2, metric.ECC

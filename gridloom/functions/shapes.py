@@ -228,6 +228,88 @@ def ring_polygon_overlap(cell_lon, cell_lat, ring_lon, ring_lat) -> Column:
     return overlap(cell_lon, cell_lat, ring_lon, ring_lat)
 
 
+def wgs84_parts(ring: Column) -> Column:
+    """Parts of a continuous ring cut to longitudes -180..180, as open coordinate arrays."""
+
+    @F.pandas_udf("array<struct<ring_lon: array<double>, ring_lat: array<double>>>")
+    def cut(rings: pd.Series) -> pd.Series:
+        out = []
+        for points in rings:
+            xy = np.array([[p["lon"], p["lat"]] for p in points], dtype=float)[:-1]
+            parts = []
+            for shift in (-360.0, 0.0, 360.0):
+                piece = K.clip_box(xy + np.array([shift, 0.0]), -180.0, -90.0, 180.0, 90.0)
+                if abs(K.ring_area(piece)) > 0:
+                    parts.append({"ring_lon": piece[:, 0].tolist(), "ring_lat": piece[:, 1].tolist()})
+            out.append(parts)
+        return pd.Series(out)
+
+    return cut(ring)
+
+
+def continuous(lons: Column) -> Column:
+    """Ring longitudes without steps larger than half a turn."""
+
+    @F.pandas_udf("array<double>")
+    def unwrap(values: pd.Series) -> pd.Series:
+        return pd.Series([K.continuous_lon(np.asarray(v, float)).tolist() for v in values])
+
+    return unwrap(lons)
+
+
+def _common_edge_length(a, b) -> float:
+    """Length of the edges of outline ``a`` that lie on edges of outline ``b``."""
+    total = 0.0
+    b2 = np.roll(b, -1, axis=0)
+    for p, q in zip(a, np.roll(a, -1, axis=0)):
+        length = float(np.hypot(*(q - p)))
+        if length < 1e-15:
+            continue
+        along = (q - p) / length
+        across = np.array([-along[1], along[0]])
+        t1, t2 = (b - p) @ along, (b2 - p) @ along
+        near = (np.abs((b - p) @ across) < 1e-3 * length) & (np.abs((b2 - p) @ across) < 1e-3 * length)
+        shared = np.minimum(np.maximum(t1, t2), length) - np.maximum(np.minimum(t1, t2), 0.0)
+        total += float(np.sum(np.where(near & (shared > 1e-9 * length), shared, 0.0)))
+    return total
+
+
+def shared_border(cell_lon: Column, cell_lat: Column, ring: Column) -> Column:
+    """Length in degrees over which two convex outlines touch along an edge."""
+
+    @F.pandas_udf("double")
+    def border(x: pd.Series, y: pd.Series, ring: pd.Series) -> pd.Series:
+        out = []
+        for cx, cy, r in zip(x, y, ring):
+            a = np.stack([np.asarray(cx, float), np.asarray(cy, float)], axis=1)
+            b = np.array([[p["lon"], p["lat"]] for p in r], dtype=float)[:-1]
+            if len(a) < 3 or len(b) < 3:
+                out.append(0.0)
+                continue
+            shift = 360.0 * round((b[:, 0].mean() - a[:, 0].mean()) / 360.0)
+            out.append(_common_edge_length(a + np.array([shift, 0.0]), b))
+        return pd.Series(out)
+
+    return border(cell_lon, cell_lat, ring)
+
+
+def project_points(spots: Column, zone: Column, polar: Column, northern: Column) -> Column:
+    """Projected coordinates of an array of ``x, y`` points in one zone or polar area, as arrays ``e`` and ``n``."""
+
+    @F.pandas_udf("e array<double>, n array<double>")
+    def project(points: pd.Series, zone: pd.Series, polar: pd.Series, northern: pd.Series) -> pd.DataFrame:
+        count = len(points)
+        m = len(points.iloc[0]) if count else 0
+        xy = np.array([[(p["x"], p["y"]) for p in row] for row in points], dtype=float).reshape(count, m, 2)
+        e, n = K.project_metric(
+            xy[:, :, 0], xy[:, :, 1],
+            zone.to_numpy(float)[:, None], northern.to_numpy(bool)[:, None], polar.to_numpy(bool)[:, None],
+        )
+        return pd.DataFrame({"e": e.tolist(), "n": n.tolist()})
+
+    return project(spots, zone, polar, northern)
+
+
 # ---------------------------------------------------------------------------
 # ring arrays as Columns
 

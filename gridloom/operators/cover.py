@@ -118,7 +118,7 @@ def mgrs_candidates(df: DataFrame, precision: int) -> DataFrame:
     # Project the ten extreme points of each piece, then take the ranges per piece.
     spots = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x in lons for y in (ps, pn)])
     size = float(10 ** (5 - precision))
-    df = df.withColumn("__en", _project_array(spots, F.col("__zone"), polar, F.col("__northern")))
+    df = df.withColumn("__en", shapes.project_points(spots, F.col("__zone"), polar, F.col("__northern")))
     es, ns = F.col("__en")["e"], F.col("__en")["n"]
     tiny = 1e-6
     df = df.withColumns(
@@ -140,42 +140,6 @@ def mgrs_candidates(df: DataFrame, precision: int) -> DataFrame:
     return df.withColumn("space_code", code).drop("__e0", "__e1", "__n0", "__n1", "__ei", "__ni")
 
 
-def _project_array(spots: Column, zone: Column, polar: Column, northern: Column) -> Column:
-    """Projected coordinates of an array of points, as arrays ``e`` and ``n``."""
-
-    @F.pandas_udf("e array<double>, n array<double>")
-    def project(points, zone, polar, northern):
-        import numpy as np
-        import pandas as pd
-
-        from gridloom.functions import mgrs as M
-
-        count = len(points)
-        m = len(points.iloc[0]) if count else 0
-        xy = np.array([[(p["x"], p["y"]) for p in row] for row in points], dtype=float).reshape(count, m, 2)
-        lon, lat = np.radians(xy[:, :, 0]), np.radians(xy[:, :, 1])
-        dlon = lon - np.radians(zone.to_numpy(float) * 6.0 - 183.0)[:, None]
-        s = np.clip(np.sin(lat), -1 + 1e-16, 1 - 1e-16)
-        t = np.sinh(np.arctanh(s) - M.ECC * np.arctanh(M.ECC * s))
-        xi, eta = np.arctan2(t, np.cos(dlon)), np.arcsinh(np.sin(dlon) / np.hypot(t, np.cos(dlon)))
-        e, n = eta.copy(), xi.copy()
-        for j, a in enumerate(M.ALPHA, start=1):
-            n += a * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
-            e += a * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
-        scale = M.UTM_SCALE * M.RECTIFYING
-        north = northern.to_numpy(bool)[:, None]
-        e = M.UTM_FALSE_EASTING + scale * e
-        n = scale * n + np.where(north, 0.0, M.UTM_FALSE_NORTHING)
-        es = M.ECC * np.sin(np.abs(lat))
-        rho = M.UPS_RADIUS * np.tan(np.pi / 4 - np.abs(lat) / 2) / ((1 - es) / (1 + es)) ** (M.ECC / 2)
-        pe = M.UPS_FALSE + rho * np.sin(lon)
-        pn = M.UPS_FALSE + np.where(north, -1.0, 1.0) * rho * np.cos(lon)
-        pol = polar.to_numpy(bool)[:, None]
-        return pd.DataFrame({"e": np.where(pol, pe, e).tolist(), "n": np.where(pol, pn, n).tolist()})
-
-    return project(spots, zone, polar, northern)
-
-
 def isea4h_candidates(df: DataFrame, level: int, key: list[str]) -> DataFrame:
     """One row per hexagon that may overlap each row's box: the cells under a lattice laid over the box, and those around them.
 
@@ -458,18 +422,12 @@ def _polygon_parts(df: DataFrame, ring: str, key: list[str]) -> DataFrame:
     """Ring arrays (made continuous) with their bounding boxes, shifted into WGS84 where they cross the dateline."""
     hole = F.col("is_hole") if "is_hole" in df.columns else F.lit(False)
 
-    @F.pandas_udf("array<double>")
-    def unwrap(lons):
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series([np.unwrap(np.asarray(v, float), period=360.0).tolist() for v in lons])
-
     r = F.slice(F.col(ring), F.lit(1), F.size(F.col(ring)) - 1)
     out = df.select(
         *key,
         hole.alias("__hole"),
-        unwrap(F.transform(r, lambda p: p["lon"])).alias("__rx"),
+        F.xxhash64(F.col(ring), hole).alias("__part"),
+        shapes.continuous(F.transform(r, lambda p: p["lon"])).alias("__rx"),
         F.transform(r, lambda p: p["lat"]).alias("__ry"),
     )
     out = out.withColumn("__shift", F.explode(F.array(*[F.lit(v) for v in (-360.0, 0.0, 360.0)])))
@@ -493,16 +451,14 @@ def _polygon_level(parts: DataFrame, grid: str, level: int, mode: str, key: list
     elif grid == "mgrs":
         cells = mgrs_candidates(parts, level)
     else:
-        # Ring arrays cannot be deduplicated on; they join back by a part number.
-        numbered = parts.withColumn("__part", F.xxhash64("__rx", "__ry", "__hole"))
-        cells = isea4h_candidates(numbered, level, key + ["__part"])
+        cells = isea4h_candidates(parts, level, key + ["__part"])
     cells = with_outline(cells, grid, level)
     areas = shapes.ring_polygon_overlap(
         F.col("__outline.ring_lon"), F.col("__outline.ring_lat"), F.col("__rx"), F.col("__ry")
     )
     if grid == "isea4h":
-        # A continuous hexagon is matched against every shift of the polygon by the kernel;
-        # shifted copies of the part itself would count the overlap again.
+        # The kernel matches a hexagon against every shift of the polygon; shifted copies of
+        # the part itself would count the overlap again.
         cells = cells.dropDuplicates(key + ["space_code", "__hole", "__part"])
     cells = cells.withColumn("__a", areas)
     signed = F.when(F.col("__hole"), -F.col("__a.inside")).otherwise(F.col("__a.inside"))

@@ -157,25 +157,7 @@ def cell_geometry(df: DataFrame, grid: str, level: int, code: str = "space_code"
 def wgs84_pieces(df: DataFrame, ring: str = "ring") -> DataFrame:
     """One row per part of a continuous ring cut to longitudes -180..180."""
 
-    @F.pandas_udf("array<struct<ring_lon: array<double>, ring_lat: array<double>>>")
-    def cut(rings):
-        import numpy as np
-        import pandas as pd
-
-        from gridloom.functions import kernels as K
-
-        out = []
-        for points in rings:
-            xy = np.array([[p["lon"], p["lat"]] for p in points], dtype=float)[:-1]
-            parts = []
-            for shift in (-360.0, 0.0, 360.0):
-                piece = K.clip_box(xy + np.array([shift, 0.0]), -180.0, -90.0, 180.0, 90.0)
-                if abs(K.ring_area(piece)) > 0:
-                    parts.append({"ring_lon": piece[:, 0].tolist(), "ring_lat": piece[:, 1].tolist()})
-            out.append(parts)
-        return pd.Series(out)
-
-    return df.select("*", F.posexplode(cut(F.col(ring))).alias("piece_no", "__p")).withColumn(
+    return df.select("*", F.posexplode(shapes.wgs84_parts(F.col(ring))).alias("piece_no", "__p")).withColumn(
         "piece", shapes.ring_of(F.col("__p")["ring_lon"], F.col("__p")["ring_lat"])
     ).drop("__p")
 
@@ -387,47 +369,11 @@ def _mgrs_step(df: DataFrame, level: int) -> DataFrame:
     covered = cover.with_outline(covered, "mgrs", level)
     touching = covered.withColumn(
         "__shared",
-        _shared_border(F.col("__outline")["ring_lon"], F.col("__outline")["ring_lat"], F.col("__ring")),
+        shapes.shared_border(F.col("__outline")["ring_lon"], F.col("__outline")["ring_lat"], F.col("__ring")),
     ).filter(F.col("__shared") > size_degrees * 1e-6)
     return touching.select(*[c for c in df.columns if c != "__at"], F.col("space_code").alias("__at"))
 
 
-@F.pandas_udf("double")
-def _shared_border(cell_lon, cell_lat, ring):
-    """Length in degrees over which two convex outlines touch along an edge."""
-    import numpy as np
-    import pandas as pd
-
-    def runs(a, b):
-        """Length of the edges of ``a`` that lie on an edge of ``b``."""
-        total = 0.0
-        a2, b2 = np.roll(a, -1, axis=0), np.roll(b, -1, axis=0)
-        for p, p2 in zip(a, a2):
-            d = p2 - p
-            length = float(np.hypot(*d))
-            if length < 1e-15:
-                continue
-            d = d / length
-            t1, t2 = (b - p) @ d, (b2 - p) @ d
-            off1 = np.abs((b - p) @ np.array([-d[1], d[0]]))
-            off2 = np.abs((b2 - p) @ np.array([-d[1], d[0]]))
-            near = (off1 < 1e-3 * length) & (off2 < 1e-3 * length)
-            shared = np.minimum(np.maximum(t1, t2), length) - np.maximum(np.minimum(t1, t2), 0.0)
-            total += float(np.sum(np.where(near & (shared > 1e-9 * length), shared, 0.0)))
-        return total
-
-    out = []
-    for x, y, r in zip(cell_lon, cell_lat, ring):
-        a = np.stack([np.asarray(x, float), np.asarray(y, float)], axis=1)
-        b = np.array([[p["lon"], p["lat"]] for p in r], dtype=float)[:-1]
-        if len(a) < 3 or len(b) < 3:
-            out.append(0.0)
-            continue
-        shift = 360.0 * round((b[:, 0].mean() - a[:, 0].mean()) / 360.0)
-        out.append(runs(a + np.array([shift, 0.0]), b))
-    return pd.Series(out)
-
-
 def rollup_cells(
     df: DataFrame,
     levels: list[int],
