@@ -3,14 +3,15 @@
 The globe is ten diamonds of ``n x n`` cells (``n = 2**level``) and two cap
 cells.  A cell is the triple (quad, i, j); everything that is index arithmetic
 (numbering, neighbours, children, parents) is a Column expression on these
-integers.  The forward projection is Column arithmetic too; the inverse needs an
-iteration and lives in :mod:`gridloom.functions.kernels`.
+integers.  The projections between degrees and the plane are numpy kernels in
+:mod:`gridloom.functions.kernels`.
 """
 
 from __future__ import annotations
 
 from math import acos, asin, atan2, cos, pi, radians, sin, sqrt, tan
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -223,102 +224,20 @@ def parent(quad: Column, i: Column, j: Column, level: int) -> Column:
 # ---------------------------------------------------------------------------
 # forward projection
 
-def _table(key: str, face: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(frame[key]) for frame in FRAMES]), face + 1)
-
-
-def nearest_face(px: Column, py: Column, pz: Column) -> Column:
-    """Face whose centre is nearest to a unit vector; the lowest number on a tie."""
-    dots = [px * F.lit(f["x"]) + py * F.lit(f["y"]) + pz * F.lit(f["z"]) for f in FRAMES]
-    best = F.greatest(*dots)
-    expr = F.when(dots[0] == best, 0)
-    for k in range(1, 20):
-        expr = expr.when(dots[k] == best, k)
-    return expr.cast("int")
-
-
 def with_cell(df, lon: Column, lat: Column, level: int, out: str):
     """Add the sequence number of the cell that holds each point.
 
-    Intermediate values are columns of their own so that each is computed once.
+    One Arrow-batched call.  Written as Columns the projection is a chain of
+    fifteen dependent steps, and the optimizer's constraint and filter rules
+    grow exponentially with such a chain.
     """
-    phi, lam = F.radians(lat), F.radians(lon)
-    df = df.withColumns(
-        {"__x": F.cos(phi) * F.cos(lam), "__y": F.cos(phi) * F.sin(lam), "__z": F.sin(phi), "__phi": phi, "__lam": lam}
-    )
-    df = df.withColumn("__face", nearest_face(F.col("__x"), F.col("__y"), F.col("__z")))
-    face = F.col("__face")
-    df = df.withColumns(
-        {
-            "__clat": _table("lat", face),
-            "__dlon": F.col("__lam") - _table("lon", face),
-            "__turn": _table("turn", face),
-        }
-    )
-    sp, cp = F.sin(F.col("__phi")), F.cos(F.col("__phi"))
-    sc, cc = F.sin(F.col("__clat")), F.cos(F.col("__clat"))
-    cd = F.cos(F.col("__dlon"))
-    cosz = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sc * sp + cc * cp * cd))
-    azimuth = F.atan2(cp * F.sin(F.col("__dlon")), cc * sp - sc * cp * cd) - F.col("__turn")
-    df = df.withColumns({"__dist": F.acos(cosz), "__az0": F.when(azimuth < 0, azimuth + 2 * pi).otherwise(azimuth)})
-    third = 2.0 * pi / 3.0
-    az0 = F.col("__az0")
-    df = df.withColumn("__sector", F.when(az0 < third, 0.0).when(az0 <= 2 * third, third).otherwise(2 * third))
-    df = df.withColumn("__az", az0 - F.col("__sector"))
-    az = F.col("__az")
-    df = df.withColumns(
-        {
-            "__reach": F.atan2(F.lit(TAN_FACE), F.cos(az) + F.lit(COT30) * F.sin(az)),
-            "__area": az
-            + F.lit(THETA_G)
-            + F.acos(F.sin(az) * F.lit(sin(THETA_G) * COS_FACE) - F.cos(az) * F.lit(cos(THETA_G)))
-            - F.lit(pi),
-        }
-    )
-    squared = R_PRIME * R_PRIME * TAN_FACE * TAN_FACE
-    df = df.withColumn(
-        "__plane", F.atan2(F.col("__area") * 2.0, F.lit(squared) - F.col("__area") * (2.0 * COT30))
-    )
-    plane = F.col("__plane")
-    stretch = F.lit(TAN_FACE) / (
-        (F.cos(plane) + F.lit(COT30) * F.sin(plane)) * 2.0 * F.sin(F.col("__reach") / 2.0)
-    )
-    df = df.withColumn("__rho", F.lit(2.0 * R_PRIME) * stretch * F.sin(F.col("__dist") / 2.0))
-    full = plane + F.col("__sector")
-    df = df.withColumns(
-        {
-            "__tx": (F.col("__rho") * F.sin(full) + ORIGIN_X) / EDGE,
-            "__ty": (F.col("__rho") * F.cos(full) + ORIGIN_Y) / EDGE,
-        }
-    )
-    # Faces 0-4 and 10-14 are the upper halves of the diamonds (turned by 60 degrees),
-    # the others the lower halves (turned by 240 degrees about the far corner).
-    upper = (face % 10) < 5
-    quad = (face % 5) + F.when(face < 10, 1).otherwise(6)
-    tx, ty = F.col("__tx"), F.col("__ty")
-    rx, ry = tx * 0.5 - ty * F.lit(SIN60), tx * F.lit(SIN60) + ty * 0.5
-    n = float(1 << level)
-    df = df.withColumns(
-        {
-            "__quad": quad,
-            "__hx": F.when(upper, rx).otherwise(F.lit(0.5) - rx) * F.lit(n),
-            "__hy": F.when(upper, ry).otherwise(F.lit(SIN60) - ry) * F.lit(n),
-        }
-    )
-    # Nearest lattice point by cube rounding: the coordinate with the largest error follows the others.
-    df = df.withColumn("__v", F.col("__hy") / F.lit(SIN60)).withColumn("__u", F.col("__hx") + F.col("__v") / 2.0)
-    u, v, w = F.col("__u"), F.col("__v"), F.col("__v") - F.col("__u")
-    ru, rv, rw = F.floor(u + 0.5), F.floor(v + 0.5), F.floor(w + 0.5)
-    eu, ev, ew = F.abs(ru - u), F.abs(rv - v), F.abs(rw - w)
-    df = df.withColumns(
-        {
-            "__i": F.when((eu > ev) & (eu > ew), rv - rw).otherwise(ru).cast("long"),
-            "__j": F.when((ev > ew) & ~((eu > ev) & (eu > ew)), ru + rw).otherwise(rv).cast("long"),
-        }
-    )
-    df = df.withColumn(out, seqnum(*fold(F.col("__quad"), F.col("__i"), F.col("__j"), level), level))
-    return df.drop(
-        "__x", "__y", "__z", "__phi", "__lam", "__face", "__clat", "__dlon", "__turn", "__dist", "__az0", "__sector",
-        "__az", "__reach", "__area", "__plane", "__rho", "__tx", "__ty", "__quad", "__hx", "__hy", "__u", "__v",
-        "__i", "__j",
-    )
+
+    @F.pandas_udf("long")
+    def locate(x: pd.Series, y: pd.Series) -> pd.Series:
+        from gridloom.functions import kernels
+
+        known = (x.notna() & y.notna()).to_numpy()
+        found = kernels.locate_hexagon(x.fillna(0.0).to_numpy(float), y.fillna(0.0).to_numpy(float), level)
+        return pd.Series(found, dtype="Int64").where(known)
+
+    return df.withColumn(out, locate(lon, lat))

@@ -17,6 +17,71 @@ _CLAT = np.array([f["lat"] for f in hexgrid.FRAMES])
 _CLON = np.array([f["lon"] for f in hexgrid.FRAMES])
 
 
+_CENTRES = np.array([[f["x"], f["y"], f["z"]] for f in hexgrid.FRAMES])
+
+
+def locate_hexagon(lon, lat, level: int):
+    """Sequence numbers of the cells that hold points in degrees."""
+    lam, phi = np.radians(lon), np.radians(lat)
+    unit = np.stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)], axis=1)
+    face = np.argmax(unit @ _CENTRES.T, axis=1)
+    clat, dlon = _CLAT[face], lam - _CLON[face]
+    away = np.sin(clat) * np.sin(phi) + np.cos(clat) * np.cos(phi) * np.cos(dlon)
+    z = np.arccos(np.clip(away, -1.0, 1.0))
+    bearing = np.arctan2(
+        np.cos(phi) * np.sin(dlon), np.cos(clat) * np.sin(phi) - np.sin(clat) * np.cos(phi) * np.cos(dlon)
+    )
+    az = bearing - _TURN[face]
+    az = np.where(az < 0.0, az + 2.0 * np.pi, az)
+    third = 2.0 * np.pi / 3.0
+    sector = np.where(az < third, 0.0, np.where(az <= 2.0 * third, third, 2.0 * third))
+    az = az - sector
+    tan_face, cot30 = hexgrid.TAN_FACE, hexgrid.COT30
+    reach = np.arctan2(tan_face, np.cos(az) + cot30 * np.sin(az))
+    corner = np.arccos(
+        np.sin(az) * np.sin(hexgrid.THETA_G) * hexgrid.COS_FACE - np.cos(az) * np.cos(hexgrid.THETA_G)
+    )
+    excess = az + hexgrid.THETA_G + corner - np.pi
+    plane = np.arctan2(2.0 * excess, (hexgrid.R_PRIME * tan_face) ** 2 - 2.0 * excess * cot30)
+    stretch = tan_face / ((np.cos(plane) + cot30 * np.sin(plane)) * 2.0 * np.sin(reach / 2.0))
+    rho = 2.0 * hexgrid.R_PRIME * stretch * np.sin(z / 2.0)
+    x = (rho * np.sin(plane + sector) + hexgrid.ORIGIN_X) / hexgrid.EDGE
+    y = (rho * np.cos(plane + sector) + hexgrid.ORIGIN_Y) / hexgrid.EDGE
+    # Faces 0-4 and 10-14 are the upper halves of the diamonds, turned by 60 degrees;
+    # the others the lower halves, which the far corner maps onto the upper by point reflection.
+    upper = face % 10 < 5
+    quad = face % 5 + np.where(face < 10, 1, 6)
+    hx, hy = x * 0.5 - y * hexgrid.SIN60, x * hexgrid.SIN60 + y * 0.5
+    hx, hy = np.where(upper, hx, 0.5 - hx), np.where(upper, hy, hexgrid.SIN60 - hy)
+    n = 1 << level
+    v = hy * n / hexgrid.SIN60
+    u = hx * n + v / 2.0
+    w = v - u
+    # Nearest lattice point by cube rounding: the coordinate with the largest error follows the others.
+    ru, rv, rw = np.floor(u + 0.5), np.floor(v + 0.5), np.floor(w + 0.5)
+    eu, ev, ew = np.abs(ru - u), np.abs(rv - v), np.abs(rw - w)
+    fix_u = (eu > ev) & (eu > ew)
+    fix_v = ~fix_u & (ev > ew)
+    i = np.where(fix_u, rv - rw, ru).astype(np.int64)
+    j = np.where(fix_v, ru + rw, rv).astype(np.int64)
+    return _number_on_edges(quad.astype(np.int64), np.clip(i, 0, n), np.clip(j, 0, n), level)
+
+
+def _number_on_edges(quad, i, j, level: int):
+    """Sequence numbers of addresses with 0 <= i, j <= n; the far edges belong to the neighbouring diamonds."""
+    n = 1 << level
+    upper = quad <= 5
+    top, right = j == n, i == n
+    after = np.where(upper, quad % 5 + 1, (quad - 5) % 5 + 6)
+    across = np.where(upper, quad + 5, (quad - 5) % 5 + 1)
+    q = np.where(np.where(upper, top, right), after, np.where(top | right, across, quad))
+    a = np.where(upper, np.where(top | right, 0, i), np.where(right, n - j, i))
+    b = np.where(upper, np.where(top, n - i, j), np.where(right | top, 0, j))
+    number = 2 + (q - 1) * n * n + a * n + b
+    number = np.where(upper & top & (i == 0), 1, number)
+    return np.where(~upper & right & (j == 0), hexgrid.cell_count(level), number)
+
+
 def unproject_face(face, x, y):
     """Longitude and latitude in degrees of plane points on icosahedron faces."""
     px = x * hexgrid.EDGE - hexgrid.ORIGIN_X

@@ -1,16 +1,20 @@
-"""UTM/UPS zones and MGRS references as Column expressions.
+"""UTM/UPS zones and MGRS references.
 
-The forward transverse Mercator is the Krueger series to sixth order, the polar
-one the ellipsoidal stereographic projection; both stay inside generated code.
+Zones, letters, digits, parents and children are Column expressions.  The
+projections (the Krueger series to sixth order, and the ellipsoidal polar
+stereographic one) run on Arrow batches.
 """
 
 from __future__ import annotations
 
 from math import sqrt
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.fence import fence
+
 # WGS84 ellipsoid and the UTM/UPS projection constants.
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1.0 / 298.257223563
@@ -116,20 +120,6 @@ def domain_columns(lon: Column, lat: Column) -> dict[str, Column]:
 UPS_RADIUS = 2.0 * SEMI_MAJOR * UPS_SCALE / sqrt((1 + ECC) ** (1 + ECC) * (1 - ECC) ** (1 - ECC))
 
 
-def ups_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Easting and northing of a polar point."""
-    north = lat >= 0.0
-    phi = F.radians(F.abs(lat))
-    es = F.lit(ECC) * F.sin(phi)
-    half = F.tan(F.lit(0.7853981633974483) - phi / 2.0)
-    t = half / F.pow((1.0 - es) / (1.0 + es), F.lit(ECC / 2.0))
-    rho = F.lit(UPS_RADIUS) * t
-    lam = F.radians(lon)
-    easting = F.lit(UPS_FALSE) + rho * F.sin(lam)
-    northing = F.lit(UPS_FALSE) + F.when(north, -rho * F.cos(lam)).otherwise(rho * F.cos(lam))
-    return easting, northing
-
-
 def band_index(lat: Column) -> Column:
     return F.least(F.floor((lat + 80.0) / 8.0), F.lit(19)).cast("int")
 
@@ -176,59 +166,37 @@ def ups_reference(easting: Column, northing: Column, north: Column, precision: i
     )
 
 
-def with_projected(df, lon: Column, lat: Column):
-    """Add zone, band, polar flag, easting and northing of each point as ``__`` columns.
+def projected(lon: Column, lat: Column) -> Column:
+    """Zone, latitude band, polar flag, easting and northing of each point, as one struct (one Arrow-batched call)."""
 
-    Each step is a column of its own, so that no value is computed twice.
-    """
-    wrapped = F.when(lon == 180.0, F.lit(-180.0)).otherwise(lon)
-    df = df.withColumns(
-        {
-            "__lon": wrapped,
-            "__lat": lat,
-            "__polar": (lat >= UPS_NORTH_LAT) | (lat <= UPS_SOUTH_LAT),
-            "__zone": utm_zone(lon, lat),
-            "__band": band_index(lat),
-        }
-    )
-    lon, lat, zone = F.col("__lon"), F.col("__lat"), F.col("__zone")
-    df = df.withColumns({"__phi": F.radians(lat), "__dlon": F.radians(lon - (zone * 6.0 - 183.0))})
-    s = F.sin(F.col("__phi"))
-    df = df.withColumns(
-        {
-            "__t": F.sinh(F.atanh(s) - F.lit(ECC) * F.atanh(F.lit(ECC) * s)),
-            "__c": F.cos(F.col("__dlon")),
-            "__s": F.sin(F.col("__dlon")),
-        }
-    )
-    t, c = F.col("__t"), F.col("__c")
-    df = df.withColumns({"__xi": F.atan2(t, c), "__eta": F.asinh(F.col("__s") / F.sqrt(t * t + c * c))})
-    xi, eta = F.col("__xi"), F.col("__eta")
-    north, east = xi, eta
-    for j, a in enumerate(ALPHA, start=1):
-        north = north + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-        east = east + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    scale = F.lit(UTM_SCALE * RECTIFYING)
-    polar_east, polar_north = ups_forward(lon, lat)
-    df = df.withColumns(
-        {
-            "__e": F.when(F.col("__polar"), polar_east).otherwise(F.lit(UTM_FALSE_EASTING) + scale * east),
-            "__n": F.when(F.col("__polar"), polar_north).otherwise(
-                scale * north + F.when(lat < 0.0, UTM_FALSE_NORTHING).otherwise(0.0)
-            ),
-        }
-    )
-    return df.drop("__phi", "__dlon", "__t", "__c", "__s", "__xi", "__eta")
+    @F.pandas_udf("zone int, band int, polar boolean, northern boolean, e double, n double")
+    def project(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        from gridloom.functions import kernels
+
+        known = (x.notna() & y.notna()).to_numpy()
+        lon, lat = x.fillna(0.0).to_numpy(float), y.fillna(0.0).to_numpy(float)
+        lon = np.where(lon == 180.0, -180.0, lon)
+        zone = np.floor((lon + 180.0) / 6.0).astype(int) % 60 + 1
+        for west, east, south, north, owner in WIDE_ZONES:
+            zone[(lat >= south) & (lat < north) & (lon >= west) & (lon < east)] = owner
+        polar = (lat >= UPS_NORTH_LAT) | (lat <= UPS_SOUTH_LAT)
+        band = np.minimum(np.floor((lat + 80.0) / 8.0), 19).astype(int)
+        e, n = kernels.project_metric(lon, lat, zone, lat >= 0.0, polar)
+        out = pd.DataFrame({"zone": zone, "band": band, "polar": polar, "northern": lat >= 0.0, "e": e, "n": n})
+        return out.astype({"e": "Float64", "n": "Float64"}).where(pd.Series(known))
+
+    return project(lon, lat)
 
 
 def with_cell(df, lon: Column, lat: Column, precision: int, out: str):
-    """Add the MGRS reference of each point at a precision of 0 to 5 digit pairs."""
-    df = with_projected(df, lon, lat)
-    e, n = F.col("__e"), F.col("__n")
-    code = F.when(F.col("__polar"), ups_reference(e, n, F.col("__lat") >= 0.0, precision)).otherwise(
-        utm_reference(e, n, F.col("__zone"), F.col("__band"), precision)
+    """Add the MGRS reference of each point at a precision of 0 to 5 digit pairs; NULL for a NULL point."""
+    p = F.col("__p")
+    code = F.when(p["polar"], ups_reference(p["e"], p["n"], p["northern"], precision)).when(
+        p["e"].isNotNull(), utm_reference(p["e"], p["n"], p["zone"], p["band"], precision)
     )
-    return df.withColumn(out, code).drop("__lon", "__lat", "__polar", "__zone", "__band", "__e", "__n")
+    return df.withColumn("__p", projected(lon, lat)).withColumn(out, fence(code)).drop("__p")
 
 
 def is_polar(code: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The date pattern of each granularity.
@@ -75,3 +75,32 @@ def parse_time_code(code: Column) -> Column:
         value = F.try_to_timestamp(code, F.lit(pattern))
         expr = F.when(hit, value) if expr is None else expr.when(hit, value)
     return expr
+
+
+def parse_st_code(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Split ST codes into their parts: ``(good, rejects)``; a reject carries its reason."""
+    c = F.col(column)
+    prefixes = {short: name for name, short in GRID_PREFIX.items()}
+    pairs = [F.lit(part) for pair in prefixes.items() for part in pair]
+    parsed = df.withColumns(
+        {
+            "grid_type": F.try_element_at(F.create_map(*pairs), F.regexp_extract(c, ST_PATTERN, 1)),
+            "grid_level": F.regexp_extract(c, ST_PATTERN, 2).try_cast("int"),
+            "space_code": F.regexp_extract(c, ST_PATTERN, 3),
+            "time_code": F.regexp_extract(c, ST_PATTERN, 4),
+        }
+    )
+    parsed = parsed.withColumn("acq_time", parse_time_code(F.col("time_code")))
+    reason = (
+        F.when(~F.coalesce(c.rlike(ST_PATTERN), F.lit(False)), "format")
+        .when(F.col("grid_type").isNull(), "prefix")
+        .when(F.col("acq_time").isNull(), "time")
+    )
+    parsed = parsed.withColumn("reason", reason)
+    good = parsed.filter(F.col("reason").isNull()).drop("reason")
+    return good, parsed.filter(F.col("reason").isNotNull()).select(*df.columns, "reason")
+
+
+def with_level_name(df: DataFrame) -> DataFrame:
+    """Add the display name of each row's grid and level."""
+    return df.withColumn("grid_level_name", F.concat_ws("-", "grid_type", F.col("grid_level").cast("string")))

@@ -196,3 +196,89 @@ def isea4h_cells(source: str, lon: str, lat: str, level: int, out: str = "space_
       FROM (SELECT *, radians({lat}) AS phi, radians({lon}) AS lam FROM {source}))))))))))))))))))""".replace(
         "uu, vv, fu", "hx, uu, vv, fu"
     ).replace("az0, sector, az,", "az0, az1, sector, az,")
+
+
+def isea4h_triple(seq: str, level: int) -> tuple[str, str, str]:
+    n = 1 << level
+    last = isea4h.cell_count(level)
+    quad = f"CASE WHEN {seq} = 1 THEN 0 WHEN {seq} = {last} THEN 11 ELSE ({seq} - 2) // {n * n} + 1 END"
+    pole = f"{seq} IN (1, {last})"
+    i = f"CASE WHEN {pole} THEN 0 ELSE (({seq} - 2) % {n * n}) // {n} END"
+    j = f"CASE WHEN {pole} THEN 0 ELSE (({seq} - 2) % {n * n}) % {n} END"
+    return quad, i, j
+
+
+def isea4h_folded(q: str, i: str, j: str, level: int) -> str:
+    """Sequence number of an address at most one cell off its diamond."""
+    n = 1 << level
+    at = lambda quad, a, b: f"2 + (({quad}) - 1) * {n * n} + ({a}) * {n} + ({b})"
+    ring = lambda base, step: f"({base} + ({q} - {base} + {step}) % 5)"
+    return f"""CAST(CASE
+        WHEN {q} <= 5 AND {i} = 0 AND {j} = {n} THEN 1
+        WHEN {q} >= 6 AND {i} = {n} AND {j} = 0 THEN {isea4h.cell_count(level)}
+        WHEN {q} <= 5 AND {j} = {n} THEN {at(ring(1, 1), '0', f'{n} - {i}')}
+        WHEN {q} <= 5 AND {i} = {n} THEN {at(f'{q} + 5', '0', j)}
+        WHEN {q} <= 5 AND {i} < 0 THEN {at(ring(1, 4), f'{n} - {j} + {i}', f'{n} + {i}')}
+        WHEN {q} <= 5 AND {j} < 0 THEN {at(f'({ring(1, 4)} + 5)', i, f'{n} + {j}')}
+        WHEN {q} <= 5 THEN {at(q, i, j)}
+        WHEN {i} = {n} THEN {at(ring(6, 1), f'{n} - {j}', '0')}
+        WHEN {j} = {n} THEN {at(f'({ring(6, 1)} - 5)', i, '0')}
+        WHEN {i} < 0 THEN {at(f'{q} - 5', f'{n} + {i}', j)}
+        WHEN {j} < 0 THEN {at(ring(6, 4), f'{n} + {j}', f'{n} - {i} + {j}')}
+        ELSE {at(q, i, j)} END AS BIGINT)"""
+
+
+def isea4h_around(source: str, level: int, keep: str) -> str:
+    """One row per neighbour of each ``seq`` of ``source`` (columns ``keep`` and ``number``)."""
+    n = 1 << level
+    q, i, j = isea4h_triple("seq", level)
+    offsets = ", ".join(f"({a}, {b})" for a, b in isea4h.DIRECTIONS)
+    caps = (
+        f"SELECT {keep}, 2 + (k - 1) * {n * n} + {n - 1} AS number FROM {source}, range(1, 6) t(k) WHERE seq = 1 UNION ALL "
+        f"SELECT {keep}, 2 + (k - 1) * {n * n} + {(n - 1) * n} FROM {source}, range(6, 11) t(k) WHERE seq = {isea4h.cell_count(level)}"
+    )
+    return f"""
+        SELECT DISTINCT {keep}, {isea4h_folded('q', '(i + di)', '(j + dj)', level)} AS number
+        FROM (SELECT *, {q} AS q, {i} AS i, {j} AS j FROM {source}) , (VALUES {offsets}) o(di, dj)
+        WHERE q BETWEEN 1 AND 10 AND NOT (i = 0 AND j = 0 AND di = -1 AND dj = -1)
+        UNION ALL SELECT * FROM ({caps})"""
+
+
+def mgrs_parent(code: str) -> str:
+    """MGRS text without the last digit of each half."""
+    head = f"CASE WHEN substr({code}, 1, 1) IN ('A', 'B', 'Y', 'Z') THEN 3 ELSE 5 END"
+    pairs = f"((length({code}) - {head}) // 2)"
+    return (
+        f"substr({code}, 1, {head}) || substr({code}, {head} + 1, {pairs} - 1) || "
+        f"substr({code}, {head} + 1 + {pairs}, {pairs} - 1)"
+    )
+
+
+def geohash_box(code: str, level: int) -> dict[str, str]:
+    """Box of a code, its digits added up bit by bit."""
+    nx, ny = geohash.lon_bits(level), geohash.lat_bits(level)
+    xs, ys = [], []
+    for k in range(level):
+        digit = f"(position(substr({code}, {k + 1}, 1) IN '{ALPHABET}') - 1)"
+        for b in range(5):
+            m = 5 * k + b
+            bit = f"(({digit} >> {4 - b}) & 1)"
+            if m % 2 == 0:
+                xs.append(f"{bit} * {1 << (nx - 1 - m // 2)}")
+            else:
+                ys.append(f"{bit} * {1 << (ny - 1 - m // 2)}")
+    w, h = f"CAST({geohash.cell_width(level)!r} AS DOUBLE)", f"CAST({geohash.cell_height(level)!r} AS DOUBLE)"
+    x, y = f"({' + '.join(xs)})", f"({' + '.join(ys)})"
+    return {
+        "min_lon": f"{x} * {w} - 180",
+        "min_lat": f"{y} * {h} - 90",
+        "max_lon": f"({x} + 1) * {w} - 180",
+        "max_lat": f"({y} + 1) * {h} - 90",
+    }
+
+
+def time_bucket(ts: str, granularity: str) -> str:
+    patterns = {
+        "year": "%Y", "month": "%Y%m", "day": "%Y%m%d", "hour": "%Y%m%d%H", "minute": "%Y%m%d%H%M", "second": "%Y%m%d%H%M%S",
+    }
+    return f"strftime({ts}, '{patterns[granularity]}')"

@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 import math
+import os
+import signal
 import sys
 import time
 from pathlib import Path
@@ -66,6 +68,10 @@ def compare(spark, con, fn, sql, sf_dir):
     return "differs", f"{len(odd)} of {len(got)} rows: {sorted(df.columns)} {odd[0]}"
 
 
+def _too_long(*_):
+    raise TimeoutError("query over its time limit")
+
+
 def main(argv: list[str]) -> int:
     sys.path.insert(0, str(ROOT))
     sf_dir = "/root/testdata/sf0.01"
@@ -83,8 +89,11 @@ def main(argv: list[str]) -> int:
     queries, oracles = entry.queries(), entry.oracle_sql()
     names = [n for n in queries if not argv or any(n.startswith(a) for a in argv)]
     bad = 0
+    limit = int(os.environ.get("COMPARE_LIMIT", "60"))
+    signal.signal(signal.SIGALRM, _too_long)
     for name in names:
         start = time.time()
+        signal.alarm(limit)
         try:
             if name in oracles:
                 state, message = compare(spark, con, queries[name], oracles[name], sf_dir)
@@ -92,6 +101,7 @@ def main(argv: list[str]) -> int:
                 state, message = "rows", f"{len(queries[name](spark, sf_dir).collect())} rows"
         except Exception as exc:  # noqa: BLE001
             state, message = "error", f"{type(exc).__name__}: {str(exc)[:600]}"
+        signal.alarm(0)
         bad += state in ("differs", "error")
         if state not in ("same",) or "0 rows" == message or argv:
             print(f"{state:8s} {name:40s} {time.time() - start:6.2f}s {message}", flush=True)
