@@ -190,7 +190,7 @@ def hexagon_corners(quad, i, j, level: int):
 
 
 def continuous_lon(ring_lon):
-    """Longitudes of a ring made continuous: no step larger than half a turn."""
+    """Longitudes along the last axis made continuous: no step larger than half a turn."""
     return np.unwrap(ring_lon, period=360.0)
 
 
@@ -253,48 +253,79 @@ def _geodetic(taup):
 # ---------------------------------------------------------------------------
 # polygons
 
-def ring_area(ring) -> float:
-    """Signed area of a ring (n, 2), positive when counter-clockwise."""
-    if len(ring) < 3:
-        return 0.0
-    x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
-    return 0.5 * float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))
-
-
-def clip_half_plane(ring, ax, ay, bx, by):
-    """Part of a ring on the left of the directed line a -> b."""
-    if len(ring) == 0:
-        return ring
-    side = (bx - ax) * (ring[:, 1] - ay) - (by - ay) * (ring[:, 0] - ax)
-    if (side >= 0).all():
-        return ring
-    if (side < 0).all():
-        return ring[:0]
-    nxt, nside = np.roll(ring, -1, axis=0), np.roll(side, -1)
-    inside = side >= 0
-    crosses = inside != (nside >= 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = side / (side - nside)
-    cut = ring + t[:, None] * (nxt - ring)
-    keep = np.stack([inside, crosses], axis=1).ravel()
-    return np.stack([ring, cut], axis=1).reshape(-1, 2)[keep]
-
-
-def clip_convex(subject, window):
-    """Part of a ring inside a convex counter-clockwise window."""
-    out = subject
-    for k in range(len(window)):
-        a, b = window[k], window[(k + 1) % len(window)]
-        out = clip_half_plane(out, a[0], a[1], b[0], b[1])
-        if len(out) == 0:
-            break
-    return out
+# Rings of a batch are one array (cells, points, 2).  Shorter rings repeat their
+# first point at the end, which changes neither their area nor a clip.
+
+def areas(rings):
+    """Areas of a batch of rings."""
+    x, y = rings[:, :, 0] - rings[:, :1, 0], rings[:, :, 1] - rings[:, :1, 1]
+    return np.abs(np.sum(x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y, axis=1)) / 2.0
 
 
-def clip_box(subject, west, south, east, north):
-    box = np.array([[west, south], [east, south], [east, north], [west, north]])
-    return clip_convex(subject, box)
+def counter_clockwise(rings):
+    x, y = rings[:, :, 0] - rings[:, :1, 0], rings[:, :, 1] - rings[:, :1, 1]
+    turn = np.sum(x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y, axis=1)
+    # Reversal keeps the first point first, so that the padding stays at the end.
+    back = np.concatenate([rings[:, :1], rings[:, :0:-1]], axis=1)
+    return np.where((turn < 0)[:, None, None], back, rings)
 
 
-def counter_clockwise(ring):
-    return ring if ring_area(ring) >= 0 else ring[::-1]
+def clip_left(rings, ax, ay, bx, by):
+    """Part of every ring on the left of its own directed line a -> b."""
+    side = (bx - ax)[:, None] * (rings[:, :, 1] - ay[:, None]) - (by - ay)[:, None] * (rings[:, :, 0] - ax[:, None])
+    inside = side >= 0
+    if inside.all():
+        return rings
+    nxt, nside = np.roll(rings, -1, axis=1), np.roll(side, -1, axis=1)
+    crosses = inside != np.roll(inside, -1, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(crosses, side / (side - nside), 0.0)
+    both = np.stack([rings, rings + t[:, :, None] * (nxt - rings)], axis=2).reshape(len(rings), -1, 2)
+    mask = np.stack([inside, crosses], axis=2).reshape(len(rings), -1)
+    count = mask.sum(axis=1)
+    width = max(int(count.max()), 1)
+    order = np.argsort(~mask, axis=1, kind="stable")[:, :width]
+    out = np.take_along_axis(both, order[:, :, None], axis=1)
+    spare = np.arange(width)[None, :] >= count[:, None]
+    return np.where(spare[:, :, None], out[:, :1], out)
+
+
+def clip_box(rings, west, south, east, north):
+    """Part of every ring inside its own box."""
+    for ax, ay, bx, by in (
+        (west, south, east, south), (east, south, east, north), (east, north, west, north), (west, north, west, south),
+    ):
+        rings = clip_left(rings, ax, ay, bx, by)
+    return rings
+
+
+def clip_convex(rings, windows):
+    """Part of every ring inside its own convex counter-clockwise window."""
+    for k in range(windows.shape[1]):
+        a, b = windows[:, k], windows[:, (k + 1) % windows.shape[1]]
+        rings = clip_left(rings, a[:, 0], a[:, 1], b[:, 0], b[:, 1])
+    return rings
+
+
+def centroids(rings):
+    """Centroids of a batch of rings; the mean point of a ring without area."""
+    x, y = rings[:, :, 0], rings[:, :, 1]
+    x0, y0 = x[:, :1], y[:, :1]
+    dx, dy = x - x0, y - y0
+    cross = dx * np.roll(dy, -1, axis=1) - np.roll(dx, -1, axis=1) * dy
+    total = cross.sum(axis=1)
+    flat = np.abs(total) < 1e-18
+    safe = np.where(flat, 1.0, total)
+    cx = ((dx + np.roll(dx, -1, axis=1)) * cross).sum(axis=1) / (3 * safe)
+    cy = ((dy + np.roll(dy, -1, axis=1)) * cross).sum(axis=1) / (3 * safe)
+    return np.where(flat, x.mean(axis=1), x0[:, 0] + cx), np.where(flat, y.mean(axis=1), y0[:, 0] + cy)
+
+
+def pad_rings(parts):
+    """A batch from rings of different length."""
+    width = max((len(p) for p in parts), default=1)
+    out = np.empty((len(parts), width, 2))
+    for k, p in enumerate(parts):
+        out[k, : len(p)] = p
+        out[k, len(p) :] = p[0]
+    return out

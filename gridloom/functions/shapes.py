@@ -23,26 +23,39 @@ EDGE_SEGMENTS = 8
 
 
 # ---------------------------------------------------------------------------
-# rings
-
-def hexagon_ring(lon, lat):
-    """Counter-clockwise, longitude-continuous ring of one hexagon; a cell around a pole reaches it."""
-    keep = ~np.isnan(lon)
-    lon, lat = K.continuous_lon(lon[keep]), lat[keep]
-    gap = lon[0] - lon[-1]
-    closing = gap - 360.0 * round(gap / 360.0)
-    turn = lon[-1] + closing - lon[0]
-    if abs(turn) > 180.0:
-        pole = 90.0 if lat.mean() > 0 else -90.0
-        lon = np.concatenate([lon, [lon[0] + turn, lon[0] + turn, lon[0]]])
-        lat = np.concatenate([lat, [lat[0], pole, pole]])
-    mean = lon.mean()
-    lon = lon - 360.0 * round(mean / 360.0)
-    return K.counter_clockwise(np.stack([lon, lat], axis=1))
+# rings of a batch of cells, shape (cells, points, 2)
+
+def _centred(rings):
+    """Rings shifted by whole turns so that their mean longitude lies in -180..180."""
+    out = rings.copy()
+    out[:, :, 0] -= 360.0 * np.round(rings[:, :, 0].mean(axis=1) / 360.0)[:, None]
+    return out
+
+
+def hexagon_rings(q, i, j, level: int):
+    """Counter-clockwise, longitude-continuous rings; the ring of a cell around a pole reaches the pole."""
+    lon, lat = K.hexagon_corners(q, i, j, level)
+    # The corner a pentagon lacks is filled with the one before it.
+    gone = np.isnan(lon)
+    lon = np.where(gone, np.roll(lon, 1, axis=1), lon)
+    lat = np.where(gone, np.roll(lat, 1, axis=1), lat)
+    lon = K.continuous_lon(lon)
+    gap = lon[:, 0] - lon[:, -1]
+    turn = lon[:, -1] + gap - 360.0 * np.round(gap / 360.0) - lon[:, 0]
+    rings = np.stack([lon, lat], axis=2)
+    polar = np.flatnonzero(np.abs(turn) > 180.0)
+    if len(polar):
+        rings = np.concatenate([rings, np.repeat(rings[:, :1], 3, axis=1)], axis=1)
+        last = rings[polar, 0, 0] + turn[polar]
+        pole = np.where(lat[polar].mean(axis=1) > 0, 90.0, -90.0)
+        rings[polar, 6] = np.stack([last, rings[polar, 0, 1]], axis=1)
+        rings[polar, 7] = np.stack([last, pole], axis=1)
+        rings[polar, 8] = np.stack([rings[polar, 0, 0], pole], axis=1)
+    return K.counter_clockwise(_centred(rings))
 
 
 def square_rings(easting, northing, zone, northern, polar, size: float):
-    """Rings of projected squares in degrees, shape (cells, 4 * EDGE_SEGMENTS, 2)."""
+    """Counter-clockwise rings of projected squares in degrees."""
     t = np.arange(EDGE_SEGMENTS) / EDGE_SEGMENTS
     one, zero = np.ones_like(t), np.zeros_like(t)
     dx = np.concatenate([t, one, 1 - t, zero]) * size
@@ -56,42 +69,43 @@ def square_rings(easting, northing, zone, northern, polar, size: float):
         np.repeat(polar, m),
     )
     lon, lat = lon.reshape(count, m), lat.reshape(count, m)
-    return np.stack([K.continuous_lon(lon), lat], axis=2)
-
-
-def polar_square_ring(ring):
-    """Ring of a polar square; a corner on the pole becomes an edge along it."""
-    lon, lat = ring[:, 0].copy(), ring[:, 1]
-    at = np.flatnonzero(np.abs(lat) > 90.0 - 1e-9)
-    if len(at):
-        k = int(at[0])
-        lon, lat = np.delete(lon, k), np.delete(lat, k)
-        lon, lat = np.roll(lon, -k), np.roll(lat, -k)
-        lon = K.continuous_lon(lon)
-        pole = np.sign(ring[k, 1]) * 90.0
-        lon = np.concatenate([lon, [lon[-1], lon[0]]])
-        lat = np.concatenate([lat, [pole, pole]])
-    else:
-        lon = K.continuous_lon(lon)
-    lon = lon - 360.0 * round(lon.mean() / 360.0)
-    return K.counter_clockwise(np.stack([lon, lat], axis=1))
-
-
-def metric_ring(ring, polar: bool):
-    if polar:
-        return polar_square_ring(ring)
-    ring = ring.copy()
-    ring[:, 0] -= 360.0 * round((ring[:, 0].mean()) / 360.0)
-    return K.counter_clockwise(ring)
-
-
-def _shape_frame(rings, centres):
+    rings = np.stack([K.continuous_lon(lon), lat], axis=2)
+    touching = np.flatnonzero(polar & (np.abs(lat).max(axis=1) > 90.0 - 1e-9))
+    if len(touching):
+        # A corner on the pole becomes an edge along it.
+        rings = np.concatenate([rings, rings[:, :1]], axis=1)
+        for k in touching:
+            at = int(np.argmax(np.abs(lat[k])))
+            x = K.continuous_lon(np.roll(np.delete(lon[k], at), -at))
+            y = np.roll(np.delete(lat[k], at), -at)
+            pole = np.sign(lat[k, at]) * 90.0
+            rings[k] = np.stack([np.concatenate([x, [x[-1], x[0]]]), np.concatenate([y, [pole, pole]])], axis=1)
+    return K.counter_clockwise(_centred(rings))
+
+
+def metric_rings(e, n, z, hemi, p, w, s, ea, no, size: float):
+    """Rings of MGRS squares cut to the valid box of their zone and band."""
+    pol = p.to_numpy().astype(bool)
+    rings = square_rings(e.to_numpy(), n.to_numpy(), z.fillna(1).to_numpy(), hemi.to_numpy().astype(bool), pol, size)
+    # Polar areas span all longitudes; their rings may run past the dateline.
+    west, east = np.where(pol, -540.0, w.to_numpy(float)), np.where(pol, 540.0, ea.to_numpy(float))
+    return K.clip_box(rings, west, s.to_numpy(float), east, no.to_numpy(float))
+
+
+def _without_padding(ring):
+    """A ring without repeated neighbours."""
+    keep = np.any(ring != np.roll(ring, 1, axis=0), axis=1)
+    return ring[keep] if keep.any() else ring[:1]
+
+
+def _shape_frame(rings, clon, clat):
+    tight = [_without_padding(r) for r in rings]
     return pd.DataFrame(
         {
-            "center_lon": [c[0] for c in centres],
-            "center_lat": [c[1] for c in centres],
-            "ring_lon": [r[:, 0].tolist() for r in rings],
-            "ring_lat": [r[:, 1].tolist() for r in rings],
+            "center_lon": clon,
+            "center_lat": clat,
+            "ring_lon": [r[:, 0].tolist() for r in tight],
+            "ring_lat": [r[:, 1].tolist() for r in tight],
         }
     )
 
@@ -103,14 +117,13 @@ def hexagon_shape(quad: Column, i: Column, j: Column, level: int) -> Column:
     def shape(q: pd.Series, i: pd.Series, j: pd.Series) -> pd.DataFrame:
         q, i, j = q.to_numpy(), i.to_numpy(), j.to_numpy()
         clon, clat = K.hexagon_centres(q, i, j, level)
-        lon, lat = K.hexagon_corners(q, i, j, level)
-        return _shape_frame([hexagon_ring(a, b) for a, b in zip(lon, lat)], list(zip(clon, clat)))
+        return _shape_frame(hexagon_rings(q, i, j, level), clon, clat)
 
     return shape(quad, i, j)
 
 
 def metric_shape(easting, northing, zone, northern, polar, west, south, east, north, precision: int) -> Column:
-    """Centre and open ring of MGRS squares clipped to the valid box of their zone and band."""
+    """Centre and open ring of MGRS squares cut to the valid box of their zone and band."""
     size = float(10 ** (5 - precision))
 
     @F.pandas_udf(SHAPE)
@@ -118,52 +131,29 @@ def metric_shape(easting, northing, zone, northern, polar, west, south, east, no
         e: pd.Series, n: pd.Series, z: pd.Series, hemi: pd.Series, p: pd.Series,
         w: pd.Series, s: pd.Series, ea: pd.Series, no: pd.Series,
     ) -> pd.DataFrame:
-        pol = p.to_numpy().astype(bool)
-        raw = square_rings(e.to_numpy(), n.to_numpy(), z.fillna(1).to_numpy(), hemi.to_numpy().astype(bool), pol, size)
-        rings, centres = [], []
-        for k in range(len(raw)):
-            ring = K.clip_box(metric_ring(raw[k], pol[k]), w[k] if not pol[k] else -540.0, s[k], ea[k] if not pol[k] else 540.0, no[k])
-            rings.append(ring)
-            centres.append(_inner_point(ring))
-        return _shape_frame(rings, centres)
+        rings = metric_rings(e, n, z, hemi, p, w, s, ea, no, size)
+        return _shape_frame(rings, *K.centroids(rings))
 
     return shape(easting, northing, zone, northern, polar, west, south, east, north)
 
 
-def _inner_point(ring):
-    """A point inside a convex ring: the centroid."""
-    if len(ring) < 3:
-        return np.nan, np.nan
-    x, y = ring[:, 0], ring[:, 1]
-    cross = x * np.roll(y, -1) - np.roll(x, -1) * y
-    total = cross.sum()
-    if abs(total) < 1e-18:
-        return float(x.mean()), float(y.mean())
-    return (
-        float(((x + np.roll(x, -1)) * cross).sum() / (3 * total)),
-        float(((y + np.roll(y, -1)) * cross).sum() / (3 * total)),
-    )
-
-
 # ---------------------------------------------------------------------------
 # overlap of cells with boxes and polygons
 
-def _overlap_box(rings, w, s, e, n):
-    inside, whole = np.zeros(len(rings)), np.zeros(len(rings))
-    for k, ring in enumerate(rings):
-        if len(ring) < 3:
-            continue
-        whole[k] = abs(K.ring_area(ring))
-        lo, hi = ring.min(axis=0), ring.max(axis=0)
-        if lo[1] >= n[k] or hi[1] <= s[k]:
-            continue
-        for shift in (-360.0, 0.0, 360.0):
-            if lo[0] + shift >= e[k] or hi[0] + shift <= w[k]:
-                continue
-            if lo[0] + shift >= w[k] and hi[0] + shift <= e[k] and lo[1] >= s[k] and hi[1] <= n[k]:
-                inside[k] += whole[k]
-                continue
-            inside[k] += abs(K.ring_area(K.clip_box(ring, w[k] - shift, s[k], e[k] - shift, n[k])))
+def _overlap_boxes(rings, w, s, e, n):
+    """Areas inside boxes and whole areas; only rings across a box edge are clipped."""
+    whole = K.areas(rings)
+    inside = np.zeros(len(rings))
+    lo, hi = rings.min(axis=1), rings.max(axis=1)
+    for shift in (-360.0, 0.0, 360.0):
+        west, east = lo[:, 0] + shift, hi[:, 0] + shift
+        meets = (west < e) & (east > w) & (lo[:, 1] < n) & (hi[:, 1] > s)
+        within = meets & (west >= w) & (east <= e) & (lo[:, 1] >= s) & (hi[:, 1] <= n)
+        inside[within] += whole[within]
+        cut = np.flatnonzero(meets & ~within)
+        if len(cut):
+            moved = rings[cut] + np.array([shift, 0.0])
+            inside[cut] += K.areas(K.clip_box(moved, w[cut], s[cut], e[cut], n[cut]))
     return pd.DataFrame({"inside": inside, "whole": whole})
 
 
@@ -174,15 +164,14 @@ def hexagon_box_overlap(quad, i, j, level: int, west, south, east, north) -> Col
     def overlap(
         q: pd.Series, i: pd.Series, j: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series
     ) -> pd.DataFrame:
-        lon, lat = K.hexagon_corners(q.to_numpy(), i.to_numpy(), j.to_numpy(), level)
-        rings = [hexagon_ring(a, b) for a, b in zip(lon, lat)]
-        return _overlap_box(rings, w.to_numpy(), s.to_numpy(), e.to_numpy(), n.to_numpy())
+        rings = hexagon_rings(q.to_numpy(), i.to_numpy(), j.to_numpy(), level)
+        return _overlap_boxes(rings, w.to_numpy(float), s.to_numpy(float), e.to_numpy(float), n.to_numpy(float))
 
     return overlap(quad, i, j, west, south, east, north)
 
 
 def metric_box_overlap(easting, northing, zone, northern, polar, cell_box, aoi_box, precision: int) -> Column:
-    """Area of each MGRS cell (a square within its zone and band box) inside an area box, and its whole area."""
+    """Area of each MGRS cell inside an area box, and its whole area, in square degrees."""
     size = float(10 ** (5 - precision))
 
     @F.pandas_udf(AREAS)
@@ -191,15 +180,8 @@ def metric_box_overlap(easting, northing, zone, northern, polar, cell_box, aoi_b
         cw: pd.Series, cs: pd.Series, ce: pd.Series, cn: pd.Series,
         aw: pd.Series, as_: pd.Series, ae: pd.Series, an: pd.Series,
     ) -> pd.DataFrame:
-        pol = p.to_numpy().astype(bool)
-        raw = square_rings(e.to_numpy(), n.to_numpy(), z.fillna(1).to_numpy(), hemi.to_numpy().astype(bool), pol, size)
-        rings = []
-        for k in range(len(raw)):
-            wide = bool(pol[k])
-            rings.append(
-                K.clip_box(metric_ring(raw[k], wide), -540.0 if wide else cw[k], cs[k], 540.0 if wide else ce[k], cn[k])
-            )
-        return _overlap_box(rings, aw.to_numpy(), as_.to_numpy(), ae.to_numpy(), an.to_numpy())
+        rings = metric_rings(e, n, z, hemi, p, cw, cs, ce, cn, size)
+        return _overlap_boxes(rings, aw.to_numpy(float), as_.to_numpy(float), ae.to_numpy(float), an.to_numpy(float))
 
     return overlap(easting, northing, zone, northern, polar, *cell_box, *aoi_box)
 
@@ -209,20 +191,21 @@ def ring_polygon_overlap(cell_lon, cell_lat, ring_lon, ring_lat) -> Column:
 
     @F.pandas_udf(AREAS)
     def overlap(cx: pd.Series, cy: pd.Series, rx: pd.Series, ry: pd.Series) -> pd.DataFrame:
-        inside, whole = np.zeros(len(cx)), np.zeros(len(cx))
-        for k in range(len(cx)):
-            cell = K.counter_clockwise(np.stack([np.asarray(cx[k], float), np.asarray(cy[k], float)], axis=1))
-            if len(cell) < 3:
-                continue
-            whole[k] = abs(K.ring_area(cell))
-            lon = K.continuous_lon(np.asarray(rx[k], float))
-            polygon = np.stack([lon, np.asarray(ry[k], float)], axis=1)
-            lo, hi = cell.min(axis=0), cell.max(axis=0)
-            plo, phi = polygon.min(axis=0), polygon.max(axis=0)
-            for shift in (-360.0, 0.0, 360.0):
-                if lo[0] + shift >= phi[0] or hi[0] + shift <= plo[0] or lo[1] >= phi[1] or hi[1] <= plo[1]:
-                    continue
-                inside[k] += abs(K.ring_area(K.clip_convex(polygon, cell + np.array([shift, 0.0]))))
+        if not len(cx):
+            return pd.DataFrame({"inside": [], "whole": []})
+        cells = K.counter_clockwise(K.pad_rings([np.stack(v, axis=1) for v in zip(cx, cy)]))
+        areas = K.pad_rings([np.stack([K.continuous_lon(np.asarray(x, float)), y], axis=1) for x, y in zip(rx, ry)])
+        whole, inside = K.areas(cells), np.zeros(len(cells))
+        lo, hi = cells.min(axis=1), cells.max(axis=1)
+        alo, ahi = areas.min(axis=1), areas.max(axis=1)
+        for shift in (-360.0, 0.0, 360.0):
+            meets = (
+                (lo[:, 0] + shift < ahi[:, 0]) & (hi[:, 0] + shift > alo[:, 0])
+                & (lo[:, 1] < ahi[:, 1]) & (hi[:, 1] > alo[:, 1])
+            )
+            at = np.flatnonzero(meets)
+            if len(at):
+                inside[at] += K.areas(K.clip_convex(areas[at], cells[at] + np.array([shift, 0.0])))
         return pd.DataFrame({"inside": inside, "whole": whole})
 
     return overlap(cell_lon, cell_lat, ring_lon, ring_lat)
@@ -233,15 +216,16 @@ def wgs84_parts(ring: Column) -> Column:
 
     @F.pandas_udf("array<struct<ring_lon: array<double>, ring_lat: array<double>>>")
     def cut(rings: pd.Series) -> pd.Series:
-        out = []
-        for points in rings:
-            xy = np.array([[p["lon"], p["lat"]] for p in points], dtype=float)[:-1]
-            parts = []
-            for shift in (-360.0, 0.0, 360.0):
-                piece = K.clip_box(xy + np.array([shift, 0.0]), -180.0, -90.0, 180.0, 90.0)
-                if abs(K.ring_area(piece)) > 0:
-                    parts.append({"ring_lon": piece[:, 0].tolist(), "ring_lat": piece[:, 1].tolist()})
-            out.append(parts)
+        if not len(rings):
+            return pd.Series([], dtype=object)
+        batch = K.pad_rings([np.array([[p["lon"], p["lat"]] for p in r], dtype=float)[:-1] for r in rings])
+        out = [[] for _ in range(len(batch))]
+        full = [np.full(len(batch), v) for v in (-180.0, -90.0, 180.0, 90.0)]
+        for shift in (-360.0, 0.0, 360.0):
+            pieces = K.clip_box(batch + np.array([shift, 0.0]), *full)
+            for k in np.flatnonzero(K.areas(pieces) > 0):
+                piece = _without_padding(pieces[k])
+                out[k].append({"ring_lon": piece[:, 0].tolist(), "ring_lat": piece[:, 1].tolist()})
         return pd.Series(out)
 
     return cut(ring)
@@ -257,21 +241,24 @@ def continuous(lons: Column) -> Column:
     return unwrap(lons)
 
 
-def _common_edge_length(a, b) -> float:
-    """Length of the edges of outline ``a`` that lie on edges of outline ``b``."""
-    total = 0.0
-    b2 = np.roll(b, -1, axis=0)
-    for p, q in zip(a, np.roll(a, -1, axis=0)):
-        length = float(np.hypot(*(q - p)))
-        if length < 1e-15:
-            continue
-        along = (q - p) / length
-        across = np.array([-along[1], along[0]])
-        t1, t2 = (b - p) @ along, (b2 - p) @ along
-        near = (np.abs((b - p) @ across) < 1e-3 * length) & (np.abs((b2 - p) @ across) < 1e-3 * length)
-        shared = np.minimum(np.maximum(t1, t2), length) - np.maximum(np.minimum(t1, t2), 0.0)
-        total += float(np.sum(np.where(near & (shared > 1e-9 * length), shared, 0.0)))
-    return total
+def _common_edge_lengths(a, b):
+    """Length of the edges of outlines ``a`` that lie on edges of outlines ``b``, pair by pair."""
+    a2, b2 = np.roll(a, -1, axis=1), np.roll(b, -1, axis=1)
+    length = np.hypot(a2[..., 0] - a[..., 0], a2[..., 1] - a[..., 1])
+    real = length > 1e-15
+    along = (a2 - a) / np.where(real, length, 1.0)[..., None]
+
+    def measured(points):
+        d = points[:, None, :, :] - a[:, :, None, :]
+        t = d[..., 0] * along[:, :, None, 0] + d[..., 1] * along[:, :, None, 1]
+        off = np.abs(d[..., 1] * along[:, :, None, 0] - d[..., 0] * along[:, :, None, 1])
+        return t, off
+
+    (t1, off1), (t2, off2) = measured(b), measured(b2)
+    span = length[:, :, None]
+    near = (off1 < 1e-3 * span) & (off2 < 1e-3 * span) & real[:, :, None]
+    shared = np.minimum(np.maximum(t1, t2), span) - np.maximum(np.minimum(t1, t2), 0.0)
+    return np.where(near & (shared > 1e-9 * span), shared, 0.0).sum(axis=(1, 2))
 
 
 def shared_border(cell_lon: Column, cell_lat: Column, ring: Column) -> Column:
@@ -279,15 +266,14 @@ def shared_border(cell_lon: Column, cell_lat: Column, ring: Column) -> Column:
 
     @F.pandas_udf("double")
     def border(x: pd.Series, y: pd.Series, ring: pd.Series) -> pd.Series:
-        out = []
-        for cx, cy, r in zip(x, y, ring):
-            a = np.stack([np.asarray(cx, float), np.asarray(cy, float)], axis=1)
-            b = np.array([[p["lon"], p["lat"]] for p in r], dtype=float)[:-1]
-            if len(a) < 3 or len(b) < 3:
-                out.append(0.0)
-                continue
-            shift = 360.0 * round((b[:, 0].mean() - a[:, 0].mean()) / 360.0)
-            out.append(_common_edge_length(a + np.array([shift, 0.0]), b))
+        out = np.zeros(len(x))
+        for start in range(0, len(x), 500):
+            stop = min(start + 500, len(x))
+            a = K.pad_rings([np.stack(v, axis=1) for v in zip(x.iloc[start:stop], y.iloc[start:stop])])
+            b = K.pad_rings([np.array([[p["lon"], p["lat"]] for p in r], dtype=float)[:-1] for r in ring.iloc[start:stop]])
+            turns = np.round((b[:, :, 0].mean(axis=1) - a[:, :, 0].mean(axis=1)) / 360.0)
+            a[:, :, 0] += 360.0 * turns[:, None]
+            out[start:stop] = _common_edge_lengths(a, b)
         return pd.Series(out)
 
     return border(cell_lon, cell_lat, ring)

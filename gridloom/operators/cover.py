@@ -351,8 +351,10 @@ def _overlap_with_taken(cells: DataFrame, taken: DataFrame, level: int, key: lis
         near = near.withColumns({"__q": q, "__i": a, "__j": b})
         near = near.withColumn(
             "__above",
-            F.explode(F.concat(F.array(above), isea4h.neighbors(F.col("__q"), F.col("__i"), F.col("__j"), lv))),
-        ).withColumn("__above", F.col("__above").cast("string"))
+            F.explode(
+                F.concat(F.array(above), isea4h.neighbors(F.col("__q"), F.col("__i"), F.col("__j"), lv)).cast("array<string>")
+            ),
+        )
         here = taken.filter(F.col("grid_level") == lv).select(*key, F.col("space_code").alias("__above"))
         pairs = near.join(here, key + ["__above"])
         q, a, b = isea4h.triple(F.col("__above").cast("long"), lv)

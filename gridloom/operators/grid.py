@@ -267,35 +267,50 @@ def child_cells(df: DataFrame, grid: str, level: int, target_level: int, code: s
             )
         df = df.drop("__d")
     elif grid == "mgrs":
-        for _ in range(target_level - level):
-            df = df.withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn(
-                "child_code", mgrs.child_of(F.col("child_code"), F.floor(F.col("__d") / 10), F.col("__d") % 10)
-            )
-        df = _drop_empty_references(df.drop("__d"), target_level, "child_code")
+        # Only the children of a cell that its zone or band cuts can be empty.
+        marked = _with_reference_areas(df, level, code, whole_globe=True)
+        cut = F.col("__a.inside") < F.col("__a.whole") * (1.0 - 1e-9)
+        whole, border = marked.filter(~cut).drop("__a"), marked.filter(cut).drop("__a")
+        border = _mgrs_children(border, target_level - level)
+        border = _with_reference_areas(border, target_level, "child_code").filter(F.col("__a.whole") > 0.0).drop("__a")
+        df = _mgrs_children(whole, target_level - level).unionByName(border)
     else:
         if target_level != level + 1:
             raise ValueError("ISEA4H children are defined only one level down")
         quad, i, j = isea4h.triple(F.col(code).cast("long"), level)
         df = df.withColumns({"__q": quad, "__i": i, "__j": j})
         df = df.withColumn(
-            "child_code", F.explode(isea4h.children(F.col("__q"), F.col("__i"), F.col("__j"), level)).cast("string")
+            "child_code",
+            F.explode(isea4h.children(F.col("__q"), F.col("__i"), F.col("__j"), level).cast("array<string>")),
         ).drop("__q", "__i", "__j")
     return df.withColumn("child_level", F.lit(target_level))
 
 
-def _drop_empty_references(df: DataFrame, precision: int, code: str) -> DataFrame:
-    """Keep MGRS references whose square has area inside its zone and band."""
+def _mgrs_children(df: DataFrame, steps: int) -> DataFrame:
+    for _ in range(steps):
+        df = df.withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn(
+            "child_code", mgrs.child_of(F.col("child_code"), F.floor(F.col("__d") / 10), F.col("__d") % 10)
+        )
+    return df.drop("__d")
+
+
+def _with_reference_areas(df: DataFrame, precision: int, code: str, whole_globe: bool = False) -> DataFrame:
+    """Add ``__a``: area of a reference's square inside its zone and band, and its whole area.
+
+    The whole area is that of the part in zone and band, or of the full square with ``whole_globe``.
+    """
+    keep = df.columns
     parts = mgrs.parse(F.col(code), precision)
     df = df.withColumns({f"__{k}": v for k, v in parts.items()})
     box = shapes.zone_box(F.col("__zone"), F.col("__band"), F.col("__polar"), F.col("__northern"))
     df = df.withColumns({f"__{k}": v for k, v in box.items()})
-    cell_box = [F.col(f"__{k}") for k in ("west", "south", "east", "north")]
+    valid = [F.col(f"__{k}") for k in ("west", "south", "east", "north")]
+    globe = [F.lit(-540.0), F.lit(-90.0), F.lit(540.0), F.lit(90.0)]
     areas = shapes.metric_box_overlap(
         *[F.col(f"__{k}") for k in ("easting", "northing", "zone", "northern", "polar")],
-        cell_box=cell_box, aoi_box=[F.lit(-180.0), F.lit(-90.0), F.lit(180.0), F.lit(90.0)], precision=precision,
+        cell_box=globe if whole_globe else valid, aoi_box=valid, precision=precision,
     )
-    df = df.withColumn("__a", areas).filter(F.col("__a")["whole"] > 0.0)
-    return df.drop("__a", *[f"__{k}" for k in parts], *[f"__{k}" for k in box])
+    return df.select(*keep, areas.alias("__a"))
 
 
 def neighbor_cells(df: DataFrame, grid: str, level: int, k: int = 1, code: str = "space_code") -> DataFrame:
@@ -338,7 +353,8 @@ def _step(df: DataFrame, grid: str, level: int) -> DataFrame:
         quad, i, j = isea4h.triple(F.col("__at").cast("long"), level)
         df = df.withColumns({"__q": quad, "__i": i, "__j": j})
         return df.withColumn(
-            "__at", F.explode(isea4h.neighbors(F.col("__q"), F.col("__i"), F.col("__j"), level)).cast("string")
+            "__at",
+            F.explode(isea4h.neighbors(F.col("__q"), F.col("__i"), F.col("__j"), level).cast("array<string>")),
         ).drop("__q", "__i", "__j")
     return _mgrs_step(df, level)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("flagship", "grids")
+MODULES = ("flagship", "grids", "covers")
 
 
 def load_all():

@@ -226,7 +226,7 @@ _box4 = duck.geohash_box("space_code", 4)
 
 @query(
     "b14_storage_ring_geohash",
-    f"""SELECT space_code, 5 AS points, true AS ring_valid, ({_box4['max_lon']} - ({_box4['min_lon']})) * ({_box4['max_lat']} - ({_box4['min_lat']})) AS area
+    f"""SELECT space_code, 5 AS points, true AS ring_valid, round(({_box4['max_lon']} - ({_box4['min_lon']})) * ({_box4['max_lat']} - ({_box4['min_lat']})), 6) AS area
         FROM (SELECT DISTINCT space_code FROM ({duck.geohash_cells('obs', 'lon', 'lat', 4)}))""",
 )
 def _(spark, sf_dir):
@@ -234,7 +234,7 @@ def _(spark, sf_dir):
     out = G.storage_ring(cells, "geohash")
     return out.select(
         "space_code", F.size("storage_ring").cast("long").alias("points"), "ring_valid",
-        F.round(shapes.shoelace(F.col("storage_ring")), 12).alias("area"),
+        F.round(shapes.shoelace(F.col("storage_ring")), 6).alias("area"),
     )
 
 

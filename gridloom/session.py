@@ -14,6 +14,9 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Grid arithmetic is made of many dependent columns; inferring constraints over
+    # such chains costs far more than the filters it adds.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
