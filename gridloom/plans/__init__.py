@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("flagship", "grids", "covers")
+MODULES = ("flagship", "grids", "covers", "rules")
 
 
 def load_all():

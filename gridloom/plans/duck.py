@@ -282,3 +282,42 @@ def time_bucket(ts: str, granularity: str) -> str:
         "year": "%Y", "month": "%Y%m", "day": "%Y%m%d", "hour": "%Y%m%d%H", "minute": "%Y%m%d%H%M", "second": "%Y%m%d%H%M%S",
     }
     return f"strftime({ts}, '{patterns[granularity]}')"
+
+
+# Index rows of scene boxes at geohash level 3; chosen rows are broken on purpose.
+VIEWS["index_rows"] = f"""
+    SELECT dataset_id, 'v1' AS output_version, scene_id || ':' || space_code AS output_id, asset_id AS source_asset_id, scene_id,
+           'b' || (pos % 7 + 1) AS band_code, 'geohash' AS grid_type, CASE WHEN pos % 61 = 0 THEN 4 ELSE 3 END AS grid_level, space_code,
+           acq_time AS acquisition_time,
+           CASE WHEN pos % 178 = 0 THEN '' WHEN pos % 89 = 0 THEN '19700101' ELSE strftime(acq_time, '%Y%m%d') END AS time_bucket,
+           CASE WHEN pos % 97 = 0 THEN NULL ELSE 'gh:3:' || space_code || ':' || strftime(acq_time, '%Y%m%d') END AS st_code,
+           'T' || scene_id || ':' || space_code AS tile_output_id,
+           pos % 50 AS window_col_off, pos % 40 AS window_row_off, CASE WHEN pos % 73 = 0 THEN 60 ELSE 14 END AS window_width, 10 AS window_height,
+           cell_min_lon, cell_min_lat, cell_max_lon, cell_max_lat, pos
+    FROM ({geohash_cover('scenes', 3)})"""
+VIEWS["tile_rows"] = """
+    SELECT dataset_id, output_version, tile_output_id AS output_id, 'geohash' AS grid_type, CASE WHEN pos % 67 = 0 THEN 4 ELSE 3 END AS grid_level,
+           CASE WHEN pos % 71 = 0 THEN 'entity_file' ELSE 'logical_reference' END AS tile_kind, 64 AS width, 64 AS height, space_code, pos
+    FROM index_rows WHERE pos % 79 <> 0"""
+VIEWS["cell_rows"] = """
+    SELECT dataset_id, 'v1' AS output_version, dataset_id || ':' || space_code AS output_id, 'geohash' AS grid_type, 3 AS grid_level, space_code,
+           CASE WHEN min(pos) % 83 = 0 THEN max(cell_max_lon) ELSE max(cell_min_lon) END AS west, max(cell_min_lat) AS south,
+           CASE WHEN min(pos) % 83 = 0 THEN max(cell_min_lon) ELSE max(cell_max_lon) END AS east, max(cell_max_lat) AS north
+    FROM index_rows GROUP BY dataset_id, space_code"""
+VIEWS["asset_rows"] = """
+    SELECT dataset_id, asset_id AS source_asset_id, CASE CAST(substr(dataset_id, 2) AS INTEGER) % 3 WHEN 0 THEN 'optical' WHEN 1 THEN 'radar' ELSE 'carbon' END AS data_type,
+           CASE WHEN pos % 53 = 0 THEN 'http://x/' || asset_id ELSE 's3://bucket/' || asset_id || CASE WHEN CAST(substr(dataset_id, 2) AS INTEGER) % 3 = 2 THEN '.nc4' ELSE '.tif' END END AS source_uri,
+           CASE WHEN CAST(substr(dataset_id, 2) AS INTEGER) % 3 = 2 THEN 'netcdf' WHEN pos % 59 = 0 THEN 'tif' ELSE 'cog' END AS source_format,
+           CASE WHEN pos % 47 = 0 THEN 'zz' ELSE sha256(asset_id) END AS checksum,
+           CASE WHEN pos % 41 = 0 THEN '' WHEN pos % 43 = 0 THEN 'nonsense' WHEN pos % 2 = 0 THEN 'epsg:4326' ELSE 'EPSG:32650' END AS crs,
+           CASE WHEN pos % 37 = 0 THEN 'EPSG:3857' WHEN pos % 2 = 0 THEN 'EPSG:4326' ELSE 'EPSG:32650' END AS actual_crs, pos % 101 <> 0 AS readable, pos
+    FROM scenes"""
+VIEWS["version_rows"] = """
+    SELECT i.dataset_id, 'v1' AS output_version, CASE CAST(substr(i.dataset_id, 2) AS INTEGER) % 3 WHEN 0 THEN 'optical' WHEN 1 THEN 'radar' ELSE 'carbon' END AS data_type,
+           (SELECT count(*) FROM tile_rows t WHERE t.dataset_id = i.dataset_id) + CASE WHEN CAST(substr(i.dataset_id, 2) AS INTEGER) % 10 = 3 THEN 1 ELSE 0 END AS tile_count,
+           count(*) AS index_count, count(DISTINCT space_code) AS grid_cell_count
+    FROM index_rows i WHERE i.dataset_id <> 'D7' GROUP BY i.dataset_id"""
+VIEWS["carbon_rows"] = """
+    SELECT 'DC' AS dataset_id, 'v1' AS output_version, CAST(source_index AS VARCHAR) AS output_id, source_uri AS source_asset_id, source_index,
+           CASE WHEN source_index % 31 = 0 THEN lon + 200 ELSE lon END AS lon, lat, CASE WHEN source_index % 29 = 0 THEN xco2 + 900 ELSE xco2 END AS xco2,
+           quality_flag, source_index % 23 = 0 AS no_flag_key, source_index % 19 = 0 AS old_names FROM obs"""
