@@ -248,10 +248,10 @@ ATTRIBUTE_ALIASES = {"lon": "center_lon", "lat": "center_lat", "footprint": "foo
 def alias_attributes(df: DataFrame, column: str = "attributes") -> DataFrame:
     """Give older attribute names their present name where that is absent."""
     m = F.coalesce(F.col(column), F.create_map().cast("map<string,string>"))
-    for name, old in ATTRIBUTE_ALIASES.items():
-        added = F.when(F.map_contains_key(m, old) & ~F.map_contains_key(m, name), F.map_from_arrays(F.array(F.lit(name)), F.array(F.element_at(m, old))))
-        m = F.map_concat(m, F.coalesce(added, F.create_map().cast("map<string,string>")))
-    return df.withColumn(column, m)
+    names = F.array(*[F.lit(n) for n in ATTRIBUTE_ALIASES])
+    olds = F.array(*[F.try_element_at(m, F.lit(o)) for o in ATTRIBUTE_ALIASES.values()])
+    added = F.map_filter(F.map_from_arrays(names, olds), lambda k, v: v.isNotNull() & ~F.map_contains_key(m, k))
+    return df.withColumn(column, F.map_concat(m, added))
 
 
 def _carbon(t: Tables) -> DataFrame:
