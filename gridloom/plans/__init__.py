@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("flagship", "grids", "covers", "rules")
+MODULES = ("flagship", "grids", "covers", "rules", "inputs")
 
 
 def load_all():

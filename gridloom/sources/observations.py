@@ -34,14 +34,14 @@ def product_type(name: str) -> str:
 def read_observations(spark: SparkSession, path: str, product: str = "xco2") -> DataFrame:
     """Raw observation rows of ``.jsonl`` or ``.csv`` files as texts, with the file they came from."""
     product_type(product)
-    if path.rstrip("/").endswith(".csv"):
-        rows = spark.read.option("header", True).csv(path)
-        for name in [c.strip().split(" ")[0] for c in schemas.OBSERVATION.split(",")]:
-            if name not in rows.columns:
-                rows = rows.withColumn(name, F.lit(None).cast("string"))
-    else:
-        rows = spark.read.schema(schemas.OBSERVATION).json(path)
-    return rows.withColumn("file_path", F.col("_metadata.file_path")) if "_metadata" not in rows.columns else rows
+    file_path = F.col("_metadata.file_path").alias("file_path")
+    if not path.rstrip("/").endswith(".csv"):
+        return spark.read.schema(schemas.OBSERVATION).json(path).select("*", file_path)
+    rows = spark.read.option("header", True).csv(path).select("*", file_path)
+    for name in [c.strip().split(" ")[0] for c in schemas.OBSERVATION.split(",")]:
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    return rows
 
 
 def _given(c: str) -> Column:
