@@ -86,31 +86,33 @@ def json_resolution(json: Column) -> Column:
     A value may be a number, a text with a number in it, a list, or an object
     with the same keys or ``x``/``y``/``width``/``height``.
     """
-    found = []
-    for key in RESOLUTION_KEYS:
-        value = F.get_json_object(json, f"$.{key}")
-        # Numbers of a list; nested objects only through the keys that name a size.
-        is_object = F.startswith(F.trim(value), F.lit("{"))
-        numbers = F.transform(F.regexp_extract_all(value, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda t: t.try_cast("double"))
-        is_list = F.startswith(F.trim(value), F.lit("["))
-        first = F.regexp_extract(value, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-        many = F.array_min(F.filter(numbers, lambda v: v > 0))
-        negative = F.trim(value).rlike(r"^-\d+(\.\d+)?$")
-        flag = value.isin("true", "false")
-        plain = F.when(is_object | negative | flag, F.lit(None)).when(is_list, many).otherwise(F.when(first > 0, first))
-        found.append(plain)
-        if key in RESOLUTION_KEYS[:10]:
-            for sub in (*NESTED_KEYS, "resolution", "resolution_m"):
-                inner = F.get_json_object(json, f"$.{key}.{sub}").try_cast("double")
-                found.append(F.when(is_object & (inner > 0), inner))
-    return F.least(*found)
+    fields = F.from_json(json, "map<string,string>")
+    values = F.transform(F.array(*[F.lit(k) for k in RESOLUTION_KEYS]), lambda k: F.try_element_at(fields, k))
+    return F.array_min(F.filter(F.flatten(F.transform(values, _value_numbers)), lambda v: v > 0))
+
+
+def _value_numbers(value: Column) -> Column:
+    """Numbers in one JSON value: a number or the first in a text, all of a list, those of an object's size keys."""
+    text = F.trim(value)
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), lambda t: t.try_cast("double"))
+    inner = F.from_json(text, "map<string,string>")
+    sizes = F.transform(
+        F.array(*[F.lit(k) for k in (*RESOLUTION_KEYS, *NESTED_KEYS)]), lambda k: F.try_element_at(inner, k).try_cast("double")
+    )
+    none = F.array().cast("array<double>")
+    return F.coalesce(
+        F.when(text.isin("true", "false"), none)
+        .when(F.startswith(text, F.lit("{")), sizes)
+        .when(F.startswith(text, F.lit("[")), numbers)
+        .otherwise(F.slice(numbers, 1, 1)),
+        none,
+    )
 
 
 def finest_resolution(assets: DataFrame, json: str, by: list[str]) -> DataFrame:
     """Finest resolution of each group of assets, from their JSON and its ``attributes``."""
-    own = json_resolution(F.col(json))
-    nested = json_resolution(F.get_json_object(json, "$.attributes"))
-    return assets.withColumn("__r", F.least(own, nested)).groupBy(*by).agg(F.min("__r").alias("resolution"))
+    texts = F.filter(F.array(F.col(json), F.get_json_object(json, "$.attributes")), lambda t: t.isNotNull())
+    return assets.withColumn("__r", F.array_min(F.transform(texts, json_resolution))).groupBy(*by).agg(F.min("__r").alias("resolution"))
 
 
 def scan_assets(spark: SparkSession, root: str, kind: str = "optical") -> DataFrame:
