@@ -321,3 +321,18 @@ VIEWS["carbon_rows"] = """
     SELECT 'DC' AS dataset_id, 'v1' AS output_version, CAST(source_index AS VARCHAR) AS output_id, source_uri AS source_asset_id, source_index,
            CASE WHEN source_index % 31 = 0 THEN lon + 200 ELSE lon END AS lon, lat, CASE WHEN source_index % 29 = 0 THEN xco2 + 900 ELSE xco2 END AS xco2,
            quality_flag, source_index % 23 = 0 AS no_flag_key, source_index % 19 = 0 AS old_names FROM obs"""
+
+# Status of band units per grid, several rows per unit, and runs over scenes.
+VIEWS["unit_rows"] = """
+    SELECT 'A' || l_orderkey || ':b' || l_linenumber AS band_unit_id, 'A' || l_orderkey AS asset_id, 'S' || l_orderkey AS scene_id, 'b' || l_linenumber AS band_code,
+           'R' || (l_orderkey % 200) AS partition_run_id, 'D' || (l_orderkey % 50) AS dataset_id,
+           CASE l_suppkey % 3 WHEN 0 THEN 'geohash' WHEN 1 THEN 'mgrs' ELSE 'isea4h' END AS grid_type, 3 + l_partkey % 2 AS grid_level,
+           CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'N' THEN 'failed' ELSE 'queued' END AS partition_status,
+           CASE WHEN l_tax > 0.06 THEN 'warn' WHEN l_linestatus = 'O' THEN 'pass' ELSE 'fail' END AS quality_status,
+           CASE WHEN l_discount > 0.05 THEN 'completed' WHEN l_discount < 0.02 THEN 'failed' ELSE 'pending' END AS ingest_status,
+           l_shipdate AS created_at, l_partkey * 100000 + l_suppkey * 1000 + CAST(l_quantity AS BIGINT) AS pos FROM lineitem"""
+VIEWS["run_rows"] = """
+    SELECT 'R' || (o_orderkey % 200) AS partition_run_id, 'S' || o_orderkey AS scene_id, 'D' || (o_orderkey % 50) AS dataset_id, 'L' || (o_custkey % 97) AS load_batch_id,
+           CASE WHEN o_orderkey % 200 < 40 THEN 'completed' WHEN o_orderkey % 200 < 60 THEN 'failed' WHEN o_orderkey % 200 < 70 THEN 'cancelled'
+                ELSE CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN CASE WHEN o_orderkey % 200 < 130 THEN 'running' ELSE 'failed' END ELSE 'queued' END END AS status,
+           o_orderdate AS created_at, o_orderkey AS pos, CASE WHEN o_orderkey % 4 > 0 THEN 'v' || (o_orderkey % 4) END AS output_version, o_totalprice AS price FROM orders"""
