@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("flagship", "grids", "covers", "rules", "inputs", "relations")
+MODULES = ("flagship", "grids", "covers", "rules", "inputs", "relations", "changes")
 
 
 def load_all():
