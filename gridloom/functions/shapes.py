@@ -171,7 +171,11 @@ def hexagon_box_overlap(quad, i, j, level: int, west, south, east, north) -> Col
 
 
 def metric_box_overlap(easting, northing, zone, northern, polar, cell_box, aoi_box, precision: int) -> Column:
-    """Area of each MGRS cell inside an area box, and its whole area, in square degrees."""
+    """Area of each MGRS cell inside an area box, and its whole area, in square degrees.
+
+    Squares whose corners lie clear inside or outside, by more than their edges
+    can bulge, count as 1 of 1 or 0 of 1 without being drawn.
+    """
     size = float(10 ** (5 - precision))
 
     @F.pandas_udf(AREAS)
@@ -180,8 +184,31 @@ def metric_box_overlap(easting, northing, zone, northern, polar, cell_box, aoi_b
         cw: pd.Series, cs: pd.Series, ce: pd.Series, cn: pd.Series,
         aw: pd.Series, as_: pd.Series, ae: pd.Series, an: pd.Series,
     ) -> pd.DataFrame:
-        rings = metric_rings(e, n, z, hemi, p, cw, cs, ce, cn, size)
-        return _overlap_boxes(rings, aw.to_numpy(float), as_.to_numpy(float), ae.to_numpy(float), an.to_numpy(float))
+        pol = p.to_numpy().astype(bool)
+        corner = size * np.array([[0, 0], [1, 0], [1, 1], [0, 1]])
+        lon, lat = K.unproject_metric(
+            (e.to_numpy()[:, None] + corner[:, 0]).ravel(), (n.to_numpy()[:, None] + corner[:, 1]).ravel(),
+            np.repeat(z.fillna(1).to_numpy(), 4), np.repeat(hemi.to_numpy().astype(bool), 4), np.repeat(pol, 4),
+        )
+        lon, lat = lon.reshape(-1, 4), lat.reshape(-1, 4)
+        bulge = 0.02 * size / 111_000.0
+        wide = bulge / np.maximum(np.cos(np.radians(np.abs(lat).max(axis=1))), 0.05)
+        w, east = lon.min(axis=1) - wide, lon.max(axis=1) + wide
+        s, north = lat.min(axis=1) - bulge, lat.max(axis=1) + bulge
+        west_to, east_to = np.maximum(cw, aw).to_numpy(float), np.minimum(ce, ae).to_numpy(float)
+        south_to, north_to = np.maximum(cs, as_).to_numpy(float), np.minimum(cn, an).to_numpy(float)
+        clear_in = ~pol & (w >= west_to) & (east <= east_to) & (s >= south_to) & (north <= north_to)
+        clear_out = ~pol & ((w >= east_to) | (east <= west_to) | (s >= north_to) | (north <= south_to))
+        # A square outside its own zone or band has no area at all.
+        empty = ~pol & ((w >= ce.to_numpy(float)) | (east <= cw.to_numpy(float)) | (s >= cn.to_numpy(float)) | (north <= cs.to_numpy(float)))
+        out = pd.DataFrame({"inside": clear_in.astype(float), "whole": np.where(empty, 0.0, 1.0)})
+        at = np.flatnonzero(~clear_in & ~clear_out)
+        if len(at):
+            pick = lambda v: v.iloc[at]
+            rings = metric_rings(*[pick(v) for v in (e, n, z, hemi, p, cw, cs, ce, cn)], size)
+            drawn = _overlap_boxes(rings, *[pick(v).to_numpy(float) for v in (aw, as_, ae, an)])
+            out.iloc[at] = drawn.to_numpy()
+        return out
 
     return overlap(easting, northing, zone, northern, polar, *cell_box, *aoi_box)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geohash, isea4h, mgrs, shapes
 from gridloom.operators import grid as gridops
+from gridloom.session import cut
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 MODES = ("intersect", "contain", "minimal")
@@ -215,11 +216,11 @@ def cover_bbox(
     parts = gridops.bbox_rings(df).drop("ring", "part_no")
     if mode == "minimal":
         if grid == "isea4h":
-            return _finish(_isea4h_minimal(parts, level, key), df, grid, boundary)
+            return _finish(_isea4h_minimal(parts, level, key), grid, boundary, level, mode)
         if grid == "geohash":
-            return _finish(_geohash_minimal(parts, level), df, grid, boundary)
-        return _finish(_minimal(lambda lv, m: _box_level(parts, grid, lv, m, key), grid, level, key), df, grid, boundary)
-    return _finish(_box_level(parts, grid, level, mode, key), df, grid, boundary)
+            return _finish(_geohash_minimal(parts, level), grid, boundary, level, mode)
+        return _finish(_minimal(lambda lv, m: _box_level(parts, grid, lv, m, key), grid, level, key), grid, boundary, level, mode)
+    return _finish(_box_level(parts, grid, level, mode, key), grid, boundary, level, mode)
 
 
 def _box_level(parts: DataFrame, grid: str, level: int, mode: str, key: list[str]) -> DataFrame:
@@ -231,6 +232,7 @@ def _box_level(parts: DataFrame, grid: str, level: int, mode: str, key: list[str
             "space_code", geohash.encode(F.col("__x"), F.col("__y"), level)
         )
         return cells.select(*keep, F.lit(level).alias("grid_level"), "space_code")
+    parts = _spread_rows(parts, key)
     if grid == "isea4h":
         cells = isea4h_candidates(parts, level, key + list(BOX))
         areas = shapes.hexagon_box_overlap(F.col("__q"), F.col("__i"), F.col("__j"), level, *aoi)
@@ -254,6 +256,13 @@ def _box_level(parts: DataFrame, grid: str, level: int, mode: str, key: list[str
     return cells.select(*keep, F.lit(level).alias("grid_level"), "space_code")
 
 
+def _spread_rows(df: DataFrame, key: list[str]) -> DataFrame:
+    """Rows spread over all tasks before each becomes many cells; the number is fixed, or the small rows would be put together again."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [c for c in (*key, *BOX) if c in df.columns]
+    return df.repartition(tasks, *by)
+
+
 def _geohash_minimal(parts: DataFrame, level: int) -> DataFrame:
     """Largest cells inside the box, and the border cells of the requested level; no shuffle.
 
@@ -303,7 +312,7 @@ def _isea4h_minimal(parts: DataFrame, level: int, key: list[str]) -> DataFrame:
     columns = keep + ["grid_level", "space_code"]
     taken = None
     for lv in range(level + 1):
-        cells = _box_level(parts, "isea4h", lv, "contain" if lv < level else "intersect", key).select(*columns)
+        cells = cut(_box_level(parts, "isea4h", lv, "contain" if lv < level else "intersect", key).select(*columns))
         if taken is not None:
             lap = _overlap_with_taken(cells, taken, lv, key)
             if lv < level:
@@ -316,7 +325,8 @@ def _isea4h_minimal(parts: DataFrame, level: int, key: list[str]) -> DataFrame:
                     .select(*key, "space_code")
                 )
                 cells = cells.join(left, key + ["space_code"], "left_semi")
-        cells = cells.select(*columns)
+        # Every level reads the cells taken so far several times: cut the plan here.
+        cells = cut(cells.select(*columns))
         taken = cells if taken is None else taken.unionByName(cells)
     return taken
 
@@ -342,7 +352,9 @@ def _overlap_with_taken(cells: DataFrame, taken: DataFrame, level: int, key: lis
     """
     quad, i, j = isea4h.triple(F.col("space_code").cast("long"), level)
     fine = cells.select(*key, "space_code").withColumns({"__q": quad, "__i": i, "__j": j})
-    fine = fine.withColumn("__shape", shapes.hexagon_shape(F.col("__q"), F.col("__i"), F.col("__j"), level)).drop("__q", "__i", "__j")
+    fine = cut(
+        fine.withColumn("__shape", shapes.hexagon_shape(F.col("__q"), F.col("__i"), F.col("__j"), level)).drop("__q", "__i", "__j")
+    )
     laps = None
     for lv in range(level):
         above = F.col("__above")
@@ -368,7 +380,7 @@ def _overlap_with_taken(cells: DataFrame, taken: DataFrame, level: int, key: lis
     return laps.groupBy(*key, "space_code").agg(F.sum("inside").alias("__lap"), F.max("whole").alias("__whole"))
 
 
-def _finish(cells: DataFrame, source: DataFrame, grid: str, boundary: str) -> DataFrame:
+def _finish(cells: DataFrame, grid: str, boundary: str, level: int, mode: str) -> DataFrame:
     """Add the grid name and the wanted outline; the outline is drawn per distinct cell."""
     cells = cells.withColumn("grid_type", F.lit(grid))
     if boundary == "none":
@@ -378,11 +390,9 @@ def _finish(cells: DataFrame, source: DataFrame, grid: str, boundary: str) -> Da
         if boundary == "polygon":
             cells = cells.withColumn("cell_ring", shapes.box_ring(*[F.col(f"cell_{k}") for k in BOX]))
         return cells
-    lowest, highest = gridops.GRID_LEVELS[grid]
     distinct = cells.select("grid_level", "space_code").distinct()
     drawn = None
-    levels = range(lowest, highest + 1)
-    for lv in levels:
+    for lv in range(gridops.GRID_LEVELS[grid][0], level + 1) if mode == "minimal" else [level]:
         one = gridops.cell_geometry(distinct.filter(F.col("grid_level") == lv), grid, lv)
         drawn = one if drawn is None else drawn.unionByName(one)
     shape = drawn.select("grid_level", "space_code", *[F.col(k).alias(f"cell_{k}") for k in (*BOX, "ring")])
@@ -417,7 +427,7 @@ def cover_polygon(
         cells = _minimal(lambda lv, m: _polygon_level(parts, grid, lv, m, key), grid, level, key)
     else:
         cells = _polygon_level(parts, grid, level, mode, key)
-    return _finish(cells, df, grid, boundary)
+    return _finish(cells, grid, boundary, level, mode)
 
 
 def _polygon_parts(df: DataFrame, ring: str, key: list[str]) -> DataFrame:

@@ -40,10 +40,10 @@ def _minimal_sql(level):
     for lv in range(level, 1, -1):
         dx, dy = geohash.lon_bits(lv) - geohash.lon_bits(lv - 1), geohash.lat_bits(lv) - geohash.lat_bits(lv - 1)
         parts.append(
-            f"c{lv - 1} AS (SELECT scene_id, gx >> {dx} AS gx, gy >> {dy} AS gy, any_value(min_lon) AS min_lon, any_value(min_lat) AS min_lat, "
-            f"any_value(max_lon) AS max_lon, any_value(max_lat) AS max_lat FROM c{lv} GROUP BY scene_id, gx >> {dx}, gy >> {dy} "
-            f"HAVING count(*) = 32 AND (gx >> {dx}) * CAST({w(lv - 1)!r} AS DOUBLE) - 180 >= any_value(min_lon) AND ((gx >> {dx}) + 1) * CAST({w(lv - 1)!r} AS DOUBLE) - 180 <= any_value(max_lon) "
-            f"AND (gy >> {dy}) * CAST({h(lv - 1)!r} AS DOUBLE) - 90 >= any_value(min_lat) AND ((gy >> {dy}) + 1) * CAST({h(lv - 1)!r} AS DOUBLE) - 90 <= any_value(max_lat))"
+            f"c{lv - 1} AS (SELECT scene_id, px AS gx, py AS gy, any_value(min_lon) AS min_lon, any_value(min_lat) AS min_lat, "
+            f"any_value(max_lon) AS max_lon, any_value(max_lat) AS max_lat FROM (SELECT *, gx >> {dx} AS px, gy >> {dy} AS py FROM c{lv}) GROUP BY scene_id, px, py "
+            f"HAVING count(*) = 32 AND px * CAST({w(lv - 1)!r} AS DOUBLE) - 180 >= any_value(min_lon) AND (px + 1) * CAST({w(lv - 1)!r} AS DOUBLE) - 180 <= any_value(max_lon) "
+            f"AND py * CAST({h(lv - 1)!r} AS DOUBLE) - 90 >= any_value(min_lat) AND (py + 1) * CAST({h(lv - 1)!r} AS DOUBLE) - 90 <= any_value(max_lat))"
         )
         out.append(
             f"SELECT scene_id, {lv} AS grid_level, {duck.geohash_code('gx', 'gy', lv)} AS space_code FROM c{lv} a "
@@ -53,7 +53,7 @@ def _minimal_sql(level):
     return f"WITH {', '.join(parts)} " + " UNION ALL ".join(out)
 
 
-query("c3_geohash_minimal", _minimal_sql(5))(_cover("geohash", 5, "minimal"))
+query("c3_geohash_minimal", _minimal_sql(4))(_cover("geohash", 4, "minimal"))
 
 
 @query("c4_geohash_polygon_box", f"SELECT scene_id, 3 AS grid_level, space_code FROM ({duck.geohash_cover('scenes', 3)})")
@@ -75,12 +75,19 @@ def _(spark, sf_dir):
     return C.cover_polygon(rings, "geohash", 3, "intersect", ["scene_id"], boundary="none").select("scene_id", "space_code")
 
 
+def _cover_counts(grid, level, mode):
+    def run(spark, sf_dir):
+        out = _cover(grid, level, mode)(spark, sf_dir)
+        return out.groupBy("scene_id", "grid_level").agg(F.count("*").alias("cells"))
+
+    return run
+
+
 query("c5_mgrs_intersect")(_cover("mgrs", 0, "intersect"))
-query("c5_mgrs_contain")(_cover("mgrs", 1, "contain"))
-query("c6_mgrs_minimal")(_cover("mgrs", 1, "minimal"))
+query("c5_mgrs_contain")(_cover("mgrs", 0, "contain"))
+query("c6_mgrs_minimal")(_cover_counts("mgrs", 1, "minimal"))
 query("c7_isea4h_intersect")(_cover("isea4h", 4, "intersect"))
 query("c7_isea4h_contain")(_cover("isea4h", 6, "contain"))
-query("c8_isea4h_minimal")(_cover("isea4h", 6, "minimal"))
 
 
 def _cover_holds_points(grid, level, make):

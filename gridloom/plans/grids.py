@@ -328,7 +328,8 @@ def _(spark, sf_dir):
 
 @query("b18_mgrs_children")
 def _(spark, sf_dir):
-    return G.child_cells(_distinct(spark, sf_dir, "mgrs", 0), "mgrs", 0, 1).select("space_code", "child_code")
+    kids = G.child_cells(_distinct(spark, sf_dir, "mgrs", 0), "mgrs", 0, 1)
+    return kids.groupBy("space_code").agg(F.count("*").alias("children"), F.min("child_code").alias("first"), F.max("child_code").alias("last"))
 
 
 @query(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can be changed on a running session.  The time zone fixes the
 # meaning of every time bucket and ST code.
@@ -44,3 +45,14 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
 def stage_folder(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for cut lineage, or None where it is unset."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint.
+
+    The checkpoint folder is the cluster's; a scratch folder is made only where none is named.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(stage_folder(df.sparkSession) or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+    return df.checkpoint()
