@@ -148,3 +148,14 @@ def index_range(lo: Column, hi: Column, origin: float, size: float, n: int, mode
     else:
         first, last = F.floor(a), F.ceil(b) - 1
     return F.greatest(first.cast("long"), F.lit(0).cast("long")), F.least(last.cast("long"), F.lit(n - 1).cast("long"))
+
+
+def encode_number(x: int, y: int, level: int) -> str:
+    """Text code of one cell given as plain integers."""
+    chars = []
+    for k in range(level):
+        nx, ny = lon_bits(k + 1) - lon_bits(k), lat_bits(k + 1) - lat_bits(k)
+        a = (x >> (lon_bits(level) - lon_bits(k + 1))) & ((1 << nx) - 1)
+        b = (y >> (lat_bits(level) - lat_bits(k + 1))) & ((1 << ny) - 1)
+        chars.append((_EVEN_CHARS if k % 2 == 0 else _ODD_CHARS)[(a << ny) + b])
+    return "".join(chars)
