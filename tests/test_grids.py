@@ -111,7 +111,7 @@ def test_covers_nest(spark):
 
 
 def test_minimal_cover_expands_to_the_same_cells(spark):
-    box = spark.createDataFrame([("a", 100.0, 20.0, 112.0, 31.0)], "id string, min_lon double, min_lat double, max_lon double, max_lat double")
+    box = spark.createDataFrame([("a", 100.0, 20.0, 113.0, 31.0)], "id string, min_lon double, min_lat double, max_lon double, max_lat double")
     small = cover.cover_bbox(box, "geohash", 3, "minimal", boundary="none")
     levels = {r.grid_level for r in small.collect()}
     assert levels == {2, 3}
