@@ -17,6 +17,8 @@ from gridloom.operators import grid as gridops
 from gridloom.session import cut
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
+# The box of a geohash candidate, known from its indices.
+_INDEX_BOX = ("__w", "__s", "__e", "__n")
 MODES = ("intersect", "contain", "minimal")
 
 # A cell counts as inside an area when all but this part of its own area is.
@@ -231,7 +233,7 @@ def _box_level(parts: DataFrame, grid: str, level: int, mode: str, key: list[str
         cells = geohash_candidates(parts, level, mode).withColumn(
             "space_code", geohash.encode(F.col("__x"), F.col("__y"), level)
         )
-        return cells.select(*keep, F.lit(level).alias("grid_level"), "space_code")
+        return cells.select(*keep, F.lit(level).alias("grid_level"), "space_code", *_INDEX_BOX)
     parts = _spread_rows(parts, key)
     if grid == "isea4h":
         cells = isea4h_candidates(parts, level, key + list(BOX))
@@ -282,7 +284,7 @@ def _geohash_minimal(parts: DataFrame, level: int) -> DataFrame:
             )
             cells = cells.filter(~swallowed)
         code = geohash.encode(F.col("__x"), F.col("__y"), lv)
-        out.append(cells.select(*keep, F.lit(lv).alias("grid_level"), code.alias("space_code")))
+        out.append(cells.select(*keep, F.lit(lv).alias("grid_level"), code.alias("space_code"), *_INDEX_BOX))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -384,9 +386,12 @@ def _finish(cells: DataFrame, grid: str, boundary: str, level: int, mode: str) -
     """Add the grid name and the wanted outline; the outline is drawn per distinct cell."""
     cells = cells.withColumn("grid_type", F.lit(grid))
     if boundary == "none":
-        return cells
+        return cells.drop(*_INDEX_BOX)
     if grid == "geohash":
-        cells = cells.withColumns({f"cell_{k}": v for k, v in geohash.bbox_of(F.col("space_code")).items()})
+        if "__w" in cells.columns:
+            cells = cells.withColumnsRenamed({a: f"cell_{b}" for a, b in zip(_INDEX_BOX, BOX)})
+        else:
+            cells = cells.withColumns({f"cell_{k}": v for k, v in geohash.bbox_of(F.col("space_code")).items()})
         if boundary == "polygon":
             cells = cells.withColumn("cell_ring", shapes.box_ring(*[F.col(f"cell_{k}") for k in BOX]))
         return cells
