@@ -77,3 +77,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.winnowing import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.common import held_out
+    from gridloom.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4).alias("held_out"))
+    model = fit(docs.where("not held_out"))
+    return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
