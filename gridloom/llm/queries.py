@@ -87,3 +87,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4).alias("held_out"))
     model = fit(docs.where("not held_out"))
     return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op7_retrieval_packing")
+def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
