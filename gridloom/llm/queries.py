@@ -94,3 +94,10 @@ def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op9_document_fingerprints")
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.bloom_lookup import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
