@@ -101,3 +101,13 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.bloom_lookup import document_fingerprints
 
     return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_repeats")
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gridloom.llm.suffixes import remove_repeats
+
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
