@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ MISS = 1e-7
 GROUP = 1500
 #: Sets of a large group that every member is compared with first.
 LEADERS = 12
-_MEMO: dict[bytes, bytes] = {}
 _U = np.uint64
 
 
@@ -42,17 +42,21 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
+class _Hashes(dict):
+    """Digests of words met before; a bounded number is kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = digest = xxhash.xxh3_64_digest(word)
+        return digest
+
+
+_MEMO = _Hashes()
 
-    try:
-        return np.frombuffer(b"".join(map(_MEMO.__getitem__, words)), "<u8")
-    except KeyError:
-        if len(_MEMO) > 500_000:
-            _MEMO.clear()
-        for w in set(words) - _MEMO.keys():
-            _MEMO[w] = xxhash.xxh3_64_intdigest(w).to_bytes(8, "little")
-        return np.frombuffer(b"".join(map(_MEMO.__getitem__, words)), "<u8")
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(_MEMO.__getitem__, words)), "<u8")
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -106,8 +110,6 @@ def band_keys(sign: np.ndarray, rows: int) -> np.ndarray:
 
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -127,8 +129,6 @@ def _sketch(width: int, bands: int, rows: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
