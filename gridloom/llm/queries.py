@@ -111,3 +111,11 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.warc import archive_round_trip
+
+    rows = archive_round_trip(table(spark, sf_dir, "pages")).where("gap is null")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
