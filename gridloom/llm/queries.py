@@ -119,3 +119,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = archive_round_trip(table(spark, sf_dir, "pages")).where("gap is null")
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.common import held_out
+    from gridloom.llm.hmm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7).alias("held_out")))
