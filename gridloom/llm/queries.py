@@ -127,3 +127,11 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.hmm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7).alias("held_out")))
+
+
+@query("op8_licence_scan")
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.licences import fit, sample_paragraphs, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit(sample_paragraphs(docs)))
