@@ -76,7 +76,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.winnowing import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 @query("op1_language_id")
@@ -109,7 +109,7 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from gridloom.llm.suffixes import remove_repeats
 
-    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

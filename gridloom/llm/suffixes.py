@@ -25,9 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import filesystem, publish, shared_folder
 
@@ -131,9 +133,10 @@ def _sample_blocks(folder: str, buckets: int, length: int, block_bytes: int):
     """Step 1 in the blocks: write the texts of a block, name its samples, settle what repeats inside."""
     short = length - PERIOD + 1
 
-    def block_rows(block: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def block_rows(block: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
+        texts = [b"" if t is None else t for t in held.column("text").to_pylist()]
+
         def write(out):
-            held = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
             with pa.ipc.new_stream(out, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(held)
 
@@ -171,19 +174,22 @@ def _sample_blocks(folder: str, buckets: int, length: int, block_bytes: int):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        ids: list = []
-        texts: list[bytes] = []
+        parts: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(doc)
-                texts.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
-                size += len(texts[-1])
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0)))
+            at = 0
+            while at < batch.num_rows:
+                # As many rows as the block still takes, at least one.
+                n = max(1, int(np.searchsorted(ends[at:], (ends[at - 1] if at else 0) + block_bytes - size, "left")) + 1)
+                parts.append(batch.slice(at, n))
+                size += int(ends[min(at + n, batch.num_rows) - 1] - (ends[at - 1] if at else 0))
+                at += n
                 if size >= block_bytes:
-                    yield from block_rows((part << 20) + seq, ids, texts)
-                    ids, texts, size, seq = [], [], 0, seq + 1
-        if ids:
-            yield from block_rows((part << 20) + seq, ids, texts)
+                    yield from block_rows((part << 20) + seq, pa.Table.from_batches(parts))
+                    parts, size, seq = [], 0, seq + 1
+        if parts:
+            yield from block_rows((part << 20) + seq, pa.Table.from_batches(parts))
 
     return run
 
@@ -233,11 +239,12 @@ def _sort_names(group: pd.DataFrame) -> pd.DataFrame:
     return _frame(rows)
 
 
-def _load(folder: str, block: int) -> tuple[list, list[bytes]]:
+def _load(folder: str, block: int) -> tuple[pa.Table, list[bytes]]:
+    """Rows of a block file, and their texts."""
     store, path = filesystem(folder)
     with store.open_input_stream(f"{path}/block-{block}.arrow") as f:
         held = pa.ipc.open_stream(f).read_all()
-    return held.column("doc_id").to_pylist(), held.column("text").to_pylist()
+    return held, [b"" if t is None else t for t in held.column("text").to_pylist()]
 
 
 def _merge_rest(folder: str, buckets: int, length: int):
@@ -283,12 +290,12 @@ def _sort_rest(group: pd.DataFrame) -> pd.DataFrame:
     return _frame(rows)
 
 
-def _remove(folder: str, length: int):
+def _remove(folder: str, length: int, keep: list[str]):
     """The covered bytes of each document of a block go."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        block = int(group["block"].iloc[0])
-        ids, texts = _load(folder, block)
+    def run(group: pa.Table) -> pa.Table:
+        group = group.to_pandas()
+        held, texts = _load(folder, int(group["block"].iloc[0]))
         lengths = np.asarray([len(t) for t in texts], np.int64)
         starts = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
@@ -304,25 +311,29 @@ def _remove(folder: str, length: int):
         np.add.at(cover, at, 1)
         np.add.at(cover, at + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        rows = []
+        removed, spans, kept = [], [], []
         for k, t in enumerate(texts):
             own = gone[starts[k] : starts[k] + lengths[k]]
             n = int(own.sum())
-            kept = t if not n else np.frombuffer(t, np.uint8)[~own].tobytes()
-            spans = int(np.count_nonzero(own[1:] & ~own[:-1])) + int(own[0]) if n else 0
-            rows.append((ids[k], len(t), n, spans, kept))
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+            removed.append(n)
+            kept.append(np.frombuffer(t, np.uint8)[~own].tobytes() if n else t)
+            spans.append(int(np.count_nonzero(own[1:] & ~own[:-1])) + int(own[0]) if n else 0)
+        added = [pa.array(lengths), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+        return pa.table([*(held.column(c) for c in keep), *added], [*keep, *RESULT])
 
     return run
 
 
+RESULT = ["n_bytes", "n_removed", "n_spans", "kept"]
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document (doc_id, text).
+    """The other columns of ``docs``, and n_bytes, n_removed, n_spans and kept (the remaining bytes of ``text``) of every row.
 
     Each byte that lies in a ``length``-byte string which also starts anywhere else, in the same or
     another document, is removed; strings are judged on the input.  Matches never cross documents.
-    Null texts are empty; repeated rows are documents of their own and remove each other; other
-    columns are ignored.
+    Null texts are empty; repeated rows are documents of their own and remove each other; columns
+    named like a result give way to it.
     """
     if length < PERIOD + 32:
         raise ValueError(f"strings have at least {PERIOD + 32} bytes")
@@ -330,11 +341,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total * len(COVER) / PERIOD * 16 / bucket_bytes))
     folder = shared_folder(spark, "blocks")
-    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_sample_blocks(folder, buckets, length, block_bytes), _ROW)
+    keep = [c for c in docs.columns if c != "text" and c not in RESULT]
+    rows = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    sampled = rows.mapInArrow(_sample_blocks(folder, buckets, length, block_bytes), _ROW)
     named = sampled.groupBy("bucket").applyInPandas(_sort_names, _ROW)
     merged = named.groupBy("block").applyInPandas(_merge_rest(folder, buckets, length), _ROW)
     found = merged.groupBy("bucket").applyInPandas(_sort_rest, _ROW)
-    return found.groupBy("block").applyInPandas(_remove(folder, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in RESULT[:3]), T.StructField("kept", T.BinaryType())])
+    return found.groupBy("block").applyInArrow(_remove(folder, length, keep), schema)
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, str]]:
