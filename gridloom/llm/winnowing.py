@@ -65,7 +65,7 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, Dat
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document (doc_id, text).
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and text_hash (xxhash64) of every document (doc_id, text).
 
     A benchmark item (item_id, text) counts where ``window`` of its words in a row, or all of them
     if it has fewer, occur in the document; n_hit counts document words inside such places.  Null
@@ -91,7 +91,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         places.append(every.join(_small(starts, n_windows), "fp", "left_semi").select("k", "t", "at", F.lit(n).alias("n")))
     found = reduce(DataFrame.union, places).groupBy("k", "t").agg(F.collect_set(F.struct("at", "n")).alias("found"))
     found = materialize(found, "hits")
-    texts = keyed.join(found, ["k", "t"]).dropDuplicates(["k", "t"])
+    # Texts, not words, are dealt out, and by the same join at every size; repeated rows fall together below.
+    texts = base.select("k", "t", "text").join(found.hint("merge"), ["k", "t"]).select("k", "t", "found", words(F.col("text")).alias("w"))
     tried = texts.select("k", "t", F.size("w").alias("size"), F.explode_outer(F.expr("transform(found, f -> named_struct('at', f.at, 'n', f.n, 'win', array_join(slice(w, f.at + 1, f.n), ' ')))")).alias("f"))
     tried = tried.select("k", "t", "f.at", "f.n", "f.win").where("at + n <= size")
     exact = tried.join(_small(windows.withColumnRenamed("n", "m"), n_windows), "win").where("n = m").select("k", "t", "at", "n", "items")
@@ -103,5 +104,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return sized.join(result, ["k", "t"], "left").select(
         "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("t").alias("text_hash"),
     )
