@@ -45,13 +45,23 @@ def register(spark: SparkSession) -> None:
 
 
 class _GridCover:
-    """Geohash cells of a box, for lateral use: ``FROM t, LATERAL grid_cover(w, s, e, n, level, 'intersect')``."""
+    """Geohash cells of a box, for lateral use: ``FROM t, LATERAL grid_cover(w, s, e, n, level, 'intersect')``.
+
+    A box whose west is above its east crosses the dateline.  Modes are ``intersect``
+    and ``contain``; minimal covers have several levels and are made by ``cover_bbox``.
+    """
 
     def eval(self, west: float, south: float, east: float, north: float, level: int, mode: str):
         from math import ceil, floor
 
         from gridloom.functions import geohash as g
 
+        if mode not in ("intersect", "contain"):
+            raise ValueError(f"unsupported cover mode: {mode}")
+        if west > east:
+            yield from self.eval(west, south, 180.0, north, level, mode)
+            yield from self.eval(-180.0, south, east, north, level, mode)
+            return
         w, h = g.cell_width(level), g.cell_height(level)
         low, high = (ceil, lambda v: floor(v) - 1) if mode == "contain" else (floor, lambda v: ceil(v) - 1)
         for i in range(max(low((west + 180) / w), 0), min(high((east + 180) / w), g.columns_at(level) - 1) + 1):

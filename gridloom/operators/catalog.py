@@ -68,10 +68,11 @@ def tile_st_code(tiles: DataFrame, indexes: DataFrame) -> DataFrame:
     place = ["dataset_id", "output_version", "source_asset_id", "band_code", "grid_type", "grid_level", "space_code", "time_bucket"]
     t = tiles.select(*place, F.col("output_id").alias("__tile"))
     i = indexes.select(*place, F.col("tile_output_id").alias("__points"), F.col("created_at").alias("__at"), F.col("output_id").alias("__id"), "st_code")
-    pairs = t.join(i, place)
-    # min_by: pointing first (false sorts before true), newest first, then the id.
-    order = F.struct(~F.coalesce(F.col("__points") == F.col("__tile"), F.lit(False)), -F.unix_micros("__at"), F.col("__id"))
-    best = pairs.groupBy("__tile").agg(F.min_by("st_code", order).alias("st_code"))
+    # Newest first, then the lowest id; once per pointing index and once per place, so no tile meets every index.
+    first = lambda *keys: i.groupBy(*keys).agg(F.min_by(F.struct("st_code"), F.struct(-F.unix_micros("__at"), F.col("__id"))).alias("__code"))
+    pointing = first(*place, "__points").withColumnsRenamed({"__points": "__tile", "__code": "__own"})
+    best = t.distinct().join(pointing, [*place, "__tile"], "left").join(first(*place), place, "left")
+    best = best.select("__tile", F.coalesce("__own", "__code")["st_code"].alias("st_code")).groupBy("__tile").agg(F.max("st_code").alias("st_code"))
     return tiles.join(best, tiles.output_id == best["__tile"], "left").drop("__tile")
 
 
@@ -119,14 +120,18 @@ def eligible_scenes(request: DataFrame, batch_scenes: DataFrame, scenes: DataFra
 
 
 def already_done(units: DataFrame, status: DataFrame, grid: str, level: int) -> DataFrame:
-    """Units that are completed or ingested for a grid and level."""
-    done = status.filter(
-        (F.col("grid_type") == grid) & (F.col("grid_level") == level)
-        & ((F.col("partition_status") == "completed") | (F.col("ingest_status") == "completed"))
-    )
+    """Units whose partition is completed for a grid and level."""
+    done = status.filter((F.col("grid_type") == grid) & (F.col("grid_level") == level) & (F.col("partition_status") == "completed"))
     return units.join(done, "band_unit_id", "left_semi")
 
 
+def already_ingested(units: DataFrame, status: DataFrame, run_scenes: DataFrame, batches: DataFrame) -> DataFrame:
+    """Units, with grid and level, that runs of the chosen load batches have both partitioned and ingested."""
+    chosen = run_scenes.join(batches, "load_batch_id", "left_semi").select("partition_run_id", "scene_id")
+    done = status.filter((F.col("partition_status") == "completed") & (F.col("ingest_status") == "completed")).join(chosen, ["partition_run_id", "scene_id"], "left_semi")
+    return done.join(units, "band_unit_id", "left_semi").select("band_unit_id", "grid_type", "grid_level").distinct()
+
+
 def pending_batches(batches: DataFrame, batch_units: DataFrame, status: DataFrame) -> DataFrame:
     """Batches with a unit that no completed ingest covers."""
     done = status.filter(F.col("ingest_status") == "completed").select("band_unit_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,24 +161,70 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(source, allowMissingColumns=True)
 
 
+#: Partition values that are put into the scan of the target as literals; more are joined.
+LITERAL_PARTITIONS = 1000
+
+
 def upsert_table(
     spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition_by: list[str]
 ) -> None:
-    """Upsert into a partitioned parquet table; only partitions the source touches are rewritten.
+    """Upsert into a partitioned parquet table that holds one row per key.
 
-    The merged partitions are staged beside the table and then moved in by
-    dynamic partition overwrite, so a job that fails half-way leaves the table as it was.
+    Only partitions that the source touches, or that hold an old row of one of its keys, are read
+    and rewritten, so a row whose partition changes leaves its old place.  A source with several
+    rows of a key is refused.  The merged partitions are staged beside the table and moved in by
+    dynamic partition overwrite; a failure before the move leaves the table as it was, and a batch
+    run again after a failure in the move gives the same rows.
     """
-    staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
+    repeated = source.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").limit(1)
+    if not repeated.isEmpty():
+        raise ValueError(f"the source holds several rows of a key: {repeated.first()}")
     if not table_exists(spark, path):
         source.write.partitionBy(*partition_by).parquet(path)
         return
     target = spark.read.parquet(path)
-    touched = source.select(*partition_by).distinct()
-    current = target.join(touched, partition_by, "left_semi")
+    touched = source.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in partition_by]).distinct()
+    if not set(partition_by) <= set(keys):
+        touched = touched.union(target.join(source.select(*keys), keys, "left_semi").select(*partition_by)).distinct()
+    few = touched.limit(LITERAL_PARTITIONS + 1).collect()
+    current = in_partitions(target, few, partition_by) if len(few) <= LITERAL_PARTITIONS else target.join(touched, partition_by, "left_semi")
+    staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
     upsert(current, source, keys).write.partitionBy(*partition_by).parquet(staged)
     merged = spark.read.schema(target.schema).parquet(staged)
+    emptied = _emptied(current, merged, partition_by)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    for row in emptied:
+        _delete(spark, "/".join([path.rstrip("/"), *(_folder(spark, c, row[c]) for c in partition_by)]))
+    _delete(spark, staged)
+
+
+def in_partitions(target: DataFrame, rows: list, partition_by: list[str]) -> DataFrame:
+    """Rows of the listed partitions; the condition is made of literals, so other partitions are not opened."""
+    if not rows:
+        return target.filter(F.lit(False))
+    if len(partition_by) == 1:
+        c = partition_by[0]
+        values = [r[c] for r in rows if r[c] is not None]
+        condition = F.col(c).isin(values) if values else F.lit(False)
+        return target.filter(condition | F.col(c).isNull() if len(values) < len(rows) else condition)
+    one = lambda r: reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.lit(r[c])) for c in partition_by])
+    return target.filter(reduce(lambda p, q: p | q, map(one, rows)))
+
+
+def _emptied(before: DataFrame, after: DataFrame, partition_by: list[str]) -> list:
+    """Partitions that had rows and have none now (a row per partition folder)."""
+    left, right = before.select(*partition_by).distinct().alias("l"), after.select(*partition_by).distinct().alias("r")
+    return left.join(right, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in partition_by], "left_anti").collect()
+
+
+def _folder(spark: SparkSession, column: str, value) -> str:
+    text = None if value is None else str(value)
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, text)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

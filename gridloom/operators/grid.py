@@ -167,21 +167,23 @@ def distinct_cell_geometry(df: DataFrame, grid: str, level: int) -> DataFrame:
     return cell_geometry(df.select("grid_type", "grid_level", "space_code").distinct(), grid, level)
 
 
-def storage_ring(df: DataFrame, grid: str, ring: str = "ring", tolerance: float = 0.01) -> DataFrame:
+def storage_ring(df: DataFrame, grid: str, ring: str = "ring", tolerance: float = 1e-4) -> DataFrame:
     """Add the ring kept in fact tables and whether it is valid.
 
-    A geohash ring has 5 points, a hexagon 7 (6 for a pentagon), an MGRS ring at
-    least 4.  A densified MGRS ring is stored as its four corners where that
-    changes the area by less than ``tolerance``.
+    A geohash ring has 5 points, a hexagon 7 and an MGRS ring at least 4; the twelve
+    pentagons (6 points) are not valid for storage.  A densified MGRS ring is stored
+    as its four corners where the symmetric difference of the two shapes, the areas
+    between each edge and its chord, is at most ``tolerance`` of the ring's area.
     """
     r = F.col(ring)
-    expected = {"geohash": F.size(r) == 5, "isea4h": F.size(r).isin(6, 7), "mgrs": F.size(r) >= 4}[grid]
+    expected = {"geohash": F.size(r) == 5, "isea4h": F.size(r) == 7, "mgrs": F.size(r) >= 4}[grid]
     stored = r
     if grid == "mgrs":
         step = shapes.EDGE_SEGMENTS
         corners = F.array(*[F.element_at(r, k) for k in (1, 1 + step, 1 + 2 * step, 1 + 3 * step, 1)])
         simple = F.size(r) == 4 * step + 1
-        close = F.abs(shapes.shoelace(corners) - shapes.shoelace(r)) <= tolerance * shapes.shoelace(r)
+        between = [shapes.shoelace(F.concat(F.slice(r, 1 + k * step, step + 1), F.slice(r, 1 + k * step, 1))) for k in range(4)]
+        close = sum(between[1:], between[0]) <= tolerance * shapes.shoelace(r)
         stored = F.when(simple & close, corners).otherwise(r)
     in_range = F.forall(r, lambda p: p["lon"].between(-180.0, 180.0) & p["lat"].between(-90.0, 90.0))
     return df.withColumns(

@@ -141,11 +141,12 @@ def id_conflicts(df: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count("*").alias("versions")).filter("versions > 1")
 
 
-def plan_ingest(datasets: DataFrame, run_scenes: DataFrame, runs: DataFrame, allow_warn: bool = False, manual: bool = False) -> DataFrame:
+def plan_ingest(datasets: DataFrame, run_scenes: DataFrame, runs: DataFrame, partition_runs: DataFrame, unit_status: DataFrame, allow_warn: bool = False, manual: bool = False) -> DataFrame:
     """Scenes to ingest after quality, one row per run, band unit and scene.
 
-    Only an accepted status (warn where allowed), an active dataset, the
-    current version (unless manual) and completed scenes count.
+    Only an accepted dataset status (warn where allowed), an active dataset, the
+    current version (unless manual), completed scenes of completed partition
+    runs, and units whose own partition is completed with pass or warn count.
     """
     ok = F.col("quality_status") == "pass"
     ok = ok | ((F.col("quality_status") == "warn") & (F.lit(allow_warn) | F.col("allow_warn")))
@@ -156,27 +157,43 @@ def plan_ingest(datasets: DataFrame, run_scenes: DataFrame, runs: DataFrame, all
     rows = run_scenes.filter((F.col("status") == "completed") & F.col("output_version").isNotNull()).join(open_sets, "dataset_id")
     if not manual:
         rows = rows.filter(F.col("output_version") == F.col("current_output_version"))
+    rows = rows.join(completed_runs(partition_runs), "partition_run_id", "left_semi")
+    units = unit_status.filter((F.col("partition_status") == "completed") & F.col("quality_status").isin("pass", "warn")).select("partition_run_id", "scene_id", "band_unit_id")
+    rows = rows.join(units, ["partition_run_id", "scene_id"])
     return rows.select("partition_run_id", "band_unit_id", "dataset_id", "scene_id", "output_version", "quality_run_id").distinct()
 
 
-def plan_manual_ingest(runs: DataFrame, run_bands: DataFrame, selected: DataFrame):
-    """Plan for chosen bands: ``(eligible, refused)``.
+def completed_runs(partition_runs: DataFrame) -> DataFrame:
+    return partition_runs.filter(F.col("status") == "completed").select("partition_run_id")
 
-    A band is eligible when it belongs to the run's dataset and the dataset's
-    latest quality run is complete with pass or warn.
+
+def plan_manual_ingest(quality_runs: DataFrame, partition_runs: DataFrame, run_scenes: DataFrame, unit_status: DataFrame, selected: DataFrame):
+    """Plan for chosen bands (partition_run_id, band_unit_id): ``(eligible, refused)``.
+
+    A band is eligible when its run and scene are completed, its own partition
+    is completed with pass or warn, it is not ingested yet, and its dataset and
+    output version have a complete quality run with pass or warn; the newest of
+    those is named, whatever failed after it.
     """
-    last = latest_per(runs, ["dataset_id"], [F.col("created_at"), F.col("quality_run_id")], ["quality_run_id", "quality_status", "result_complete"])
-    good = last.filter(F.col("result_complete") & F.col("quality_status").isin("pass", "warn"))
-    eligible = run_bands.join(selected, ["dataset_id", "band_unit_id"], "left_semi").join(good, "dataset_id")
-    refused = selected.join(eligible.select("dataset_id", "band_unit_id"), ["dataset_id", "band_unit_id"], "left_anti")
-    return eligible.select("dataset_id", "band_unit_id", "quality_run_id"), refused
+    good = quality_runs.filter(F.col("result_complete") & F.col("status").isin("pass", "warn"))
+    # Rows without a completion time come last.
+    order = [F.col("completed_at"), F.col("created_at"), F.col("quality_run_id")]
+    good = latest_per(good, ["dataset_id", "output_version"], [F.coalesce(order[0], F.lit("0001-01-01").cast("timestamp")), *order[1:]], ["quality_run_id"])
+    units = unit_status.filter((F.col("partition_status") == "completed") & F.col("quality_status").isin("pass", "warn") & (F.col("ingest_status") != "completed"))
+    scenes = run_scenes.filter(F.col("status") == "completed").select("partition_run_id", "scene_id", "dataset_id", "output_version")
+    key = ["partition_run_id", "band_unit_id"]
+    rows = units.select(*key, "scene_id").join(selected, key, "left_semi").join(completed_runs(partition_runs), "partition_run_id", "left_semi")
+    eligible = rows.join(scenes, ["partition_run_id", "scene_id"]).join(good, ["dataset_id", "output_version"])
+    refused = selected.join(eligible.select(*key), key, "left_anti")
+    return eligible.select(*key, "dataset_id", "scene_id", "output_version", "quality_run_id").distinct(), refused
 
 
 def publication_eligibility(t: dict[str, DataFrame]) -> DataFrame:
     """First failing condition of each dataset's publication, or NULL where it may be published.
 
     Tables: ``datasets`` (current output and quality run), ``versions``,
-    ``quality_runs``, ``approvals``, ``ingest_runs`` and ``ingest_scenes``.
+    ``quality_runs``, ``approvals``, ``partition_runs``, ``ingest_runs`` and
+    ``ingest_scenes``.  The newest ingest run of a completed partition run counts.
     """
     d = t["datasets"].select("dataset_id", "current_output_version", "current_quality_run_id")
     v = t["versions"].select("dataset_id", F.col("output_version").alias("current_output_version"), F.col("status").alias("v_status"))
@@ -185,7 +202,8 @@ def publication_eligibility(t: dict[str, DataFrame]) -> DataFrame:
         F.col("status").alias("q_status"), "result_complete", "rule_set_version",
     )
     a = t["approvals"].select(F.col("quality_run_id").alias("current_quality_run_id"), F.col("rule_set_version").alias("a_version"))
-    last = latest_per(t["ingest_runs"], ["dataset_id"], [F.col("created_at"), F.col("ingest_run_id")], ["ingest_run_id", "status"]).withColumnRenamed("status", "i_status")
+    ingest_runs = t["ingest_runs"].join(completed_runs(t["partition_runs"]), "partition_run_id", "left_semi")
+    last = latest_per(ingest_runs, ["dataset_id"], [F.col("created_at"), F.col("ingest_run_id")], ["ingest_run_id", "status"]).withColumnRenamed("status", "i_status")
     wrong = (F.col("status") != "completed") | ~F.col("output_version").eqNullSafe(F.col("current_output_version"))
     scenes = t["ingest_scenes"].join(last.select("ingest_run_id", "dataset_id"), "ingest_run_id").join(d.select("dataset_id", "current_output_version"), "dataset_id")
     scenes = scenes.groupBy("dataset_id").agg(F.count("*").alias("n_scenes"), F.count_if(wrong).alias("n_wrong"))
@@ -213,21 +231,33 @@ def check_targets(targets: DataFrame, bands: DataFrame, indexes: DataFrame) -> D
     return foreign.unionByName(idle)
 
 
-def cleanup_candidates(versions: DataFrame, datasets: DataFrame, publications: DataFrame, older_than: str) -> DataFrame:
-    """Output versions that may be removed: not current, not published, old enough, with the expected prefix and a whole manifest."""
+def cleanup_candidates(versions: DataFrame, datasets: DataFrame, publications: DataFrame, objects: DataFrame, manifest: DataFrame, older_than: str) -> DataFrame:
+    """Output versions that may be removed: not current, not published, not younger than the cutoff, with the expected prefix and a whole manifest.
+
+    The later of ``completed_at`` and ``failed_at`` tells the age; a version without either is young.
+    ``manifest`` and ``objects`` have dataset_id, output_version, object_key, byte_size and checksum:
+    every manifest entry must name an object once, below the version's prefix, with that size and checksum.
+    """
     key = ["dataset_id", "output_version"]
     current = datasets.select("dataset_id", F.col("current_output_version").alias("output_version"))
     rows = versions.join(current, key, "left_anti").join(publications.select(*key), key, "left_anti")
     prefix = F.concat_ws("/", F.lit("outputs"), "dataset_id", F.concat("output_version", F.lit("/")))
-    whole = F.col("manifest_count") == F.col("object_count")
-    return rows.filter((F.col("object_prefix") == prefix) & whole & (F.col("completed_at") < F.lit(older_than).cast("timestamp")))
-
-
-def claimable_groups(runs: DataFrame, now: Column, n: int | None, key: str = "group_id") -> DataFrame:
-    """Oldest groups with work: queued, or running without an update for five minutes."""
-    stale = (F.col("status") == "running") & (F.col("updated_at") < now - F.expr("INTERVAL 5 MINUTES"))
-    rows = runs.filter((F.col("status") == "queued") | stale)
-    return oldest_groups(rows, n, key)
+    ended = F.greatest("completed_at", "failed_at")  # nulls are passed over
+    rows = rows.filter((F.col("object_prefix") == prefix) & (ended <= F.lit(older_than).cast("timestamp")))
+    there = objects.select("object_key", F.col("byte_size").alias("__size"), F.col("checksum").alias("__sum")).distinct()
+    entries = manifest.groupBy(*key, "object_key").agg(F.count("*").alias("__n"), F.max("byte_size").alias("byte_size"), F.max("checksum").alias("checksum")).join(there, "object_key", "left")
+    whole = (F.col("__n") == 1) & F.startswith(F.col("object_key"), prefix) & F.coalesce((F.col("byte_size") == F.col("__size")) & (F.col("checksum") == F.col("__sum")), F.lit(False))
+    checked = entries.groupBy(*key).agg(F.bool_and(whole).alias("__whole")).filter("__whole").select(*key)
+    return rows.join(checked, key, "left_semi")
+
+
+def claimable_groups(run_scenes: DataFrame, runs: DataFrame, now: Column, n: int | None) -> DataFrame:
+    """Oldest (dataset, output version) groups with work: scenes queued in a queued or running run, or running in a running one without an update for five minutes."""
+    stale = (F.col("status") == "running") & (F.col("run_status") == "running") & (F.col("updated_at") < now - F.expr("INTERVAL 5 MINUTES"))
+    waiting = (F.col("status") == "queued") & F.col("run_status").isin("queued", "running")
+    rows = run_scenes.join(runs.select("ingest_run_id", "dataset_id", F.col("status").alias("run_status")), "ingest_run_id").filter(waiting | stale)
+    out = rows.groupBy("dataset_id", "output_version").agg(F.min("created_at").alias("oldest"), F.count("*").alias("n_rows"))
+    return out.orderBy("oldest", "dataset_id", "output_version").limit(n) if n else out
 
 
 def oldest_groups(df: DataFrame, n: int | None, key: str, created: str = "created_at") -> DataFrame:

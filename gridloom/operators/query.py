@@ -44,10 +44,10 @@ def query_observations(
     grid: str = "isea4h",
     level: int = 5,
     version: str | None = None,
-    limit: int | None = 10000,
+    limit: int | None = None,
     point: tuple | None = None,
 ) -> DataFrame:
-    """Observations of an area and bucket range, oldest first.
+    """Observations of an area and bucket range, oldest first; all of them unless ``limit`` asks for fewer.
 
     Buckets, product, version, flags and the longitude/latitude box go to the
     scan as plain filters; the cell list is a semi join, which prunes partitions

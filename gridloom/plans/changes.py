@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from gridloom.operators import partitioning as P
 from gridloom.plans import rules, views
 from gridloom.plans.registry import query
 from gridloom.plans.relations import register, run_scenes, units
+from gridloom.session import stage_folder
 
 # --- upserts -------------------------------------------------------------------
 
@@ -19,48 +20,62 @@ _T = "(SELECT * FROM run_rows WHERE pos % 3 <> 0)"
 _S = "(SELECT * FROM run_rows WHERE pos % 2 = 0)"
 
 
-def _upsert(name, keys, sql_keys):
-    @register(
+def _upsert(name, keys, rows, sql):
+    """Rows of one kind keyed by ``keys``: a third is missing from the table, half comes anew."""
+    columns = ", ".join(keys)
+
+    @query(
         name,
-        f"""SELECT scene_id, dataset_id, status FROM (SELECT scene_id, dataset_id, 'new' AS status, {sql_keys} FROM {_S})
-            UNION ALL SELECT scene_id, dataset_id, status FROM {_T} t WHERE NOT EXISTS (SELECT 1 FROM {_S} s WHERE {' AND '.join(f's.{k} = t.{k}' for k in keys)})""",
+        f"""WITH r AS (SELECT {columns}, max(pos) AS pos FROM {sql} GROUP BY ALL) SELECT {columns}, CASE WHEN pos % 2 = 0 THEN 'new' ELSE 'old' END AS state FROM r WHERE pos % 3 <> 0 OR pos % 2 = 0""",
     )
-    def _(u, r):
-        target, source = r.filter("pos % 3 <> 0"), r.filter("pos % 2 = 0").withColumn("status", F.lit("new"))
-        return facts.upsert(target, source, keys).select("scene_id", "dataset_id", "status")
+    def _(spark, sf_dir):
+        r = rows(spark, sf_dir).groupBy(*keys).agg(F.max("pos").alias("pos"))
+        target, source = r.filter("pos % 3 <> 0").withColumn("state", F.lit("old")), r.filter("pos % 2 = 0").withColumn("state", F.lit("new"))
+        return facts.upsert(target, source, keys).select(*keys, "state")
+
+
+_BAND_SQL = "(SELECT *, 'v' || (pos % 3) AS cube_version, strftime(created_at, '%Y%m') AS time_bucket, 'C' || (pos % 400) AS space_code, 'N' || (pos % 5) AS product_name FROM unit_rows)"
 
 
-_upsert("i1_upsert_raw_assets", ["scene_id"], "pos")
-_upsert("i2_upsert_cube_facts", ["dataset_id", "scene_id", "partition_run_id"], "pos")
-_upsert("i3_upsert_product_assets", ["dataset_id", "scene_id"], "pos")
-_upsert("i4_upsert_product_facts", ["dataset_id", "scene_id", "load_batch_id"], "pos")
-_upsert("i6_upsert_entity_tiles", ["dataset_id", "scene_id", "load_batch_id", "partition_run_id"], "pos")
+def _band_rows(spark, sf_dir):
+    p = F.col("pos")
+    return units(spark, sf_dir).withColumns(
+        {"cube_version": F.concat(F.lit("v"), p % 3), "time_bucket": F.date_format("created_at", "yyyyMM"), "space_code": F.concat(F.lit("C"), p % 400), "product_name": F.concat(F.lit("N"), p % 5)}
+    )
+
+
+_upsert("i1_upsert_raw_assets", ["scene_id", "band_code", "cube_version"], _band_rows, _BAND_SQL)
+_upsert("i2_upsert_cube_facts", ["grid_type", "grid_level", "space_code", "time_bucket", "band_code", "cube_version"], _band_rows, _BAND_SQL)
+_upsert("i3_upsert_product_assets", ["product_name", "asset_id", "cube_version"], _band_rows, _BAND_SQL)
+_upsert("i4_upsert_product_facts", ["product_name", "grid_type", "grid_level", "space_code", "time_bucket", "cube_version"], _band_rows, _BAND_SQL)
+_upsert("i6_upsert_entity_tiles", ["asset_id", "band_code", "grid_type", "grid_level", "space_code", "time_bucket"], _band_rows, _BAND_SQL)
 
 
 @query(
     "i5_upsert_observations",
-    """SELECT satellite, observation_id, max(source_index) AS source_index FROM obs WHERE source_index % 4 <> 0 OR source_index >= 5000 GROUP BY 1, 2""",
+    """SELECT satellite, observation_id, product_type, cube_version, max(source_index) AS source_index FROM (SELECT *, 'v' || (source_index % 3) AS cube_version FROM obs)
+       WHERE source_index % 4 <> 0 OR source_index >= 5000 GROUP BY 1, 2, 3, 4""",
 )
 def _(spark, sf_dir):
-    o = views.obs(spark, sf_dir).select("satellite", "observation_id", "source_index", "xco2")
-    key = ["satellite", "observation_id"]
+    o = views.obs(spark, sf_dir).withColumn("cube_version", F.concat(F.lit("v"), F.col("source_index") % 3))
+    key = ["satellite", "observation_id", "product_type", "cube_version"]
+    o = o.select(*key, "source_index", "xco2")
     stored = facts.last_per(o.filter("source_index < 5000 and source_index % 4 <> 0"), key, F.col("source_index"))
     new = facts.last_per(o.filter("source_index >= 5000"), key, F.col("source_index"))
-    return facts.upsert(stored, new, key).select("satellite", "observation_id", "source_index")
+    return facts.upsert(stored, new, key).select(*key, "source_index")
 
 
-@query("i2_upsert_partitioned_table", "SELECT status, count(*) AS n, sum(v) AS total FROM (SELECT status, CASE WHEN pos % 2 = 0 AND pos % 5 = 0 THEN 2 ELSE 1 END AS v FROM run_rows WHERE pos % 3 <> 0 OR (pos % 2 = 0 AND pos % 5 = 0)) GROUP BY 1")
-def _(spark, sf_dir):
-    """Two writes to a partitioned table in a scratch folder of the session's shared storage."""
-    from gridloom.session import stage_folder
+_NEW = "(SELECT scene_id, CASE WHEN pos % 10 = 0 THEN 'moved' ELSE status END AS status FROM run_rows WHERE pos % 2 = 0 AND pos % 5 = 0)"
 
-    base = stage_folder(spark) or tempfile.mkdtemp(prefix="gridloom-")
-    import uuid
 
-    path = f"{base.rstrip('/')}/upsert-{uuid.uuid4().hex}"
+@query("i2_upsert_partitioned_table", f"SELECT status, count(*) AS n, sum(v) AS total FROM (SELECT status, 2 AS v FROM {_NEW} UNION ALL SELECT status, 1 FROM run_rows WHERE pos % 3 <> 0 AND scene_id NOT IN (SELECT scene_id FROM {_NEW})) GROUP BY 1")
+def _(spark, sf_dir):
+    """Two writes to a table partitioned by a column outside the key; the second moves rows to another partition."""
+    path = f"{stage_folder(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
     r = run_scenes(spark, sf_dir).select("scene_id", "status", "pos")
     facts.upsert_table(spark, path, r.filter("pos % 3 <> 0").withColumn("v", F.lit(1)), ["scene_id"], ["status"])
-    facts.upsert_table(spark, path, r.filter("pos % 2 = 0 and pos % 5 = 0").withColumn("v", F.lit(2)), ["scene_id"], ["status"])
+    new = r.filter("pos % 2 = 0 and pos % 5 = 0").withColumns({"v": F.lit(2), "status": F.when(F.col("pos") % 10 == 0, "moved").otherwise(F.col("status"))})
+    facts.upsert_table(spark, path, new, ["scene_id"], ["status"])
     return spark.read.parquet(path).groupBy(F.col("status").cast("string").alias("status")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
@@ -255,31 +270,48 @@ def gates(r):
     )
 
 
+# Fixed marks on the rows: runs, scenes, units and quality runs that break one condition each.
+_UNIT_OK = "u.partition_status = 'completed' AND u.quality_status IN ('pass', 'warn')"
+_RUN_OK = "CAST(substr(r.partition_run_id, 2) AS INTEGER) % 6 <> 1"
+
+
+def partition_runs(r):
+    return r.select("partition_run_id").distinct().withColumn("status", F.when(F.substring("partition_run_id", 2, 9).cast("int") % 6 == 1, "running").otherwise("completed"))
+
+
 @register(
     "k15_plan_ingest",
-    f"""SELECT DISTINCT r.partition_run_id, u.band_unit_id, r.dataset_id, r.scene_id FROM run_rows r JOIN {_GATE} g USING (dataset_id) JOIN unit_rows u ON u.scene_id = r.scene_id
-        WHERE r.status = 'completed' AND r.output_version = g.cur AND (q = 'pass' OR (q = 'warn' AND warn_ok)) AND active AND auto_ok""",
+    f"""SELECT DISTINCT r.partition_run_id, u.band_unit_id, r.dataset_id, r.scene_id FROM run_rows r JOIN {_GATE} g USING (dataset_id) JOIN unit_rows u ON u.scene_id = r.scene_id AND u.partition_run_id = r.partition_run_id
+        WHERE r.status = 'completed' AND r.output_version = g.cur AND (q = 'pass' OR (q = 'warn' AND warn_ok)) AND active AND auto_ok AND {_UNIT_OK} AND {_RUN_OK}""",
 )
 def _(u, r):
     g = gates(r)
-    scenes = r.join(u.select("scene_id", "band_unit_id"), "scene_id")
     d = g.drop("quality_status", "quality_run_id")
-    out = L.plan_ingest(d, scenes, g.select("dataset_id", "quality_status", "quality_run_id"))
+    out = L.plan_ingest(d, r, g.select("dataset_id", "quality_status", "quality_run_id"), partition_runs(r), u)
     return out.select("partition_run_id", "band_unit_id", "dataset_id", "scene_id")
 
 
+def _quality_runs(r):
+    """Three runs for each dataset and version: an older good one for some, then a failed and an incomplete one."""
+    x = F.substring("dataset_id", 2, 9).cast("int")
+    rows = r.select("dataset_id", "output_version").filter("output_version is not null").distinct().withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    status = F.when(F.col("n") == 1, F.when(x % 4 == 2, "fail").when(x % 4 == 1, "warn").otherwise("pass")).when(F.col("n") == 2, "fail").otherwise("pass")
+    return rows.select(
+        "dataset_id", "output_version", F.concat_ws(":", "dataset_id", "output_version", "n").alias("quality_run_id"), status.alias("status"), (F.col("n") < 3).alias("result_complete"),
+        F.timestamp_seconds(F.col("n") * 1000).alias("created_at"), F.when(F.col("n") != 1, F.timestamp_seconds(F.col("n") * 1000)).alias("completed_at"),
+    )
+
+
 def _manual(u, r):
-    g = gates(r).select("dataset_id", "quality_run_id", "quality_status").withColumns({"created_at": F.lit(1), "result_complete": F.substring("dataset_id", 2, 9).cast("int") % 3 != 0})
-    bands = u.filter("pos % 2 = 0").select("dataset_id", "band_unit_id").distinct()
-    selected = u.filter("pos % 3 = 0").select("dataset_id", "band_unit_id").distinct()
-    return L.plan_manual_ingest(g, bands, selected)
+    selected = u.filter("pos % 3 = 0").select("partition_run_id", "band_unit_id").distinct()
+    return L.plan_manual_ingest(_quality_runs(r), partition_runs(r), r, u, selected)
 
 
-_OKSET = "(SELECT dataset_id FROM (SELECT DISTINCT dataset_id, CAST(substr(dataset_id, 2) AS INTEGER) AS x FROM run_rows) WHERE x % 3 <> 0 AND x % 4 <> 2)"
-_CHOSEN = "(SELECT DISTINCT dataset_id, band_unit_id FROM unit_rows WHERE pos % 3 = 0)"
-_GOOD = f"SELECT dataset_id, band_unit_id FROM {_CHOSEN} INTERSECT SELECT dataset_id, band_unit_id FROM unit_rows WHERE pos % 2 = 0 AND dataset_id IN {_OKSET}"
-register("k16_manual_ingest", _GOOD)(lambda u, r: _manual(u, r)[0].select("dataset_id", "band_unit_id"))
-register("k16_manual_ingest_refused", f"SELECT dataset_id, band_unit_id FROM {_CHOSEN} EXCEPT ({_GOOD})")(lambda u, r: _manual(u, r)[1].select("dataset_id", "band_unit_id"))
+_CHOSEN = "(SELECT DISTINCT partition_run_id, band_unit_id FROM unit_rows WHERE pos % 3 = 0)"
+_GOOD = f"""SELECT DISTINCT u.partition_run_id, u.band_unit_id, r.dataset_id || ':' || r.output_version || ':1' AS quality_run_id FROM unit_rows u JOIN run_rows r USING (partition_run_id, scene_id) JOIN {_CHOSEN} c ON c.partition_run_id = u.partition_run_id AND c.band_unit_id = u.band_unit_id
+    WHERE {_UNIT_OK} AND u.ingest_status <> 'completed' AND r.status = 'completed' AND {_RUN_OK} AND r.output_version IS NOT NULL AND CAST(substr(r.dataset_id, 2) AS INTEGER) % 4 <> 2"""
+register("k16_manual_ingest", _GOOD)(lambda u, r: _manual(u, r)[0].select("partition_run_id", "band_unit_id", "quality_run_id"))
+register("k16_manual_ingest_refused", f"SELECT partition_run_id, band_unit_id FROM {_CHOSEN} EXCEPT (SELECT partition_run_id, band_unit_id FROM ({_GOOD}))")(lambda u, r: _manual(u, r)[1].select("partition_run_id", "band_unit_id"))
 
 
 @register(
@@ -296,8 +328,12 @@ def _(u, r):
         "versions": g.select("dataset_id", F.col("current_output_version").alias("output_version"), F.when(x % 13 == 1, "running").otherwise("completed").alias("status")),
         "quality_runs": g.select("quality_run_id", "dataset_id", F.col("current_output_version").alias("output_version"), F.col("quality_status").alias("status"), (x % 9 != 2).alias("result_complete"), F.lit("r1").alias("rule_set_version")),
         "approvals": g.filter(x % 4 == 1).select("quality_run_id", F.when(x % 8 == 1, "r1").otherwise("r0").alias("rule_set_version")),
-        "ingest_runs": g.select("dataset_id", F.concat(F.lit("I"), "dataset_id").alias("ingest_run_id"), F.lit(1).alias("created_at"), F.when(x % 5 == 3, "failed").otherwise("completed").alias("status")),
+        "partition_runs": g.sparkSession.createDataFrame([("done", "completed"), ("open", "running")], "partition_run_id string, status string"),
     }
+    run = g.select("dataset_id", F.concat(F.lit("I"), "dataset_id").alias("ingest_run_id"), F.lit("done").alias("partition_run_id"), F.lit(1).alias("created_at"), F.when(x % 5 == 3, "failed").otherwise("completed").alias("status"))
+    # A newer run of a partition run that is still going must not count.
+    newer = run.select("dataset_id", F.concat(F.lit("N"), "dataset_id").alias("ingest_run_id"), F.lit("open").alias("partition_run_id"), F.lit(2).alias("created_at"), F.when(x % 2 == 0, "failed").otherwise("completed").alias("status"))
+    t["ingest_runs"] = run.unionByName(newer)
     scenes = r.select("dataset_id", "scene_id").join(g.select("dataset_id", "current_output_version"), "dataset_id")
     t["ingest_scenes"] = scenes.select(F.concat(F.lit("I"), "dataset_id").alias("ingest_run_id"), F.lit("completed").alias("status"), F.when(x % 3 == 0, "v0").otherwise(F.col("current_output_version")).alias("output_version"))
     return L.publication_eligibility(t)
@@ -318,24 +354,36 @@ def _(u, r):
 
 @register(
     "k19_cleanup_candidates",
-    f"""SELECT dataset_id, output_version FROM {_VERSIONS} WHERE output_version <> 'v2' AND NOT (output_version = 'v3' AND CAST(substr(dataset_id, 2) AS INTEGER) % 2 = 0) AND tile_count % 10 <> 3 AND completed_at < TIMESTAMP '2001-12-20'""",
+    f"""SELECT dataset_id, output_version FROM {_VERSIONS} WHERE output_version <> 'v2' AND NOT (output_version = 'v3' AND CAST(substr(dataset_id, 2) AS INTEGER) % 2 = 0) AND tile_count % 10 NOT IN (3, 4, 5, 6, 7)
+        AND completed_at + INTERVAL 2 DAY * (CASE WHEN tile_count % 3 = 1 THEN 1 ELSE 0 END) <= TIMESTAMP '2001-12-20'""",
 )
 def _(u, r):
-    v = versions(r)
+    """Versions that completed, that failed, or that did both; manifests with one fault each."""
+    v, n, at = versions(r), F.col("tile_count"), F.col("completed_at")
     prefix = F.concat(F.lit("outputs/"), "dataset_id", F.lit("/"), "output_version", F.lit("/"))
-    v = v.withColumns({"object_prefix": prefix, "manifest_count": F.lit(5), "object_count": F.when(F.col("tile_count") % 10 == 3, 4).otherwise(5)})
+    v = v.withColumns({"object_prefix": prefix, "failed_at": F.when(n % 3 == 1, at + F.expr("INTERVAL 2 DAYS")).when(n % 3 == 2, at), "completed_at": F.when(n % 3 != 2, at)})
+    held = v.select("dataset_id", "output_version", "tile_count", prefix.alias("p"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("part")).withColumns({"object_key": F.concat("p", "part"), "byte_size": F.lit(7), "checksum": F.lit("c")})
+    last = F.endswith("object_key", F.lit("b"))
+    named = held.withColumns({
+        "object_key": F.when(last & (n % 10 == 3), F.concat(F.lit("x"), "object_key")).when(last & (n % 10 == 4), F.concat("object_key", F.lit("?"))).otherwise(F.col("object_key")),
+        "byte_size": F.when(n % 10 == 5, 8).otherwise(7), "checksum": F.when(n % 10 == 6, "d").otherwise("c"),
+    })
+    named = named.unionByName(named.filter((n % 10 == 7) & last))
     d = r.select("dataset_id").distinct().withColumn("current_output_version", F.lit("v2"))
     p = d.filter(F.substring("dataset_id", 2, 9).cast("int") % 2 == 0).select("dataset_id", F.lit("v3").alias("output_version"))
-    return L.cleanup_candidates(v, d, p, "2001-12-20").select("dataset_id", "output_version")
+    return L.cleanup_candidates(v, d, p, held, named, "2001-12-20").select("dataset_id", "output_version")
 
 
 @register(
     "k20_claimable_groups",
-    "SELECT group_id, strftime(min(created_at), '%Y%m%d') AS oldest, count(*) AS n_rows FROM (SELECT load_batch_id AS group_id, * FROM run_rows) WHERE status = 'queued' OR (status = 'running' AND created_at < TIMESTAMP '1997-06-01' - INTERVAL 5 MINUTE) GROUP BY 1",
+    """SELECT dataset_id, output_version, strftime(min(created_at), '%Y%m%d') AS oldest, count(*) AS n_rows FROM (SELECT *, ['queued', 'running', 'completed'][CAST(substr(partition_run_id, 2) AS INTEGER) % 3 + 1] AS run_status FROM run_rows)
+       WHERE (status = 'queued' AND run_status IN ('queued', 'running')) OR (status = 'running' AND run_status = 'running' AND created_at < TIMESTAMP '1997-06-01' - INTERVAL 5 MINUTE) GROUP BY 1, 2""",
 )
 def _(u, r):
-    rows = r.withColumns({"group_id": F.col("load_batch_id"), "updated_at": F.col("created_at")})
-    return L.claimable_groups(rows, F.lit("1997-06-01").cast("timestamp"), None).withColumn("oldest", F.date_format("oldest", "yyyyMMdd"))
+    state = F.element_at(F.array(*map(F.lit, ("queued", "running", "completed"))), F.substring("partition_run_id", 2, 9).cast("int") % 3 + 1)
+    rows = r.withColumns({"ingest_run_id": F.concat_ws("/", "partition_run_id", "dataset_id"), "updated_at": F.col("created_at")})
+    runs = rows.select("ingest_run_id", "dataset_id", state.alias("status")).distinct()
+    return L.claimable_groups(rows.drop("dataset_id"), runs, F.lit("1997-06-01").cast("timestamp"), None).withColumn("oldest", F.date_format("oldest", "yyyyMMdd"))
 
 
 @register("k21_filter_listing", "SELECT scene_id FROM run_rows WHERE (scene_id ILIKE '%s12%' OR dataset_id ILIKE '%s12%') AND status = 'completed' AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '2000-01-01'")

@@ -135,7 +135,8 @@ _PARTS = [
     _family("a10_mosaic_names", 3, None, "regexp_extract(s, '^(Shandong_mosaic_[0-9Q]+)_', 1)", "'sr_band' || (k % 5)", "strftime(date_trunc(CASE WHEN k % 4 = 3 THEN 'quarter' ELSE 'month' END, d), '%Y-%m-%d') || ' 00:00:00'", "'other'", "'optical_mosaic'"),
     _family("a11_generic_names", 4, None, "s", "lower(s)", "'1970-01-01 00:00:00'", "'generic_tif'", "'unknown'"),
 ]
-query("a14_adapter_choice", " UNION ALL ".join(_PARTS))(lambda s, d: _meta(filenames.extract_asset_metadata(names(s, d).filter(F.col("o_orderkey") % 6 < 5))))
+# Names of no family, radar and annual products included, fall to the generic adapter.
+query("a14_adapter_choice", " UNION ALL ".join([*_PARTS, _PARTS[4].replace("k % 6 = 4", "k % 6 = 5")]))(lambda s, d: _meta(filenames.extract_asset_metadata(names(s, d))))
 
 
 @query("a12_annual_product_names", f"SELECT o_orderkey, 'dianzhong_ecological_security_' || strftime(d, '%Y') AS scene_id, 'Index' AS product_name, year(d) AS product_year FROM {_NAMES} WHERE k % 6 = 5")

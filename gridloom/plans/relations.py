@@ -195,7 +195,17 @@ def _(spark, sf_dir):
     return C.eligible_scenes(_asked(r), r, views.scenes(spark, sf_dir))[1]
 
 
-@register("d21_already_done", "SELECT DISTINCT band_unit_id FROM unit_rows WHERE grid_type = 'geohash' AND grid_level = 3 AND (partition_status = 'completed' OR ingest_status = 'completed')")
+@register(
+    "d21_already_ingested",
+    """SELECT DISTINCT u.band_unit_id, u.grid_type, u.grid_level FROM unit_rows u JOIN run_rows r USING (partition_run_id, scene_id)
+       WHERE u.partition_status = 'completed' AND u.ingest_status = 'completed' AND CAST(substr(r.load_batch_id, 2) AS INTEGER) % 4 = 1""",
+)
+def _(u, r):
+    batches = r.filter(F.substring("load_batch_id", 2, 9).cast("int") % 4 == 1).select("load_batch_id").distinct()
+    return C.already_ingested(u.select("band_unit_id").distinct(), u, r, batches)
+
+
+@register("d21_already_done", "SELECT DISTINCT band_unit_id FROM unit_rows WHERE grid_type = 'geohash' AND grid_level = 3 AND partition_status = 'completed'")
 def _(u, r):
     return C.already_done(u.select("band_unit_id").distinct(), u, "geohash", 3)
 
@@ -510,8 +520,8 @@ register("g2_page", "SELECT scene_id, price FROM (SELECT scene_id, CASE WHEN pos
 register("g3_oldest_groups", "SELECT load_batch_id, strftime(min(created_at), '%Y%m%d') AS oldest, count(*) AS n_rows FROM run_rows GROUP BY 1 ORDER BY min(created_at), load_batch_id LIMIT 10")(
     lambda u, r: L.oldest_groups(r, 10, "load_batch_id").withColumn("oldest", F.date_format("oldest", "yyyyMMdd"))
 )
-register("g4_stable_order", "SELECT scene_id, dataset_id FROM run_rows ORDER BY length(scene_id), scene_id LIMIT 500")(
-    lambda u, r: r.select("scene_id", "dataset_id").orderBy(F.length("scene_id"), "scene_id").limit(500)
+register("g4_stable_order", "SELECT scene_id, dataset_id FROM run_rows")(
+    lambda u, r: r.select("scene_id", "dataset_id").orderBy(F.length("scene_id"), "scene_id")
 )
 register("g6_newest_first", "SELECT scene_id FROM run_rows ORDER BY created_at DESC, scene_id DESC LIMIT 100")(
     lambda u, r: C.page(r, "created_at", ("created_at",), "scene_id", "desc", 100).select("scene_id")

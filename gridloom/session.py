@@ -42,17 +42,22 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     return builder.getOrCreate()
 
 
-def stage_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for cut lineage, or None where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for cut lineage; a scratch folder stands in for a local session only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="gridloom-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint.
 
-    The checkpoint folder is the cluster's; a scratch folder is made only where none is named.
+    The checkpoint folder is the cluster's; see :func:`stage_folder`.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(stage_folder(df.sparkSession) or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        sc.setCheckpointDir(stage_folder(df.sparkSession))
     return df.checkpoint()
