@@ -12,7 +12,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "flagship_area_time_summary", "b1_geohash_assign_l5", "b2_mgrs_assign_p5", "b4_isea4h_assign_r6", "b19_geohash_neighbors",
     "c1_geohash_intersect", "d2_bbox_intersection", "d4_pixel_window", "d6_area_time_query_isea4h", "e1_latest_wins", "e2_best_quality_wins",
-    "e13_run_overview", "e27_zonal_mean", "e30_mosaic", "i2_upsert_cube_facts", "j9_window_bounds", "k15_plan_ingest", "h1_provenance_timeline",
+    "e13_run_overview", "e27_zonal_mean", "e30_mosaic", "i2_upsert_cube_facts", "j9_window_bounds", "k15_plan_ingest", "h1_provenance_timeline", "i2_upsert_partitioned_table", "d16_tile_st_code",
 )
 
 
