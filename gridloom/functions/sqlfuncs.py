@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from gridloom.functions.geohash import ALPHABET
 from gridloom.functions.timecode import GRID_PREFIX
@@ -16,7 +15,9 @@ def _bits(value: str, width: str) -> str:
 def register(spark: SparkSession) -> None:
     """Create temporary SQL functions ``grid_cell``, ``cell_parent``, ``cell_bbox``, ``st_code`` and the table function ``grid_cover``.
 
-    The scalar ones are SQL expressions that Catalyst puts in line.
+    All are SQL expressions that Catalyst puts in line.  ``grid_cover(west, south, east, north,
+    level, mode)`` gives geohash cells, mode ``intersect`` or ``contain``; minimal covers have
+    several levels and are made by ``cover_bbox``.
     """
     x = "CAST(floor(((CASE WHEN lon = 180 THEN -180 ELSE lon END) + 180D) / 360D * pow(2D, (5 * level + 1) div 2)) AS BIGINT)"
     y = "least(CAST(floor((lat + 90D) / 180D * pow(2D, 5 * level div 2)) AS BIGINT), CAST(pow(2D, 5 * level div 2) AS BIGINT) - 1)"
@@ -41,29 +42,20 @@ def register(spark: SparkSession) -> None:
         f"CREATE OR REPLACE TEMPORARY FUNCTION st_code(grid STRING, level INT, code STRING, ts TIMESTAMP) RETURNS STRING RETURN "
         f"concat_ws(':', CASE grid {prefixes} END, level, code, date_format(ts, 'yyyyMMdd'))"
     )
-    spark.udtf.register("grid_cover", udtf(_GridCover, returnType="space_code: string"))
-
-
-class _GridCover:
-    """Geohash cells of a box, for lateral use: ``FROM t, LATERAL grid_cover(w, s, e, n, level, 'intersect')``.
-
-    A box whose west is above its east crosses the dateline.  Modes are ``intersect``
-    and ``contain``; minimal covers have several levels and are made by ``cover_bbox``.
-    """
-
-    def eval(self, west: float, south: float, east: float, north: float, level: int, mode: str):
-        from math import ceil, floor
-
-        from gridloom.functions import geohash as g
-
-        if mode not in ("intersect", "contain"):
-            raise ValueError(f"unsupported cover mode: {mode}")
-        if west > east:
-            yield from self.eval(west, south, 180.0, north, level, mode)
-            yield from self.eval(-180.0, south, east, north, level, mode)
-            return
-        w, h = g.cell_width(level), g.cell_height(level)
-        low, high = (ceil, lambda v: floor(v) - 1) if mode == "contain" else (floor, lambda v: ceil(v) - 1)
-        for i in range(max(low((west + 180) / w), 0), min(high((east + 180) / w), g.columns_at(level) - 1) + 1):
-            for j in range(max(low((south + 90) / h), 0), min(high((north + 90) / h), g.rows_at(level) - 1) + 1):
-                yield (g.encode_number(i, j, level),)
+    # Cells of a box, for lateral use; a box whose west is above its east crosses the dateline.
+    # The arguments become columns first: lambdas do not see a function's parameters.
+    parts = "CASE WHEN west > east THEN array(named_struct('a', west, 'b', 180D), named_struct('a', -180D, 'b', east)) ELSE array(named_struct('a', west, 'b', east)) END"
+    inside = "CASE WHEN mode IN ('intersect', 'contain') THEN mode = 'contain' ELSE CAST(raise_error('unsupported cover mode: ' || mode) AS BOOLEAN) END"
+    first = lambda low, size: f"IF(inside, ceil({low} / {size}), floor({low} / {size}))"
+    last = lambda high, size, end: f"least(IF(inside, floor({high} / {size}), ceil({high} / {size})), {end})"
+    span = lambda low, end: f"filter(sequence(greatest({low}, 0L), greatest({end}, {low}, 0L)), k -> k < {end})"
+    named = bits.replace(x, "i").replace(y, "j")
+    text = f"array_join(transform(sequence(1, level), k -> substr('{ALPHABET}', CAST(conv(substr({named}, 5 * k - 4, 5), 2, 10) AS INT) + 1, 1)), '')".replace("level", "lev")
+    columns, lines = "CAST(pow(2D, (5 * lev + 1) div 2) AS BIGINT)", "CAST(pow(2D, 5 * lev div 2) AS BIGINT)"
+    wide, high = "(360D / pow(2D, (5 * lev + 1) div 2))", "(180D / pow(2D, 5 * lev div 2))"
+    bounds = f"{first('(p.a + 180D)', wide)} AS i0, {last('(p.b + 180D)', wide, columns)} AS i1, {first('(s + 90D)', high)} AS j0, {last('(n + 90D)', high, lines)} AS j1"
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION grid_cover(west DOUBLE, south DOUBLE, east DOUBLE, north DOUBLE, level INT, mode STRING) RETURNS TABLE(space_code STRING) RETURN "
+        f"SELECT {text} FROM (SELECT lev, {bounds} FROM (SELECT explode({parts}) AS p, south AS s, north AS n, level AS lev, {inside} AS inside)), "
+        f"LATERAL explode({span('i0', 'i1')}) AS t(i), LATERAL explode({span('j0', 'j1')}) AS v(j)"
+    )
