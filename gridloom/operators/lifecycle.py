@@ -86,12 +86,25 @@ def latest_per(df: DataFrame, keys: list[str], order: list[Column], take: list[s
 
 
 def retry_units(attempts: DataFrame, mode: str = "failed", key: str = "run_id") -> DataFrame:
-    """Band units of the last attempt of each run to be tried again: the failed ones, or all unfinished."""
+    """Band units of the last attempt of each run to be tried again: the failed ones, or all unfinished, of datasets that are not completed."""
     last = attempts.groupBy(key).agg(F.max("attempt").alias("attempt"))
-    rows = attempts.join(last, [key, "attempt"], "left_semi")
+    rows = attempts.join(last, [key, "attempt"], "left_semi").filter(~F.coalesce(F.col("dataset_status") == "completed", F.lit(False)))
     if mode == "failed":
         return rows.filter(F.col("status") == "failed")
-    return rows.filter(F.col("status") != "completed")
+    return rows.filter(F.coalesce(F.col("status") != "completed", F.lit(True)))
+
+
+def retry_inputs(bands: DataFrame, assets: DataFrame, reported: DataFrame, retry: DataFrame):
+    """Bands and assets of a new attempt: ``(bands, assets)``.
+
+    Datasets with reported units (dataset_id, band_unit_id) keep the bands to be retried and the
+    assets those lie in; datasets that reported none are taken whole.
+    """
+    told = reported.select("dataset_id").distinct()
+    kept = bands.join(told, "dataset_id", "left_anti").unionByName(bands.join(told, "dataset_id", "left_semi").join(retry.select("dataset_id", "band_unit_id").distinct(), ["dataset_id", "band_unit_id"], "left_semi"))
+    whole = assets.join(told, "dataset_id", "left_anti")
+    part = assets.join(told, "dataset_id", "left_semi").join(kept.select("dataset_id", "source_asset_id").distinct(), ["dataset_id", "source_asset_id"], "left_semi")
+    return kept, whole.unionByName(part)
 
 
 def resolve_version(df: DataFrame, current: DataFrame, requested: str = "requested_version") -> DataFrame:

@@ -318,29 +318,45 @@ RULES: list[tuple[str, Callable[[Tables], DataFrame], tuple, bool]] = [
 ]
 
 
-def register_rule(code: str, fn: Callable[[Tables], DataFrame], mandatory: bool, data_types: tuple = ALL_TYPES) -> None:
-    """Add a rule: a function from tables to findings."""
+#: Product types of rules that do not hold for every product of their data types.
+PRODUCT_TYPES: dict[str, tuple] = {}
+
+
+def register_rule(code: str, fn: Callable[[Tables], DataFrame], mandatory: bool, data_types: tuple = ALL_TYPES, product_types: tuple | None = None) -> None:
+    """Add a rule: a function from tables to findings, for some product types only where they are given."""
     if any(r[0] == code for r in RULES):
         raise ValueError("quality rule codes must be unique")
     RULES.append((code, fn, tuple(data_types), mandatory))
+    if product_types is not None:
+        PRODUCT_TYPES[code] = tuple(product_types)
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
-    """The registry as a table: order, code, data types, mandatory."""
-    rows = [(k, code, list(types), mandatory) for k, (code, _, types, mandatory) in enumerate(RULES)]
-    return spark.createDataFrame(rows, "rule_order int, rule_code string, data_types array<string>, mandatory boolean")
+    """The registry as a table: order, code, data types, product types (null: all), mandatory."""
+    rows = [(k, code, list(types), list(PRODUCT_TYPES[code]) if code in PRODUCT_TYPES else None, mandatory) for k, (code, _, types, mandatory) in enumerate(RULES)]
+    return spark.createDataFrame(rows, "rule_order int, rule_code string, data_types array<string>, product_types array<string>, mandatory boolean")
 
 
 def rule_snapshot(rules: DataFrame, datasets: DataFrame, enabled: list[str] | None = None) -> DataFrame:
-    """Rules that apply to each dataset: mandatory ones always, optional ones when enabled (all by default)."""
+    """Rules that apply to each dataset (data_type, product_type): mandatory ones always, optional ones when enabled (all by default).
+
+    A code to enable that is no optional rule is refused; blank ones are passed over.
+    """
+    if enabled is not None:
+        enabled = [c.strip() for c in enabled if c and c.strip()]
+        optional = {r.rule_code for r in rules.filter(~F.col("mandatory")).select("rule_code").collect()}  # the registry is a short list
+        if strange := sorted(set(enabled) - optional):
+            raise ValueError(f"unknown or non-optional quality rule: {strange[0]}")
     wanted = F.col("mandatory")
     if enabled is None:
         wanted = F.lit(True)
     elif enabled:
         wanted = wanted | F.col("rule_code").isin(list(enabled))
     # One row per rule and type; the registry is a short list.
-    by_type = rules.filter(wanted).select("rule_order", "rule_code", "mandatory", F.explode("data_types").alias("data_type"))
-    return datasets.join(F.broadcast(by_type), "data_type")
+    by_type = rules.filter(wanted).select("rule_order", "rule_code", "mandatory", F.col("product_types").alias("__products"), F.explode("data_types").alias("data_type"))
+    product = F.col("product_type") if "product_type" in datasets.columns else F.lit(None).cast("string")
+    applies = F.col("__products").isNull() | F.coalesce(F.array_contains("__products", F.coalesce(product, F.lit(""))), F.lit(False))
+    return datasets.join(F.broadcast(by_type), "data_type").filter(applies).drop("__products")
 
 
 def rule_status(findings: DataFrame, snapshot: DataFrame) -> DataFrame:

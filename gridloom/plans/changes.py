@@ -242,11 +242,36 @@ def _(spark, sf_dir):
     return L.id_conflicts(views.obs(spark, sf_dir).select("observation_id", "satellite", "quality_flag"), "observation_id")
 
 
+_LAST = """(SELECT partition_run_id AS run_id, dataset_id, scene_id, asset_id, band_unit_id, grid_level AS attempt, partition_status AS status, CASE WHEN pos % 7 = 0 THEN 'completed' ELSE 'failed' END AS dataset_status,
+    max(grid_level) OVER (PARTITION BY partition_run_id) AS last FROM unit_rows)"""
+
+
+def _attempts(u):
+    return u.select(
+        F.col("partition_run_id").alias("run_id"), "dataset_id", "asset_id", "band_unit_id", F.col("grid_level").alias("attempt"), F.col("partition_status").alias("status"),
+        F.when(F.col("pos") % 7 == 0, "completed").otherwise("failed").alias("dataset_status"),
+    )
+
+
 for _n, _mode, _cond in (("k13_retry_failed", "failed", "status = 'failed'"), ("k13_retry_unfinished", "unfinished", "status <> 'completed'")):
     register(
         _n,
-        f"SELECT run_id, band_unit_id, attempt, status FROM (SELECT partition_run_id AS run_id, band_unit_id, grid_level AS attempt, partition_status AS status, max(grid_level) OVER (PARTITION BY partition_run_id) AS last FROM unit_rows) WHERE attempt = last AND {_cond}",
-    )(lambda u, r, m=_mode: L.retry_units(u.select(F.col("partition_run_id").alias("run_id"), "band_unit_id", F.col("grid_level").alias("attempt"), F.col("partition_status").alias("status")), m))
+        f"SELECT run_id, band_unit_id, attempt, status FROM {_LAST} WHERE attempt = last AND dataset_status <> 'completed' AND {_cond}",
+    )(lambda u, r, m=_mode: L.retry_units(_attempts(u), m).select("run_id", "band_unit_id", "attempt", "status"))
+
+
+@register(
+    "k13_retry_inputs",
+    f"""WITH told AS (SELECT DISTINCT dataset_id FROM unit_rows WHERE CAST(substr(dataset_id, 2) AS INTEGER) % 2 = 0), again AS (SELECT DISTINCT dataset_id, band_unit_id FROM {_LAST} WHERE attempt = last AND dataset_status <> 'completed' AND status = 'failed'),
+        b AS (SELECT DISTINCT dataset_id, asset_id, band_unit_id FROM unit_rows WHERE dataset_id NOT IN (FROM told) OR (dataset_id, band_unit_id) IN (FROM again))
+        SELECT 'band' AS part, dataset_id, band_unit_id AS id FROM b UNION ALL SELECT DISTINCT 'asset', dataset_id, asset_id FROM unit_rows WHERE dataset_id NOT IN (FROM told) OR (dataset_id, asset_id) IN (SELECT dataset_id, asset_id FROM b)""",
+)
+def _(u, r):
+    bands = u.select("dataset_id", F.col("asset_id").alias("source_asset_id"), "band_unit_id").distinct()
+    assets = bands.select("dataset_id", "source_asset_id").distinct()
+    reported = bands.filter(F.substring("dataset_id", 2, 9).cast("int") % 2 == 0)
+    b, a = L.retry_inputs(bands, assets, reported, L.retry_units(_attempts(u)))
+    return b.select(F.lit("band").alias("part"), "dataset_id", F.col("band_unit_id").alias("id")).unionByName(a.select(F.lit("asset").alias("part"), "dataset_id", F.col("source_asset_id").alias("id")))
 
 
 _TEXTS = ("GridLimitExceeded: 9", "No such key: x", "Connection reset by peer", "value must be positive", "403 Forbidden", "boom", "HTTP 503 for url", "missing invalid thing")
