@@ -488,13 +488,12 @@ def check_assets(df: DataFrame, assets: DataFrame, target_crs: str = "EPSG:4326"
     over = (F.col("window_col_off") + F.col("window_width") > F.col("width")) | (F.col("window_row_off") + F.col("window_height") > F.col("height"))
     used = assets.join(df.select("asset_path").distinct(), "asset_path", "left_semi")
     entity = F.col("tile_kind") == "entity_file" if "tile_kind" in df.columns else F.lit(False)
-    parts = [
-        check_row(joined, "asset_present", F.col("width").isNull()),
-        check_row(joined, "window_bounds", F.coalesce(over, F.lit(False))),
-        check_row(joined, "asset_crs", F.coalesce(~entity & (F.col("crs") != target_crs), F.lit(False))),
-        check_row(used, "all_zero", (F.col("valid") > 0) & (F.col("nonzero") == 0), "WARN"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    bad = {"asset_present": F.col("width").isNull(), "window_bounds": over, "asset_crs": ~entity & (F.col("crs") != target_crs)}
+    # One pass over the join counts all three.
+    counts = joined.agg(F.count("*").alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in bad.items()])
+    lines = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("bad_rows")) for n in bad]))
+    rows = counts.select("rows", lines.alias("c")).select("c.check", F.when(F.col("c.bad_rows") > 0, "FAIL").otherwise("PASS").alias("status"), "rows", "c.bad_rows")
+    return rows.unionByName(check_row(used, "all_zero", (F.col("valid") > 0) & (F.col("nonzero") == 0), "WARN"))
 
 
 def bad_coordinates(lon: str = "center_lon", lat: str = "center_lat") -> Column:
@@ -537,10 +536,13 @@ def check_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return check_row(duplicates(df, keys), "duplicates", F.lit(True), "WARN")
 
 
-def check_footprints(df: DataFrame, column: str = "footprint_geojson") -> DataFrame:
+def bad_footprint(column: str = "footprint_geojson") -> Column:
     kind = F.get_json_object(column, "$.type")
-    bad = F.col(column).isNotNull() & ~F.coalesce(kind.isin("Point", "Polygon", "MultiPolygon"), F.lit(False))
-    return check_row(df, "footprints", bad, "WARN")
+    return F.col(column).isNotNull() & ~F.coalesce(kind.isin("Point", "Polygon", "MultiPolygon"), F.lit(False))
+
+
+def check_footprints(df: DataFrame, column: str = "footprint_geojson") -> DataFrame:
+    return check_row(df, "footprints", bad_footprint(column), "WARN")
 
 
 def check_years(df: DataFrame, expected: DataFrame) -> DataFrame:
@@ -558,16 +560,35 @@ def summarize_checks(checks: DataFrame) -> DataFrame:
     return checks.agg(n("PASS").alias("passed"), n("WARN").alias("warned"), n("FAIL").alias("failed"), overall.alias("status"))
 
 
-def quality_report(df: DataFrame, kind: str, assets: DataFrame | None = None) -> DataFrame:
-    """All checks of an index or observation table; radar is checked like optical."""
-    basic = ["check", "status", "rows", "bad_rows"]
-    if kind == "carbon":
-        parts = [
-            check_rows(df), check_time_bucket(df), check_coordinates(df), check_xco2(df).select(*basic),
-            check_duplicates(df, ["satellite", "observation_id"]),
+def quality_report(df: DataFrame, kind: str, assets: DataFrame | None = None, required: tuple | None = None) -> DataFrame:
+    """All checks of an index or observation table; radar is checked like optical.
+
+    Conditions of single rows are counted in one pass.  Where a required column
+    is missing only ``rows`` and ``schema`` are reported.
+    """
+    carbon = kind == "carbon"
+    required = required or (OBSERVATION_FIELDS if carbon else INDEX_FIELDS)
+    gone = any(f not in df.columns for f in required)
+    checks = [("rows", F.lit(False), "FAIL"), ("schema", F.lit(gone), "FAIL")]
+    if carbon and not gone:
+        flag = F.coalesce(F.col("quality_flag").cast("string"), F.lit(""))
+        checks += [
+            ("time_bucket", bad_time_bucket(), "FAIL"), ("coordinates", bad_coordinates(), "FAIL"), ("xco2_range", bad_xco2(), "FAIL"),
+            ("flags", ~flag.isin("", "0", "1"), "WARN"), ("footprints", bad_footprint(), "WARN"),
         ]
-    else:
-        parts = [check_rows(df), check_time_bucket(df), check_cell_bbox(df), check_logical_duplicates(df)]
+    elif not gone:
+        checks += [("time_bucket", bad_time_bucket(), "FAIL"), ("cell_bbox", cell_bbox_reason().isNotNull(), "FAIL")]
+    bad = [F.count_if(c) if n != "rows" else (F.count("*") == 0).cast("bigint") for n, c, _ in checks]
+    counts = df.agg(F.count("*").alias("rows"), *[b.alias(n + "_bad") for b, (n, _, _) in zip(bad, checks)])
+    lines = F.array(*[F.struct(F.lit(n).alias("check"), F.lit(level).alias("level"), F.col(n + "_bad").alias("bad_rows")) for n, _, level in checks])
+    rows = counts.select("rows", F.explode(lines).alias("c")).select(
+        "c.check", F.when(F.col("c.bad_rows") > 0, F.col("c.level")).otherwise("PASS").alias("status"), "rows", "c.bad_rows"
+    )
+    parts = [rows]
+    if carbon and not gone:
+        parts.append(check_duplicates(df.filter(F.coalesce(F.col("observation_id").cast("string"), F.lit("")) != ""), ["observation_id"]))
+    elif not gone:
+        parts.append(check_logical_duplicates(df))
         if assets is not None:
             parts.append(check_assets(df, assets))
     return reduce(DataFrame.unionByName, parts).withColumn("kind", F.lit(kind))
