@@ -2,11 +2,11 @@
 
 Positions of every document are sampled by a difference cover: for any two positions some equal step
 leads both to sampled ones, so two equal 400-byte strings hold two sampled suffixes, aligned alike,
-that agree on their first 128 bytes.  The steps:
+that agree on their first 268 bytes.  The steps:
 
-1. sampled suffixes are named by their first 128 bytes and sorted by name; unique names drop out;
+1. sampled suffixes are named by their first 268 bytes and sorted by name; unique names drop out;
 2. recursion on names: samples of one name are sorted again by the name of all bytes that any string
-   around them can reach (672 bytes); equal ones settle every string there at once;
+   around them can reach (532 bytes); equal ones settle every string there at once;
 3. the remaining suffixes (strings near the ends of a match) are merged in: their full 400-byte
    names are sorted;
 4. equal neighbours in that order are the repeated strings.
@@ -35,20 +35,22 @@ from gridloom.llm.common import filesystem, publish, shared_folder
 
 LENGTH = 400
 #: Bytes of text in a block, and bytes of names in a bucket of a sort, about.
-BLOCK, BUCKET = 12_000_000, 10_000_000
+BLOCK, BUCKET = 10_000_000, 8_000_000
 
 
-def _orbit(first: int, modulus: int) -> set[int]:
+def _orbit(first: int, factor: int, modulus: int) -> set[int]:
     out, x = set(), first
     while x not in out:
         out.add(x)
-        x = 2 * x % modulus
+        x = factor * x % modulus
     return out
 
 
-#: Perfect difference cover: every difference modulo 273 is met, each but 0 just once (17 of 273 positions).
-PERIOD = 273
-COVER = np.asarray(sorted(_orbit(1, PERIOD) | _orbit(91, PERIOD) | _orbit(117, PERIOD)))
+#: Perfect difference cover: every difference modulo 133 is met, each but 0 just once (12 of 133 positions).
+PERIOD = 133
+COVER = np.asarray(sorted(set().union(*(_orbit(k, 11, PERIOD) for k in (1, 8, 9, 69)))))
+#: Bytes that a name and its surroundings keep of their digests; the bucket tells more bits.
+NAME, AROUND = 5, 6
 _ROW = "bucket long, block long, kind int, a binary, b binary, c binary"
 _FIELDS = ["bucket", "block", "kind", "a", "b", "c"]
 LOCAL, NAMES, ANSWER = 0, 1, 2
@@ -101,6 +103,17 @@ def _u4(x) -> bytes:
     return np.asarray(x, "<u4").tobytes()
 
 
+def _steps(refs: np.ndarray, flags: np.ndarray) -> bytes:
+    """Ascending places as steps, byte plane by byte plane, and their flags: mostly zeros, which compress away."""
+    steps = np.diff(refs, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.concatenate([steps.T.reshape(-1), flags.astype(np.uint8)]).tobytes()
+
+
+def _unsteps(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").reshape(-1), dtype=np.int64), planes[4]
+
+
 def _mark(block_starts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, places: np.ndarray, length: int, total: int) -> np.ndarray:
     """Flags over a block's bytes: where a string that reaches one of the samples can start."""
     lo = np.maximum(places - (PERIOD - 1), 0) + block_starts[docs]
@@ -112,21 +125,34 @@ def _mark(block_starts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, place
     return np.cumsum(step[:-1]) > 0
 
 
+def _edges(flags: np.ndarray) -> bytes:
+    """Flags as the bounds of their runs."""
+    return _u4(np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))))
+
+
+def _between(edges: bytes, total: int) -> np.ndarray:
+    at = np.frombuffer(edges, "<u4").astype(np.int64)
+    step = np.zeros(total + 1, np.int8)
+    step[at[0::2]] += 1
+    step[at[1::2]] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows))
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _FIELDS)
 
 
-def _dealt(block: int, buckets: int, names: np.ndarray, other: np.ndarray, width: tuple[int, int], refs: np.ndarray) -> Iterator[tuple]:
-    """Rows of names, one for each bucket."""
+def _dealt(block: int, buckets: int, names: np.ndarray, other: np.ndarray, width: tuple[int, int], refs: np.ndarray, flags: np.ndarray) -> Iterator[tuple]:
+    """Rows of names, one for each bucket; ``refs`` ascend."""
     bucket = ((names >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in range(buckets):
         at = order[ends[k] : ends[k + 1]]
         if len(at):
-            yield (k, block, NAMES, _narrow(names[at], width[0]), _narrow(other[at], width[1]), _u4(refs[at]))
+            yield (k, block, NAMES, _narrow(names[at], width[0]), _narrow(other[at], width[1]), _steps(refs[at], flags[at]))
 
 
 def _sample_blocks(folder: str, buckets: int, length: int, block_bytes: int):
@@ -146,13 +172,12 @@ def _sample_blocks(folder: str, buckets: int, length: int, block_bytes: int):
         at = 0
         for k, t in enumerate(texts):
             n = int(np.searchsorted(docs, k, "right")) - at
-            for p in places[at : at + n].tolist():
-                left = p - PERIOD + 1 if p >= PERIOD else 0
-                names.append(xxhash.xxh3_64_digest(t[p : p + short]))
-                wide.append(xxhash.xxh3_64_digest(t[left : p + length], seed=p - left))
+            own = places[at : at + n].tolist()
+            names.append(b"".join([xxhash.xxh3_64_digest(t[p : p + short]) for p in own]))
+            wide.append(b"".join([xxhash.xxh3_64_digest(t[max(p - PERIOD + 1, 0) : p + length], seed=min(p, PERIOD - 1)) for p in own]))
             at += n
         name = np.frombuffer(b"".join(names), ">u8").astype(np.uint64)
-        ctx = np.frombuffer(b"".join(wide), ">u8").astype(np.uint64) & np.uint64((1 << 48) - 1)
+        ctx = np.frombuffer(b"".join(wide), ">u8").astype(np.uint64) & np.uint64((1 << 8 * AROUND) - 1)
         by_name, sizes = _groups(name)
         by_ctx, alike = _groups(name, ctx)
         known = sizes[by_name] > 1
@@ -166,7 +191,7 @@ def _sample_blocks(folder: str, buckets: int, length: int, block_bytes: int):
         send = np.flatnonzero(~known | first | proxy)
         flag = np.select([~known[send], first[send]], [SINGLE, SETTLED], OPEN)
         local = (block % buckets, block, LOCAL, _u4(np.flatnonzero(settled)), _u4(np.flatnonzero(still | repeat)), b"")
-        rows = [local, *_dealt(block, buckets, name[send], ctx[send], (6, 6), send | (flag << 30))]
+        rows = [local, *_dealt(block, buckets, name[send], ctx[send], (NAME, AROUND), send, flag)]
         for k in range(0, len(rows), 64):
             yield _rows(rows[k : k + 64])
 
@@ -201,9 +226,9 @@ def _through(group: pd.DataFrame) -> list[tuple]:
 def _gathered(group: pd.DataFrame, width: int, other: int):
     rows = group[group["kind"] == NAMES].sort_values("block")
     raw = lambda c: b"".join(rows[c])
-    refs = np.frombuffer(raw("c"), "<u4")
-    owner = np.repeat(rows["block"].to_numpy(), [len(c) // 4 for c in rows["c"]])
-    return _wide(raw("a"), width), _wide(raw("b"), other), refs & np.uint32((1 << 30) - 1), refs >> np.uint32(30), owner
+    refs, flags = (np.concatenate(x) for x in zip(*map(_unsteps, rows["c"])))
+    owner = np.repeat(rows["block"].to_numpy(), [len(c) // 5 for c in rows["c"]])
+    return _wide(raw("a"), width), _wide(raw("b"), other), refs, flags, owner
 
 
 def _answers(owner: np.ndarray, *marks: np.ndarray, refs: np.ndarray) -> list[tuple]:
@@ -222,7 +247,7 @@ def _sort_names(group: pd.DataFrame) -> pd.DataFrame:
     """Steps 1 and 2 over one bucket: names met twice, and among them the equal surroundings."""
     rows = _through(group)
     if (group["kind"] == NAMES).any():
-        name, ctx, refs, flag, owner = _gathered(group, 6, 6)
+        name, ctx, refs, flag, owner = _gathered(group, NAME, AROUND)
         by_name, sizes = _groups(name)
         by_ctx, alike = _groups(name, ctx)
         known = (sizes[by_name] > 1) | (flag != SINGLE)
@@ -260,11 +285,14 @@ def _merge_rest(folder: str, buckets: int, length: int):
         number = lambda c: np.unique(np.frombuffer(b"".join(group[c]), "<u4"))
         done, emit = number("a"), number("b")
         dup = _mark(starts, lengths, docs[done], places[done], length, total)
-        wanted = np.flatnonzero(_mark(starts, lengths, docs[emit], places[emit], length, total))
+        around = _mark(starts, lengths, docs[emit], places[emit], length, total)
+        wanted = np.flatnonzero(around)
         owner = np.searchsorted(starts, wanted, "right") - 1
-        digests = []
-        for k, p in zip(owner.tolist(), (wanted - starts[owner]).tolist()):
-            digests.append(xxhash.xxh3_128_digest(texts[k][p : p + length]))
+        digests, at = [], 0
+        for k, n in zip(*np.unique(owner, return_counts=True)):
+            t = texts[k]
+            digests.append(b"".join([xxhash.xxh3_128_digest(t[p : p + length]) for p in (wanted[at : at + n] - starts[k]).tolist()]))
+            at += int(n)
         pair = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
         high, low = pair[:, 0], pair[:, 1] & np.uint64((1 << 32) - 1)
         by, sizes = _groups(high, low)
@@ -272,9 +300,8 @@ def _merge_rest(folder: str, buckets: int, length: int):
         dup[wanted[again]] = True
         send = np.flatnonzero(~again | _firsts(by))
         answered = dup[wanted[send]]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], dup.view(np.int8), [0]])))
-        rows = [(block % buckets, block, LOCAL, _u4(edge), _u4(wanted), b"")]
-        rows += _dealt(block, buckets, high[send], low[send], (8, 4), send | (answered.astype(np.int64) << 30))
+        rows = [(block % buckets, block, LOCAL, _edges(dup), _edges(around), b"")]
+        rows += _dealt(block, buckets, high[send], low[send], (8, 4), send, answered)
         return _frame(rows)
 
     return run
@@ -300,11 +327,7 @@ def _remove(folder: str, length: int, keep: list[str]):
         starts = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
         local = group[group["kind"] == LOCAL].iloc[0]
-        edge, wanted = np.frombuffer(local["a"], "<u4").astype(np.int64), np.frombuffer(local["b"], "<u4").astype(np.int64)
-        step = np.zeros(total + 1, np.int32)
-        step[edge[0::2]] += 1
-        step[edge[1::2]] -= 1
-        dup = np.cumsum(step[:-1]) > 0
+        dup, wanted = _between(local["a"], total), np.flatnonzero(_between(local["b"], total))
         dup[wanted[np.frombuffer(b"".join(group.loc[group["kind"] == ANSWER, "a"]), "<u4")]] = True
         cover = np.zeros(total + 1, np.int32)
         at = np.flatnonzero(dup)
@@ -339,7 +362,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         raise ValueError(f"strings have at least {PERIOD + 32} bytes")
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(total * len(COVER) / PERIOD * 16 / bucket_bytes))
+    buckets = max(1, math.ceil(total * len(COVER) / PERIOD * 12 / bucket_bytes))
     folder = shared_folder(spark, "blocks")
     keep = [c for c in docs.columns if c != "text" and c not in RESULT]
     rows = docs.select(*keep, F.col("text").cast("binary").alias("text"))
