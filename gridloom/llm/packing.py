@@ -26,8 +26,8 @@ SHARD_IDS = 1_500_000
 #: Terms of a seed that are searched: those of the greatest weight.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-_COLUMNS = ["doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids"]
-_SCHEMA = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary"
+_COLUMNS = ["doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids", "first", "second"]
+_SCHEMA = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary, first long, second long"
 
 
 def _pieces(tokenizer: str, window: int):
@@ -36,6 +36,7 @@ def _pieces(tokenizer: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.asarray([END_ID], "<u4").tobytes()
         df = np.zeros(enc.library.get_vocab_size(), np.int64)
+        one, two = route_keys(len(df))
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -48,20 +49,21 @@ def _pieces(tokenizer: str, window: int):
                     seen[ids] = True
                     df += seen
                 n, whole = len(ids), len(ids) // window * window
-                rows += [(doc, n, a, window, zlib.crc32(raw[4 * a : 4 * (a + window)]), None) for a in range(0, whole, window)]
+                rows += [(doc, n, a, window, zlib.crc32(raw[4 * a : 4 * (a + window)]), None, None, None) for a in range(0, whole, window)]
                 if n > whole:
-                    rows.append((doc, n, whole, n - whole, zlib.crc32(raw[4 * whole :]), raw[4 * whole :]))
+                    rest = ids[whole:]
+                    rows.append((doc, n, whole, n - whole, zlib.crc32(raw[4 * whole :]), raw[4 * whole :], int(rest[one[rest].argmin()]), int(rest[two[rest].argmin()])))
             if rows:
                 yield _batch(rows)
         if df.any():
-            yield _batch([(None, None, None, None, None, df.astype("<i8").tobytes())])
+            yield _batch([(None, None, None, None, None, df.astype("<i8").tobytes(), None, None)])
 
     return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], _COLUMNS)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(columns))], _COLUMNS)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,24 +81,16 @@ def inverse_frequency(df: np.ndarray, documents: int) -> np.ndarray:
     return np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32)
 
 
-def _route(idf):
-    """Two weighted min-hashes of a rest's tokens: rests that share rare tokens tend to share them."""
+def route_keys(size: int) -> list[np.ndarray]:
+    """Two weighted min-hashes over the vocabulary: rests that share rare tokens tend to share their winners.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = idf.value
-        token = np.arange(len(weight), dtype=np.uint64)
-        mix = lambda salt: (((token + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        # Least of -log(u) / weight: a token wins with a chance in proportion to its weight.
-        keys = [-np.log(mix(salt) + 1e-18) / np.maximum(weight.astype(np.float64) ** 3, 1e-9) for salt in (1, 10_007)]
-        for batch in batches:
-            found: list[list[int]] = [[], []]
-            for x in batch.column(5):
-                ids = np.frombuffer(x.as_buffer(), "<u4")
-                for own, key in zip(found, keys):
-                    own.append(int(ids[np.argmin(key[ids])]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, pa.int64()) for f in found)], [*_COLUMNS, "first", "second"])
-
-    return run
+    A token wins with a chance in proportion to its weight; later merges of the vocabulary are rarer
+    and weigh more, so rests can be routed before the corpus is counted.
+    """
+    token = np.arange(size, dtype=np.uint64)
+    weight = np.log2(np.arange(size) + 2.0) ** 4
+    drawn = lambda salt: (((token + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return [(-np.log(drawn(salt) + 1e-18) / weight).astype(np.float32) for salt in (1, 10_007)]
 
 
 class Shard:
@@ -249,8 +243,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int =
     )
     rests = rows.where("length is not null and ids is not null")
     shards = max(1, math.ceil((rest_ids or 0) / shard_ids))
-    dealt = rests.mapInArrow(_route(idf), _SCHEMA + ", first long, second long").repartitionByRange(shards, "first", "second", "doc_id")
-    dealt = dealt.sortWithinPartitions("first", "second", "doc_id", "start", "ids_crc32").select(*_COLUMNS)
+    dealt = rests.repartitionByRange(shards, "first", "second", "doc_id")
+    dealt = dealt.sortWithinPartitions("first", "second", "doc_id", "start", "ids_crc32").select(*_COLUMNS[:6])
     mean = tokens / documents
     packed = dealt.mapInArrow(_pack(idf, mean, window, shard_ids), ", ".join(f"{c} long" for c in PIECES))
     return whole.union(packed)
