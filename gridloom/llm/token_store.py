@@ -238,7 +238,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, file_ids: int = 4_0
         if names:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(write, "file string, docs long, ids long")
 
 
