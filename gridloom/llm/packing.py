@@ -3,7 +3,7 @@
 Whole windows of a document are sequences of their own.  The rests are dealt to shards by the ids
 they have in common (a weighted min-hash of their rarer tokens, so like goes with like), each shard
 holds an inverted index of its rests with corpus-wide BM25 weights, and greedy windows are filled
-with the unused neighbours of their seed.
+with the unused neighbours of their seed: by all its terms, but in its own shard only.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from gridloom.llm.token_store import END_ID, encoder
 WINDOW = 1024
 #: Ids that one inverted index holds; a task works through as many as it is dealt.
 SHARD_IDS = 1_500_000
-#: Terms of a seed that are searched: those of the greatest weight.
-QUERY_TERMS = 24
+#: Terms in at least one of so many rests have a dense row of weights; the others have posting lists.
+DENSE = 8
 K1, B = 1.2, 0.75
 _COLUMNS = ["doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids", "first", "second"]
 _SCHEMA = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary, first long, second long"
@@ -104,24 +104,45 @@ class Shard:
         term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
         norm = (K1 * (1 - B + B * self.length / mean)).astype(np.float32)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        ends = np.cumsum([len(t) for t in terms])
-        self.query = []
-        for a, b in zip([0, *ends[:-1]], ends):
-            top = np.argpartition(-weight[a:b], QUERY_TERMS - 1)[:QUERY_TERMS] if b - a > QUERY_TERMS else np.arange(b - a)
-            self.query.append(term[a:b][top])
+        self.query = terms
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.term, self.doc, self.weight = term[order], doc[order], weight[order]
         self.free = np.ones(len(rests), bool)
+        self.at = np.arange(len(rests))
+        self._index(len(idf))
+
+    def _index(self, size: int) -> None:
+        """Dense rows of the common terms and posting lists of the others, over the rests in ``at``."""
+        self.first = np.searchsorted(self.term, np.arange(size + 1))
+        common = np.flatnonzero(np.diff(self.first) * DENSE >= len(self.at))
+        self.row = np.full(size, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(self.at)), np.float32)
+        for k, t in enumerate(common.tolist()):
+            here = slice(self.first[t], self.first[t + 1])
+            self.dense[k, self.doc[here]] = self.weight[here]
+
+    def _compact(self) -> None:
+        """Leave used rests out of the index."""
+        kept = self.free[self.at]
+        own = kept[self.doc]
+        self.doc = (np.cumsum(kept) - 1)[self.doc[own]]
+        self.term, self.weight, self.at = self.term[own], self.weight[own], self.at[kept]
+        self._index(len(self.row))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused rests that share a searched term with the seed, best first; ties in the order of the shard."""
-        spans = [(self.first[t], self.first[t + 1]) for t in self.query[seed].tolist()]
-        docs = np.concatenate([self.doc[a:b] for a, b in spans])
-        score = np.bincount(docs, np.concatenate([self.weight[a:b] for a, b in spans]), len(self.rests))
-        score[~self.free] = 0
+        """Unused rests that share any term with the seed, best first; ties in the order of the shard."""
+        if 2 * np.count_nonzero(self.free[self.at]) < len(self.at):
+            self._compact()
+        query = self.query[seed]
+        row = self.row[query]
+        score = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        spans = [slice(a, b) for a, b in zip(self.first[query[row < 0]].tolist(), self.first[query[row < 0] + 1].tolist()) if a < b]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), len(self.at))
+        score[~self.free[self.at]] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        return self.at[found[np.argsort(-score[found], kind="stable")]]
 
     def fill(self) -> Iterator[list[tuple]]:
         """Windows as lists of (rest, first id, length); the last one may be short.

@@ -305,6 +305,29 @@ def test_seed_takes_its_lexical_neighbour():
     assert [[k for k, _, _ in w] for w in windows] == [[0, 2], [1, 3]]
 
 
+def test_seed_searches_all_its_terms():
+    """The neighbour of rest 0 shares its lightest term only; repeated searches agree with brute force while rests are used up."""
+    df = np.full(100, 2)
+    df[40] = 30
+    idf = packing.inverse_frequency(df, 50)
+    rests = [(k, 10, 0, np.asarray(x, "<u4")) for k, x in enumerate((list(range(30)) + [40], [50, 51], [40, 60]))]
+    shard = packing.Shard(rests, idf, 10.0, 64)
+    shard.free[0] = False
+    assert shard.neighbours(0).tolist() == [2]
+    rng = np.random.default_rng(7)
+    idf = packing.inverse_frequency(np.arange(1, 401), 500)
+    rests = [(k, 60, 0, (400 * rng.random(60) ** 3).astype("<u4")) for k in range(90)]
+    shard, bm25 = packing.Shard(rests, idf, 60.0, 64), np.zeros((90, 400))
+    for k, (*_, ids) in enumerate(rests):
+        tf = np.bincount(ids, minlength=400)
+        bm25[k] = idf * tf * (packing.K1 + 1) / (tf + packing.K1)
+    for seed in rng.permutation(90).tolist():
+        shard.free[seed] = False
+        score = np.where(shard.free, bm25[:, np.unique(rests[seed][3])].sum(axis=1), 0)
+        got = shard.neighbours(seed)
+        assert set(got.tolist()) == set(np.flatnonzero(score).tolist()) and (np.diff(score[got]) < 1e-4).all()
+
+
 # ------------------------------------------------------------------ 8: licences
 
 
