@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import held_out
+
 UNDETERMINED = "und"
 #: Labelled documents of each language that a model is fitted on, about (chosen by a hash of the id).
 FIT_DOCS = 4000
@@ -80,20 +82,40 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
     sizes = Counter(kept["kind"])
     for r in kept.itertuples():
         tables[r.kind].setdefault(r.term, np.zeros(len(langs)))[index[r.lang]] = r.n
+    floors = np.zeros(len(langs), np.float32)
     for kind, table in tables.items():
         below = np.asarray([totals.get((lang, kind), 0) + 0.5 * sizes[kind] for lang in langs])
         for term, n in table.items():
             table[term] = np.log((n + 0.5) / np.maximum(below, 1e-9)).astype(np.float32)
-    return {"langs": langs, "tables": tables}
+        if kind == 0:
+            floors = np.log(0.5 / np.maximum(below, 1e-9)).astype(np.float32)
+    return {"langs": langs, "tables": tables, "floors": floors}
+
+
+def least_known(labelled: DataFrame, parts: int = 8, rows: int = 64_000, share: float = 0.001) -> float:
+    """Least share of known letters of a text in a learned language.
+
+    A model of the labelled rows outside one of ``parts`` judges those inside, about ``rows / parts``
+    of them: all but ``share`` of them reach the result, which is never above half their median.
+    0 where no row can be judged.
+    """
+    marked = labelled.where("lang is not null and text is not null")
+    inside = held_out("doc_id", parts)
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    sample = marked.where(inside & (F.coalesce(place, F.lit(0.0)) < min(1.0, rows / max(1, marked.count()))))
+    judged = identify(sample, fit(marked.where(~inside)), known=True).where(F.col("lang_pred") != UNDETERMINED)
+    found = judged.agg(F.percentile_approx("known", [share, 0.5], 10_000)).first()[0]
+    return min(found[0], found[1] / 2) if found else 0.0
 
 
 class Scorer(dict):
     """Row numbers of words in a matrix of log frequencies; words met anew are scored once."""
 
-    def __init__(self, model: dict) -> None:
+    def __init__(self, model: dict, known: bool = False) -> None:
         super().__init__()
         self.langs, self.tables, self.rows = model["langs"], model["tables"], []
-        self.matrix = np.zeros((0, len(self.langs)), np.float32)
+        self.floors = model["floors"] if known else None
+        self.matrix = np.zeros((0, len(self.langs) * (2 if known else 1)), np.float32)
 
     def vector(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
@@ -108,18 +130,24 @@ class Scorer(dict):
 
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self)
-        self.rows.append(self.vector(word))
+        self.rows.append(self.vector(word) if self.floors is None else np.concatenate([self.vector(word), self.letters(word)]))
         return k
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def letters(self, word: str) -> np.ndarray:
+        """The word's letters for each language that it is a learned word of."""
+        known = self.tables[0].get(word)
+        return np.zeros(len(self.langs), np.float32) if known is None else (len(word) * (known > self.floors + 0.5)).astype(np.float32)
+
+    def predict(self, text: str | None) -> tuple:
         """(language, score): the highest sum over all words; ties go to the first name.
 
         The score is the language's share of the exponentials of the mean word score times the
-        number of words, at most ``SHARP``.
+        number of words, at most ``SHARP``; it is at least one in the number of languages.  With
+        ``known``, the share of the letters that lie in learned words of the language follows.
         """
         own = words(text)
         if not own or not self.langs:
-            return UNDETERMINED, 0.0
+            return (UNDETERMINED, 0.0) if self.floors is None else (UNDETERMINED, 0.0, 0.0)
         if len(self) > MEMO:
             self.clear()
             self.rows, self.matrix = [], self.matrix[:0]
@@ -127,36 +155,39 @@ class Scorer(dict):
         if len(self.rows) > 1.5 * len(self.matrix) + 64:
             self.matrix = np.asarray(self.rows, np.float32)
         if len(self.rows) > len(self.matrix):
-            known, new = [k for k in at if k < len(self.matrix)], [self.rows[k] for k in at if k >= len(self.matrix)]
-            total = self.matrix[known].sum(axis=0, dtype=np.float64) + np.sum(new, axis=0, dtype=np.float64)
+            old, new = [k for k in at if k < len(self.matrix)], [self.rows[k] for k in at if k >= len(self.matrix)]
+            total = self.matrix[old].sum(axis=0, dtype=np.float64) + np.sum(new, axis=0, dtype=np.float64)
         else:
             total = self.matrix[at].sum(axis=0, dtype=np.float64)
+        total, known = total[: len(self.langs)], total[len(self.langs) :]
         best = int(np.argmax(total))
         away = (total - total[best]) / len(own) * min(len(own), SHARP)
-        return self.langs[best], float(1 / np.exp(away).sum())
+        found = self.langs[best], float(1 / np.exp(away).sum())
+        return found if self.floors is None else (*found, float(known[best] / sum(map(len, own))))
 
 
 _SCORERS: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with lang_pred and score; the whole text is read.
+def identify(docs: DataFrame, model: dict, known: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with lang_pred and score, and ``known`` if asked for; the whole text is read.
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
+    ``und`` with score (and known) 0 where the text is null or has no letter, or nothing was learned.
     """
     spark = docs.sparkSession
     name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(model)  # bounded by KEEP_WORDS and KEEP_GRAMS
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", "known"] if known else ["lang_pred", "score"]
+    keep = [c for c in docs.columns if c not in added]
     out = docs.select(*keep)
 
     def run(texts: pd.Series) -> pd.DataFrame:
         scorer = _SCORERS.get(name)
         if scorer is None:
             _SCORERS.clear()
-            scorer = _SCORERS[name] = Scorer(shared.value)
-        return pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            scorer = _SCORERS[name] = Scorer(shared.value, known)
+        return pd.DataFrame([scorer.predict(t) for t in texts], columns=added)
 
-    udf = F.pandas_udf(run, "lang_pred string, score double")
-    return out.withColumn("_found", udf(F.col("text"))).select(*keep, "_found.lang_pred", "_found.score")
+    udf = F.pandas_udf(run, "lang_pred string, score double, known double" if known else "lang_pred string, score double")
+    return out.withColumn("_found", udf(F.col("text"))).select(*keep, *(f"_found.{c}" for c in added))
 

@@ -35,3 +35,21 @@ def test_awkward_rows(spark):
     empty = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_language_stage_rejects_foreign_text_and_noise(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS)
+    foreign = [
+        "Il gatto nero dorme sul tappeto vicino alla finestra mentre fuori piove e la gente torna a casa dopo il lavoro",
+        "Kissa istuu pöydällä ja katsoo ulos ikkunasta kun sataa", "Быстрая лиса прыгает через ленивую собаку", "xqzv wkjh ptrrg zzxk qwpl mnbvcx lkjhg",
+    ]
+    rows = spark.createDataFrame([(-k - 1, t, None, "s", len(t)) for k, t in enumerate(foreign)], docs.schema)
+    kept = pipeline.language(spark, docs.union(rows), SF)
+    assert kept.where("doc_id < 0").isEmpty()
+    good = docs.where("length(text) > 0")
+    assert kept.count() >= 0.98 * good.count()
+
+
+def test_run_rereads_written_stages(spark):
+    out = pipeline.run(spark, SF)
+    assert out.inputFiles() and all("/packing-" in f for f in out.inputFiles())
