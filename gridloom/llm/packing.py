@@ -30,11 +30,11 @@ _COLUMNS = ["doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids", "firs
 _SCHEMA = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary, first long, second long"
 
 
-def _pieces(tokenizer: str, window: int):
+def _pieces(tokenizer: str, window: int, added: bool = False):
     """Rows of whole windows (without ids), of rests (with ids), and one row of document frequencies for each task (length null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.asarray([END_ID], "<u4").tobytes()
+        enc, end = encoder(tokenizer, added), np.asarray([END_ID], "<u4").tobytes()
         df = np.zeros(enc.library.get_vocab_size(), np.int64)
         one, two = route_keys(len(df))
         for batch in batches:
@@ -238,17 +238,17 @@ def _pack(idf, mean: float, window: int, shard_ids: int):
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int = SHARD_IDS, added: bool = False) -> DataFrame:
     """Pieces of all documents (doc_id, text; others are ignored) in sequences of at most ``window`` ids.
 
     Each document is its ids and then the end id; null and empty texts are the end id alone.  Every
     id lies in one piece; pieces of a sequence follow each other from offset 0.  Only the last
     sequence of a task can be shorter than the window.  Repeated rows are packed once each; an empty
-    table gives no piece.
+    table gives no piece.  ``added`` reads the file's added tokens as such.
     """
     spark = docs.sparkSession
     path = shared_folder(spark, "pieces")
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, window), _SCHEMA).write.parquet(path)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, window, added), _SCHEMA).write.parquet(path)
     rows = spark.read.schema(_SCHEMA).parquet(path)
     found = rows.where("length is null").select("ids").mapInArrow(_frequencies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # a row per token of the vocabulary at most
     documents, tokens, rest_ids = rows.where("length is not null").agg(

@@ -33,7 +33,7 @@ def tokenizer_path() -> str:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.token_store import token_file_round_trip
 
-    return token_file_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_file_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
 
 
 OP3_SQL = r"""
@@ -93,7 +93,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
 
 
 @query("op9_document_fingerprints")

@@ -39,7 +39,7 @@ MEMO = 700_000
 
 # ------------------------------------------------------------------ tokenizing
 
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
@@ -47,10 +47,12 @@ class Encoder:
 
     Byte-level BPE merges inside the pieces of its split pattern only, so a piece always gets the
     same ids; pieces met before are looked up.  Texts with characters outside a plain range go to
-    the library whole, so that no rule of character classes is restated here.
+    the library whole, so that no rule of character classes is restated here.  With ``added`` the
+    file's added tokens are read as their own ids, which is the library's default, and texts that
+    hold one go to the library whole; without, they are spelled like other text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import os
         import re
 
@@ -58,7 +60,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        if not added:
+            self.library.encode_special_tokens = True
+        marks = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(map(re.escape, marks))).search if marks else lambda text: None
         self.plain = re.compile("[\t\n\r -~¡-©«-±´¶-¸»¿-ſ‐-‧€]*").fullmatch
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+(?:_[^\s\w]*)*| ?_[^\s\w]*(?:_[^\s\w]*)*|\s+(?!\S)|\s+").findall
         self.memo = _Memo(self.library)
@@ -67,7 +72,7 @@ class Encoder:
         """Ids of one text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.plain(text):
+        if not self.plain(text) or self.added(text):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
@@ -84,10 +89,10 @@ class _Memo(dict):
         return ids
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added)
+    return _ENCODERS[path, added]
 
 
 # ------------------------------------------------------------------ Simple-8b
@@ -204,18 +209,19 @@ def unpack_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------ Spark
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, file_ids: int = 4_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, file_ids: int = 4_000_000, added: bool = False) -> DataFrame:
     """Tokenize ``docs`` (doc_id, text) and write token files in ascending order of doc_id.
 
     One row per file is returned: file, its place in the order, documents, ids.  Null ids come
-    first; rows of one id are ordered by text; null or empty texts hold the end id alone.  Rows are
+    first; rows of one id are ordered by text; null or empty texts hold the end id alone; ``added``
+    reads the file's added tokens as such (see ``Encoder``).  Rows are
     dealt by ranges, so a file is bounded by ``file_ids`` ids (or one document) whatever the input.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(tokenizer, added), TaskContext.get().partitionId(), 0
         end = struct.pack("<I", END_ID)
         names: list = []
         ids: list[bytes] = []
@@ -278,12 +284,12 @@ def token_digests(spark, path: str, files: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(first), "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_file_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_file_round_trip(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and describe them as read back."""
     spark = docs.sparkSession
     path = shared_folder(spark, "tokens")
     report = shared_folder(spark, "token-files")
-    write_tokens(docs, tokenizer, path).write.parquet(report)
+    write_tokens(docs, tokenizer, path, added=added).write.parquet(report)
     files = spark.read.schema("file string, docs long, ids long").parquet(report)
     if not files.head(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")

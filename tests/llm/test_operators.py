@@ -215,6 +215,24 @@ def test_token_files(awkward, nothing, spark):
         token_store.unpack_file(b"nope")
 
 
+def test_queries_read_added_tokens_as_the_file_does(awkward, spark, tmp_path):
+    """op4 and op7 against an untouched tokenizer, with texts that hold the end marker."""
+    from tokenizers import Tokenizer
+
+    from gridloom.llm.queries import QUERIES
+
+    rows = awkward[1] + [(20, "a <|endoftext|> b"), (21, "<|endoftext|>"), (22, "é<|endoftext|>x <|endoftex"), (23, "plain a_b 12")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(tokenizer_path())
+    ids = [np.asarray([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for _, t in rows]
+    assert ids[len(awkward[1])].tolist() == [64, 220, 50256, 275, 0]
+    got = QUERIES["op4_token_files"](spark, str(tmp_path)).collect()
+    want = [(d, len(x), zlib.crc32(x.tobytes())) for (d, _), x in zip(rows, ids)]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    for r in QUERIES["op7_retrieval_packing"](spark, str(tmp_path)).collect():
+        assert any(d == r.doc_id and len(x) == r.doc_tokens and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for (d, _), x in zip(rows, ids))
+
+
 # ------------------------------------------------------------------ 5: repeated passages
 
 
