@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import zlib
@@ -19,6 +20,7 @@ FEATURES, ROUNDS = 1 << 15, 120
 #: Share of a template's word pairs that a paragraph must have.
 CONFIRM = 0.6
 _WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+_BROKEN = re.compile(r"[^\W_]-\s*$")
 
 #: Notices of the licence families, in their usual wording.
 TEMPLATES = {
@@ -200,6 +202,55 @@ def paragraphs_of(text: str | None) -> list[str]:
     return [p for p in text.splitlines() if p and not p.isspace()] if text else []
 
 
+def joined(lines: list[tuple[list[str], bool]]) -> list[str]:
+    """Words of lines (words, ends in a hyphen) in a row; a word broken at its hyphen is one word."""
+    out: list[str] = []
+    for k, (words, _) in enumerate(lines):
+        if k and lines[k - 1][1] and out and words:
+            out[-1] += f"-{words[0]}"
+            words = words[1:]
+        out += words
+    return out
+
+
+def best_form(words: list[str], family: str) -> set:
+    """The template of the family, as word pairs, of which the words hold the highest share."""
+    own = pairs(words)
+    return max(_FORMS[family], key=lambda form: len(own & form) / max(1, len(form)))
+
+
+def runs_of(lines: list[list[str]]) -> Iterator[tuple[int, int]]:
+    """(first, last) of the stretches of two and more lines that a wrapped notice can fill.
+
+    ``lines`` are the words of a text's lines in order.  Lines without words (blank, or comment
+    marks alone) end a run; a run is given whole, and cut to its longest stretches of lines that
+    each take part in a template's word pair, on the line or over its border.
+    """
+    a = 0
+    while a < len(lines):
+        if not lines[a]:
+            a += 1
+            continue
+        b = a
+        while b + 1 < len(lines) and lines[b + 1]:
+            b += 1
+        part = [not _ANY_PAIR.isdisjoint(zip(lines[k], lines[k][1:])) for k in range(a, b + 1)]
+        for k in range(a, b):
+            if (lines[k][-1], lines[k + 1][0]) in _ANY_PAIR:
+                part[k - a] = part[k + 1 - a] = True
+        found = {(a, b)} if any(part) and a < b else set()
+        k = 0
+        while k < len(part):
+            end = k
+            while end < len(part) and part[end]:
+                end += 1
+            if end - k > 1:
+                found.add((a + k, a + end - 1))
+            k = max(end, k + 1)
+        yield from sorted(found)
+        a = b + 1
+
+
 def sample_paragraphs(docs: DataFrame, n: int = FIT_PARAGRAPHS) -> list[str]:
     """About ``n`` paragraphs, one each of the documents with the least hashes of their ids; long ones are cut for the fit."""
     total = docs.count()
@@ -215,9 +266,12 @@ FOUND = "doc_id long, n_paragraphs long, n_licensed long, families string, parag
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """One row per document (doc_id, text): paragraphs, licence paragraphs, their families (sorted, comma-joined), and the surest of them.
 
-    A paragraph counts where the classifier is sure of a family and one of the family's templates
-    confirms it; one that shares no word pair with any template cannot be confirmed and is not
-    scored.  Documents without such paragraphs have an empty ``families`` and nulls after it.
+    A paragraph is a non-blank line, and a run of lines up to the next line without words, so that
+    wrapped notices are found.  It counts where the classifier is sure of a family and one of the
+    family's templates confirms it; a run counts only if no line or run inside it has counted for
+    that family, and its number is that of its first line.  A hit inside a run is dropped where all
+    that it holds of its template belongs to the run's, of which the run holds more.  One that shares no word pair with any
+    template cannot be confirmed and is not scored.  Documents without such paragraphs have an empty ``families`` and nulls after it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES rows
 
@@ -226,14 +280,26 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own, found, best = paragraphs_of(text), [], (None, None, None)
-                for k, p in enumerate(own):
-                    words = tokens(p)
-                    if _ANY_PAIR.isdisjoint(zip(words, words[1:])):
-                        continue
+                every = text.splitlines() if text else []
+                lines = [(tokens(line), bool(_BROKEN.search(line))) for line in every]
+                number = list(itertools.accumulate((bool(line) and not line.isspace() for line in every), initial=0))
+                singles = [(k, k) for k, (words, _) in enumerate(lines) if not _ANY_PAIR.isdisjoint(zip(words, words[1:]))]
+                runs = sorted(runs_of([words for words, _ in lines]), key=lambda r: r[1] - r[0]) if singles or len(lines) > 1 else []
+                hits: list[tuple] = []
+                for a, b in [*singles, *runs]:
+                    words = joined(lines[a : b + 1])
                     family, score, share = shared.value.predict(words)
-                    if family != UNKNOWN:
-                        found.append(family)
-                        best = max(best, (score, share, -k), key=lambda b: b[0] or -1.0)
+                    inside = [h for h in hits if a <= h[0] and h[1] <= b]
+                    if family == UNKNOWN or any(h[2] == family for h in inside):
+                        continue
+                    form = best_form(words, family)
+                    part = [h for h in inside if h[4] < share and h[5] <= form]
+                    hits = [h for h in hits if h not in part]
+                    held = pairs(words[:-1] if lines[b][1] else words) & form
+                    hits.append((a, b, family, score, share, held))
+                for a, _, family, score, share, _ in hits:
+                    found.append(family)
+                    best = max(best, (score, share, -number[a]), key=lambda b: b[0] or -1.0)
                 rows.append((doc, len(own), len(found), ",".join(sorted(set(found))), None if best[2] is None else -best[2], best[0], best[1]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in FOUND.split(", ")])

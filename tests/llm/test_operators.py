@@ -363,6 +363,24 @@ def test_licences(spark, nothing):
     assert licences.scan(nothing, model).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Every template wrapped at 70 columns, bare and as a comment between other lines."""
+    import textwrap
+
+    model = licences.fit(["the cat sat on the mat", "general public was there", "a driving licence is needed to drive", "version 3 of the story"] * 40)
+    wrapped = [(family, textwrap.wrap(t, 70)) for family, templates in licences.TEMPLATES.items() for t in templates]
+    rows, want = [], []
+    for family, lines in wrapped:
+        for text in ("\n".join(lines), "int x;\n/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */\nint y;", "# cats sat here\n" + "\n".join(f"# {x}" for x in lines) + "\nfor a in b: run(a)" * 9):
+            rows.append((len(rows), text))
+            want.append(family)
+    got = {r.doc_id: r for r in licences.scan(frame(spark, rows), model).collect()}
+    assert [got[k].families for k in range(len(rows))] == want
+    assert all(got[k].n_licensed == 1 for k in range(len(rows)))
+    apart = "\n\n".join(textwrap.wrap(licences.TEMPLATES["mit"][2], 70))
+    assert [r.n_licensed for r in licences.scan(frame(spark, [(1, apart)]), model).collect()] == [0]
+
+
 # ------------------------------------------------------------------ 9: fingerprints
 
 
