@@ -128,19 +128,39 @@ def parse(raw: bytes, start: int = 0) -> tuple[dict, bytes, int]:
     return headers, block, at + size + 4
 
 
-def _member(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``at``, fed piece by piece."""
+def _member(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int, str]:
+    """(content, end, damage) of the gzip member at ``at``, fed piece by piece; what was inflated before damage is kept."""
     unpacker, out = zlib.decompressobj(31), []
-    try:
-        while not unpacker.eof and at < len(data):
-            piece = data[at : at + step]
+    while not unpacker.eof and at < len(data):
+        piece = data[at : at + step]
+        before = unpacker.copy()
+        try:
             out.append(unpacker.decompress(piece))
-            at += len(piece)
-    except zlib.error as exc:
-        raise ValueError(f"member damaged: {exc}") from None
+        except zlib.error as exc:
+            for k in range(len(piece)):
+                try:
+                    out.append(before.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at + k, f"member damaged: {exc}"
+        at += len(piece)
     if not unpacker.eof:
-        raise ValueError("member cut off")
-    return b"".join(out), at - len(unpacker.unused_data)
+        return b"".join(out), at, "member cut off"
+    return b"".join(out), at - len(unpacker.unused_data), ""
+
+
+def _records(raw: bytes) -> tuple[list[tuple[dict, bytes]], str]:
+    """The whole records of a member's content, and what was wrong first; the next version line after a failed record is tried."""
+    records, inner, why = [], 0, ""
+    while 0 <= inner < len(raw):
+        try:
+            headers, block, inner = parse(raw, inner)
+        except ValueError as exc:
+            why = why or str(exc)
+            inner = _find_start(raw, inner + 1)
+        else:
+            records.append((headers, block))
+    return records, why
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
@@ -148,27 +168,27 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
 
     Gaps have no headers and tell why their bytes were set aside.  After a failed check the next
     gzip member, or version line where records are not compressed, that holds a whole record is
-    searched for; a member whose later records fail keeps its good ones.
+    searched for.  A member with bad records or a damaged end keeps its good ones: they and a gap
+    have the member's place, which reaches up to the next good one where its own end is not known.
     """
     at, gap, why = 0, None, ""
+    held: list[tuple[dict, bytes]] = []
+
+    def close(end: int):
+        for headers, block in held:
+            yield gap, end - gap, headers, block, ""
+        yield gap, end - gap, None, b"", why
+
     while at < len(data):
-        packed = data[at : at + 3] == MAGIC
         try:
-            if packed:
-                raw, end = _member(data, at)
-                records, inner = [], 0
-                while inner < len(raw):
-                    try:
-                        headers, block, inner = parse(raw, inner)
-                    except ValueError:
-                        if not records:
-                            raise
-                        break
-                    records.append((headers, block))
-                whole = inner >= len(raw)
+            if data[at : at + 3] == MAGIC:
+                raw, end, damage = _member(data, at)
+                records, bad = _records(raw)
+                if not records and (damage or bad):
+                    raise ValueError(damage or bad)
             else:
                 headers, block, end = parse(data, at)
-                records, whole = [(headers, block)], True
+                records, bad, damage = [(headers, block)], "", ""
         except ValueError as exc:
             if gap is None:
                 gap, why = at, str(exc)
@@ -176,15 +196,20 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
             at = min(ahead, default=len(data))
             continue
         if gap is not None:
-            yield gap, at - gap, None, b"", why
-            gap = None
+            yield from close(at)
+            gap, held = None, []
+        if damage:
+            gap, why, held = at, damage, records
+            ahead = [x for x in (data.find(MAGIC, at + 1), _find_start(data, end)) if x >= 0]
+            at = min(ahead, default=len(data))
+            continue
         for headers, block in records:
             yield at, end - at, headers, block, ""
-        if not whole:
-            yield at, end - at, None, b"", "later record of the member damaged"
+        if bad:
+            yield at, end - at, None, b"", f"record of the member damaged: {bad}"
         at = end
     if gap is not None:
-        yield gap, len(data) - gap, None, b"", why
+        yield from close(len(data))
 
 
 def _find_start(data: bytes, at: int) -> int:

@@ -294,6 +294,23 @@ def test_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_a_member():
+    import gzip
+
+    rng = random.Random(4)
+    bodies = [rng.randbytes(60_000) for _ in range(5)]
+    made = [warc.record(k, "http://x", b, warc.digest(b), 300 + k, k, False, "2024-01-01T00:00:00Z") for k, b in enumerate(bodies)]
+    name = lambda data: [int(h["warc-record-id"][12:-1]) for _, _, h, _, _ in warc.salvage(data) if h]
+    for bad in (0, 2, 4):
+        hurt = [bytes(m[:-1000]) + b"?" * 500 + m[-500:] if k == bad else m for k, m in enumerate(made)]
+        assert name(gzip.compress(b"".join(hurt))) == [k for k in range(5) if k != bad]
+    packed = bytearray(gzip.compress(b"".join(made)))
+    cut = bytes(packed[: len(packed) * 7 // 10]) + gzip.compress(made[0])
+    assert name(cut) == [0, 1, 2, 0]
+    found = list(warc.salvage(cut))
+    assert sum(n for at, n in {(at, n) for at, n, *_ in found}) == len(cut) and sum(h is None for _, _, h, _, _ in found) == 1
+
+
 # ------------------------------------------------------------------ 7: packing
 
 
