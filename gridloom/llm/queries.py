@@ -135,3 +135,78 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return scan(docs, fit(sample_paragraphs(docs)))
+
+
+@query("op11_source_mix")
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of the text ``s`` by its table of 256 steps.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, list_transform(range(8), lambda k: k::BIGINT)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t"""
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(hex(encode({s}))), 2), lambda i: ('0x' || substr(hex(encode({s})), i, 2))::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+OP12_SQL = """
+WITH RECURSIVE crc AS (TABLE_OF_CRC),
+f AS (SELECT d.*, coalesce(CAST(doc_id AS VARCHAR), '') AS idt FROM documents d),
+x AS (SELECT doc_id, source, text, CRC_OF_ID % 2 = 0 AS torn,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+      FROM f, crc),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(CASE WHEN torn THEN replace(text, chr(10), '') ELSE text END) || ':' || CASE WHEN torn THEN replace(text, chr(10), '') ELSE text END, '-')) AS shown FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+u AS (SELECT source, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM o GROUP BY source
+      UNION ALL SELECT source, level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM u WHERE len(nodes) > 1),
+s AS (SELECT source, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM u WHERE len(nodes) = 1),
+v AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM s
+      UNION ALL SELECT level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM v WHERE len(nodes) > 1),
+r AS (SELECT nodes[1] AS root FROM v WHERE len(nodes) = 1),
+p AS (SELECT o.doc_id, o.source, o.pos, o.leaf, u.level, nodes[3 * (pos // CAST(pow(3, u.level + 1) AS BIGINT)) + 1:3 * (pos // CAST(pow(3, u.level + 1) AS BIGINT)) + 3] AS run, pos // CAST(pow(3, u.level) AS BIGINT) % 3 AS seat
+      FROM o JOIN u ON o.source IS NOT DISTINCT FROM u.source WHERE len(nodes) > 1
+      UNION ALL SELECT o.doc_id, o.source, o.pos, o.leaf, s.height + v.level, v.nodes[3 * (place // CAST(pow(3, v.level + 1) AS BIGINT)) + 1:3 * (place // CAST(pow(3, v.level + 1) AS BIGINT)) + 3], place // CAST(pow(3, v.level) AS BIGINT) % 3
+      FROM o JOIN s ON o.source IS NOT DISTINCT FROM s.source, v WHERE len(v.nodes) > 1),
+q AS (SELECT source, pos, list({'lo': array_to_string(run[1:seat], ''), 'hi': array_to_string(run[seat + 2:len(run)], '')} ORDER BY level) AS path FROM p GROUP BY source, pos),
+g AS (SELECT o.source, o.pos, shown AS node, coalesce(path, []) AS path, 1 AS k FROM o LEFT JOIN q ON o.source IS NOT DISTINCT FROM q.source AND o.pos = q.pos
+      UNION ALL SELECT source, pos, sha256(path[k].lo || node || path[k].hi), path, k + 1 FROM g WHERE k <= len(path))
+SELECT o.doc_id, o.leaf, s.subroot, r.root, sha256(coalesce(array_to_string(list_transform(g.path, lambda e: e.lo || e.hi), ''), '')) AS proof_sha256, g.node AS folded_root, g.node = r.root AS verified
+FROM o JOIN s ON o.source IS NOT DISTINCT FROM s.source JOIN g ON g.source IS NOT DISTINCT FROM o.source AND g.pos = o.pos AND g.k = len(g.path) + 1, r
+"""
+OP12_SQL = OP12_SQL.replace("TABLE_OF_CRC", _CRC_TABLE).replace("CRC_OF_ID", _CRC.format(s="idt"))
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.merkle import document_manifest
+
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (TABLE_OF_CRC),
+a AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+b AS (SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM a WHERE length(run) >= 6 GROUP BY ALL),
+c AS (SELECT run, n, CRC_OF_K AS h FROM b, crc),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM c),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+e AS (SELECT DISTINCT word, n, i, word[1:i] || word[i + 2:] AS cut FROM w, unnest(range(length(word))) AS t(i)),
+x AS (SELECT DISTINCT p.word AS a, q.word AS b, q.n AS m FROM e p JOIN e q ON p.cut = q.cut AND p.i = q.i AND p.word <> q.word
+      UNION SELECT e.word, w.word, w.n FROM e JOIN w ON e.cut = w.word
+      UNION SELECT w.word, e.word, e.n FROM e JOIN w ON e.cut = w.word),
+y AS (SELECT a, count(*) AS n_near, max(m) AS most FROM x GROUP BY a),
+z AS (SELECT x.a, min(x.b) AS b, min(x.m) AS m FROM x JOIN y USING (a) JOIN w ON w.word = x.a WHERE x.m = y.most AND x.m >= 5 * w.n GROUP BY x.a),
+f AS (SELECT word, word AS root, 0 AS k FROM w UNION ALL SELECT f.word, z.b, k + 1 FROM f JOIN z ON z.a = f.root)
+SELECT w.word, z.b AS form, (SELECT arg_max(root, k) FROM f WHERE f.word = w.word) AS root, w.n, coalesce(y.n_near, 0) AS n_near, z.m AS form_n
+FROM w LEFT JOIN y ON y.a = w.word LEFT JOIN z ON z.a = w.word
+"""
+OP13_SQL = OP13_SQL.replace("TABLE_OF_CRC", _CRC_TABLE).replace("CRC_OF_K", _CRC.format(s="k"))
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
