@@ -3,7 +3,7 @@
 Every document starts with the same number of copies as its source needs on average, a whole part
 and a fraction.  The fractions are rounded by pivots: a document and the pool of the smaller
 documents of its group move words between each other, up or down by a coin whose odds keep every
-expected number of copies, until the document's fraction is 0 or 1 (or the whole pool's are).
+expected number of copies, until the document's fraction is 0 or 1, or one of the pool's is.
 Words are moved, not copies, so a group's words stay what they were.  What is left of a group is one
 document, as a rule its smallest; these residuals meet in the groups of the next level of a
 reduction tree, until each source has one residual.  It alone is rounded by a coin of its own, so a
@@ -21,7 +21,7 @@ from gridloom.llm.common import materialize
 from gridloom.llm.ordering import ranked, sorted_rows
 
 #: Documents or residuals of a group of the reduction tree, on average.
-GROUP = 4096
+GROUP = 1024
 #: Words between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fractions this close to 0 or 1 are 0 or 1.
@@ -62,39 +62,36 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 def pivot(p: np.ndarray, size: np.ndarray, coin: np.ndarray) -> tuple[np.ndarray, int]:
     """Fractions rounded to 0 or 1 and the place of the one that could not be (-1 if none).
 
-    Rows come largest first.  Before row i, the fraction of every later row is ``a + b`` times its
-    first one, so a move of the pool is two numbers.  The words of all fractions stay the same.
+    Rows come largest first.  Row i trades words with the later rows, each of which moves by the
+    same multiple of its distance to the nearer end, up or down, until row i or one of them is whole;
+    the coin's odds are the other way's words, so no fraction's mean changes.  A row so large that
+    the later ones can balance only one of its two ends goes there without a coin, or it would be
+    left over and its group far from its words.  The words of all fractions stay the same.  Every
+    trade makes a row whole, so there are coins enough.
     """
-    out = np.zeros(len(p))
-    # Words and words times fraction of the rows after each row.
-    words = np.append(np.cumsum(size[::-1], dtype=float)[::-1], 0.0)
-    filled = np.append(np.cumsum((size * p)[::-1])[::-1], 0.0)
-    a, b = 0.0, 1.0
-    for i in range(len(p)):
-        own = min(1.0, max(0.0, a + b * p[i]))
-        if own <= EPSILON or own >= 1 - EPSILON:
-            out[i] = round(own)
-            continue
-        s = float(size[i])
-        held = a * words[i + 1] + b * filled[i + 1]
-        free = words[i + 1] - held
-        up, down = min((1 - own) * s, max(held, 0.0)), min(own * s, max(free, 0.0))
-        if up <= EPSILON * s and down <= EPSILON * s:  # an empty pool: the residual of the group
-            out[i + 1 :] = np.rint(np.clip(a + b * p[i + 1 :], 0, 1))
-            out[i] = own
-            return out, i
-        if coin[i] * (up + down) < down:
-            own, keep = own + up / s, 1 - up / held if held > 0 else 1.0
-            a, b = a * keep, b * keep
-        else:
-            own, keep = own - down / s, 1 - down / free if free > 0 else 1.0
-            a, b = 1 - (1 - a) * keep, b * keep
-        if EPSILON < own < 1 - EPSILON:  # the pool is whole now, this row is what remains
-            out[i + 1 :] = np.rint(np.clip(a + b * p[i + 1 :], 0, 1))
-            out[i] = own
-            return out, i
-        out[i] = round(own)
-    return out, -1
+    f, size, trades = p.astype(float), size.astype(float), 0
+    for i in range(len(f)):
+        rest, words = f[i + 1 :], size[i + 1 :]
+        while EPSILON < f[i] < 1 - EPSILON:
+            step = np.minimum(rest, 1 - rest)
+            pool = float(step @ words)
+            live = step > 0
+            if not live.any():
+                f[i + 1 :] = np.rint(rest)
+                return f, i
+            ends = rest[live] / step[live]
+            up = min((1 - f[i]) * size[i], float(ends.min()) * pool)  # row i gains, the pool loses
+            down = min(f[i] * size[i], float(((1 - rest[live]) / step[live]).min()) * pool)
+            held = float(rest @ words)
+            full, none = (1 - f[i]) * size[i] <= held, f[i] * size[i] <= float(words.sum()) - held
+            moved = up if (coin[trades] * (up + down) < down if full == none else full) else -down
+            trades += 1
+            f[i] += moved / size[i]
+            rest -= step * (moved / pool)
+            rest[rest < EPSILON] = 0.0
+            rest[rest > 1 - EPSILON] = 1.0
+        f[i] = np.rint(f[i])
+    return f, -1
 
 
 def _group(rows: pa.Table) -> pa.Table:
