@@ -259,11 +259,12 @@ def wgs84_parts(ring: Column) -> Column:
 
 
 def continuous(lons: Column) -> Column:
-    """Ring longitudes without steps larger than half a turn."""
+    """Ring longitudes without steps larger than half a turn; a step of a whole turn is a side along a parallel and stays."""
 
     @F.pandas_udf("array<double>")
     def unwrap(values: pd.Series) -> pd.Series:
-        return pd.Series([K.continuous_lon(np.asarray(v, float)).tolist() for v in values])
+        rings = (np.asarray(v, float) for v in values)
+        return pd.Series([(r if (np.abs(np.diff(r)) >= 360.0).any() else K.continuous_lon(r)).tolist() for r in rings])
 
     return unwrap(lons)
 

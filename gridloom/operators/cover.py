@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geohash, isea4h, mgrs, shapes
 from gridloom.operators import grid as gridops
-from gridloom.session import cut
+from gridloom.operators.hexminimal import minimal_cover
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 # The box of a geohash candidate, known from its indices.
@@ -218,7 +218,7 @@ def cover_bbox(
     parts = gridops.bbox_rings(df).drop("ring", "part_no")
     if mode == "minimal":
         if grid == "isea4h":
-            return _finish(_isea4h_minimal(parts, level, key), grid, boundary, level, mode)
+            return _finish(minimal_cover(_box_parts(df, key), level, key), grid, boundary, level, mode)
         if grid == "geohash":
             return _finish(_geohash_minimal(parts, level), grid, boundary, level, mode)
         return _finish(_minimal(lambda lv, m: _box_level(parts, grid, lv, m, key), grid, level, key), grid, boundary, level, mode)
@@ -304,84 +304,6 @@ def _minimal(cover_at, grid: str, level: int, key: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [o.select(*out[0].columns) for o in out])
 
 
-def _isea4h_minimal(parts: DataFrame, level: int, key: list[str]) -> DataFrame:
-    """Coarse-to-fine cover by hexagons, which do not nest.
-
-    A cell inside the area is taken unless it overlaps one taken at a coarser
-    level; at the last level every cell with area left over is taken.
-    """
-    keep = [c for c in parts.columns if c not in BOX]
-    columns = keep + ["grid_level", "space_code"]
-    taken = None
-    for lv in range(level + 1):
-        cells = cut(_box_level(parts, "isea4h", lv, "contain" if lv < level else "intersect", key).select(*columns))
-        if taken is not None:
-            lap = _overlap_with_taken(cells, taken, lv, key)
-            if lv < level:
-                cells = cells.join(lap.filter("__lap > __whole * 1e-9"), key + ["space_code"], "left_anti")
-            else:
-                aoi = _area_inside(parts, cells, lv, key)
-                left = (
-                    aoi.join(lap, key + ["space_code"], "left")
-                    .filter(F.col("__inside") - F.coalesce(F.col("__lap"), F.lit(0.0)) > F.col("__all") * 1e-9)
-                    .select(*key, "space_code")
-                )
-                cells = cells.join(left, key + ["space_code"], "left_semi")
-        # Every level reads the cells taken so far several times: cut the plan here.
-        cells = cut(cells.select(*columns))
-        taken = cells if taken is None else taken.unionByName(cells)
-    return taken
-
-
-def _area_inside(parts: DataFrame, cells: DataFrame, level: int, key: list[str]) -> DataFrame:
-    """Area of each cell inside its area of interest."""
-    pairs = cells.select(*key, "space_code").join(parts.select(*key, *BOX), key)
-    quad, i, j = isea4h.triple(F.col("space_code").cast("long"), level)
-    pairs = pairs.withColumns({"__q": quad, "__i": i, "__j": j})
-    areas = shapes.hexagon_box_overlap(F.col("__q"), F.col("__i"), F.col("__j"), level, *[F.col(c) for c in BOX])
-    return (
-        pairs.withColumn("__a", areas)
-        .groupBy(*key, "space_code")
-        .agg(F.sum("__a.inside").alias("__inside"), F.max("__a.whole").alias("__all"))
-    )
-
-
-def _overlap_with_taken(cells: DataFrame, taken: DataFrame, level: int, key: list[str]) -> DataFrame:
-    """Area each cell shares with coarser cells taken for the same key.
-
-    A coarser cell that overlaps a finer one holds the finer one's centre or one
-    of its corners, or is next to such a cell; these few are the join keys.
-    """
-    quad, i, j = isea4h.triple(F.col("space_code").cast("long"), level)
-    fine = cells.select(*key, "space_code").withColumns({"__q": quad, "__i": i, "__j": j})
-    fine = cut(
-        fine.withColumn("__shape", shapes.hexagon_shape(F.col("__q"), F.col("__i"), F.col("__j"), level)).drop("__q", "__i", "__j")
-    )
-    laps = None
-    for lv in range(level):
-        above = F.col("__above")
-        near = isea4h.with_cell(fine, F.col("__shape.center_lon"), F.col("__shape.center_lat"), lv, "__above")
-        q, a, b = isea4h.triple(above, lv)
-        near = near.withColumns({"__q": q, "__i": a, "__j": b})
-        near = near.withColumn(
-            "__above",
-            F.explode(
-                F.concat(F.array(above), isea4h.neighbors(F.col("__q"), F.col("__i"), F.col("__j"), lv)).cast("array<string>")
-            ),
-        )
-        here = taken.filter(F.col("grid_level") == lv).select(*key, F.col("space_code").alias("__above"))
-        pairs = near.join(here, key + ["__above"])
-        q, a, b = isea4h.triple(F.col("__above").cast("long"), lv)
-        pairs = pairs.withColumns({"__q": q, "__i": a, "__j": b})
-        pairs = pairs.withColumn("__big", shapes.hexagon_shape(F.col("__q"), F.col("__i"), F.col("__j"), lv))
-        area = shapes.ring_polygon_overlap(
-            F.col("__shape.ring_lon"), F.col("__shape.ring_lat"), F.col("__big.ring_lon"), F.col("__big.ring_lat")
-        )
-        rows = pairs.withColumn("__a", area).select(*key, "space_code", "__a.inside", "__a.whole")
-        laps = rows if laps is None else laps.unionByName(rows)
-    return laps.groupBy(*key, "space_code").agg(F.sum("inside").alias("__lap"), F.max("whole").alias("__whole"))
-
-
 def _finish(cells: DataFrame, grid: str, boundary: str, level: int, mode: str) -> DataFrame:
     """Add the grid name and the wanted outline; the outline is drawn per distinct cell."""
     cells = cells.withColumn("grid_type", F.lit(grid))
@@ -428,25 +350,37 @@ def cover_polygon(
     parts = _polygon_parts(df, ring, key)
     if mode == "minimal":
         if grid == "isea4h":
-            raise ValueError("minimal hexagon covers are offered for boxes")
+            return _finish(minimal_cover(_rings(df, ring, key), level, key), grid, boundary, level, mode)
         cells = _minimal(lambda lv, m: _polygon_level(parts, grid, lv, m, key), grid, level, key)
     else:
         cells = _polygon_level(parts, grid, level, mode, key)
     return _finish(cells, grid, boundary, level, mode)
 
 
-def _polygon_parts(df: DataFrame, ring: str, key: list[str]) -> DataFrame:
-    """Ring arrays (made continuous) with their bounding boxes, shifted into WGS84 where they cross the dateline."""
+def _rings(df: DataFrame, ring: str, key: list[str]) -> DataFrame:
+    """Open ring arrays with continuous longitudes and whether they are holes."""
     hole = F.col("is_hole") if "is_hole" in df.columns else F.lit(False)
-
     r = F.slice(F.col(ring), F.lit(1), F.size(F.col(ring)) - 1)
-    out = df.select(
+    return df.select(
         *key,
         hole.alias("__hole"),
         F.xxhash64(F.col(ring), hole).alias("__part"),
         shapes.continuous(F.transform(r, lambda p: p["lon"])).alias("__rx"),
         F.transform(r, lambda p: p["lat"]).alias("__ry"),
     )
+
+
+def _box_parts(df: DataFrame, key: list[str]) -> DataFrame:
+    """Boxes as rings; one that crosses the dateline runs on beyond 180 degrees, a whole turn stays one."""
+    w, s, e, n = (F.col(c).cast("double") for c in BOX)
+    e = F.when(w > e, e + 360.0).otherwise(e)
+    rest = [c for c in df.columns if c not in BOX and c not in key]
+    return df.select(*key, *rest, F.lit(False).alias("__hole"), F.array(w, e, e, w).alias("__rx"), F.array(s, s, n, n).alias("__ry"))
+
+
+def _polygon_parts(df: DataFrame, ring: str, key: list[str]) -> DataFrame:
+    """Ring arrays (made continuous) with their bounding boxes, shifted into WGS84 where they cross the dateline."""
+    out = _rings(df, ring, key)
     out = out.withColumn("__shift", F.explode(F.array(*[F.lit(v) for v in (-360.0, 0.0, 360.0)])))
     out = out.withColumn("__rx", F.transform("__rx", lambda v: v + F.col("__shift")))
     out = out.withColumns(

@@ -86,8 +86,45 @@ def _cover_counts(grid, level, mode):
 query("c5_mgrs_intersect")(_cover("mgrs", 0, "intersect"))
 query("c5_mgrs_contain")(_cover("mgrs", 0, "contain"))
 query("c6_mgrs_minimal")(_cover_counts("mgrs", 1, "minimal"))
-query("c7_isea4h_intersect")(_cover("isea4h", 4, "intersect"))
-query("c7_isea4h_contain")(_cover("isea4h", 6, "contain"))
+_C7 = "SELECT scene_id, {level} AS grid_level, CAST(seq AS VARCHAR) AS space_code FROM ({pairs}) WHERE {keep}"
+_SCENE_BOXES = "SELECT scene_id, min_lon, min_lat, max_lon, max_lat FROM scenes"
+query("c7_isea4h_intersect", _C7.format(level=4, pairs=duck.isea4h_box_pairs(_SCENE_BOXES, 4), keep="inside > whole * 1e-12"))(_cover("isea4h", 4, "intersect"))
+query("c7_isea4h_contain", _C7.format(level=6, pairs=duck.isea4h_box_pairs(_SCENE_BOXES, 6), keep="inside >= whole * (1 - 1e-9)"))(_cover("isea4h", 6, "contain"))
+
+
+def _hex_minimal_sql(areas, inside):
+    """Level 6 and 7 of the minimal covers of areas of at most three square degrees, which hold no hexagon of level 5.
+
+    ``inside`` turns pairs of areas and hexagons into ones with the area ``inside``.
+    """
+    side = "(b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)"
+    sides = [side.replace("a.", f"big[{k}].").replace("b.", f"big[{k} % len(big) + 1].") for k in (f"(({n} - 1) % len(big) + 1)" for n in range(1, 7))]
+    near = """SELECT c.scene_id, c.seq, c.ring, t.ring AS big FROM c JOIN t ON c.scene_id = t.scene_id AND list_max(list_transform(t.ring, lambda p: p.x)) > list_min(list_transform(c.ring, lambda p: p.x))
+        AND list_min(list_transform(t.ring, lambda p: p.x)) < list_max(list_transform(c.ring, lambda p: p.x)) AND list_max(list_transform(t.ring, lambda p: p.y)) > list_min(list_transform(c.ring, lambda p: p.y))
+        AND list_min(list_transform(t.ring, lambda p: p.y)) < list_max(list_transform(c.ring, lambda p: p.y))"""
+    return f"""WITH t AS MATERIALIZED (SELECT scene_id, seq, ring FROM ({inside(duck.isea4h_box_pairs(areas, 6))}) WHERE inside >= whole * (1 - 1e-9)),
+      c AS MATERIALIZED (SELECT scene_id, seq, ring, whole, inside FROM ({inside(duck.isea4h_box_pairs(areas, 7))}) WHERE inside > whole * 1e-9),
+      l AS (SELECT scene_id, seq, sum(lap) AS lap FROM ({duck.clipped(near, sides, 'lap')}) GROUP BY scene_id, seq)
+      SELECT scene_id, 6 AS grid_level, CAST(seq AS VARCHAR) AS space_code FROM t
+      UNION ALL SELECT c.scene_id, 7, CAST(c.seq AS VARCHAR) FROM c LEFT JOIN l ON c.scene_id = l.scene_id AND c.seq = l.seq WHERE inside - coalesce(lap, 0) > whole * 1e-9"""
+
+
+query("c8_isea4h_minimal", _hex_minimal_sql(_SCENE_BOXES, lambda pairs: pairs))(_cover("isea4h", 7, "minimal"))
+_HOLE = ("min_lon + 0.9", "min_lat + 0.6", "min_lon + 1.3", "min_lat + 0.9")
+
+
+def _without_hole(pairs):
+    w, s, e, n = (c.replace("+ ", "+ CAST(") + " AS DOUBLE)" for c in _HOLE)
+    return f"SELECT * REPLACE (inside - hole AS inside) FROM ({duck.clipped(pairs, [f'p.x - ({w})', f'p.y - ({s})', f'({e}) - p.x', f'({n}) - p.y'], 'hole')})"
+
+
+@query("c8_isea4h_minimal_polygon", _hex_minimal_sql(_SCENE_BOXES, _without_hole))
+def _(spark, sf_dir):
+    s = boxes(spark, sf_dir)
+    outer = s.select("scene_id", shapes.box_ring(*[F.col(c) for c in C.BOX]).alias("ring"), F.lit(False).alias("is_hole"))
+    hole = s.select("scene_id", shapes.box_ring(*[F.expr(c) for c in _HOLE]).alias("ring"), F.lit(True).alias("is_hole"))
+    out = C.cover_polygon(outer.unionByName(hole), "isea4h", 7, "minimal", ["scene_id"], boundary="none")
+    return out.select("scene_id", F.col("grid_level").cast("long").alias("grid_level"), "space_code")
 
 
 def _cover_holds_points(grid, level, make):

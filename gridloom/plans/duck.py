@@ -336,3 +336,95 @@ VIEWS["run_rows"] = """
            CASE WHEN o_orderkey % 200 < 40 THEN 'completed' WHEN o_orderkey % 200 < 60 THEN 'failed' WHEN o_orderkey % 200 < 70 THEN 'cancelled'
                 ELSE CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN CASE WHEN o_orderkey % 200 < 130 THEN 'running' ELSE 'failed' END ELSE 'queued' END END AS status,
            o_orderdate AS created_at, o_orderkey AS pos, CASE WHEN o_orderkey % 4 > 0 THEN 'v' || (o_orderkey % 4) END AS output_version, o_totalprice AS price FROM orders"""
+
+
+def isea4h_corners(level: int) -> str:
+    """Statement (seq, k, lon, lat) of the corners of all hexagons of a level, in order around each, longitudes in -180..180.
+
+    The inverse of the equal-area projection: Newton's method on the spherical excess.
+    """
+    from math import cos, pi, sin
+
+    d = "CAST({!r} AS DOUBLE)".format
+    n = 1 << level
+    q, i, j = isea4h_triple("seq", level)
+    fr = isea4h.FRAMES
+    table = lambda key: "[" + ", ".join(d(f[key]) for f in fr) + "][face + 1]"
+    sg, cg = d(sin(isea4h.THETA_G)), d(cos(isea4h.THETA_G))
+    cosf, cot, tanf, theta = d(isea4h.COS_FACE), d(isea4h.COT30), d(isea4h.TAN_FACE), d(isea4h.THETA_G)
+    spots = ", ".join(f"{{'k': {k}, 'cu': {d(a)}, 'cv': {d(b)}}}" for k, (a, b) in enumerate([(1 / 3, 2 / 3), (-1 / 3, 1 / 3), (-2 / 3, -1 / 3), (-1 / 3, -2 / 3), (1 / 3, -1 / 3), (2 / 3, 1 / 3)]))
+    cap = lambda seq, order, u, v: f"SELECT {seq} AS seq, unnest(range(5)) AS k, unnest({list(order)}) AS q, {d(u)} AS u, {d(v)} AS v"
+    third = d(2 * pi / 3)
+
+    def folded(source: str) -> str:
+        down, left = "(v < 0 AND (q <= 5 OR u >= 0))", "(u < 0 AND NOT (v < 0 AND (q <= 5 OR u >= 0)))"
+        return f"""SELECT seq, k,
+            CASE WHEN {down} THEN CASE WHEN q <= 5 THEN (q + 3) % 5 + 6 ELSE (q - 2) % 5 + 6 END WHEN {left} THEN CASE WHEN q <= 5 THEN (q + 3) % 5 + 1 ELSE q - 5 END ELSE q END AS q,
+            CASE WHEN {down} THEN CASE WHEN q <= 5 THEN u ELSE 1 + v END WHEN {left} THEN CASE WHEN q <= 5 THEN 1 - v + u ELSE 1 + u END ELSE u END AS u,
+            CASE WHEN {down} THEN CASE WHEN q <= 5 THEN 1 + v ELSE 1 - u + v END WHEN {left} THEN CASE WHEN q <= 5 THEN 1 + u ELSE v END ELSE v END AS v
+            FROM ({source})"""
+
+    spread = f"""SELECT seq, c.k AS k, q, (i + c.cu) / {d(float(n))} AS u, (j + c.cv) / {d(float(n))} AS v
+        FROM (SELECT seq, {q} AS q, {i} AS i, {j} AS j, unnest([{spots}]) AS c FROM (SELECT unnest(range(2, {isea4h.cell_count(level)})) AS seq))
+        WHERE NOT (i = 0 AND j = 0 AND c.k = CASE WHEN q <= 5 THEN 2 ELSE 3 END)
+        UNION ALL {cap(1, (2, 3, 4, 5, 1), 1 / 3 / n, (n - 1 / 3) / n)} UNION ALL {cap(isea4h.cell_count(level), (8, 7, 6, 10, 9), (n - 1 / 3) / n, 1 / 3 / n)}"""
+    h = f"acos(greatest(-1, least(1, sin(a) * {sg} * {cosf} - cos(a) * {cg})))"
+    step = f"a - (goal - a - {theta} - {h} + {d(pi)}) / ((cos(a) * {sg} * {cosf} + sin(a) * {cg}) / sin({h}) - 1)"
+    return f"""
+      SELECT seq, k, (degrees(clon + atan2(sin(fullaz) * sin(z) * cos(clat), cos(z) - sin(clat) * slat)) + 540) % 360 - 180 AS lon, degrees(asin(slat)) AS lat
+      FROM (SELECT *, greatest(-1, least(1, sin(clat) * cos(z) + cos(clat) * sin(z) * cos(fullaz))) AS slat
+      FROM (SELECT *, az + sector + {table('turn')} AS fullaz, {table('lat')} AS clat, {table('lon')} AS clon,
+          2 * asin(least(1, rho / (2 * {d(isea4h.R_PRIME)} * {tanf} / (2 * (cos(plane) + {cot} * sin(plane)) * sin(atan2({tanf}, cos(az) + {cot} * sin(az)) / 2))))) AS z
+      FROM (SELECT *, list_reduce(list_prepend(plane, list_transform(range(12), lambda x: CAST(x AS DOUBLE))), lambda a, x: {step}) AS az
+      FROM (SELECT *, {d((isea4h.R_PRIME * isea4h.TAN_FACE) ** 2)} / (2 * (1 / tan(plane) + {cot})) AS goal
+      FROM (SELECT * EXCLUDE (turned), greatest(turned - sector, 1e-15) AS plane
+      FROM (SELECT *, least(floor(turned / {third}), 2) * {third} AS sector
+      FROM (SELECT *, CASE WHEN atan2(px, py) < 0 THEN atan2(px, py) + {d(2 * pi)} ELSE atan2(px, py) END AS turned, sqrt(px * px + py * py) AS rho
+      FROM (SELECT seq, k, face, (dx * 0.5 + dy * {d(isea4h.SIN60)}) * {d(isea4h.EDGE)} - {d(isea4h.ORIGIN_X)} AS px, (dy * 0.5 - dx * {d(isea4h.SIN60)}) * {d(isea4h.EDGE)} - {d(isea4h.ORIGIN_Y)} AS py
+      FROM (SELECT seq, k, (q - 1) % 5 + CASE WHEN v >= u AND q <= 5 THEN 0 WHEN v >= u THEN 10 WHEN q <= 5 THEN 5 ELSE 15 END AS face,
+          CASE WHEN v >= u THEN u - v / 2 ELSE 0.5 - (u - v / 2) END AS dx, CASE WHEN v >= u THEN v * {d(isea4h.SIN60)} ELSE {d(isea4h.SIN60)} - v * {d(isea4h.SIN60)} END AS dy
+      FROM ({folded(folded(spread))}))))))))))"""
+
+
+def isea4h_rings(level: int) -> str:
+    """Statement (seq, ring, w, s, e, n) of hexagons away from the poles: rings are lists of {x, y}, in order.
+
+    Longitudes of a ring are continuous; one that crosses the dateline comes once on each side.
+    """
+    corners = f"SELECT *, first_value(lon) OVER (PARTITION BY seq ORDER BY k) AS lon0 FROM ({isea4h_corners(level)})"
+    near = "CASE WHEN lon - lon0 > 180 THEN lon - 360 WHEN lon - lon0 < -180 THEN lon + 360 ELSE lon END"
+    rings = f"SELECT seq, list({{'x': x, 'y': lat}} ORDER BY k) AS ring, min(x) AS w, min(lat) AS s, max(x) AS e, max(lat) AS n FROM (SELECT seq, k, lat, {near} AS x FROM ({corners})) GROUP BY seq"
+    moved = "SELECT seq, list_transform(ring, lambda p: {{'x': p.x {by}, 'y': p.y}}) AS ring, w {by} AS w, s, e {by} AS e, n FROM hexagons WHERE {where}"
+    return f"WITH hexagons AS MATERIALIZED ({rings}) SELECT * FROM hexagons UNION ALL {moved.format(by='- 360', where='e > 180')} UNION ALL {moved.format(by='+ 360', where='w < -180')}"
+
+
+def clip_left(ring: str, side: str) -> str:
+    """Part of a ring where ``side`` (of a point p) is not negative."""
+    p, q = f"{ring}[i]", f"{ring}[i % len({ring}) + 1]"
+    at = lambda v: "(" + side.replace("p.x", f"{v}.x").replace("p.y", f"{v}.y") + ")"
+    a, b = at(p), at(q)
+    point = f"{{'x': {p}.x + {a} / ({a} - {b}) * ({q}.x - {p}.x), 'y': {p}.y + {a} / ({a} - {b}) * ({q}.y - {p}.y)}}"
+    return f"flatten(list_transform(range(1, len({ring}) + 1), lambda i: CASE WHEN {a} >= 0 AND {b} < 0 THEN [{p}, {point}] WHEN {a} >= 0 THEN [{p}] WHEN {b} >= 0 THEN [{point}] ELSE [] END))"
+
+
+def ring_area(ring: str) -> str:
+    p, q = f"{ring}[i]", f"{ring}[i % len({ring}) + 1]"
+    o = f"{ring}[1]"
+    return f"abs(coalesce(list_sum(list_transform(range(1, len({ring}) + 1), lambda i: ({p}.x - {o}.x) * ({q}.y - {o}.y) - ({q}.x - {o}.x) * ({p}.y - {o}.y))), 0)) / 2"
+
+
+def clipped(source: str, sides: list[str], out: str, ring: str = "ring") -> str:
+    """``source`` with ``out``, the area of its ``ring`` on the left of all sides."""
+    steps = [f"cut0 AS MATERIALIZED (SELECT *, {ring} AS cut FROM ({source}))"]
+    for k, side in enumerate(sides):  # materialized, or each step would be written out several times in the next
+        steps.append(f"cut{k + 1} AS MATERIALIZED (SELECT * REPLACE ({clip_left('cut', side)} AS cut) FROM cut{k})")
+    return f"WITH {', '.join(steps)} SELECT * EXCLUDE (cut), {ring_area('cut')} AS {out} FROM cut{len(sides)}"
+
+
+def isea4h_box_pairs(areas: str, level: int, box: tuple[str, str, str, str] = ("min_lon", "min_lat", "max_lon", "max_lat")) -> str:
+    """Pairs of areas and hexagons whose boxes meet, with the hexagon's ring and area ``whole`` and the area ``inside`` the box."""
+    w, s, e, n = box
+    near = f"""SELECT a.*, h.seq, h.ring FROM (SELECT *, unnest(range(CAST(floor({s} / 2) AS BIGINT), CAST(floor({n} / 2) AS BIGINT) + 1)) AS band FROM ({areas})) a
+        JOIN (SELECT *, unnest(range(CAST(floor(s / 2) AS BIGINT), CAST(floor(n / 2) AS BIGINT) + 1)) AS hband FROM ({isea4h_rings(level)})) h ON a.band = h.hband
+        AND h.w < a.{e} AND h.e > a.{w} AND h.s < a.{n} AND h.n > a.{s} AND a.band = greatest(CAST(floor(a.{s} / 2) AS BIGINT), CAST(floor(h.s / 2) AS BIGINT))"""
+    return clipped(f"SELECT *, {ring_area('ring')} AS whole FROM ({near})", [f"p.x - {w}", f"p.y - {s}", f"{e} - p.x", f"{n} - p.y"], "inside")

@@ -1,12 +1,13 @@
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.functions import geohash, isea4h, kernels
+from gridloom.functions import geohash, isea4h, kernels, shapes
 from gridloom.functions import sqlfuncs  # noqa: F401
-from gridloom.operators import cover, grid
+from gridloom.operators import cover, grid, hexminimal
 
 # Centres (lon, lat) of the twelve level-0 hexagon cells.
 LEVEL0 = (
@@ -153,3 +154,67 @@ def test_projection_round_trip():
     x, y = kernels.unproject_metric(e, n, zone, lat >= 0, polar)
     assert np.abs(x - lon).max() < 1e-9 and np.abs(y - lat).max() < 1e-9
     assert pd.Series(e).between(100_000, 900_000).all()
+
+
+# ------------------------------------------------------------------ minimal hexagon covers
+
+
+def _slow_minimal(parts, level):
+    """Every hexagon of every level against the area and against all hexagons taken before."""
+    taken, out = [], set()
+    for lv in range(level + 1):
+        seq = np.arange(1, isea4h.cell_count(lv) + 1)
+        rings = shapes.hexagon_rings(*hexminimal.triples(seq, lv), lv)
+        whole = kernels.areas(rings)
+        rest = hexminimal.Areas([parts]).inside(np.zeros(len(seq), int), rings)
+        for big in taken:
+            rest -= hexminimal._shared(rings, np.broadcast_to(big, (len(rings), *big.shape)))
+        chosen = rest >= whole * (1 - 1e-9) if lv < level else rest > whole * 1e-9
+        out |= {(lv, int(n)) for n in seq[chosen]}
+        taken += list(rings[chosen])
+    return out
+
+
+_WORLD = np.array([[-180.0, -90.0], [180.0, -90.0], [180.0, 90.0], [-180.0, 90.0]])
+_HOLE = np.array([[110.0, 30.0], [120.0, 30.0], [120.0, 40.0], [110.0, 40.0]])
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        [(np.array([[100.0, 10.0], [140.0, 10.0], [140.0, 40.0], [100.0, 40.0]]), 1)],
+        [(_WORLD, 1), (_HOLE, -1)],
+        [(np.array([[150.0, -60.0], [210.0, -50.0], [200.0, 70.0], [160.0, 80.0]]), 1)],
+        [(np.array([[-180.0, 50.0], [180.0, 50.0], [180.0, 90.0], [-180.0, 90.0]]), 1)],
+        [(np.array([[0.0, 0.0], [40.0, 0.0], [40.0, 50.0], [20.0, 10.0], [0.0, 50.0]]), 1), (np.array([[60.0, -5.0], [90.0, -5.0], [75.0, 30.0]]), 1)],
+    ],
+)
+def test_minimal_hexagons_as_by_enumeration(parts):
+    got = {(lv, int(n)) for lv, _, seq in hexminimal.minimal_cells([parts], 3) for n in seq}
+    assert got == _slow_minimal(parts, 3)
+
+
+def test_minimal_hexagons_give_a_cell_back():
+    for lv in (0, 1):
+        numbers = np.arange(1, isea4h.cell_count(lv) + 1)
+        rings = shapes.hexagon_rings(*hexminimal.triples(numbers, lv), lv)
+        found = {}
+        for level, own, seq in hexminimal.minimal_cells([[(r, 1)] for r in rings], lv + 1):
+            for k, n in zip(own, seq):
+                found.setdefault(k, []).append((level, n))
+        assert found == {k: [(lv, k + 1)] for k in range(len(numbers))}
+
+
+def test_minimal_hexagons_of_boxes_and_polygons(spark):
+    rows = [("world", -180.0, -90.0, 180.0, 90.0), ("dateline", 170.0, -10.0, -160.0, 15.0), ("small", 10.0, 10.0, 10.1, 10.1)]
+    boxes = spark.createDataFrame(rows, "name string, min_lon double, min_lat double, max_lon double, max_lat double")
+    got = cover.cover_bbox(boxes, "isea4h", 4, "minimal", ["name"], boundary="none").collect()
+    cells = {n: {(r.grid_level, r.space_code) for r in got if r.name == n} for n in ("world", "dateline", "small")}
+    assert cells["world"] == {(0, str(k)) for k in range(1, 13)}
+    assert {lv for lv, _ in cells["small"]} == {4} and {lv for lv, _ in cells["dateline"]} >= {3, 4}
+    ring = lambda r: [{"lon": float(x), "lat": float(y)} for x, y in [*r, r[0]]]
+    areas = [("holed", ring(_WORLD), False), ("holed", ring(_HOLE), True), ("dateline", ring([(170, -10), (200, -10), (200, 15), (170, 15)]), False), ("empty", None, False)]
+    polygons = spark.createDataFrame(areas, "name string, ring array<struct<lon: double, lat: double>>, is_hole boolean").filter("ring is not null")
+    again = cover.cover_polygon(polygons, "isea4h", 4, "minimal", ["name"], boundary="none").collect()
+    assert {(r.grid_level, r.space_code) for r in again if r.name == "dateline"} == cells["dateline"]
+    assert {(r.grid_level, int(r.space_code)) for r in again if r.name == "holed"} == _slow_minimal([(_WORLD, 1), (_HOLE, -1)], 4)
