@@ -24,24 +24,38 @@ def output_version(dataset, task) -> Column:
     return F.substring(joined_hash(dataset, task), 1, 32)
 
 
+# The fields of an output's identity, in the order in which they are hashed.
+OUTPUT_FIELDS = (
+    "dataset_id", "output_version", "source_asset_id", "band_code", "grid_type",
+    "grid_level", "space_code", "topology_code", "time_bucket", "window_identity",
+)
+
+
 def identity_json(fields: dict) -> Column:
-    """Canonical JSON of the fields in name order; NULLs are written."""
-    items = [_col(fields[k]).cast("string").alias(k) for k in sorted(fields)]
-    return F.to_json(F.struct(*items), {"ignoreNullFields": "false"})
+    """Compact JSON of the fields in the given order and in their own types; NULLs are written."""
+    return F.to_json(F.struct(*[_col(v).alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
 
 
 def identity_hash(fields: dict) -> Column:
     return F.sha2(identity_json(fields), 256)
 
 
-def with_id(df: DataFrame, out: str, fields: dict) -> DataFrame:
-    return df.withColumn(out, identity_hash(fields))
+def output_id(**fields) -> Column:
+    """Hash of an output's identity: ``OUTPUT_FIELDS`` as columns, each by its own name unless given.
+
+    The level is a number, all others are text; only ``topology_code`` may be NULL.
+    """
+    unknown = set(fields) - set(OUTPUT_FIELDS)
+    if unknown:
+        raise ValueError(f"not part of an output's identity: {sorted(unknown)}")
+    typed = {k: _col(fields.get(k, k)).cast("int" if k == "grid_level" else "string") for k in OUTPUT_FIELDS}
+    return identity_hash(typed)
 
 
-def with_output_ids(df: DataFrame, dataset: str, task: str, fields: dict) -> DataFrame:
+def with_output_ids(df: DataFrame, dataset: str = "dataset_id", task: str = "task_id", **fields) -> DataFrame:
     """Add ``output_version`` and ``output_id``."""
     df = df.withColumn("output_version", output_version(dataset, task))
-    return with_id(df, "output_id", {**fields, "dataset": dataset, "version": "output_version"})
+    return df.withColumn("output_id", output_id(dataset_id=dataset, **fields))
 
 
 def scene_identity(namespace, key) -> Column:

@@ -296,8 +296,53 @@ def filter_listing(df: DataFrame, keyword: str | None = None, in_columns: tuple
     return out
 
 
-def backfill_status(run_scenes: DataFrame, status: DataFrame, keys: list[str]) -> DataFrame:
-    """Status rows for runs from before they were kept: the latest run of each unit, where there is no row yet."""
-    last = latest_per(run_scenes, keys, [F.col("created_at"), F.col("partition_run_id")], ["partition_run_id", "status"])
-    made = last.join(status.select(*keys), keys, "left_anti").withColumn("backfilled", F.lit(True))
-    return status.withColumn("backfilled", F.lit(False)).unionByName(made, allowMissingColumns=True)
+# The grids a status row can name.
+GRIDS = ("geohash", "mgrs", "isea4h")
+
+
+def backfill_status(
+    run_scenes: DataFrame, versions: DataFrame, bands: DataFrame, quality_runs: DataFrame, ingest_scenes: DataFrame, status: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(status rows, rejects) after filling in rows for runs from before the status of a band unit on a grid was kept.
+
+    A run's scene (partition_run_id, scene_id, dataset_id, status, grid_config as JSON, output_version,
+    attempt_count, error_message, created_at) names its grid type and level in its configuration or,
+    failing that, in its output version (``versions``); without a known type and a level it is a reject.
+    Its band units are the ids listed in the configuration or, where that lists none, the scene's own
+    (``bands``).  Quality is the newest run's of the version (``quality_runs``; unfinished ones come
+    last), ingest the newest that lists the unit (``ingest_scenes``, band_unit_ids as JSON); both are
+    ``pending`` without one.  Rows of ``status`` stay as they are; of several runs of a unit on a
+    grid the earliest is taken.
+    """
+    config = F.from_json("grid_config", "grid_type string, requested_grid_level int, band_unit_ids array<string>")
+    runs = run_scenes.withColumn("__c", config)
+    has_version = F.coalesce(F.col("output_version"), F.lit("")) != ""
+    known = versions.select("dataset_id", "output_version", F.col("grid_type").alias("__type"), F.col("requested_grid_level").alias("__level"))
+    runs = runs.join(known, ["dataset_id", "output_version"], "left")
+    text = F.col("__c.grid_type")
+    grid = F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.coalesce("__type", F.lit("")))
+    runs = runs.withColumns({"grid_type": grid, "grid_level": F.coalesce("__c.requested_grid_level", "__level").cast("int")}).drop("__type", "__level")
+    named = F.col("grid_type").isin(*GRIDS) & F.col("grid_level").isNotNull()
+    rejects = runs.filter(~named).select("partition_run_id", "scene_id", "dataset_id", "grid_type", "grid_level")
+    listed = F.filter(F.coalesce("__c.band_unit_ids", F.array().cast("array<string>")), lambda b: b.isNotNull() & (b != ""))
+    runs = runs.filter(named).withColumn("__ids", listed).drop("__c", "grid_config")
+    first = runs.filter(F.size("__ids") > 0).withColumn("band_unit_id", F.explode("__ids")).drop("__ids")
+    own = bands.filter("band_unit_id is not null").select("scene_id", "band_unit_id")
+    units = first.unionByName(runs.filter(F.size("__ids") == 0).drop("__ids").join(own, "scene_id"))
+    keys = ["band_unit_id", "grid_type"]
+    units = units.join(status.select(*keys), keys, "left_anti")
+    fields = ["dataset_id", "scene_id", "grid_level", "partition_run_id", "status", "output_version", "attempt_count", "error_message"]
+    units = units.groupBy(*keys).agg(F.min_by(F.struct(*fields), F.struct("created_at", "partition_run_id", "scene_id")).alias("r")).select(*keys, "r.*")
+    done = F.struct(F.col("completed_at").isNotNull(), "completed_at", "created_at")
+    judged = quality_runs.groupBy("dataset_id", "output_version").agg(F.max_by("status", done).alias("__quality"))
+    entered = ingest_scenes.withColumn("band_unit_id", F.explode(F.array_distinct(F.from_json("band_unit_ids", "array<string>"))))
+    entered = entered.groupBy("scene_id", "output_version", "band_unit_id").agg(F.max_by("status", "updated_at").alias("__ingest"))
+    made = units.join(judged, ["dataset_id", "output_version"], "left").join(entered, ["scene_id", "output_version", "band_unit_id"], "left")
+    pending = F.lit("pending")
+    made = made.select(
+        "dataset_id", "scene_id", *keys, "grid_level", "partition_run_id", F.col("status").alias("partition_status"),
+        F.when(has_version, F.coalesce("__quality", pending)).otherwise(pending).alias("quality_status"),
+        F.when(has_version, F.coalesce("__ingest", pending)).otherwise(pending).alias("ingest_status"),
+        "output_version", F.coalesce("attempt_count", F.lit(0)).cast("int").alias("attempt_no"), "error_message",
+    )
+    return status.unionByName(made, allowMissingColumns=True), rejects

@@ -148,38 +148,30 @@ def observation_bucket(bucket: Column, index: Column) -> Column:
     return F.format_string("%s-%09d", bucket, index.cast("long"))
 
 
-def build_outputs(tasks: DataFrame, dataset: str = "dataset_id", version: str = "output_version"):
+def build_outputs(tasks: DataFrame, dataset: str = "dataset_id", version: str = "output_version", band: str = "band", window: Column | None = None):
     """Tile, index and grid-cell rows of an output from stamped tasks (asset x cell x band).
 
-    Ids are hashes of the identity fields, so a second run gives the same rows.
-    The cell table is the distinct cells with the number of tiles and indexes in each.
+    Ids are hashes of the identity fields in contract order, so a second run gives the same rows.
+    Hexagon tiles are files of their own (``entity``), the others windows of their asset
+    (``logical-window``); ``window`` names the window where an asset has several in one cell.  An index
+    row has its tile's id and ``-index``, and points to the tile only where that is a file.  Cells
+    are distinct by code and topology, with the number of their tiles and indexes.
     """
-    kind = F.when(F.col("grid_type") == "isea4h", "entity_file").otherwise("logical_reference")
-    tiles = identity.with_id(
-        tasks.withColumn("tile_kind", kind),
-        "output_id",
-        {"kind": F.lit("tile"), "dataset": dataset, "version": version, "asset": "source_asset_id",
-         "band": "band", "grid": "grid_type", "level": "grid_level", "cell": "space_code"},
-    )
-    indexes = identity.with_id(
-        tasks, "output_id",
-        {"kind": F.lit("index"), "dataset": dataset, "version": version, "asset": "source_asset_id",
-         "band": "band", "grid": "grid_type", "level": "grid_level", "cell": "space_code", "bucket": "time_bucket"},
-    )
-    tile_id = identity.identity_hash(
-        {"kind": F.lit("tile"), "dataset": dataset, "version": version, "asset": "source_asset_id",
-         "band": "band", "grid": "grid_type", "level": "grid_level", "cell": "space_code"}
-    )
-    indexes = indexes.withColumn("tile_output_id", tile_id)
-    place = [dataset, version, "grid_type", "grid_level", "space_code"]
+    if "topology_code" not in tasks.columns:
+        tasks = tasks.withColumn("topology_code", F.lit(None).cast("string"))
+    entity = F.col("grid_type") == "isea4h"
+    fixed = {"dataset_id": dataset, "output_version": version}
+    own = window if window is not None else F.when(entity, "entity").otherwise("logical-window")
+    tiles = tasks.withColumn("output_id", identity.output_id(**fixed, band_code=band, window_identity=own))
+    indexes = tiles.withColumn("tile_output_id", F.when(entity, F.col("output_id"))).withColumn("output_id", F.concat("output_id", F.lit("-index")))
+    tiles = tiles.withColumn("tile_kind", F.when(entity, "entity_file").otherwise("logical_reference"))
+    place = [dataset, version, "grid_type", "grid_level", "space_code", "topology_code"]
     cells = tasks.groupBy(*place).agg(
         F.count("*").alias("tile_count"),
         F.count("*").alias("index_count"),
+        F.min("source_asset_id").alias("source_asset_id"),
         *[F.min(c).alias(c) for c in CELL_BOX if c in tasks.columns],
     )
-    cells = identity.with_id(
-        cells, "output_id",
-        {"kind": F.lit("cell"), "dataset": dataset, "version": version, "grid": "grid_type",
-         "level": "grid_level", "cell": "space_code"},
-    )
-    return tiles, indexes, cells
+    # What stands for band, time and window in a cell's identity; its asset is the least one.
+    marks = {"band_code": F.lit("_cell"), "time_bucket": F.lit("_"), "window_identity": F.lit("cell")}
+    return tiles, indexes, cells.withColumn("output_id", identity.output_id(**fixed, **marks))

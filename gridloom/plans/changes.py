@@ -158,10 +158,22 @@ def _(spark, sf_dir):
 # --- identities ------------------------------------------------------------------
 
 
-@register("k5_output_ids", "SELECT scene_id, substr(sha256(dataset_id || chr(0) || partition_run_id), 1, 32) AS output_version, sha256('{\"dataset\":\"' || dataset_id || '\",\"scene\":\"' || scene_id || '\",\"topology\":null,\"version\":\"' || substr(sha256(dataset_id || chr(0) || partition_run_id), 1, 32) || '\"}') AS output_id FROM run_rows")
-def _(u, r):
-    out = identity.with_output_ids(r.drop("output_version"), "dataset_id", "partition_run_id", {"scene": "scene_id", "topology": F.lit(None)})
-    return out.select("scene_id", "output_version", "output_id")
+def _identity_sql(asset, band, level, topology, bucket, window, version="output_version", grid="grid_type"):
+    """Hash of the identity JSON of an output, field by field in contract order."""
+    field = lambda name, value: f"""'"{name}":"' || {value} || '"'"""
+    parts = [field("dataset_id", "dataset_id"), field("output_version", version), field("source_asset_id", asset), field("band_code", band), field("grid_type", grid), f"""'"grid_level":' || {level}"""]
+    parts += [field("space_code", "space_code"), f"""'"topology_code":' || coalesce('"' || {topology} || '"', 'null')""", field("time_bucket", bucket), field("window_identity", window)]
+    return "sha256('{' || " + " || ',' || ".join(parts) + " || '}')"
+
+
+_K5_VERSION = "substr(sha256(dataset_id || chr(0) || scene_id), 1, 32)"
+_K5_TOPOLOGY = "CASE WHEN pos % 2 = 0 THEN 'topo-v1:' || space_code END"
+
+
+@query("k5_output_ids", f"SELECT scene_id, space_code, pos, {_K5_VERSION} AS output_version, {_identity_sql('source_asset_id', 'band_code', 'grid_level', _K5_TOPOLOGY, 'time_bucket', chr(39) + 'logical-window' + chr(39), _K5_VERSION)} AS output_id FROM index_rows")
+def _(spark, sf_dir):
+    i = rules.index_rows(spark, sf_dir).drop("output_version", "output_id").withColumn("topology_code", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("topo-v1:"), "space_code")))
+    return identity.with_output_ids(i, "dataset_id", "scene_id", window_identity=F.lit("logical-window")).select("scene_id", "space_code", "pos", "output_version", "output_id")
 
 
 @register(
@@ -218,16 +230,26 @@ def _(u, r):
     return L.resolve_version(r.withColumnRenamed("output_version", "requested_version"), current).select("scene_id", "output_version")
 
 
+# Every third row is of a hexagon output, whose tiles are files.
+_K10 = "(SELECT * REPLACE (CASE WHEN pos % 3 = 0 THEN 'isea4h' ELSE grid_type END AS grid_type) FROM index_rows)"
+_K10_ID = _identity_sql("source_asset_id", "band_code", "grid_level", "CAST(NULL AS VARCHAR)", "time_bucket", "CASE WHEN grid_type = 'isea4h' THEN 'entity' ELSE 'logical-window' END")
+
+
 @query(
     "k10_build_outputs",
-    """SELECT 'tiles' AS part, count(*) AS n, count(DISTINCT output_id) AS ids FROM index_rows UNION ALL SELECT 'indexes', count(*), count(DISTINCT output_id) FROM index_rows
-       UNION ALL SELECT 'cells', count(*), count(*) FROM (SELECT DISTINCT dataset_id, space_code FROM index_rows)""",
+    f"""WITH r AS (SELECT *, {_K10_ID} AS id FROM {_K10}),
+        c AS (SELECT dataset_id, output_version, grid_type, grid_level, space_code, min(source_asset_id) AS asset, count(*) AS n FROM {_K10} GROUP BY ALL)
+        SELECT 'tile' AS part, id AS output_id, NULL AS tile_output_id, CASE WHEN grid_type = 'isea4h' THEN 'entity_file' ELSE 'logical_reference' END AS kind, 1 AS n FROM r
+        UNION ALL SELECT 'index', id || '-index', CASE WHEN grid_type = 'isea4h' THEN id END, NULL, 1 FROM r
+        UNION ALL SELECT 'cell', {_identity_sql('asset', "'_cell'", 'grid_level', 'CAST(NULL AS VARCHAR)', "'_'", "'cell'")}, NULL, NULL, n FROM c""",
 )
 def _(spark, sf_dir):
-    i = rules.index_rows(spark, sf_dir).withColumns({"band": F.col("band_code"), "grid_level": F.lit(3)}).drop("output_id", "tile_output_id")
-    parts = zip(("tiles", "indexes", "cells"), P.build_outputs(i))
-    out = [df.agg(F.lit(n).alias("part"), F.count("*").alias("n"), F.count_distinct("output_id").alias("ids")) for n, df in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    i = rules.index_rows(spark, sf_dir).withColumn("grid_type", F.when(F.col("pos") % 3 == 0, "isea4h").otherwise(F.col("grid_type"))).drop("output_id", "tile_output_id")
+    tiles, indexes, cells = P.build_outputs(i, band="band_code")
+    none, one = F.lit(None).cast("string"), F.lit(1).cast("long")
+    out = tiles.select(F.lit("tile").alias("part"), "output_id", none.alias("tile_output_id"), F.col("tile_kind").alias("kind"), one.alias("n"))
+    out = out.unionByName(indexes.select(F.lit("index").alias("part"), "output_id", "tile_output_id", none.alias("kind"), one.alias("n")))
+    return out.unionByName(cells.select(F.lit("cell").alias("part"), "output_id", none.alias("tile_output_id"), none.alias("kind"), F.col("tile_count").alias("n")))
 
 
 @query("k11_observation_bucket", "SELECT source_index, strftime(acq_time, '%Y%m%d') || '-' || lpad(CAST(source_index AS VARCHAR), 9, '0') AS time_bucket FROM obs")
@@ -416,12 +438,58 @@ def _(u, r):
     return L.filter_listing(r, "s12", ("scene_id", "dataset_id"), {"status": "completed"}, ("created_at", "1996-01-01", "2000-01-01")).select("scene_id")
 
 
-@register(
+# Runs with and without a grid of their own, with and without listed units; versions, quality and ingest runs of the same scenes.
+_K22 = {
+    "runs": """SELECT *, CASE pos % 5 WHEN 0 THEN '{"grid_type":"geohash","requested_grid_level":' || (3 + pos % 2) || ',"band_unit_ids":["A' || pos || ':b1","",null,"U' || pos % 40 || '"]}'
+        WHEN 1 THEN '{"grid_type":"isea4h","requested_grid_level":5}' WHEN 2 THEN '{"grid_type":"mgrs","band_unit_ids":[]}' WHEN 3 THEN '{}' END AS grid_config,
+        CAST(pos % 3 AS INTEGER) AS attempt_count, CASE WHEN status = 'failed' THEN 'E' || pos END AS error_message FROM run_rows""",
+    "versions": "SELECT DISTINCT dataset_id, output_version, CASE WHEN CAST(substr(output_version, 2) AS INTEGER) = 3 THEN 'entity' ELSE 'mgrs' END AS grid_type, 2 AS requested_grid_level FROM run_rows WHERE output_version IS NOT NULL",
+    "quality": "SELECT dataset_id, output_version, pos, CASE WHEN pos % 4 > 0 THEN created_at END AS completed_at, created_at, CASE pos % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' ELSE 'fail' END AS status FROM run_rows WHERE output_version IS NOT NULL AND pos % 7 > 2",
+    "ingest": "SELECT scene_id, output_version, created_at AS updated_at, '[\"A' || pos || ':b1\",\"A' || pos || ':b2\",\"A' || pos || ':b1\"]' AS band_unit_ids, CASE WHEN pos % 2 = 0 THEN 'completed' ELSE 'failed' END AS status FROM run_rows WHERE output_version IS NOT NULL AND pos % 3 > 0",
+    "kept": "SELECT band_unit_id, 'mgrs' AS grid_type, 2 AS grid_level, 'old' AS partition_status FROM unit_rows WHERE grid_level = 3 AND band_code = 'b2'",
+}
+
+
+def _k22(spark, sf_dir):
+    """The tables of the backfill; quality runs have distinct times in a version."""
+    r, u, k = run_scenes(spark, sf_dir), units(spark, sf_dir), F.col("pos")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    config = (
+        F.when(k % 5 == 0, text('{"grid_type":"geohash","requested_grid_level":', 3 + k % 2, ',"band_unit_ids":["A', k, ':b1","",null,"U', k % 40, '"]}'))
+        .when(k % 5 == 1, '{"grid_type":"isea4h","requested_grid_level":5}').when(k % 5 == 2, '{"grid_type":"mgrs","band_unit_ids":[]}').when(k % 5 == 3, "{}")
+    )
+    runs = r.withColumns({"grid_config": config, "attempt_count": (k % 3).cast("int"), "error_message": F.when(F.col("status") == "failed", text("E", k))})
+    some = r.filter("output_version is not null")
+    third = F.substring("output_version", 2, 9).cast("int") == 3
+    versions = some.select("dataset_id", "output_version").distinct().withColumns({"grid_type": F.when(third, "entity").otherwise("mgrs"), "requested_grid_level": F.lit(2)})
+    at = F.col("created_at") + F.make_dt_interval(secs=k.cast("decimal(18,6)") / 1000000)
+    quality = some.filter(k % 7 > 2).select("dataset_id", "output_version", F.when(k % 4 > 0, at).alias("completed_at"), at.alias("created_at"), F.when(k % 3 == 0, "pass").when(k % 3 == 1, "warn").otherwise("fail").alias("status"))
+    ids = text('["A', k, ':b1","A', k, ':b2","A', k, ':b1"]')
+    ingest = some.filter(k % 3 > 0).select("scene_id", "output_version", F.col("created_at").alias("updated_at"), ids.alias("band_unit_ids"), F.when(k % 2 == 0, "completed").otherwise("failed").alias("status"))
+    kept = u.filter("grid_level = 3 and band_code = 'b2'").select("band_unit_id", F.lit("mgrs").alias("grid_type"), F.lit(2).alias("grid_level"), F.lit("old").alias("partition_status"))
+    return L.backfill_status(runs, versions, u.select("scene_id", "band_unit_id"), quality, ingest, kept)
+
+
+_K22_SQL = f"""WITH runs AS ({_K22['runs']}), versions AS ({_K22['versions']}), quality AS ({_K22['quality']}), ingest AS ({_K22['ingest']}), kept AS ({_K22['kept']}),
+  g AS (SELECT runs.*, coalesce(nullif(grid_config ->> '$.grid_type', ''), versions.grid_type) AS gt, coalesce(CAST(grid_config ->> '$.requested_grid_level' AS INTEGER), versions.requested_grid_level) AS gl,
+        list_filter(coalesce(CAST(grid_config -> '$.band_unit_ids' AS VARCHAR[]), []), lambda x: x IS NOT NULL AND x <> '') AS ids FROM runs LEFT JOIN versions USING (dataset_id, output_version)),
+  ok AS (SELECT * FROM g WHERE gt IN ('geohash', 'mgrs', 'isea4h') AND gl IS NOT NULL),
+  e AS (SELECT * EXCLUDE (ids), unnest(ids) AS band_unit_id FROM ok UNION ALL SELECT ok.* EXCLUDE (ids), u.band_unit_id FROM ok JOIN unit_rows u ON u.scene_id = ok.scene_id WHERE len(ids) = 0),
+  f AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.band_unit_id = e.band_unit_id AND kept.grid_type = e.gt) QUALIFY row_number() OVER (PARTITION BY band_unit_id, gt ORDER BY created_at, partition_run_id, scene_id) = 1),
+  q AS (SELECT dataset_id, output_version, status FROM quality QUALIFY row_number() OVER (PARTITION BY dataset_id, output_version ORDER BY completed_at DESC NULLS LAST, created_at DESC, pos DESC) = 1),
+  i AS (SELECT DISTINCT scene_id, output_version, status, unnest(CAST(CAST(band_unit_ids AS JSON) AS VARCHAR[])) AS band_unit_id FROM ingest)"""
+
+
+@query(
     "k22_backfill_status",
-    """SELECT dataset_id, partition_run_id, status, true AS backfilled FROM (SELECT dataset_id, arg_max(partition_run_id, (created_at, partition_run_id)) AS partition_run_id, arg_max(status, (created_at, partition_run_id)) AS status FROM run_rows GROUP BY 1) WHERE CAST(substr(dataset_id, 2) AS INTEGER) % 2 = 1
-       UNION ALL SELECT DISTINCT dataset_id, 'R0', 'completed', false FROM run_rows WHERE CAST(substr(dataset_id, 2) AS INTEGER) % 2 = 0""",
+    _K22_SQL + """ SELECT band_unit_id, grid_type, grid_level, NULL AS partition_run_id, partition_status, NULL AS quality_status, NULL AS ingest_status, NULL AS attempt_no, NULL AS error_message FROM kept
+       UNION ALL SELECT f.band_unit_id, gt, gl, partition_run_id, f.status, coalesce(q.status, 'pending'), coalesce(i.status, 'pending'), attempt_count, error_message
+       FROM f LEFT JOIN q USING (dataset_id, output_version) LEFT JOIN i ON i.scene_id = f.scene_id AND i.output_version = f.output_version AND i.band_unit_id = f.band_unit_id""",
 )
-def _(u, r):
-    kept = r.select("dataset_id").distinct().filter(F.substring("dataset_id", 2, 9).cast("int") % 2 == 0)
-    kept = kept.withColumns({"partition_run_id": F.lit("R0"), "status": F.lit("completed")})
-    return L.backfill_status(r, kept, ["dataset_id"]).select("dataset_id", "partition_run_id", "status", "backfilled")
+def _(spark, sf_dir):
+    return _k22(spark, sf_dir)[0].select("band_unit_id", "grid_type", "grid_level", "partition_run_id", "partition_status", "quality_status", "ingest_status", "attempt_no", "error_message")
+
+
+@query("k22_backfill_rejects", _K22_SQL + " SELECT partition_run_id, scene_id, coalesce(gt, '') AS grid_type, gl AS grid_level FROM g WHERE NOT coalesce(gt IN ('geohash', 'mgrs', 'isea4h') AND gl IS NOT NULL, false)")
+def _(spark, sf_dir):
+    return _k22(spark, sf_dir)[1].select("partition_run_id", "scene_id", "grid_type", "grid_level")
