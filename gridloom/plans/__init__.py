@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("flagship", "grids", "covers", "rules", "inputs", "relations", "changes", "extensions")
+MODULES = ("flagship", "grids", "covers", "rules", "inputs", "relations", "changes", "loading", "extensions")
 
 
 def load_all():
