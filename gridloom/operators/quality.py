@@ -33,8 +33,8 @@ FINDING = (
 Tables = dict[str, DataFrame]
 
 
-def finding(df: DataFrame, rule: str, error: Column | str, message: Column | str, **parts) -> DataFrame:
-    """Rows of ``df`` as findings; ``parts`` are columns or texts of the finding."""
+def _values(rule: str, error: Column | str, message: Column | str, parts: dict) -> list[Column]:
+    """The columns of a finding."""
 
     def value(name):
         if name == "rule_code":
@@ -43,7 +43,12 @@ def finding(df: DataFrame, rule: str, error: Column | str, message: Column | str
         v = F.lit(v) if not isinstance(v, Column) else v
         return v.cast("bigint" if name == "row_number" else "string")
 
-    return df.select(*OUTPUT, *[value(n).alias(n) for n in FINDING])
+    return [value(n).alias(n) for n in FINDING]
+
+
+def finding(df: DataFrame, rule: str, error: Column | str, message: Column | str, **parts) -> DataFrame:
+    """Rows of ``df`` as findings; ``parts`` are columns or texts of the finding."""
+    return df.select(*OUTPUT, *_values(rule, error, message, parts))
 
 
 def _missing(c: Column) -> Column:
@@ -128,17 +133,16 @@ def rule_cell_bbox_validity(t: Tables) -> DataFrame:
     )
 
 
-def rule_time_bucket_consistency(t: Tables) -> DataFrame:
+def _time_bucket_row() -> tuple:
     bucket = F.coalesce("time_bucket", F.lit(""))
     empty = bucket == ""
     wrong = F.coalesce(~F.startswith(bucket, F.date_format("acquisition_time", "yyyyMMdd")), F.lit(False))
-    rows = t["indexes"].filter(empty | wrong)
-    return finding(
-        rows, "time_bucket_consistency",
-        F.when(empty, "missing_time_bucket").otherwise("time_bucket_mismatch"),
-        F.when(empty, "index has no time bucket").otherwise("time bucket does not match acquisition date"),
-        index_id=F.col("output_id"), output_id=F.col("output_id"), field="time_bucket",
-    )
+    parts = {"index_id": F.col("output_id"), "output_id": F.col("output_id"), "field": "time_bucket"}
+    return empty | wrong, F.when(empty, "missing_time_bucket").otherwise("time_bucket_mismatch"), F.when(empty, "index has no time bucket").otherwise("time bucket does not match acquisition date"), parts
+
+
+def rule_time_bucket_consistency(t: Tables) -> DataFrame:
+    return _row_rule(t["indexes"], "time_bucket_consistency")
 
 
 def used_assets(t: Tables) -> DataFrame:
@@ -254,43 +258,93 @@ def alias_attributes(df: DataFrame, column: str = "attributes") -> DataFrame:
     return df.withColumn(column, F.map_concat(m, added))
 
 
-def _carbon(t: Tables) -> DataFrame:
-    rows = t["indexes"].filter(F.col("data_type") == "carbon")
+def with_carbon_values(rows: DataFrame) -> DataFrame:
+    """Add the attributes that carbon rules read; NULL where the row is of another kind."""
     rows = alias_attributes(rows)
-    get = lambda k: F.try_element_at("attributes", F.lit(k))
+    get = lambda k: F.when(F.col("data_type") == "carbon", F.try_element_at("attributes", F.lit(k)))
     return rows.withColumns({"a_lon": get("lon").try_cast("double"), "a_lat": get("lat").try_cast("double"), "a_xco2": get("xco2").try_cast("double"), "a_flag": get("quality_flag")})
 
 
-def _carbon_finding(rows: DataFrame, rule: str, error: str, message) -> DataFrame:
-    return finding(rows, rule, error, message, source_asset_id=F.col("source_asset_id"), index_id=F.col("output_id"))
+def _carbon(t: Tables) -> DataFrame:
+    return with_carbon_values(t["indexes"].filter(F.col("data_type") == "carbon"))
 
 
-def rule_carbon_schema(t: Tables) -> DataFrame:
-    rule = "carbon_schema"
-    rows = _carbon(t)
-    lacking = F.array_except(F.array(*[F.lit(f) for f in CARBON_FIELDS]), F.map_keys("attributes"))
-    text = F.concat(F.lit("missing carbon fields: "), F.concat_ws(", ", lacking))
-    bad = _carbon_finding(rows.filter(F.size(lacking) > 0), rule, "missing_carbon_fields", text)
-    empty = t["versions"].filter("data_type = 'carbon'").join(rows.select(*OUTPUT).distinct(), list(OUTPUT), "left_anti")
-    return bad.unionByName(finding(empty, rule, "missing_carbon_indexes", "carbon output has no observation indexes"))
+def _index() -> dict:
+    return {"source_asset_id": F.col("source_asset_id"), "index_id": F.col("output_id")}
 
 
 def _parsable() -> Column:
     return F.col("a_lon").isNotNull() & F.col("a_lat").isNotNull() & F.col("a_xco2").isNotNull()
 
 
-def rule_carbon_coordinates(t: Tables) -> DataFrame:
+def _carbon_fields_row() -> tuple:
+    lacking = F.array_except(F.array(*[F.lit(f) for f in CARBON_FIELDS]), F.map_keys("attributes"))
+    return F.size(lacking) > 0, "missing_carbon_fields", F.concat(F.lit("missing carbon fields: "), F.concat_ws(", ", lacking)), _index()
+
+
+def _coordinates_row() -> tuple:
     bad = _parsable() & ~(F.col("a_lon").between(-180, 180) & F.col("a_lat").between(-90, 90))
-    return _carbon_finding(_carbon(t).filter(bad), "carbon_coordinates", "invalid_coordinates", "carbon coordinates are outside WGS84 bounds")
+    return bad, "invalid_coordinates", "carbon coordinates are outside WGS84 bounds", _index()
 
 
-def rule_carbon_xco2_range(t: Tables, low: float = 0.0, high: float = 1000.0) -> DataFrame:
+def _xco2_row(low: float = 0.0, high: float = 1000.0) -> tuple:
     bad = _parsable() & ~((F.col("a_xco2") > low) & (F.col("a_xco2") < high))
-    return _carbon_finding(_carbon(t).filter(bad), "carbon_xco2_range", "xco2_out_of_range", "xco2 must be between 0 and 1000 ppm")
+    return bad, "xco2_out_of_range", "xco2 must be between 0 and 1000 ppm", _index()
+
+
+def _flag_row() -> tuple:
+    return _parsable() & _missing(F.col("a_flag")), "missing_quality_flag", "carbon quality_flag is required", _index()
+
+
+#: Rules that look at one index row at a time: whether it is bad, error code, message and parts of the finding.
+ROW_RULES: dict[str, Callable[[], tuple]] = {
+    "time_bucket_consistency": _time_bucket_row, "carbon_schema": _carbon_fields_row, "carbon_coordinates": _coordinates_row,
+    "carbon_xco2_range": _xco2_row, "carbon_quality_flags": _flag_row,
+}
+
+
+def _row_rule(rows: DataFrame, rule: str, row: tuple | None = None) -> DataFrame:
+    bad, error, message, parts = row or ROW_RULES[rule]()
+    return finding(rows.filter(bad), rule, error, message, **parts)
+
+
+def row_findings(indexes: DataFrame, codes: list[str]) -> DataFrame:
+    """Findings of several row rules in one pass over the index rows: an array for each row, then its entries."""
+    carbon = [c for c in codes if c.startswith("carbon_")]
+    if carbon and "attributes" not in indexes.columns:  # no table of this run has observations
+        codes, carbon = [c for c in codes if c not in carbon], []
+    rows = with_carbon_values(indexes) if carbon else indexes
+    found = []
+    for code in codes:
+        bad, error, message, parts = ROW_RULES[code]()
+        if code in carbon:
+            bad = (F.col("data_type") == "carbon") & bad
+        found.append(F.when(bad, F.struct(*_values(code, error, message, parts))))
+    if not found:
+        return finding(indexes.filter(F.lit(False)), "", "", "")
+    return rows.select(*OUTPUT, F.explode(F.array_compact(F.array(*found))).alias("f")).select(*OUTPUT, *[f"f.{n}" for n in FINDING])
+
+
+def carbon_outputs_without_rows(t: Tables) -> DataFrame:
+    rows = t["indexes"].filter(F.col("data_type") == "carbon").select(*OUTPUT).distinct()
+    empty = t["versions"].filter("data_type = 'carbon'").join(rows, list(OUTPUT), "left_anti")
+    return finding(empty, "carbon_schema", "missing_carbon_indexes", "carbon output has no observation indexes")
+
+
+def rule_carbon_schema(t: Tables) -> DataFrame:
+    return _row_rule(_carbon(t), "carbon_schema").unionByName(carbon_outputs_without_rows(t))
+
+
+def rule_carbon_coordinates(t: Tables) -> DataFrame:
+    return _row_rule(_carbon(t), "carbon_coordinates")
+
+
+def rule_carbon_xco2_range(t: Tables, low: float = 0.0, high: float = 1000.0) -> DataFrame:
+    return _row_rule(_carbon(t), "carbon_xco2_range", _xco2_row(low, high))
 
 
 def rule_carbon_quality_flags(t: Tables) -> DataFrame:
-    return _carbon_finding(_carbon(t).filter(_parsable() & _missing(F.col("a_flag"))), "carbon_quality_flags", "missing_quality_flag", "carbon quality_flag is required")
+    return _row_rule(_carbon(t), "carbon_quality_flags")
 
 
 # ---------------------------------------------------------------------------
@@ -385,8 +439,18 @@ def apply_if_newest(datasets: DataFrame, runs: DataFrame, key: str = "dataset_id
 
 
 def evaluate(t: Tables, codes: list[str] | None = None) -> DataFrame:
-    """Findings of all rules, or of some, over every output version in the tables."""
-    parts = [fn(t) for code, fn, _, _ in RULES if codes is None or code in codes]
+    """Findings of all rules, or of some, over every output version in the tables.
+
+    Rules of single index rows share one scan of the index table; the others join or count and keep
+    scans of their own.  Rules added with :func:`register_rule` run like the built-in ones.
+    """
+    wanted = [(code, fn) for code, fn, _, _ in RULES if codes is None or code in codes]
+    local = [code for code, _ in wanted if code in ROW_RULES]
+    parts = [fn(t) for code, fn in wanted if code not in ROW_RULES]
+    if local:
+        parts.append(row_findings(t["indexes"], local))
+    if "carbon_schema" in local:
+        parts.append(carbon_outputs_without_rows(t))
     return reduce(DataFrame.unionByName, parts)
 
 
