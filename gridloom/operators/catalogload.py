@@ -126,7 +126,7 @@ def merge_load(stored: dict[str, DataFrame], load: dict[str, DataFrame]) -> tupl
 
 
 def _pointer(root: str) -> str:
-    return f"{root.rstrip('/')}/_current"
+    return f"{root.rstrip('/')}/CURRENT"
 
 
 def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -56,6 +56,15 @@ def upsert_sink(path: str, keys: list[str], partition_by: list[str], order: str)
     return write
 
 
+def completed_versions(stream: DataFrame, keys: tuple = ("dataset_id", "output_version"), status: str = "status") -> DataFrame:
+    """Each output version of a stream of version rows (dataset_id, output_version, status) once, when it is first completed.
+
+    The state is one key for each version ever completed, kept without a time limit: a version that is
+    delivered again, however late, triggers nothing.
+    """
+    return stream.filter(F.col(status) == "completed").select(*keys).dropDuplicates(list(keys))
+
+
 def rules_sink(load_tables: Callable[[DataFrame], quality.Tables], path: str, codes: list[str] | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: runs the rules once for the output versions that arrived.
 
@@ -69,3 +78,12 @@ def rules_sink(load_tables: Callable[[DataFrame], quality.Tables], path: str, co
         findings.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
     return write
+
+
+def evaluate_incrementally(stream: DataFrame, load_tables: Callable[[DataFrame], quality.Tables], path: str, checkpoint: str, codes: list[str] | None = None):
+    """Start a query that runs the rules for each output version once it is completed; findings go below ``path``.
+
+    What was evaluated is in ``checkpoint``, so a restart goes on where the last run ended.
+    """
+    sink = rules_sink(load_tables, path, codes)
+    return completed_versions(stream).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
