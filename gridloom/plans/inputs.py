@@ -50,10 +50,9 @@ def _(spark, sf_dir):
     return manifest.validate_manifest(manifest.manifest_rows(manifests(spark, sf_dir)))[1].select("path", "band", "problem")
 
 
-@query("a3_bbox_of_corners", "SELECT scene_id, round(min_lon, 6) AS min_lon, round(min_lat, 6) AS min_lat, round(max_lon, 6) AS max_lon, round(max_lat, 6) AS max_lat FROM scenes WHERE pos % 13 <> 0 AND pos % 29 <> 0")
+@query("a3_bbox_of_corners", "SELECT pos AS k, CASE WHEN pos % 29 = 0 THEN ' ' ELSE scene_id END AS scene_id, CASE WHEN pos % 13 <> 0 THEN round(min_lon, 6) END AS min_lon, CASE WHEN pos % 13 <> 0 THEN round(min_lat, 6) END AS min_lat, CASE WHEN pos % 13 <> 0 THEN round(max_lon, 6) END AS max_lon, CASE WHEN pos % 13 <> 0 THEN round(max_lat, 6) END AS max_lat FROM scenes")
 def _(spark, sf_dir):
-    rows = manifest.with_bbox(manifests(spark, sf_dir).filter("size(corners) = 4 and scene_id <> ' '"), digits=6)
-    return rows.select("scene_id", "min_lon", "min_lat", "max_lon", "max_lat")
+    return manifest.with_bbox(manifests(spark, sf_dir), digits=6).select("k", "scene_id", "min_lon", "min_lat", "max_lon", "max_lat")
 
 
 @query("a4_parse_resolution", f"SELECT DISTINCT path, resolution FROM {_ROWS}")
@@ -325,6 +324,32 @@ def _(spark, sf_dir):
     return observations.with_row_index(views.obs(spark, sf_dir), "source_uri", "source_index").select("source_uri", "source_index", "row_index")
 
 
+@query(
+    "a24_index_line_numbers",
+    """SELECT 'part=' || k AS file, output_id AS space_code, rows + blanks + 1 AS line_number FROM (SELECT *, row_number() OVER w - 1 AS rows, coalesce(sum(CAST(pos % 17 = 0 AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS blanks
+       FROM (SELECT output_id, pos, pos % 3 AS k FROM index_rows) WINDOW w AS (PARTITION BY k ORDER BY pos, output_id))""",
+)
+def _(spark, sf_dir):
+    """Index rows written as three files of JSON lines, with blank lines after every seventeenth scene's, read in small splits."""
+    from uuid import uuid4
+
+    from gridloom.plans.rules import index_rows
+    from gridloom.session import stage_folder
+
+    base = f"{stage_folder(spark)}/lines-{uuid4().hex}"
+    line = F.to_json(F.struct(F.col("output_id").alias("space_code")))
+    rows = index_rows(spark, sf_dir).select("pos", "output_id", (F.col("pos") % 3).alias("part"), line.alias("value")).repartition(3, "part").sortWithinPartitions("part", "pos", "output_id")
+    rows = rows.select("part", F.explode(F.when(F.col("pos") % 17 == 0, F.array("value", F.lit(" "))).otherwise(F.array("value"))).alias("value"))
+    rows.write.partitionBy("part").text(f"{base}/in")
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        loads.read_index_rows(spark, f"{base}/in", line_numbers=True).select("file_path", "space_code", "line_number").write.parquet(f"{base}/out")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    return spark.read.parquet(f"{base}/out").select(F.regexp_extract("file_path", r"(part=\d+)", 1).alias("file"), "space_code", "line_number")
+
+
 @query("a25_fact_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW')")
 def _(spark, sf_dir):
     from gridloom.operators.query import read_fact

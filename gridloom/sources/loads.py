@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom import schemas
 from gridloom.functions import identity
@@ -56,13 +57,27 @@ def repeated_band_indexes(bands: DataFrame) -> DataFrame:
     return bands.groupBy("load_batch_id", "asset_id", "source_band_index").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file_path``, ``line_number`` (from 1 in each file, blank lines counted) and ``value`` of every line of text files.
+
+    A split of a file numbers its lines alone; the counts of the splits before it, a row for each,
+    tell where it starts.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("__at", F.monotonically_increasing_id())
+    splits = lines.groupBy("file_path", "file_block_start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1
+    splits = splits.select("file_path", "file_block_start", shift.alias("__shift"))
+    numbered = lines.join(splits, ["file_path", "file_block_start"])
+    return numbered.select("file_path", (F.col("__at") + F.col("__shift")).alias("line_number"), "value")
+
+
 def read_index_rows(spark: SparkSession, path: str, line_numbers: bool = False) -> DataFrame:
-    """Index rows of a partition file; line numbers only where asked for.
+    """Index rows of partition files (JSON lines); with ``file_path`` and ``line_number`` only where asked for.
 
-    Numbers come from one pass that counts the rows of each file split, so no task sees the whole file.
+    Blank lines are no rows but count as lines.
     """
-    rows = spark.read.schema(schemas.INDEX_ROW).json(path)
     if not line_numbers:
-        return rows
-    numbered = rows.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-    return spark.createDataFrame(numbered, f"{schemas.INDEX_ROW}, line_number bigint")
+        return spark.read.schema(schemas.INDEX_ROW).json(path)
+    lines = numbered_lines(spark, path).filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    return lines.select(F.from_json("value", schemas.INDEX_ROW).alias("r"), "file_path", "line_number").select("r.*", "file_path", "line_number")

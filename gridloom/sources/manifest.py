@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +46,21 @@ def manifest_rows(rows: DataFrame, default_type: str = "optical") -> DataFrame:
     )
 
 
+def _corner_checks(corners: str) -> tuple[Column, Column, Column]:
+    """Whether there are four corners, all are pairs, and all lie in WGS84 bounds."""
+    four = F.coalesce(F.size(corners) == 4, F.lit(False))
+    pairs = F.coalesce(F.forall(corners, lambda p: F.size(p) == 2), F.lit(False))
+    inside = F.coalesce(F.forall(corners, lambda p: F.get(p, F.lit(0)).between(-180, 180) & F.get(p, F.lit(1)).between(-90, 90)), F.lit(False))
+    return four, pairs, inside
+
+
 def manifest_problem() -> Column:
     """First problem of a manifest row, or NULL."""
     blank = F.lit(False)
     for c in ("path", "scene_id", "acq_time", "product_family", "sensor"):
         blank = blank | (F.col(c) == "")
     blank = blank | F.col("band").isNull() | F.col("resolution").isNull()
-    four = F.coalesce(F.size("corners") == 4, F.lit(False))
-    pairs = F.coalesce(F.forall("corners", lambda p: F.size(p) == 2), F.lit(False))
-    inside = F.coalesce(F.forall("corners", lambda p: F.get(p, F.lit(0)).between(-180, 180) & F.get(p, F.lit(1)).between(-90, 90)), F.lit(False))
+    four, pairs, inside = _corner_checks("corners")
     return (
         F.when(blank, "required_fields").when(~four, "four_corners").when(~pairs, "corner_pair").when(~inside, "corner_range")
         .when(F.col("acq_time").try_cast("timestamp").isNull(), "acq_time").when(~F.col("data_type").isin(*DATA_TYPES), "data_type")
@@ -66,10 +74,11 @@ def validate_manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_bbox(df: DataFrame, corners: str = "corners", digits: int | None = None) -> DataFrame:
-    """Add the box of corner points (``ARRAY<ARRAY<DOUBLE>>``), rounded where asked."""
-    lons, lats = F.transform(corners, lambda p: p[0]), F.transform(corners, lambda p: p[1])
+    """Add the box of corner points (``ARRAY<ARRAY<DOUBLE>>``), rounded where asked; NULLs where the corners are not four pairs in WGS84 bounds."""
+    good = reduce(lambda a, b: a & b, _corner_checks(corners))
+    lons, lats = F.transform(corners, lambda p: F.get(p, F.lit(0))), F.transform(corners, lambda p: F.get(p, F.lit(1)))
     box = {"min_lon": F.array_min(lons), "min_lat": F.array_min(lats), "max_lon": F.array_max(lons), "max_lat": F.array_max(lats)}
-    return df.withColumns({k: F.round(v, digits) if digits is not None else v for k, v in box.items()})
+    return df.withColumns({k: F.when(good, F.round(v, digits) if digits is not None else v) for k, v in box.items()})
 
 
 # Keys under which a resolution may be given.
