@@ -307,6 +307,41 @@ def shared_border(cell_lon: Column, cell_lat: Column, ring: Column) -> Column:
     return border(cell_lon, cell_lat, ring)
 
 
+def beyond_ring(lon: Column, lat: Column, center_lon: Column, center_lat: Column, ring: Column) -> Column:
+    """How far a point lies beyond the sides of a convex ring, in radii of the ring; zero or less inside.
+
+    Measured in the plane that touches the sphere at the ring's centre, where sides are great circles:
+    poles and the dateline are places like others.  Sides along a pole are drawn, not real, and count not.
+    """
+
+    def plane(x, y, cx, cy):
+        d, phi, c = np.radians(x - cx), np.radians(y), np.radians(cy)
+        depth = np.sin(c) * np.sin(phi) + np.cos(c) * np.cos(phi) * np.cos(d)
+        depth = np.maximum(depth, 1e-9)  # the far half of the globe is far away
+        return np.stack([np.cos(phi) * np.sin(d) / depth, (np.cos(c) * np.sin(phi) - np.sin(c) * np.cos(phi) * np.cos(d)) / depth], axis=-1)
+
+    @F.pandas_udf("double")
+    def beyond(x: pd.Series, y: pd.Series, cx: pd.Series, cy: pd.Series, rings: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
+        drawn = K.pad_rings([np.array([[p["lon"], p["lat"]] for p in r], dtype=float)[:-1] for r in rings])
+        centre = cx.to_numpy(float), cy.to_numpy(float)
+        corners = plane(drawn[..., 0], drawn[..., 1], centre[0][:, None], centre[1][:, None])
+        point = plane(x.to_numpy(float), y.to_numpy(float), *centre)
+        after = np.roll(corners, -1, axis=1)
+        pole = np.abs(drawn[..., 1]) > 90.0 - 1e-9
+        side = after - corners
+        length = np.hypot(side[..., 0], side[..., 1])
+        real = (length > 1e-12) & ~pole & ~np.roll(pole, -1, axis=1)
+        away = point[:, None, :] - corners
+        turn = np.sign((corners[..., 0] * after[..., 1] - after[..., 0] * corners[..., 1]).sum(axis=1))
+        right = -turn[:, None] * (side[..., 0] * away[..., 1] - side[..., 1] * away[..., 0]) / np.where(real, length, 1.0)
+        radius = np.hypot(corners[..., 0], corners[..., 1]).max(axis=1)
+        return pd.Series(np.where(real, right, -np.inf).max(axis=1) / radius)
+
+    return beyond(lon, lat, center_lon, center_lat, ring)
+
+
 def project_points(spots: Column, zone: Column, polar: Column, northern: Column) -> Column:
     """Projected coordinates of an array of ``x, y`` points in one zone or polar area, as arrays ``e`` and ``n``."""
 

@@ -156,7 +156,7 @@ query("b11_isea4h_geometry")(_geometry("isea4h", 5))
 
 
 def _own_cell(grid, level):
-    """Points outside their own cell's box, and cells whose centre lies in another cell."""
+    """Points outside their own cell's ring, and cells whose centre lies in another cell."""
 
     def run(spark, sf_dir):
         points = G.assign_cells(views.obs(spark, sf_dir), "lon", "lat", grid, level)
@@ -165,13 +165,9 @@ def _own_cell(grid, level):
         again = G.assign_cells(cells.select("cell", "center_lon", "center_lat"), "center_lon", "center_lat", grid, level)
         wrong = again.agg(F.lit("centres_outside").alias("measure"), F.count_if(F.col("cell") != F.col("space_code")).alias("n"))
         joined = points.join(cells, points.space_code == cells.cell)
-        # Hexagon and square edges bulge in degrees, so a point may pass its box by a hair.
-        slack = 1e-3 if grid == "mgrs" else 0.2
-        west, east = F.col("min_lon") - slack, F.col("max_lon") + slack
-        lon_in = F.when(west > east, (F.col("lon") >= west) | (F.col("lon") <= east)).otherwise(F.col("lon").between(west, east))
-        lat_in = F.col("lat").between(F.col("min_lat") - slack, F.col("max_lat") + slack)
-        near_pole = F.abs(F.col("lat")) > 80.0
-        out = joined.agg(F.lit("points_outside").alias("measure"), F.count_if(~(lat_in & (lon_in | near_pole))).alias("n"))
+        # Sides of hexagons and squares are not quite great circles: a hundredth of the cell's radius.
+        beyond = shapes.beyond_ring(*[F.col(c) for c in ("lon", "lat", "center_lon", "center_lat", "ring")])
+        out = joined.select(beyond.alias("beyond")).agg(F.lit("points_outside").alias("measure"), F.count_if(F.coalesce(F.col("beyond") > 0.01, F.lit(True))).alias("n"))
         return out.unionByName(joined.agg(F.lit("points").alias("measure"), F.count("*").alias("n"))).unionByName(wrong)
 
     return run
