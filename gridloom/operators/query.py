@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.operators import cover as covers
 
@@ -13,10 +17,11 @@ POINT_HALF_WIDTH = 1e-5
 BROADCAST_CELLS = 200_000
 
 
-def aoi_cells(like: DataFrame, bbox: tuple, grid: str, level: int) -> DataFrame:
+def aoi_cells(like: DataFrame | SparkSession, bbox: tuple, grid: str, level: int) -> DataFrame:
     """Cells of one area of interest as a one-column DataFrame."""
     w, s, e, n = (float(v) for v in bbox)
-    box = like.sparkSession.range(1).select(
+    spark = like if isinstance(like, SparkSession) else like.sparkSession
+    box = spark.range(1).select(
         F.lit(w).alias("min_lon"), F.lit(s).alias("min_lat"), F.lit(e).alias("max_lon"), F.lit(n).alias("max_lat")
     )
     return covers.cover_bbox(box, grid, level, "intersect", key=[], boundary="none").select("space_code").distinct()
@@ -107,6 +112,75 @@ def query_cells(
     return out.orderBy("space_code", "band")
 
 
+#: Cells of an area that become literals of a scan, and ranges of codes they are merged into.
+LITERAL_CELLS, LITERAL_RANGES = 20_000, 32
+#: Columns a table read by area is laid out by.
+AREA_LAYOUT = ("grid_type", "grid_level", "space_code_prefix")
+
+
+def write_area_table(df: DataFrame, path: str) -> None:
+    """Write rows with cells (``grid_type, grid_level, space_code, space_code_prefix``) so that areas can be read alone.
+
+    Folders go by grid and code prefix; rows lie in code order, so that a row group spans few codes.  A
+    crowded prefix is spread over tasks by its codes.
+    """
+    by = [F.col(c) for c in (*AREA_LAYOUT, "space_code")]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy(*AREA_LAYOUT).parquet(path)
+
+
+def code_ranges(codes: list[str], most: int = LITERAL_RANGES) -> list[tuple[str, str]]:
+    """Ranges (first, last) over sorted codes, cut where neighbours have least of their beginning in common."""
+    codes = sorted(set(codes))
+    common = [len(os.path.commonprefix([a, b])) for a, b in zip(codes, codes[1:])]
+    cuts = sorted(sorted(range(len(common)), key=lambda k: (common[k], k))[: most - 1])
+    starts, ends = [0, *[k + 1 for k in cuts]], [*cuts, len(codes) - 1]
+    return [(codes[a], codes[b]) for a, b in zip(starts, ends)] if codes else []
+
+
+def area_predicate(spark: SparkSession, bbox: tuple, grid: str, level: int, prefix_length: int = 3) -> Column | None:
+    """Literals on ``space_code_prefix`` and ``space_code`` that hold for every cell of a box; None for hexagons too many to list.
+
+    The codes of at most ``LITERAL_CELLS`` cells reach the driver: where the box has more, those of
+    a coarser level, which the codes of its cells begin with (hexagon numbers do not nest, so these
+    have no coarser form).
+    """
+    coarse = {"geohash": range(level, 0, -1), "mgrs": (level, 0), "isea4h": (level,)}[grid]
+    at = next((lv for lv in coarse if cover_bound(bbox, grid, lv) <= LITERAL_CELLS), None)
+    if at is None:
+        return None
+    codes = [r.space_code for r in aoi_cells(spark, bbox, grid, at).collect()]
+    # Every letter and digit comes before the tilde.
+    beyond = "" if at == level else "~"
+    ranges = [F.col("space_code").between(a, b + beyond) for a, b in code_ranges(codes)]
+    if not ranges:
+        return F.lit(False)
+    heads = sorted({c[:prefix_length] for c in codes})
+    if len(codes[0]) >= prefix_length:
+        folders = F.col("space_code_prefix").isin(heads)
+    else:
+        folders = reduce(Column.__or__, [F.col("space_code_prefix").between(h, h + "~") for h in heads])
+    return folders & reduce(Column.__or__, ranges)
+
+
+def read_area(spark: SparkSession, path: str, bbox: tuple, grid: str, level: int, prefix_length: int = 3) -> DataFrame:
+    """Rows of a table of :func:`write_area_table` in the cells of a box.
+
+    Folders and row groups are chosen by literals before anything is read; a semi join with the cells
+    keeps exactly theirs.
+    """
+    found = spark.read.parquet(path).schema
+    # A prefix such as 9e5 is no number.
+    typed = StructType([StructField(f.name, StringType() if f.name in ("grid_type", "space_code_prefix") else f.dataType) for f in found])
+    rows = spark.read.schema(typed).parquet(path).filter((F.col("grid_type") == grid) & (F.col("grid_level") == level))
+    literals = area_predicate(spark, bbox, grid, level, prefix_length)
+    if literals is not None:
+        rows = rows.filter(literals)
+    cells = aoi_cells(spark, bbox, grid, level)
+    if cover_bound(bbox, grid, level) <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    return rows.join(cells, "space_code", "left_semi")
+
+
 def read_fact(spark, path: str, **predicates) -> DataFrame:
     """A partitioned fact table with equality or list predicates, which reach the scan."""
     df = spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from gridloom.functions import geohash, shapes
@@ -12,6 +14,7 @@ from gridloom.operators import query as Q
 from gridloom.plans import duck, views
 from gridloom.plans.flagship import observation_facts
 from gridloom.plans.registry import query
+from gridloom.session import stage_folder
 
 BOXES = ("scene_id", "min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -341,6 +344,25 @@ _WIDE = (-30.0, -20.0, 75.0, 55.0)
 query("d6_area_time_query_geohash", _area_sql(duck.geohash_cells("obs", "lon", "lat", 3), _WIDE, None))(_area("geohash", 3, _WIDE, None))
 query("d6_area_time_query_isea4h", _area_sql(duck.isea4h_cells("obs", "lon", "lat", 5), _WIDE, None))(_area("isea4h", 5, _WIDE, None))
 query("d6_area_time_query_mgrs", _area_sql(duck.mgrs_cells("obs", "lon", "lat", 0), _WIDE, None))(_area("mgrs", 0, _WIDE, None))
+def _area_table(grid, level, box, prefix):
+    """The observations written as an area table, with folders by so many letters of the code, and read back for one box."""
+
+    def run(spark, sf_dir):
+        path = f"{stage_folder(spark)}/area-{uuid4().hex}"
+        rows = observation_facts(spark, sf_dir, grid, level).withColumn("space_code_prefix", F.substring("space_code", 1, prefix))
+        Q.write_area_table(rows.select(*Q.AREA_LAYOUT, "source_index", "space_code", "xco2", "center_lon", "center_lat"), path)
+        w, s, e, n = box
+        inside = F.col("center_lon").between(w, e) & F.col("center_lat").between(s, n)
+        return Q.read_area(spark, path, box, grid, level, prefix).filter(inside).select("source_index", "space_code", "xco2")
+
+    return run
+
+
+_NARROW = (12.0, -35.0, 61.0, 18.5)
+_IN_BOX = "SELECT source_index, space_code, xco2 FROM ({cells}) WHERE lon BETWEEN 12 AND 61 AND lat BETWEEN -35 AND 18.5"
+query("d6_area_table_geohash", _IN_BOX.format(cells=duck.geohash_cells("obs", "lon", "lat", 4)))(_area_table("geohash", 4, _NARROW, 1))
+query("d6_area_table_mgrs", _IN_BOX.format(cells=duck.mgrs_cells("obs", "lon", "lat", 1)))(_area_table("mgrs", 1, _NARROW, 2))
+query("d6_area_table_isea4h", _IN_BOX.format(cells=duck.isea4h_cells("obs", "lon", "lat", 5)))(_area_table("isea4h", 5, _NARROW, 1))
 query("g1_area_query_oldest_first", _area_sql(duck.geohash_cells("obs", "lon", "lat", 3), _WIDE, 200))(_area("geohash", 3, _WIDE, 200))
 
 # The position of observation 1234 in the given tables.
