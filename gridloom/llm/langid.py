@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import held_out
@@ -23,12 +24,16 @@ KEEP_WORDS, KEEP_GRAMS = 20_000, 4_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Words after which more words no longer sharpen the score.
 SHARP = 12
-_LETTERS = re.compile(r"[^\W\d_]+")
-MEMO = 400_000
+#: A letter, then letters and the marks that combine with them; numeric signs are no letters.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Bytes, about, of the words that a task keeps scored, and words of a text that are looked up together.
+MEMO_BYTES, CHUNK = 24 << 20, 50_000
+#: N-grams of a word cut out of it in one row.
+GRAMS_A_ROW = 4096
 
 
 def words(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    return _WORD.findall(text.lower()) if text else []
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -36,108 +41,141 @@ def grams(word: str, order: int) -> list[str]:
     return [marked[k : k + order] for k in range(len(marked) - order + 1)]
 
 
-def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
-    """Model of labelled rows (doc_id, text, lang): log frequencies of words and n-grams per language.
-
-    Languages are the non-null values of ``lang`` with any word.  About ``fit_docs`` rows of each
-    language are read, those with the least hash of their id; tables are cut to the most frequent
-    entries, so the model's size is bounded whatever the input.
-    """
-    rows = labelled.where("lang is not null and text is not null")
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.col("n")).alias("share"))
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(F.broadcast(share), "lang").where(place < F.col("share")).select("lang", "text")  # one row per language
+def _place(seed: int | None = None) -> Column:
+    """A number from 0 to 1 fixed by the row's id; 0 without one."""
+    parts = [F.col("doc_id").cast("string")] + ([F.lit(seed)] if seed is not None else [])
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(lang, Counter()).update(words(text))
-        for lang, seen in found.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(seen), "term": list(seen), "n": list(seen.values())})
 
-    counted = sample.mapInArrow(count, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+def _term_counts(sample: DataFrame, subsets: int) -> DataFrame:
+    """Rows (lang, kind, term, n0, n1, ...): words (kind 0) and n-grams (kind: length) of ``sample`` (lang, text, bits) in each subset."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for lang, term, n in zip(batch["lang"], batch["term"], batch["n"]):
-                found[lang, 0, term] += n
-                for order in ORDERS:
-                    for g in grams(term, order):
-                        found[lang, order, g] += n
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "kind", "term", "n"])
-
-    terms = counted.mapInPandas(split, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    # Ranked over the terms of a bounded sample.
-    best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term")
-    kept = terms.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "kind"))).withColumn("r", F.row_number().over(best))
-    kept = kept.where(F.col("r") <= F.when(F.col("kind") == 0, KEEP_WORDS).otherwise(KEEP_GRAMS)).select("lang", "kind", "term", "n", "all").toPandas()
+            found: dict[tuple, Counter] = {}
+            for lang, text, bits in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found.setdefault((lang, bits), Counter()).update(words(text))
+            for (lang, bits), seen in found.items():
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(seen), "term": list(seen), "bits": [bits] * len(seen), "n": list(seen.values())})
+
+    counted = sample.select("lang", "text", "bits").mapInArrow(count, "lang string, term string, bits long, n long")
+    sums = [F.sum(F.when(F.col("bits").bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(subsets)]
+    names = [f"n{k}" for k in range(subsets)]
+    terms = counted.groupBy("lang", "term").agg(*sums)
+    marked = terms.select("lang", F.concat(F.lit("<"), "term", F.lit(">")).alias("word"), *names)
+    cut = marked.select("*", F.explode(F.filter(F.array(*map(F.lit, ORDERS)), lambda o: o <= F.length("word"))).alias("kind"))
+    cut = cut.withColumn("last", F.length("word") - F.col("kind") + 1)
+    cut = cut.select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(GRAMS_A_ROW))).alias("first"))
+    places = F.sequence(F.col("first"), F.least("last", F.col("first") + F.lit(GRAMS_A_ROW - 1)))
+    cut = cut.select("lang", "kind", F.explode(F.transform(places, lambda p: F.substring(F.col("word"), p, F.col("kind")))).alias("term"), *names)
+    grouped = cut.groupBy("lang", "kind", "term").agg(*[F.sum(n).alias(n) for n in names])
+    return terms.select("lang", F.lit(0).alias("kind"), "term", *names).unionByName(grouped)
+
+
+def _model(kept: pd.DataFrame) -> dict:
+    """Log frequencies as one matrix for each kind of term, with the rows of its terms."""
     langs = sorted(kept["lang"].unique())
     index = {lang: k for k, lang in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *ORDERS)}
     totals = {(r.lang, r.kind): r.all for r in kept.drop_duplicates(["lang", "kind"]).itertuples()}
-    sizes = Counter(kept["kind"])
-    for r in kept.itertuples():
-        tables[r.kind].setdefault(r.term, np.zeros(len(langs)))[index[r.lang]] = r.n
+    rows, tables = {}, {}
     floors = np.zeros(len(langs), np.float32)
-    for kind, table in tables.items():
-        below = np.asarray([totals.get((lang, kind), 0) + 0.5 * sizes[kind] for lang in langs])
-        for term, n in table.items():
-            table[term] = np.log((n + 0.5) / np.maximum(below, 1e-9)).astype(np.float32)
+    for kind in (0, *ORDERS):
+        own = kept[kept["kind"] == kind]
+        at, terms = pd.factorize(own["term"])
+        counts = np.zeros((len(terms), len(langs)))
+        counts[at, own["lang"].map(index).to_numpy(int)] = own["n"]
+        below = np.asarray([totals.get((lang, kind), 0) + 0.5 * len(own) for lang in langs])
+        rows[kind] = {term: k for k, term in enumerate(terms)}
+        tables[kind] = np.log((counts + 0.5) / np.maximum(below, 1e-9)).astype(np.float32)
         if kind == 0:
             floors = np.log(0.5 / np.maximum(below, 1e-9)).astype(np.float32)
-    return {"langs": langs, "tables": tables, "floors": floors}
+    return {"langs": langs, "rows": rows, "tables": tables, "floors": floors}
+
 
+def fit_subsets(labelled: DataFrame, subsets: list[Column], fit_docs: int = FIT_DOCS) -> list[dict]:
+    """One model for each condition of ``subsets`` on the labelled rows; texts are read and counted once for all.
 
-def least_known(labelled: DataFrame, parts: int = 8, rows: int = 64_000, share: float = 0.001) -> float:
-    """Least share of known letters of a text in a learned language.
+    A null condition counts as false; see :func:`fit`.
+    """
+    rows = labelled.where("lang is not null and text is not null")
+    own = [F.coalesce(s, F.lit(False)) for s in subsets]
+    rows = rows.select("doc_id", "text", "lang", *[s.alias(f"in{k}") for k, s in enumerate(own)])
+    shares = rows.groupBy("lang").agg(*[F.count(F.when(F.col(f"in{k}"), 1)).alias(f"all{k}") for k in range(len(own))])
+    rows = rows.join(F.broadcast(shares), "lang")  # one row per language
+    bits = [F.when(F.col(f"in{k}") & (_place() < F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.col(f"all{k}"))), 1 << k).otherwise(0) for k in range(len(own))]
+    sample = rows.withColumn("bits", sum(bits[1:], bits[0])).where("bits > 0")
+    terms = _term_counts(sample, len(own))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("subset"), F.col(f"n{k}").alias("n")) for k in range(len(own))]))
+    terms = terms.select("lang", "kind", "term", each.alias("e")).select("lang", "kind", "term", "e.subset", "e.n").where("n > 0")
+    # Ranked over the terms of a bounded sample.
+    group = Window.partitionBy("subset", "lang", "kind")
+    kept = terms.withColumn("all", F.sum("n").over(group)).withColumn("r", F.row_number().over(group.orderBy(F.desc("n"), "term")))
+    kept = kept.where(F.col("r") <= F.when(F.col("kind") == 0, KEEP_WORDS).otherwise(KEEP_GRAMS))
+    kept = kept.select("subset", "lang", "kind", "term", "n", "all").toPandas()
+    return [_model(kept[kept["subset"] == k]) for k in range(len(own))]
+
+
+def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
+    """Model of labelled rows (doc_id, text, lang): log frequencies of words and n-grams per language.
 
-    A model of the labelled rows outside one of ``parts`` judges those inside, about ``rows / parts``
-    of them: all but ``share`` of them reach the result, which is never above half their median.
-    0 where no row can be judged.
+    Languages are the non-null values of ``lang`` with any word.  About ``fit_docs`` rows of each
+    language are read, those with the least hash of their id; tables are cut to the most frequent
+    entries, so the model's size is bounded whatever the input.  Repeated rows count as often as
+    they occur.
+    """
+    return fit_subsets(labelled, [F.lit(True)], fit_docs)[0]
+
+
+def fit_with_floor(labelled: DataFrame, parts: int = 8, rows: int = 64_000, share: float = 0.001) -> tuple[dict, float]:
+    """Model of all labelled rows, and the least share of known letters of a text in a learned language.
+
+    For the share, a model of the rows outside one of ``parts`` judges those inside, about
+    ``rows / parts`` of them: all but ``share`` of them reach it, and it is never above half their
+    median.  0 where no row can be judged.
     """
     marked = labelled.where("lang is not null and text is not null")
     inside = held_out("doc_id", parts)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
-    sample = marked.where(inside & (F.coalesce(place, F.lit(0.0)) < min(1.0, rows / max(1, marked.count()))))
-    judged = identify(sample, fit(marked.where(~inside)), known=True).where(F.col("lang_pred") != UNDETERMINED)
+    model, outside = fit_subsets(marked, [F.lit(True), ~inside])
+    sample = marked.where(inside & (F.coalesce(_place(29), F.lit(0.0)) < min(1.0, rows / max(1, marked.count()))))
+    judged = identify(sample, outside, known=True).where(F.col("lang_pred") != UNDETERMINED)
     found = judged.agg(F.percentile_approx("known", [share, 0.5], 10_000)).first()[0]
-    return min(found[0], found[1] / 2) if found else 0.0
+    return model, min(found[0], found[1] / 2) if found else 0.0
 
 
-class Scorer(dict):
-    """Row numbers of words in a matrix of log frequencies; words met anew are scored once."""
+class Scorer:
+    """Scores of texts; words met are kept as rows of one matrix, up to ``MEMO_BYTES``."""
 
     def __init__(self, model: dict, known: bool = False) -> None:
-        super().__init__()
-        self.langs, self.tables, self.rows = model["langs"], model["tables"], []
-        self.floors = model["floors"] if known else None
-        self.matrix = np.zeros((0, len(self.langs) * (2 if known else 1)), np.float32)
+        self.langs, self.rows, self.tables, self.known = model["langs"], model["rows"], model["tables"], known
+        self.learned = self.tables[0] > model["floors"] + 0.5
+        self.memo: dict[str, int] = {}
+        self.held = 0
+        self.matrix = np.zeros((1024, len(self.langs) * (2 if known else 1)), np.float32)
 
     def vector(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+        at = self.rows[0].get(word)
+        if at is not None:
+            return self.tables[0][at]
         for order in ORDERS:
-            table = self.tables[order]
-            found = [table[g] for g in grams(word, order) if g in table]
+            own = self.rows[order]
+            found = [own[g] for g in grams(word, order) if g in own]
             if found:
-                return np.mean(found, axis=0)
+                return self.tables[order][found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        self.rows.append(self.vector(word) if self.floors is None else np.concatenate([self.vector(word), self.letters(word)]))
+    def add(self, word: str) -> int:
+        k = len(self.memo)
+        if k == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        size = len(self.langs)
+        self.matrix[k, :size] = self.vector(word)
+        if self.known:  # the word's letters for each language that it is a learned word of
+            at = self.rows[0].get(word)
+            self.matrix[k, size:] = 0 if at is None else len(word) * self.learned[at]
+        self.memo[word] = k
+        self.held += 160 + 4 * len(word)
         return k
 
-    def letters(self, word: str) -> np.ndarray:
-        """The word's letters for each language that it is a learned word of."""
-        known = self.tables[0].get(word)
-        return np.zeros(len(self.langs), np.float32) if known is None else (len(word) * (known > self.floors + 0.5)).astype(np.float32)
-
     def predict(self, text: str | None) -> tuple:
         """(language, score): the highest sum over all words; ties go to the first name.
 
@@ -145,25 +183,23 @@ class Scorer(dict):
         number of words, at most ``SHARP``; it is at least one in the number of languages.  With
         ``known``, the share of the letters that lie in learned words of the language follows.
         """
-        own = words(text)
-        if not own or not self.langs:
-            return (UNDETERMINED, 0.0) if self.floors is None else (UNDETERMINED, 0.0, 0.0)
-        if len(self) > MEMO:
-            self.clear()
-            self.rows, self.matrix = [], self.matrix[:0]
-        at = list(map(self.__getitem__, own))
-        if len(self.rows) > 1.5 * len(self.matrix) + 64:
-            self.matrix = np.asarray(self.rows, np.float32)
-        if len(self.rows) > len(self.matrix):
-            old, new = [k for k in at if k < len(self.matrix)], [self.rows[k] for k in at if k >= len(self.matrix)]
-            total = self.matrix[old].sum(axis=0, dtype=np.float64) + np.sum(new, axis=0, dtype=np.float64)
-        else:
-            total = self.matrix[at].sum(axis=0, dtype=np.float64)
-        total, known = total[: len(self.langs)], total[len(self.langs) :]
-        best = int(np.argmax(total))
-        away = (total - total[best]) / len(own) * min(len(own), SHARP)
-        found = self.langs[best], float(1 / np.exp(away).sum())
-        return found if self.floors is None else (*found, float(known[best] / sum(map(len, own))))
+        total, n, letters = np.zeros(self.matrix.shape[1]), 0, 0
+        found = (m.group() for m in _WORD.finditer(text.lower())) if text and self.langs else iter(())
+        while own := list(islice(found, CHUNK)):
+            if self.held > MEMO_BYTES:
+                self.memo, self.held, self.matrix = {}, 0, np.zeros((1024, self.matrix.shape[1]), np.float32)
+            get = self.memo.get
+            at = [k if (k := get(w)) is not None else self.add(w) for w in own]
+            total += self.matrix[at].sum(axis=0, dtype=np.float64)
+            n += len(own)
+            letters += sum(map(len, own)) if self.known else 0
+        if not n:
+            return (UNDETERMINED, 0.0, 0.0) if self.known else (UNDETERMINED, 0.0)
+        score, known = total[: len(self.langs)], total[len(self.langs) :]
+        best = int(np.argmax(score))
+        away = (score - score[best]) / n * min(n, SHARP)
+        out = self.langs[best], float(1 / np.exp(away).sum())
+        return (*out, float(known[best] / letters)) if self.known else out
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -173,6 +209,7 @@ def identify(docs: DataFrame, model: dict, known: bool = False) -> DataFrame:
     """``docs`` (doc_id, text and any others) with lang_pred and score, and ``known`` if asked for; the whole text is read.
 
     ``und`` with score (and known) 0 where the text is null or has no letter, or nothing was learned.
+    Repeated rows, and rows with a null id, are answered each by itself; columns of the names added are replaced.
     """
     spark = docs.sparkSession
     name = uuid.uuid4().hex

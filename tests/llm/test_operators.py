@@ -61,12 +61,46 @@ def test_language_awkward(awkward, nothing):
     model = langid.fit(docs)
     found = langid.identify(docs.withColumn("score", F.lit("clash")), model).collect()
     assert len(found) == len(rows)
-    assert {r.lang_pred for r in found if not re.search(r"[^\W\d_]", r.text or "")} == {"und"}
+    assert {r.lang_pred for r in found if not any(c.isalpha() for c in r.text or "")} == {"und"}
     none = langid.fit(nothing)
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.identify(nothing, model).count() == 0
 
 
+def test_letters_are_letters_and_marks_stay_inside():
+    assert langid.words("½ 3 ²² Ⅷ ① 12") == []
+    assert langid.words("हिन्दी भाषा-İx") == ["हिन्दी", "भाषा", "i\u0307x"]
+
+
+def test_language_fit_counts_terms_as_plain_code_does(spark):
+    rows = [(1, "aab ab", "x"), (2, "ab b " + "q" * 9000, "x"), (3, "ba", "y"), (3, "ba", "y"), (4, "zz", None), (5, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, part = langid.fit_subsets(docs, [F.lit(True), F.col("doc_id") != 2])
+    for model, own in ((whole, rows), (part, [r for r in rows if r[0] != 2])):
+        for kind in (0, *langid.ORDERS):
+            counts = {}
+            for _, text, lang in own:
+                for w in langid.words(text) if lang else []:
+                    for term in [w] if kind == 0 else langid.grams(w, kind):
+                        counts[lang, term] = counts.get((lang, term), 0) + 1
+            below = {g: sum(n for (lang, _), n in counts.items() if lang == g) + 0.5 * len(counts) for g in ("x", "y")}
+            assert set(model["rows"][kind]) == {t for _, t in counts}
+            for term, k in model["rows"][kind].items():
+                want = [np.log((counts.get((g, term), 0) + 0.5) / below[g]) for g in ("x", "y")]
+                assert np.allclose(model["tables"][kind][k], want, atol=1e-5)
+
+
+def test_language_of_long_texts_in_chunks_and_small_memo(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "kal tor min", "aa"), (2, "eau oui lle", "bb")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    text = "kal tor ouiz 5 min " * 400
+    want = langid.Scorer(model, known=True).predict(text)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    monkeypatch.setattr(langid, "MEMO_BYTES", 300)
+    got = langid.Scorer(model, known=True).predict(text)
+    assert got[0] == want[0] == "aa" and np.allclose(got[1:], want[1:])
+
+
 # ------------------------------------------------------------------ 2: language model
 
 
