@@ -27,7 +27,7 @@ SHARP = 12
 #: A letter, then letters and the marks that combine with them; numeric signs are no letters.
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Bytes, about, of the words that a task keeps scored, and words of a text that are looked up together.
-MEMO_BYTES, CHUNK = 24 << 20, 50_000
+MEMO_BYTES, CHUNK = 48 << 20, 50_000
 #: N-grams of a word cut out of it in one row.
 GRAMS_A_ROW = 4096
 
@@ -152,29 +152,40 @@ class Scorer:
         self.held = 0
         self.matrix = np.zeros((1024, len(self.langs) * (2 if known else 1)), np.float32)
 
-    def vector(self, word: str) -> np.ndarray:
-        at = self.rows[0].get(word)
-        if at is not None:
-            return self.tables[0][at]
-        for order in ORDERS:
-            own = self.rows[order]
-            found = [own[g] for g in grams(word, order) if g in own]
-            if found:
-                return self.tables[order][found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def add(self, word: str) -> int:
-        k = len(self.memo)
-        if k == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+    def vectors(self, new: list[str]) -> np.ndarray:
+        """Rows of words not met yet: log frequencies for each language, then the letters in learned words if ``known``."""
         size = len(self.langs)
-        self.matrix[k, :size] = self.vector(word)
-        if self.known:  # the word's letters for each language that it is a learned word of
-            at = self.rows[0].get(word)
-            self.matrix[k, size:] = 0 if at is None else len(word) * self.learned[at]
-        self.memo[word] = k
-        self.held += 160 + 4 * len(word)
-        return k
+        out = np.zeros((len(new), self.matrix.shape[1]), np.float32)
+        at = np.array([self.rows[0].get(w, -1) for w in new])
+        learned = np.flatnonzero(at >= 0)
+        out[learned, :size] = self.tables[0][at[learned]]
+        if self.known:
+            out[learned, size:] = np.array([len(new[k]) for k in learned])[:, None] * self.learned[at[learned]]
+        found: dict[int, tuple[list, list, list]] = {order: ([], [], []) for order in ORDERS}
+        for k in np.flatnonzero(at < 0).tolist():
+            marked = f"<{new[k]}>"
+            for order in ORDERS:
+                own = self.rows[order]
+                ids = [own[g] for j in range(len(marked) - order + 1) if (g := marked[j : j + order]) in own]
+                if ids:
+                    words_, starts, grams_ = found[order]
+                    words_.append(k)
+                    starts.append(len(grams_))
+                    grams_.extend(ids)
+                    break
+        for order, (words_, starts, grams_) in found.items():
+            if words_:
+                sums = np.add.reduceat(self.tables[order][grams_], starts, axis=0)
+                out[words_, :size] = sums / np.diff([*starts, len(grams_)])[:, None]
+        return out
+
+    def add(self, new: list[str]) -> None:
+        first = len(self.memo)
+        while first + len(new) > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[first : first + len(new)] = self.vectors(new)
+        self.memo.update(zip(new, range(first, first + len(new))))
+        self.held += sum(160 + 4 * len(w) for w in new)
 
     def predict(self, text: str | None) -> tuple:
         """(language, score): the highest sum over all words; ties go to the first name.
@@ -188,9 +199,9 @@ class Scorer:
         while own := list(islice(found, CHUNK)):
             if self.held > MEMO_BYTES:
                 self.memo, self.held, self.matrix = {}, 0, np.zeros((1024, self.matrix.shape[1]), np.float32)
-            get = self.memo.get
-            at = [k if (k := get(w)) is not None else self.add(w) for w in own]
-            total += self.matrix[at].sum(axis=0, dtype=np.float64)
+            if new := list(dict.fromkeys(w for w in own if w not in self.memo)):
+                self.add(new)
+            total += self.matrix[list(map(self.memo.__getitem__, own))].sum(axis=0, dtype=np.float64)
             n += len(own)
             letters += sum(map(len, own)) if self.known else 0
         if not n:
