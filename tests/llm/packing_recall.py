@@ -1,4 +1,4 @@
-"""python -m tests.packing_recall FOLDER ...: how much of a seed's brute-force BM25 neighbourhood its shard of op7 holds.
+"""python -m tests.llm.packing_recall FOLDER ...: how much of a seed's brute-force BM25 neighbourhood its shard of op7 holds.
 
 For 300 rests of each table: the ten best of all other rests by every term, and the shares of them
 that lie in the rest's own shard, and that the 24 heaviest terms find there.
