@@ -24,6 +24,36 @@ AUXILIARY_BANDS = (
 # Fields a carbon observation must have.
 CARBON_FIELDS = ("lat", "lon", "observation_id", "quality_flag", "xco2")
 
+# Sentences of the findings by error code; reports of findings carry them, so they are part of the results.
+# A leading or trailing space marks where a count, method or list of names joins the sentence.
+MESSAGES = {
+    "missing_st_code": " index rows have no ST code",
+    "output_count_mismatch": "output version counts do not match normalized detail rows",
+    "missing_tile_reference": "index references a missing tile",
+    "missing_output_version": "quality target has no output version",
+    "tile_grid_mismatch": "tile grid does not match output version",
+    "tile_kind_mismatch": " output requires ",
+    "detail_grid_mismatch": "{table} grid does not match output version",
+    "invalid_bbox": "grid cell bbox must be [west, south, east, north] in WGS84 bounds",
+    "missing_time_bucket": "index has no time bucket",
+    "time_bucket_mismatch": "time bucket does not match acquisition date",
+    "invalid_carbon_source": "carbon source must be an s3 NetCDF/HDF5 asset matching source_format",
+    "invalid_cog_uri": "source asset must use an s3 COG URI",
+    "invalid_checksum": "source asset checksum must be a SHA-256 hex digest",
+    "source_object_unreadable": "source object does not exist or cannot be opened",
+    "missing_crs": "source asset CRS is required",
+    "invalid_crs": "source asset CRS is not a valid coordinate reference system",
+    "crs_metadata_mismatch": "declared CRS does not match the source raster CRS",
+    "window_out_of_bounds": "index window exceeds tile dimensions",
+    "missing_band_metadata": "source asset has no normalized band metadata",
+    "invalid_band_type": "band_type must be {expected} for {data_type} data",
+    "missing_carbon_fields": "missing carbon fields: ",
+    "invalid_coordinates": "carbon coordinates are outside WGS84 bounds",
+    "xco2_out_of_range": "xco2 must be between 0 and 1000 ppm",
+    "missing_quality_flag": "carbon quality_flag is required",
+    "missing_carbon_indexes": "carbon output has no observation indexes",
+}
+
 OUTPUT = ("dataset_id", "output_version")
 FINDING = (
     "rule_code", "error_code", "message", "source_asset_id", "band_code", "tile_id", "index_id", "output_id",
@@ -60,7 +90,7 @@ def _missing(c: Column) -> Column:
 
 def rule_index_schema(t: Tables) -> DataFrame:
     bad = t["indexes"].filter(F.col("st_code").isNull()).groupBy(*OUTPUT).agg(F.count("*").alias("n"))
-    text = F.concat(F.col("n").cast("string"), F.lit(" index rows have no ST code"))
+    text = F.concat(F.col("n").cast("string"), F.lit(MESSAGES["missing_st_code"]))
     return finding(bad, "index_schema", "missing_st_code", text, field="st_code")
 
 
@@ -82,7 +112,7 @@ def rule_output_count_consistency(t: Tables) -> DataFrame:
     )
     return finding(
         joined.filter(~same), "output_count_consistency", "output_count_mismatch",
-        "output version counts do not match normalized detail rows",
+        MESSAGES["output_count_mismatch"],
     )
 
 
@@ -91,7 +121,7 @@ def rule_output_reference_integrity(t: Tables) -> DataFrame:
     known = t["tiles"].select(F.col("output_id").alias("tile_output_id"))
     lost = refs.join(known, "tile_output_id", "left_anti")
     return finding(
-        lost, "output_reference_integrity", "missing_tile_reference", "index references a missing tile",
+        lost, "output_reference_integrity", "missing_tile_reference", MESSAGES["missing_tile_reference"],
         index_id=F.col("output_id"), output_id=F.col("output_id"),
     )
 
@@ -105,16 +135,16 @@ def rule_grid_method_agreement(t: Tables) -> DataFrame:
     )
     outputs = reduce(DataFrame.union, [t[n].select(*OUTPUT).distinct() for n in ("tiles", "indexes", "cells")]).distinct()
     lone = outputs.join(versions, list(OUTPUT), "left_anti")
-    out = [finding(lone, rule, "missing_output_version", "quality target has no output version")]
+    out = [finding(lone, rule, "missing_output_version", MESSAGES["missing_output_version"])]
     other = (F.col("grid_type") != F.col("v_grid")) | (F.col("grid_level") != F.col("v_level"))
     tiles = t["tiles"].join(versions, list(OUTPUT))
     tile = {"tile_id": F.col("output_id"), "output_id": F.col("output_id")}
-    out.append(finding(tiles.filter(other), rule, "tile_grid_mismatch", "tile grid does not match output version", **tile))
-    text = F.concat(F.col("v_method"), F.lit(" output requires "), F.col("v_kind"))
+    out.append(finding(tiles.filter(other), rule, "tile_grid_mismatch", MESSAGES["tile_grid_mismatch"], **tile))
+    text = F.concat(F.col("v_method"), F.lit(MESSAGES["tile_kind_mismatch"]), F.col("v_kind"))
     out.append(finding(tiles.filter(F.col("tile_kind") != F.col("v_kind")), rule, "tile_kind_mismatch", text, field="tile_kind", **tile))
     for name, table in (("indexes", "partition_indexes"), ("cells", "partition_grid_cells")):
         rows = t[name].join(versions, list(OUTPUT)).filter(other)
-        out.append(finding(rows, rule, "detail_grid_mismatch", f"{table} grid does not match output version", output_id=F.col("output_id")))
+        out.append(finding(rows, rule, "detail_grid_mismatch", MESSAGES["detail_grid_mismatch"].format(table=table), output_id=F.col("output_id")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -128,7 +158,7 @@ def bbox_is_valid(bbox: Column) -> Column:
 def rule_cell_bbox_validity(t: Tables) -> DataFrame:
     bad = t["cells"].filter(~bbox_is_valid(F.col("bbox")))
     return finding(
-        bad, "cell_bbox_validity", "invalid_bbox", "grid cell bbox must be [west, south, east, north] in WGS84 bounds",
+        bad, "cell_bbox_validity", "invalid_bbox", MESSAGES["invalid_bbox"],
         output_id=F.col("output_id"), field="bbox",
     )
 
@@ -138,7 +168,7 @@ def _time_bucket_row() -> tuple:
     empty = bucket == ""
     wrong = F.coalesce(~F.startswith(bucket, F.date_format("acquisition_time", "yyyyMMdd")), F.lit(False))
     parts = {"index_id": F.col("output_id"), "output_id": F.col("output_id"), "field": "time_bucket"}
-    return empty | wrong, F.when(empty, "missing_time_bucket").otherwise("time_bucket_mismatch"), F.when(empty, "index has no time bucket").otherwise("time bucket does not match acquisition date"), parts
+    return empty | wrong, F.when(empty, "missing_time_bucket").otherwise("time_bucket_mismatch"), F.when(empty, MESSAGES["missing_time_bucket"]).otherwise(MESSAGES["time_bucket_mismatch"]), parts
 
 
 def rule_time_bucket_consistency(t: Tables) -> DataFrame:
@@ -170,15 +200,15 @@ def rule_asset_readability(t: Tables) -> DataFrame:
         finding(
             a.filter(~F.col("good_uri")), rule,
             F.when(F.col("carbon"), "invalid_carbon_source").otherwise("invalid_cog_uri"),
-            F.when(F.col("carbon"), "carbon source must be an s3 NetCDF/HDF5 asset matching source_format").otherwise("source asset must use an s3 COG URI"),
+            F.when(F.col("carbon"), MESSAGES["invalid_carbon_source"]).otherwise(MESSAGES["invalid_cog_uri"]),
             field=F.when(F.col("carbon"), "source_uri").otherwise("cog_uri"), **asset,
         ),
-        finding(a.filter(~F.col("good_sum")), rule, "invalid_checksum", "source asset checksum must be a SHA-256 hex digest", field="checksum", **asset),
+        finding(a.filter(~F.col("good_sum")), rule, "invalid_checksum", MESSAGES["invalid_checksum"], field="checksum", **asset),
     ]
     if "inspections" in t:
         seen = t["inspections"].filter("readable").select("dataset_id", "source_asset_id")
         lost = a.filter("good_uri and good_sum").join(seen, ["dataset_id", "source_asset_id"], "left_anti")
-        out.append(finding(lost, rule, "source_object_unreadable", "source object does not exist or cannot be opened", field="source_uri", **asset))
+        out.append(finding(lost, rule, "source_object_unreadable", MESSAGES["source_object_unreadable"], field="source_uri", **asset))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -196,13 +226,13 @@ def rule_asset_crs(t: Tables) -> DataFrame:
     asset = {"source_asset_id": F.col("source_asset_id"), "field": "crs"}
     out = finding(
         a.filter(empty | ~valid), rule, F.when(empty, "missing_crs").otherwise("invalid_crs"),
-        F.when(empty, "source asset CRS is required").otherwise("source asset CRS is not a valid coordinate reference system"), **asset,
+        F.when(empty, MESSAGES["missing_crs"]).otherwise(MESSAGES["invalid_crs"]), **asset,
     )
     if "inspections" in t:
         seen = t["inspections"].filter("readable").select("dataset_id", "source_asset_id", F.col("crs").alias("actual"))
         both = a.filter(~empty & valid).join(seen, ["dataset_id", "source_asset_id"]).filter(declared != normal_crs(F.col("actual")))
         context = F.to_json(F.struct(F.col("crs").alias("declared"), F.col("actual")))
-        out = out.unionByName(finding(both, rule, "crs_metadata_mismatch", "declared CRS does not match the source raster CRS", context=context, **asset))
+        out = out.unionByName(finding(both, rule, "crs_metadata_mismatch", MESSAGES["crs_metadata_mismatch"], context=context, **asset))
     return out
 
 
@@ -212,7 +242,7 @@ def rule_window_bounds(t: Tables) -> DataFrame:
     over = (F.col("window_col_off") + F.col("window_width") > F.col("width")) | (F.col("window_row_off") + F.col("window_height") > F.col("height"))
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("window_col_off", "window_row_off", "window_width", "window_height", "width", "height")])
     return finding(
-        rows.filter(known & over), "window_bounds", "window_out_of_bounds", "index window exceeds tile dimensions",
+        rows.filter(known & over), "window_bounds", "window_out_of_bounds", MESSAGES["window_out_of_bounds"],
         index_id=F.col("output_id"), output_id=F.col("output_id"), field="window",
     )
 
@@ -228,7 +258,7 @@ def _band_contract(t: Tables, rule: str, expected: str, auxiliary: tuple) -> Dat
     context = F.when(~empty, F.to_json(F.struct("band_code", F.col("band_type").alias("actual"), F.lit(expected).alias("expected"))))
     return finding(
         rows.filter(empty | wrong), rule, F.when(empty, "missing_band_metadata").otherwise("invalid_band_type"),
-        F.when(empty, "source asset has no normalized band metadata").otherwise(f"band_type must be {expected} for {data_type} data"),
+        F.when(empty, MESSAGES["missing_band_metadata"]).otherwise(MESSAGES["invalid_band_type"].format(expected=expected, data_type=data_type)),
         source_asset_id=F.col("source_asset_id"), band_code=F.col("band_code"),
         field=F.when(empty, "band_code").otherwise("band_type"), context=context,
     )
@@ -279,21 +309,21 @@ def _parsable() -> Column:
 
 def _carbon_fields_row() -> tuple:
     lacking = F.array_except(F.array(*[F.lit(f) for f in CARBON_FIELDS]), F.map_keys("attributes"))
-    return F.size(lacking) > 0, "missing_carbon_fields", F.concat(F.lit("missing carbon fields: "), F.concat_ws(", ", lacking)), _index()
+    return F.size(lacking) > 0, "missing_carbon_fields", F.concat(F.lit(MESSAGES["missing_carbon_fields"]), F.concat_ws(", ", lacking)), _index()
 
 
 def _coordinates_row() -> tuple:
     bad = _parsable() & ~(F.col("a_lon").between(-180, 180) & F.col("a_lat").between(-90, 90))
-    return bad, "invalid_coordinates", "carbon coordinates are outside WGS84 bounds", _index()
+    return bad, "invalid_coordinates", MESSAGES["invalid_coordinates"], _index()
 
 
 def _xco2_row(low: float = 0.0, high: float = 1000.0) -> tuple:
     bad = _parsable() & ~((F.col("a_xco2") > low) & (F.col("a_xco2") < high))
-    return bad, "xco2_out_of_range", "xco2 must be between 0 and 1000 ppm", _index()
+    return bad, "xco2_out_of_range", MESSAGES["xco2_out_of_range"], _index()
 
 
 def _flag_row() -> tuple:
-    return _parsable() & _missing(F.col("a_flag")), "missing_quality_flag", "carbon quality_flag is required", _index()
+    return _parsable() & _missing(F.col("a_flag")), "missing_quality_flag", MESSAGES["missing_quality_flag"], _index()
 
 
 #: Rules that look at one index row at a time: whether it is bad, error code, message and parts of the finding.
@@ -328,7 +358,7 @@ def row_findings(indexes: DataFrame, codes: list[str]) -> DataFrame:
 def carbon_outputs_without_rows(t: Tables) -> DataFrame:
     rows = t["indexes"].filter(F.col("data_type") == "carbon").select(*OUTPUT).distinct()
     empty = t["versions"].filter("data_type = 'carbon'").join(rows, list(OUTPUT), "left_anti")
-    return finding(empty, "carbon_schema", "missing_carbon_indexes", "carbon output has no observation indexes")
+    return finding(empty, "carbon_schema", "missing_carbon_indexes", MESSAGES["missing_carbon_indexes"])
 
 
 def rule_carbon_schema(t: Tables) -> DataFrame:
