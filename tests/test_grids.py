@@ -218,3 +218,22 @@ def test_minimal_hexagons_of_boxes_and_polygons(spark):
     again = cover.cover_polygon(polygons, "isea4h", 4, "minimal", ["name"], boundary="none").collect()
     assert {(r.grid_level, r.space_code) for r in again if r.name == "dateline"} == cells["dateline"]
     assert {(r.grid_level, int(r.space_code)) for r in again if r.name == "holed"} == _slow_minimal([(_WORLD, 1), (_HOLE, -1)], 4)
+
+
+@pytest.mark.parametrize("name, candidates", [("mgrs", "mgrs_candidates"), ("isea4h", "isea4h_candidates")])
+def test_equal_boxes_are_covered_once(spark, monkeypatch, name, candidates):
+    drawn, real = [], getattr(cover, candidates)
+
+    def counted(df, *rest):
+        drawn.append(df.count())
+        return real(df, *rest)
+
+    monkeypatch.setattr(cover, candidates, counted)
+    boxes = [(k, 10.0 * (k % 2), 20.0, 10.0 * (k % 2) + 3.0, 22.0) for k in range(40)] + [(40, 179.0, 5.0, -179.0, 6.0), (40, 0.0, 20.0, 3.0, 22.0)]
+    df = spark.createDataFrame(boxes, "id int, min_lon double, min_lat double, max_lon double, max_lat double")
+    got = {}
+    for r in cover.cover_bbox(df, name, 1, "intersect", ["id"], boundary="none").collect():
+        got.setdefault(r.id, []).append(r.space_code)
+    assert drawn == [5]  # two boxes, and an area of one box and the two parts of another
+    assert sorted(got) == list(range(41)) and all(len(set(v)) == len(v) and sorted(v) == sorted(got[k % 2]) for k, v in got.items() if k < 40)
+    assert set(got[40]) > set(got[0])
