@@ -237,3 +237,15 @@ def test_equal_boxes_are_covered_once(spark, monkeypatch, name, candidates):
     assert drawn == [5]  # two boxes, and an area of one box and the two parts of another
     assert sorted(got) == list(range(41)) and all(len(set(v)) == len(v) and sorted(v) == sorted(got[k % 2]) for k, v in got.items() if k < 40)
     assert set(got[40]) > set(got[0])
+
+
+def test_square_mostly_beyond_the_dateline_keeps_its_part(spark):
+    df = spark.createDataFrame([(-179.9995, 60.9985), (179.9995, 71.0935), (-179.9999, 46.9985)], "lon double, lat double")
+    points = grid.assign_cells(df, grid="mgrs", level=2)
+    cells = grid.distinct_cell_geometry(points, "mgrs", 2)
+    again = grid.assign_cells(cells.select("space_code", "center_lon", "center_lat"), "center_lon", "center_lat", "mgrs", 2, "fail", "own")
+    assert all(r.own == r.space_code for r in again.collect())
+    named = spark.createDataFrame([("60WXD0890",), ("60CWT6438",), ("01VCH3766",)], "space_code string")
+    for r in grid.distinct_cell_geometry(named.withColumn("grid_type", F.lit("mgrs")).withColumn("grid_level", F.lit(2)), "mgrs", 2).collect():
+        assert -180.0 <= r.center_lon <= 180.0 and len(r.ring) > 3
+        assert abs(r.center_lon - (177.0 if r.space_code.startswith("60") else -177.0)) <= 3.0
