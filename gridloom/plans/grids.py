@@ -165,8 +165,13 @@ def _own_cell(grid, level):
         again = G.assign_cells(cells.select("cell", "center_lon", "center_lat"), "center_lon", "center_lat", grid, level)
         wrong = again.agg(F.lit("centres_outside").alias("measure"), F.count_if(F.col("cell") != F.col("space_code")).alias("n"))
         joined = points.join(cells, points.space_code == cells.cell)
-        # Sides of hexagons and squares are not quite great circles: a hundredth of the cell's radius.
-        beyond = shapes.beyond_ring(*[F.col(c) for c in ("lon", "lat", "center_lon", "center_lat", "ring")])
+        # Sides of squares are not quite great circles: a hundredth of the cell's radius.
+        if grid == "isea4h":
+            # Points of a cell side by side, so that its sides are drawn once for many.
+            joined = joined.drop("ring").repartition("cell").sortWithinPartitions("cell")
+            beyond = shapes.beyond_hexagon(F.col("lon"), F.col("lat"), *isea4h.triple(F.col("cell").cast("long"), level), level)
+        else:
+            beyond = shapes.beyond_ring(*[F.col(c) for c in ("lon", "lat", "center_lon", "center_lat", "ring")])
         out = joined.select(beyond.alias("beyond")).agg(F.lit("points_outside").alias("measure"), F.count_if(F.coalesce(F.col("beyond") > 0.01, F.lit(True))).alias("n"))
         return out.unionByName(joined.agg(F.lit("points").alias("measure"), F.count("*").alias("n"))).unionByName(wrong)
 

@@ -249,3 +249,19 @@ def test_square_mostly_beyond_the_dateline_keeps_its_part(spark):
     for r in grid.distinct_cell_geometry(named.withColumn("grid_type", F.lit("mgrs")).withColumn("grid_level", F.lit(2)), "mgrs", 2).collect():
         assert -180.0 <= r.center_lon <= 180.0 and len(r.ring) > 3
         assert abs(r.center_lon - (177.0 if r.space_code.startswith("60") else -177.0)) <= 3.0
+
+
+def test_points_lie_inside_the_true_sides_of_their_hexagon(spark):
+    # Cells over an icosahedron edge: the straight ring leaves these points out.
+    spots = [(103.46, 69.86), (103.69, 69.79), (-78.64, -31.24), (-79.9, 68.1), (6.89, 58.99)]
+    at = grid.assign_cells(spark.createDataFrame(spots, "lon double, lat double"), grid="isea4h", level=6)
+    q, i, j = isea4h.triple(F.col("space_code").cast("long"), 6)
+    assert all(r.b <= 1e-3 for r in at.select(shapes.beyond_hexagon(F.col("lon"), F.col("lat"), q, i, j, 6).alias("b")).collect())
+    far = at.select(shapes.beyond_hexagon(F.col("lon") + 2.0, F.col("lat") + 1.0, q, i, j, 6).alias("b")).collect()
+    assert all(r.b > 0.1 for r in far)
+
+
+def test_true_sides_of_hexagons_meet(spark):
+    seq, q, i, j = triples(3)
+    drawn = kernels.areas(shapes.hexagon_rings(q, i, j, 3, bends=True))
+    assert abs(drawn.sum() - 360.0 * 180.0) < 30.0
