@@ -17,14 +17,36 @@ POINT_HALF_WIDTH = 1e-5
 BROADCAST_CELLS = 200_000
 
 
-def aoi_cells(like: DataFrame | SparkSession, bbox: tuple, grid: str, level: int) -> DataFrame:
-    """Cells of one area of interest as a one-column DataFrame."""
+def _cell_side(grid: str, level: int) -> float:
+    """About the shorter side of a cell in degrees."""
+    if grid == "geohash":
+        from gridloom.functions import geohash
+
+        return min(geohash.cell_width(level), geohash.cell_height(level))
+    return 10 ** (5 - level) / 111_000.0 if grid == "mgrs" else (41253.0 / (10 * 4**level + 2)) ** 0.5
+
+
+def _closed(bbox: tuple, grid: str, level: int) -> tuple:
+    """A box a little wider, so that cells that only touch it are in its cover: a point on its edge may lie in them."""
     w, s, e, n = (float(v) for v in bbox)
+    slack = 1e-4 * _cell_side(grid, level)
+    span = e - w if w <= e else e - w + 360.0
+    if span + 2 * slack >= 360.0:
+        w, e = -180.0, 180.0
+    else:
+        # East of 180 the cells begin again at -180, where a point at 180 lies.
+        w, e = ((v + 180.0) % 360.0 - 180.0 for v in (w - slack, e + slack))
+    return w, max(s - slack, -90.0), e, min(n + slack, 90.0)
+
+
+def aoi_cells(like: DataFrame | SparkSession, bbox: tuple, grid: str, level: int, closed: bool = False) -> DataFrame:
+    """Cells of one area of interest as a one-column DataFrame; ``closed``: the cells of all its points, edges included."""
+    w, s, e, n = _closed(bbox, grid, level) if closed else (float(v) for v in bbox)
     spark = like if isinstance(like, SparkSession) else like.sparkSession
     box = spark.range(1).select(
         F.lit(w).alias("min_lon"), F.lit(s).alias("min_lat"), F.lit(e).alias("max_lon"), F.lit(n).alias("max_lat")
     )
-    return covers.cover_bbox(box, grid, level, "intersect", key=[], boundary="none").select("space_code").distinct()
+    return covers.cover_bbox(box, grid, level, "intersect", key=[], boundary="none", bends=closed).select("space_code").distinct()
 
 
 def cover_bound(bbox: tuple, grid: str, level: int) -> float:
@@ -35,7 +57,7 @@ def cover_bound(bbox: tuple, grid: str, level: int) -> float:
         from gridloom.functions import geohash
 
         return (wide / geohash.cell_width(level) + 2) * ((n - s) / geohash.cell_height(level) + 2)
-    side = 10 ** (5 - level) / 111_000.0 if grid == "mgrs" else (41253.0 / (10 * 4**level + 2)) ** 0.5
+    side = _cell_side(grid, level)
     return (wide / side + 3) * ((n - s) / side + 3) * 2
 
 
@@ -75,7 +97,7 @@ def query_observations(
         out = out.filter(F.col("quality_flag").isin([str(f) for f in flags]))
     lon_in = F.col("center_lon").between(w, e) if w <= e else ((F.col("center_lon") >= w) | (F.col("center_lon") <= e))
     out = out.filter(lon_in & F.col("center_lat").between(s, n))
-    cells = aoi_cells(obs, bbox, grid, level)
+    cells = aoi_cells(obs, bbox, grid, level, closed=True)
     if cover_bound(bbox, grid, level) <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     out = out.join(cells, "space_code", "left_semi")

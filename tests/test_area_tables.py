@@ -41,3 +41,11 @@ def test_prefixes_that_look_like_numbers_stay_text(spark, tmp_path):
     Q.write_area_table(rows, str(tmp_path / "t"))
     got = Q.read_area(spark, str(tmp_path / "t"), (-180.0, -90.0, 180.0, 90.0), "geohash", 3)
     assert {(r.space_code_prefix, r.space_code) for r in got.collect()} == {(c, c) for c in ("9e5", "123", "00d")}
+
+
+def test_points_on_the_edge_of_the_area_are_found(spark):
+    spots = [(75.0, 10.0), (60.0, 45.0), (60.0, 55.0), (180.0, 10.0), (-180.0, 10.0), (75.0, 56.0)]
+    for grid, level, box in (("mgrs", 0, (-30.0, -20.0, 75.0, 55.0)), ("geohash", 2, (-20.0, -10.0, 60.0, 45.0)), ("geohash", 2, (100.0, 0.0, 180.0, 20.0))):
+        points = assign_cells(spark.createDataFrame(spots, "center_lon double, center_lat double"), "center_lon", "center_lat", grid, level)
+        got = {(r.center_lon, r.center_lat) for r in Q.query_observations(points, box, grid=grid, level=level).collect()}
+        assert got == {p for p in spots if box[0] <= p[0] <= box[2] and box[1] <= p[1] <= box[3]}, (grid, box)
