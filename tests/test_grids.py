@@ -265,3 +265,11 @@ def test_true_sides_of_hexagons_meet(spark):
     seq, q, i, j = triples(3)
     drawn = kernels.areas(shapes.hexagon_rings(q, i, j, 3, bends=True))
     assert abs(drawn.sum() - 360.0 * 180.0) < 30.0
+
+
+def test_point_on_a_hexagon_edge_has_one_owner():
+    # Midway between two cells; by the comparison of distances, as in the SQL, it is the first one's.
+    assert kernels.locate_hexagon(np.array([11.25]), np.array([35.75]), 3).tolist() == [144]
+    lon, lat = np.repeat(11.25, 3000), np.linspace(-89.0, 89.0, 3000)
+    whole = kernels.locate_hexagon(lon, lat, 10)
+    assert whole.tolist() == [int(kernels.locate_hexagon(lon[k : k + 1], lat[k : k + 1], 10)[0]) for k in range(3000)]
