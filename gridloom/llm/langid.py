@@ -126,18 +126,16 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
     return fit_subsets(labelled, [F.lit(True)], fit_docs)[0]
 
 
-def fit_with_floor(labelled: DataFrame, parts: int = 8, rows: int = 64_000, share: float = 0.001) -> tuple[dict, float]:
+def fit_with_floor(labelled: DataFrame, parts: int = 8, share: float = 0.001) -> tuple[dict, float]:
     """Model of all labelled rows, and the least share of known letters of a text in a learned language.
 
-    For the share, a model of the rows outside one of ``parts`` judges those inside, about
-    ``rows / parts`` of them: all but ``share`` of them reach it, and it is never above half their
+    For the share, a model of the rows outside one of ``parts`` judges all those inside: all but ``share`` of them reach it, and it is never above half their
     median.  0 where no row can be judged.
     """
     marked = labelled.where("lang is not null and text is not null")
     inside = held_out("doc_id", parts)
     model, outside = fit_subsets(marked, [F.lit(True), ~inside])
-    sample = marked.where(inside & (F.coalesce(_place(29), F.lit(0.0)) < min(1.0, rows / max(1, marked.count()))))
-    judged = identify(sample, outside, known=True).where(F.col("lang_pred") != UNDETERMINED)
+    judged = identify(marked.where(inside), outside, known=True).where(F.col("lang_pred") != UNDETERMINED)
     found = judged.agg(F.percentile_approx("known", [share, 0.5], 10_000)).first()[0]
     return model, min(found[0], found[1] / 2) if found else 0.0
 

@@ -53,3 +53,21 @@ def test_language_stage_rejects_foreign_text_and_noise(spark):
 def test_run_rereads_written_stages(spark):
     out = pipeline.run(spark, SF)
     assert out.inputFiles() and all("/packing-" in f for f in out.inputFiles())
+
+
+def test_language_floor_judges_every_row_held_out(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import langid
+    from gridloom.llm.common import held_out
+
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("the cat sat").alias("text"), F.lit("en").alias("lang"))
+    judged = []
+
+    def counted(df, model, known=False):
+        judged.append(df.count())
+        return df.select(F.lit("en").alias("lang_pred"), F.lit(1.0).alias("known"))
+
+    monkeypatch.setattr(langid, "identify", counted)
+    assert langid.fit_with_floor(docs)[1] == 0.5
+    assert judged == [docs.where(held_out("doc_id", 8)).count()]
