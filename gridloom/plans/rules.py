@@ -12,6 +12,7 @@ from gridloom.operators import quality as Q
 from gridloom.operators import facts
 from gridloom.plans import duck, views
 from gridloom.plans.registry import query
+from gridloom.session import stage
 
 KEYS = ("dataset_id", "output_version")
 
@@ -38,9 +39,10 @@ def data_type(dataset):
     return F.when(k == 0, "optical").when(k == 1, "radar").otherwise("carbon")
 
 
-def tables(spark, sf_dir) -> dict:
-    """The tables of one rule run, over all datasets."""
-    idx = index_rows(spark, sf_dir)
+def tables(spark, sf_dir, staged=False) -> dict:
+    """The tables of one rule run, over all datasets; ``staged`` reads index rows, cells and versions from the stage folder."""
+    keep = stage if staged else lambda df, label: df
+    idx = keep(index_rows(spark, sf_dir), "index-rows")
     pos = F.col("pos")
     tiles = idx.filter(pos % 79 != 0).select(
         *KEYS, F.col("tile_output_id").alias("output_id"), "grid_type", F.when(pos % 67 == 0, 4).otherwise(3).alias("grid_level"),
@@ -53,6 +55,7 @@ def tables(spark, sf_dir) -> dict:
         *KEYS, F.concat_ws(":", "dataset_id", "space_code").alias("output_id"), F.lit("geohash").alias("grid_type"), F.lit(3).alias("grid_level"), "space_code",
         F.array(w, F.col("cell_min_lat"), e, F.col("cell_max_lat")).alias("bbox"),
     )
+    cells = keep(cells, "cell-rows")
     s = views.scenes(spark, sf_dir)
     kind = data_type(F.col("dataset_id"))
     carbon = kind == "carbon"
@@ -82,6 +85,7 @@ def tables(spark, sf_dir) -> dict:
         *KEYS, data_type(F.col("dataset_id")).alias("data_type"), F.lit("geohash").alias("grid_type"), F.lit(3).alias("requested_grid_level"),
         F.lit("logical").alias("partition_method"), (F.coalesce("tile_count", F.lit(0)) + off).alias("tile_count"), "index_count", "grid_cell_count",
     )
+    versions = keep(versions, "versions")
     return {"indexes": idx, "tiles": tiles, "cells": cells, "assets": assets, "inspections": inspections, "bands": bands, "versions": versions}
 
 
@@ -209,7 +213,7 @@ _STATUS = f"""SELECT d.dataset_id, r.rule_code, count(f.rule_code) AS finding_co
 
 def all_tables(spark, sf_dir) -> dict:
     """The tables of a run over the scene datasets and the observations, which are dataset DC."""
-    t, c = tables(spark, sf_dir), carbon_tables(spark, sf_dir)["indexes"]
+    t, c = tables(spark, sf_dir, staged=True), carbon_tables(spark, sf_dir)["indexes"]
     rows = c.withColumns(
         {
             "acquisition_time": F.lit("2024-01-01 10:00:00").cast("timestamp"), "time_bucket": F.lit("20240101"), "st_code": F.lit("gh"), "grid_type": F.lit("geohash"),
@@ -226,7 +230,7 @@ def _statuses(spark, sf_dir):
     one = _datasets(spark, sf_dir)
     every = one.unionByName(spark.createDataFrame([("DC", "carbon")], one.schema))
     snapshot = Q.rule_snapshot(Q.rules_table(spark), every).withColumn("output_version", F.lit("v1"))
-    return Q.rule_status(Q.evaluate(all_tables(spark, sf_dir)), snapshot)
+    return stage(Q.status_of_counts(Q.staged_counts(all_tables(spark, sf_dir)), snapshot), "rule-status")
 
 
 @query("j18_rule_status", _STATUS)
