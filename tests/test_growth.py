@@ -24,3 +24,34 @@ def test_staged_counts_are_the_counts_of_one_plan(spark):
     counts = Q.staged_counts(t, codes)
     want = Q.count_findings(Q.evaluate(t, codes))
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect())) and counts.count() > 50
+
+
+def test_parts_of_lines_are_numbered_across_their_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gridloom.sources import loads
+
+    for part, files in {"a": [3, 2], "b": [1, 0, 4]}.items():
+        (tmp_path / f"part={part}").mkdir()
+        for k, n in enumerate(files):
+            (tmp_path / f"part={part}" / f"f{k}").write_text("\n".join([f"{part}{k}{j}" for j in range(n)]) + ("\n" if n else ""))
+    whole = F.regexp_extract("file_path", r"(part=\w+)", 1)
+    starts = loads.lines_before(spark, str(tmp_path), whole)
+    got = loads.numbered_lines(spark, str(tmp_path)).join(starts, "file_path").select("value", (F.col("line_number") + F.col("before")).alias("n"))
+    want = {"a00": 1, "a01": 2, "a02": 3, "a10": 4, "a11": 5, "b00": 1, "b20": 2, "b21": 3, "b22": 4, "b23": 5}
+    assert dict(map(tuple, got.collect())) == want
+
+
+def test_overlap_of_boxes_is_tested_once_for_rows_that_share_them(spark):
+    from gridloom.operators import partitioning as P
+
+    box = lambda k: (float(k % 3), 0.0, k % 3 + 1.5, 1.0)
+    names = "min_lon double, min_lat double, max_lon double, max_lat double"
+    a = spark.createDataFrame([(f"a{k}", *box(k)) for k in range(30)], f"a_id string, {names}")
+    b = spark.createDataFrame([(f"b{k}", *box(k)) for k in range(12)] + [("none", None, None, None, None)], f"b_id string, {names}")
+    out = P.bbox_join(a, b, 3, "a_id", "b_id")
+    want = sorted((f"a{i}", f"b{j}") for i in range(30) for j in range(12) if abs(i % 3 - j % 3) < 2)
+    assert sorted((r.a_id, r.b_id) for r in out.collect()) == want
+    # Only distinct boxes are spread over cells: their grouping comes below the cells of both sides.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("Generate") and plan.count("Aggregate") == 2
