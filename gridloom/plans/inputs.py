@@ -330,24 +330,28 @@ def _(spark, sf_dir):
        FROM (SELECT output_id, pos, pos % 3 AS k FROM index_rows) WINDOW w AS (PARTITION BY k ORDER BY pos, output_id))""",
 )
 def _(spark, sf_dir):
-    """Index rows written as three files of JSON lines, with blank lines after every seventeenth scene's, read in small splits."""
+    """Index rows written as three parts of JSON lines, each cut into files by ranges of its order, with blank lines after every seventeenth scene's, read in small splits."""
     from uuid import uuid4
 
     from gridloom.plans.rules import index_rows
-    from gridloom.session import stage_folder
+    from gridloom.session import stage, stage_folder
 
     base = f"{stage_folder(spark)}/lines-{uuid4().hex}"
     line = F.to_json(F.struct(F.col("output_id").alias("space_code")))
-    rows = index_rows(spark, sf_dir).select("pos", "output_id", (F.col("pos") % 3).alias("part"), line.alias("value")).repartition(3, "part").sortWithinPartitions("part", "pos", "output_id")
+    order = ("part", "pos", "output_id")
+    rows = index_rows(spark, sf_dir).select("pos", "output_id", (F.col("pos") % 3).alias("part"), line.alias("value")).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.select("part", F.explode(F.when(F.col("pos") % 17 == 0, F.array("value", F.lit(" "))).otherwise(F.array("value"))).alias("value"))
     rows.write.partitionBy("part").text(f"{base}/in")
+    part = F.regexp_extract("file_path", r"(part=\d+)", 1).alias("file")
+    starts = stage(loads.lines_before(spark, f"{base}/in", part), "lines-before")
     usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
-        loads.read_index_rows(spark, f"{base}/in", line_numbers=True).select("file_path", "space_code", "line_number").write.parquet(f"{base}/out")
+        numbered = loads.read_index_rows(spark, f"{base}/in", line_numbers=True).join(F.broadcast(starts), "file_path")
+        numbered.select(part, "space_code", (F.col("line_number") + F.col("before")).alias("line_number")).write.parquet(f"{base}/out")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
-    return spark.read.parquet(f"{base}/out").select(F.regexp_extract("file_path", r"(part=\d+)", 1).alias("file"), "space_code", "line_number")
+    return spark.read.parquet(f"{base}/out")
 
 
 @query("a25_fact_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW')")

@@ -72,6 +72,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("file_path", (F.col("__at") + F.col("__shift")).alias("line_number"), "value")
 
 
+def lines_before(spark: SparkSession, path: str, whole: Column) -> DataFrame:
+    """``file_path`` and ``before``, the lines in the files before it, where text files of one ``whole`` go on from each other in name order.
+
+    One row per file, so the running sum is over the list of files.
+    """
+    files = spark.read.text(path).select("_metadata.file_path").groupBy("file_path").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(whole).orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
 def read_index_rows(spark: SparkSession, path: str, line_numbers: bool = False) -> DataFrame:
     """Index rows of partition files (JSON lines); with ``file_path`` and ``line_number`` only where asked for.
 
