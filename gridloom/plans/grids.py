@@ -239,9 +239,14 @@ def _(spark, sf_dir):
     )
 
 
+def points(spark, sf_dir):
+    """Distinct points of the observations: each is located once, however often it was observed."""
+    return views.obs(spark, sf_dir).select("lon", "lat").distinct()
+
+
 def _storage(grid, level):
     def run(spark, sf_dir):
-        cells = G.distinct_cell_geometry(G.assign_cells(views.obs(spark, sf_dir), "lon", "lat", grid, level), grid, level)
+        cells = G.distinct_cell_geometry(G.assign_cells(points(spark, sf_dir), "lon", "lat", grid, level), grid, level)
         out = G.storage_ring(cells, grid)
         return out.groupBy("grid_type", F.size("storage_ring").alias("points"), "ring_valid").agg(F.count("*").alias("n"))
 
@@ -284,7 +289,9 @@ def _(spark, sf_dir):
 
 
 def _distinct(spark, sf_dir, grid, level):
-    return G.assign_cells(views.obs(spark, sf_dir), "lon", "lat", grid, level).select("space_code").distinct()
+    # Geohash codes are plain columns, cheaper than the shuffle that finds distinct points.
+    rows = views.obs(spark, sf_dir) if grid == "geohash" else points(spark, sf_dir)
+    return G.assign_cells(rows, "lon", "lat", grid, level).select("space_code").distinct()
 
 
 def _distinct_sql(grid, level):

@@ -55,3 +55,10 @@ def test_overlap_of_boxes_is_tested_once_for_rows_that_share_them(spark):
     # Only distinct boxes are spread over cells: their grouping comes below the cells of both sides.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate") > plan.rindex("Generate") and plan.count("Aggregate") == 2
+
+
+@pytest.mark.parametrize("name", ["b14_storage_ring_mgrs", "b19_mgrs_neighbors"])
+def test_observations_of_one_point_are_located_once(spark, name):
+    plan = load_all().QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    lowest = [line for line in plan.splitlines() if "ArrowEvalPython" in line or "Aggregate" in line][-1]
+    assert "Aggregate" in lowest and "event_id" not in lowest.split("]")[0]
