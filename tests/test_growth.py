@@ -62,3 +62,12 @@ def test_observations_of_one_point_are_located_once(spark, name):
     plan = load_all().QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     lowest = [line for line in plan.splitlines() if "ArrowEvalPython" in line or "Aggregate" in line][-1]
     assert "Aggregate" in lowest and "event_id" not in lowest.split("]")[0]
+
+
+def test_assets_are_spread_over_all_tasks_before_they_become_cells(spark):
+    from gridloom.plans import covers
+
+    assert covers.assets(spark, SMALL).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("n5_daily_winner", "e1_latest_wins", "e2_best_quality_wins", "e3_approved_output_wins", "e4_provenance"):
+        plan = load_all().QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression [asset_id") == 2
