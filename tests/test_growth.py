@@ -1,6 +1,7 @@
 """Work and plans that must not grow faster than their tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import quality as Q
 from gridloom.plans import load_all, rules
@@ -27,8 +28,6 @@ def test_staged_counts_are_the_counts_of_one_plan(spark):
 
 
 def test_parts_of_lines_are_numbered_across_their_files(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     from gridloom.sources import loads
 
     for part, files in {"a": [3, 2], "b": [1, 0, 4]}.items():
@@ -71,3 +70,23 @@ def test_assets_are_spread_over_all_tasks_before_they_become_cells(spark):
     for name in ("n5_daily_winner", "e1_latest_wins", "e2_best_quality_wins", "e3_approved_output_wins", "e4_provenance"):
         plan = load_all().QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("RepartitionByExpression [asset_id") == 2
+
+
+def test_tile_codes_meet_each_tile_once(spark):
+    from gridloom.operators import catalog
+
+    place = "dataset_id string, output_version string, source_asset_id string, band_code string, grid_type string, grid_level int, space_code string, time_bucket string"
+    at = lambda cell, bucket="t": ("D", "v", "a", "b", "g", 3, cell, bucket)
+    tiles = [(*at("x"), "T1"), (*at("x"), "T1"), (*at("y"), "T1"), (*at("x"), "T2"), (*at("z"), "T3"), (*at("x", None), "T4"), (*at("x"), None)]
+    codes = [
+        (*at("x"), "T1", 1, "i1", "own"), (*at("x"), "lost", 3, "i3", "late b"), (*at("x"), "lost", 3, "i2", "late a"),
+        (*at("y"), "T2", 9, "i4", "of y"), (*at("z"), "T3", 9, "i6", None), (*at("z"), "lost", 1, "i5", "of z"), (*at("x", None), "T4", 9, "i7", "no time"),
+    ]
+    t = spark.createDataFrame(tiles, f"{place}, output_id string")
+    i = spark.createDataFrame(codes, f"{place}, tile_output_id string, at long, output_id string, st_code string").withColumn("created_at", F.timestamp_seconds("at"))
+    out = catalog.tile_st_code(t, i)
+    got = sorted(((r.output_id or "", r.space_code, r.st_code) for r in out.collect()), key=str)
+    assert got == [("", "x", None), ("T1", "x", "own"), ("T1", "x", "own"), ("T1", "y", "own"), ("T2", "x", "late a"), ("T3", "z", None), ("T4", "x", None)]
+    assert out.columns == [*t.columns, "st_code"]
+    plan = load_all().QUERIES["d16_tile_st_code"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
