@@ -23,9 +23,18 @@ def auto_band_code(data_type: Column, uri: Column, number: Column) -> Column:
     return F.concat_ws("-", F.lit("auto"), data_type, F.substring(identity.joined_hash(data_type, uri), 1, 12), number.cast("string"))
 
 
+def parse_load(docs: DataFrame, column: str = "doc") -> DataFrame:
+    """JSON load documents as nested rows."""
+    return docs.select(F.from_json(column, schemas.LOAD).alias("d")).select("d.*")
+
+
 def flatten_load(docs: DataFrame, column: str = "doc") -> dict[str, DataFrame]:
     """Five tables of JSON load documents: batches, datasets, scenes, assets, bands, each with the keys above it."""
-    d = docs.select(F.from_json(column, schemas.LOAD).alias("d")).select("d.*")
+    return load_tables(parse_load(docs, column))
+
+
+def load_tables(d: DataFrame) -> dict[str, DataFrame]:
+    """The five tables of parsed load documents; where several are used, stage the documents first."""
     batches = d.select("load_batch_id", "batch_name")
     sets = d.select("load_batch_id", F.explode("datasets").alias("x")).select("load_batch_id", "x.*")
     sc = sets.select("load_batch_id", "dataset_code", "data_type", F.explode("scenes").alias("x")).select("load_batch_id", "dataset_code", "data_type", "x.*")

@@ -90,3 +90,10 @@ def test_tile_codes_meet_each_tile_once(spark):
     assert out.columns == [*t.columns, "st_code"]
     plan = load_all().QUERIES["d16_tile_st_code"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+def test_load_documents_are_parsed_once_for_all_their_tables(spark):
+    out = load_all().QUERIES["a22_flatten_load"](spark, SMALL)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan.lower() and "to_json" not in plan.lower() and "lineitem" not in plan
+    assert {r.part: r.n for r in out.filter("key = 'all'").collect()}.keys() == {"assets", "batches", "bands"}
