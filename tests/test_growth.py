@@ -97,3 +97,31 @@ def test_load_documents_are_parsed_once_for_all_their_tables(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan.lower() and "to_json" not in plan.lower() and "lineitem" not in plan
     assert {r.part: r.n for r in out.filter("key = 'all'").collect()}.keys() == {"assets", "batches", "bands"}
+
+
+def test_snapshot_joins_assets_and_bands_before_index_rows(spark):
+    from gridloom.operators import catalog
+
+    place = "dataset_id string, output_version string, grid_type string, grid_level int, space_code string"
+    cell = lambda d: (d, "v", "g", 3, "x")
+    make = spark.createDataFrame
+    t = {
+        "indexes": make([(*cell("D1"), "A", "b1", "T1", None), (*cell("D1"), "A", "b2", "T2", None), (*cell("D2"), "A", "b1", "T1", None), (*cell("D3"), "A", "b1", "T1", None), (*cell("D1"), "A", "b1", "T1", "y")],
+                        f"{place}, source_asset_id string, band_code string, tile_output_id string, topology_code string"),
+        "assets": make([("D1", "A", "u1", "c"), ("D2", "A", "u2", "c")], "dataset_id string, source_asset_id string, source_uri string, checksum string"),
+        "bands": make([("D1", "A", "b1", "red")], "dataset_id string, source_asset_id string, band_code string, band_name string"),
+        "scene_bands": make([("A", "b1", "A:b1", "S"), ("A", "b2", "A:b2", "S")], "asset_id string, band_code string, band_unit_id string, scene_id string"),
+        "cells": make([(*cell(f"D{k}"), None, [float(k)]) for k in (1, 2, 3)], f"{place}, topology_code string, bbox array<double>"),
+        "tiles": make([("T1", 64, 64, "t")], "output_id string, width int, height int, tile_uri string"),
+    }
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = catalog.output_snapshot(t)
+        assert plan_of(out).count("Exchange hashpartitioning") <= 9
+        got = sorted((r.dataset_id, r.band_code, r.source_uri, r.band_name, r.scene_id, r.width, r.bbox[0]) for r in out.collect())
+        one = catalog.output_snapshot(t, dataset="D2").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert got == [("D1", "b1", "u1", "red", "S", 64, 1.0), ("D1", "b2", "u1", None, "S", None, 1.0), ("D2", "b1", "u2", None, "S", 64, 2.0)]
+    assert [(r.dataset_id, r.band_name) for r in one] == [("D2", None)]
