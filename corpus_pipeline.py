@@ -14,6 +14,13 @@ from gridloom.llm.common import materialize, table
 from gridloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Whole texts that go to a Python worker, or come back, in one Arrow batch; Spark's 10,000 are tens of MB for each task on both sides.
+BATCH_ROWS = 1000
+
+
+def _batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session; every stage sets it, since stages are also run alone and their rows are read later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows and rows without an id are judged each by itself; columns beside those of documents are left out.
     """
+    _batches(spark)
     model, least = langid.fit_with_floor(docs.where("lang is not null"))
     found = langid.identify(docs.select(*COLUMNS), model, known=True)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("known") >= least)).select(*COLUMNS)
@@ -31,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Repeated rows (same id and text) are one document; rows without an id stand by their text.
     """
+    _batches(spark)
     kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
     repeated = docs.groupBy("doc_id", F.md5(F.col("text").cast("binary")).alias("m")).count().where("count > 1")
@@ -39,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated 400-byte passages; a code point cut in two goes too, and so does a text of which nothing is left."""
+    _batches(spark)
     rows = suffixes.remove_repeats(docs.select(*COLUMNS))
     whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
     rows = rows.withColumn("text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(whole))
@@ -55,6 +65,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens."""
+    _batches(spark)
     return packing.pack(docs, tokenizer_path(), added=True)
 
 

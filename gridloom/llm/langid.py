@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import held_out
+from gridloom.llm.common import held_out, kept, let_go
 
 UNDETERMINED = "und"
 #: Labelled documents of each language that a model is fitted on, about (chosen by a hash of the id).
@@ -51,6 +51,7 @@ def _term_counts(sample: DataFrame, subsets: int) -> DataFrame:
     """Rows (lang, kind, term, n0, n1, ...): words (kind 0) and n-grams (kind: length) of ``sample`` (lang, text, bits) in each subset."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found: dict[tuple, Counter] = {}
             for lang, text, bits in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -211,9 +212,6 @@ class Scorer:
         return (*out, float(known[best] / letters)) if self.known else out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, model: dict, known: bool = False) -> DataFrame:
     """``docs`` (doc_id, text and any others) with lang_pred and score, and ``known`` if asked for; the whole text is read.
 
@@ -228,10 +226,7 @@ def identify(docs: DataFrame, model: dict, known: bool = False) -> DataFrame:
     out = docs.select(*keep)
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        scorer = _SCORERS.get(name)
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[name] = Scorer(shared.value, known)
+        scorer = kept(name, lambda: Scorer(shared.value, known))
         return pd.DataFrame([scorer.predict(t) for t in texts], columns=added)
 
     udf = F.pandas_udf(run, "lang_pred string, score double, known double" if known else "lang_pred string, score double")

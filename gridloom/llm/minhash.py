@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, words_of
+from gridloom.llm.common import let_go, materialize, words_of
 from gridloom.llm.components import components
 
 ROWS = 4
@@ -110,6 +110,7 @@ def band_keys(sign: np.ndarray, rows: int) -> np.ndarray:
 
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)

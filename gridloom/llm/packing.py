@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import shared_folder
+from gridloom.llm.common import let_go, shared_folder, slices
 from gridloom.llm.token_store import END_ID, encoder
 
 WINDOW = 1024
@@ -36,18 +36,16 @@ def _pieces(tokenizer: str, window: int, added: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, added), np.asarray([END_ID], "<u4").tobytes()
         df = np.zeros(enc.library.get_vocab_size(), np.int64)
+        last = np.zeros(len(df), np.int64)
         one, two = route_keys(len(df))
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = enc.encode(text) + end
                 ids = np.frombuffer(raw, "<u4")
-                seen = np.zeros(len(df), bool) if len(ids) > 20_000 else None
-                if seen is None:
-                    df[np.unique(ids)] += 1
-                else:
-                    seen[ids] = True
-                    df += seen
+                place = np.arange(len(ids))
+                last[ids] = place
+                df[ids[last[ids] == place]] += 1  # each distinct id once
                 n, whole = len(ids), len(ids) // window * window
                 rows += [(doc, n, a, window, zlib.crc32(raw[4 * a : 4 * (a + window)]), None, None, None) for a in range(0, whole, window)]
                 if n > whole:
@@ -198,6 +196,7 @@ def _pack(idf, mean: float, window: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        let_go()  # all ids are written
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0

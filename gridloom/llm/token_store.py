@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import publish, shared_folder
+from gridloom.llm.common import kept, publish, shared_folder, slices
 
 BLOCK = 256
 #: Values held by a word of selector 1, 2, ...
@@ -33,20 +33,20 @@ _BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 MAGIC = b"S8BT"
 VERSION = 1
 END_ID = 0
-#: Words kept in a worker's memory of encoded words.
-MEMO = 700_000
+#: Pieces and words kept in a worker's memory of encoded ones, characters of the longest, and pieces in one call of the library.
+MEMO, LONGEST, CALL = 300_000, 64, 4096
 
 
 # ------------------------------------------------------------------ tokenizing
 
-_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
-
 
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
     Byte-level BPE merges inside the pieces of its split pattern only, so a piece always gets the
-    same ids; pieces met before are looked up.  Texts with characters outside a plain range go to
+    same ids; pieces met before are looked up, and the new ones of a text go to the library
+    together.  A space before anything but white space always begins a piece, so texts are cut there
+    first, and words met before need no pattern.  Texts with characters outside a plain range go to
     the library whole, so that no rule of character classes is restated here.  With ``added`` the
     file's added tokens are read as their own ids, which is the library's default, and texts that
     hold one go to the library whole; without, they are spelled like other text.
@@ -66,7 +66,8 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, marks))).search if marks else lambda text: None
         self.plain = re.compile("[\t\n\r -~¡-©«-±´¶-¸»¿-ſ‐-‧€]*").fullmatch
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+(?:_[^\s\w]*)*| ?_[^\s\w]*(?:_[^\s\w]*)*|\s+(?!\S)|\s+").findall
-        self.memo = _Memo(self.library)
+        self.begins = re.compile(r" (?=\S)").sub
+        self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers."""
@@ -74,25 +75,55 @@ class Encoder:
             return b""
         if not self.plain(text) or self.added(text):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
-
-
-class _Memo(dict):
-    def __init__(self, library) -> None:
-        super().__init__()
-        self.library = library
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < MEMO and len(piece) < 64:
-            self[piece] = ids
-        return ids
+        loose = text[-1] == " " or "  " in text or " \n" in text or " \t" in text or " \r" in text
+        words = (self.begins("\0 ", text) if loose else text.replace(" ", "\0 ")).split("\0")
+        new = set(words).difference(self.memo)
+        passing = self._learn(new) if new else []
+        out = b"".join(map(self.memo.__getitem__, words))
+        for word in passing:
+            del self.memo[word]
+        return out
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put the ids of words into the memory; what it has no room for is named, to be dropped after the text.
+
+        Words of several pieces are kept in the first half only, since their pieces are mostly known.
+        """
+        cut = {word: [word] if word[0:1] == " " and word[1:].isalpha() else self.pieces(word) for word in words}
+        new = list({piece for pieces in cut.values() for piece in pieces}.difference(self.memo))
+        room, passing = MEMO - len(self.memo), []
+        for k in range(0, len(new), CALL):
+            for piece, ids in self._called(new[k : k + CALL]):
+                self.memo[piece] = ids
+                if room > 0 and len(piece) < LONGEST:
+                    room -= 1
+                else:
+                    passing.append(piece)
+        for word, pieces in cut.items():
+            if word not in self.memo:
+                self.memo[word] = b"".join([self.memo[piece] for piece in pieces])
+                if room > MEMO // 2 and len(word) < LONGEST:
+                    room -= 1
+                else:
+                    passing.append(word)
+        return passing
+
+    def _called(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces with their ids: those that begin with a space and go on are read as one text, which is cut at these spaces."""
+        joined = [piece for piece in pieces if piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1]
+        if joined:
+            found = self.library.encode("".join(joined), add_special_tokens=False)
+            raw = np.asarray(found.ids, "<u4").tobytes()
+            ends = [*(4 * np.flatnonzero(np.diff(found.word_ids)) + 4).tolist(), len(raw)]
+            if len(ends) != len(joined):
+                raise ValueError("the tokenizer's pieces are not those of its split pattern")
+            yield from zip(joined, (raw[a:b] for a, b in zip([0, *ends], ends)))
+        for piece in set(pieces).difference(joined) if len(joined) < len(pieces) else ():
+            yield piece, np.asarray(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encoder(path: str, added: bool = False) -> Encoder:
-    if (path, added) not in _ENCODERS:
-        _ENCODERS[path, added] = Encoder(path, added)
-    return _ENCODERS[path, added]
+    return kept((path, added), lambda: Encoder(path, added))
 
 
 # ------------------------------------------------------------------ Simple-8b
@@ -104,52 +135,48 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not blocks:
         return np.zeros(0, "<u8"), np.zeros(0, "<u4")
-    full = np.zeros((blocks, BLOCK + 60), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
+    full = np.zeros((blocks, BLOCK + 60), np.uint32)
+    flat = np.zeros(blocks * BLOCK, np.uint32)
     flat[:n] = ids
     full[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     bits = _BITS[full] if int(ids.max()) < len(_BITS) else np.frexp(full.astype(np.float64))[1].astype(np.uint8)
-    # reach[b, i]: smallest selector whose values all fit from i on; fields behind the end hold 0.
+    # choice[b, i]: smallest selector whose values all fit from i on; fields behind the end hold 0.
     choice = np.full((blocks, BLOCK), len(COUNTS) - 1, np.uint8)
-    top = bits.copy()
+    top = bits
     span = 1
-    best = {1: bits[:, :BLOCK]}
     for n_values in sorted(COUNTS)[1:]:
         while span * 2 <= n_values:
             top = np.maximum(top[:, : top.shape[1] - span], top[:, span:])
             span *= 2
         shift = n_values - span
         widest = np.maximum(top[:, :BLOCK], top[:, shift : shift + BLOCK]) if shift else top[:, :BLOCK]
-        best[n_values] = widest
-    for k in range(len(COUNTS) - 1, -1, -1):
-        choice[best[COUNTS[k]] <= WIDTHS[k]] = k
-    counts, widths = np.asarray(COUNTS), np.asarray(WIDTHS)
-    at = np.zeros(blocks, np.int64)
-    length = np.full(blocks, BLOCK, np.int64)
-    length[-1] = n - (blocks - 1) * BLOCK
-    live = np.arange(blocks)
-    owners, steps, out = [], [], []
-    step = 0
-    while len(live):
-        here = at[live]
-        k = choice[live, here]
-        word = (k.astype(np.uint64) + np.uint64(1))
-        for kind in np.unique(k):
-            rows = np.flatnonzero(k == kind)
-            c, w = int(counts[kind]), int(widths[kind])
-            values = full[live[rows][:, None], here[rows][:, None] + np.arange(c)]
-            word[rows] |= np.bitwise_or.reduce(values << (np.arange(c, dtype=np.uint64) * np.uint64(w) + np.uint64(4)), axis=1)
-        owners.append(live)
-        steps.append(np.full(len(live), step))
-        out.append(word)
-        at[live] = here + counts[k]
-        live = live[at[live] < length[live]]
-        step += 1
-    owner = np.concatenate(owners)
-    order = np.lexsort((np.concatenate(steps), owner))
-    words = np.concatenate(out)[order].astype("<u8")
-    first = np.searchsorted(owner[order], np.arange(blocks)).astype("<u4")
-    return words, first
+        k = COUNTS.index(n_values)
+        choice[widest <= WIDTHS[k]] = k
+    # Where each block's words begin: one step in all blocks at a time.
+    counts = np.asarray(COUNTS)
+    choice = choice.reshape(-1)
+    at = np.arange(blocks) * BLOCK
+    end = at + BLOCK
+    end[-1] = n
+    begins = np.zeros(blocks * BLOCK, bool)
+    while len(at):
+        begins[at] = True
+        at = at + counts[choice[at]]
+        live = at < end
+        at, end = at[live], end[live]
+    place = np.flatnonzero(begins)
+    kind = choice[place]
+    words = kind.astype(np.uint64) + np.uint64(1)
+    owner = place // BLOCK
+    from_ = owner * (BLOCK + 60) + place % BLOCK
+    full = full.reshape(-1)
+    for k in np.unique(kind):
+        rows = np.flatnonzero(kind == k)
+        word, here = words[rows], from_[rows]
+        for j in range(COUNTS[k]):
+            word |= full[here + j].astype(np.uint64) << np.uint64(j * WIDTHS[k] + 4)
+        words[rows] = word
+    return words.astype("<u8"), np.searchsorted(owner, np.arange(blocks)).astype("<u4")
 
 
 def decode_words(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
@@ -233,7 +260,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, file_ids: int = 4_0
             publish(path, name, lambda out: out.write(data))
             return pa.RecordBatch.from_pylist([{"file": name, "docs": len(names), "ids": size}], FILE_SCHEMA)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 names.append(doc)
                 ids.append(enc.encode(text) + end)

@@ -489,3 +489,47 @@ def test_decontamination(spark, awkward, nothing):
         assert sorted(map(tuple, got), key=str) == sorted(((d, *brute_hits(t, items)) for d, t in own), key=str)
     assert winnowing.decontaminate(nothing, bench).count() == 0
     assert not any(r.contaminated for r in winnowing.decontaminate(awkward[0], bench.limit(0)).collect())
+
+
+# ------------------------------------------------------------------ memory and calls of a worker
+
+
+def test_encoder_sends_new_pieces_together_and_agrees_with_the_library(monkeypatch):
+    monkeypatch.setattr(token_store, "MEMO", 60)
+    enc = token_store.Encoder(tokenizer_path())
+    library, calls = enc.library, []
+
+    class Counted:
+        def encode(self, text, **options):
+            calls.append(text)
+            return library.encode(text, **options)
+
+    enc.library = Counted()
+    rng = random.Random(8)
+    parts = ["  ", " ", "\n", "\t", "\r", " \n", "a", "'s", "'ll", "'", "42", "_", ".", ",é", "Ab", "word", " x", "ß"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert enc.encode(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert len(enc.memo) <= 60
+    calls.clear()
+    text = "first " + " ".join(f"{a}novel{b}" for a in "abcdefgh" for b in "stuvwxyz")
+    assert enc.encode(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() and len(calls) <= 2
+
+
+def test_worker_keeps_one_large_object():
+    from gridloom.llm import common
+
+    scorer = common.kept("scores", lambda: langid.Scorer({"langs": [], "rows": {}, "tables": {0: np.zeros(0)}, "floors": np.zeros(0)}))
+    assert common.kept("scores", lambda: None) is scorer
+    enc = token_store.encoder(tokenizer_path())
+    assert token_store.encoder(tokenizer_path()) is enc and list(common._KEPT.values()) == [enc]
+    common.let_go()
+    assert not common._KEPT
+
+
+def test_tasks_turn_few_texts_into_objects_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [f"text {k}" for k in range(3000)]})
+    out = list(packing._pieces(tokenizer_path(), 64)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 512 and sum(b.num_rows for b in out) == 3001

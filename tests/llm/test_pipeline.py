@@ -71,3 +71,17 @@ def test_language_floor_judges_every_row_held_out(spark, monkeypatch):
     monkeypatch.setattr(langid, "identify", counted)
     assert langid.fit_with_floor(docs)[1] == 0.5
     assert judged == [docs.where(held_out("doc_id", 8)).count()]
+
+
+def test_stages_bound_the_texts_of_a_batch(spark):
+    docs = spark.createDataFrame([(k, f"some plain words {k}", "en", "s", 20) for k in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    try:
+        for name, stage in pipeline.STAGES:
+            if name != "decontamination":
+                spark.conf.set(key, 10_000)
+                stage(spark, docs, "")
+                assert int(spark.conf.get(key)) == pipeline.BATCH_ROWS <= 1000, name
+    finally:
+        spark.conf.set(key, usual)
