@@ -125,3 +125,10 @@ def test_snapshot_joins_assets_and_bands_before_index_rows(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     assert got == [("D1", "b1", "u1", "red", "S", 64, 1.0), ("D1", "b2", "u1", None, "S", None, 1.0), ("D2", "b1", "u2", None, "S", 64, 2.0)]
     assert [(r.dataset_id, r.band_name) for r in one] == [("D2", None)]
+
+
+def test_cells_of_covers_are_not_broadcast(spark):
+    # The small table makes all cells look few; they are hundreds for each box.
+    plan = plan_of(load_all().QUERIES["c6_mgrs_minimal"](spark, SMALL))
+    joins = [line.split("- ")[-1] for line in plan.splitlines() if "Join" in line and "__area" in line]
+    assert len(joins) == 2 and all(j.startswith("SortMergeJoin [__area") for j in joins), joins
