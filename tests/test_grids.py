@@ -273,3 +273,20 @@ def test_point_on_a_hexagon_edge_has_one_owner():
     lon, lat = np.repeat(11.25, 3000), np.linspace(-89.0, 89.0, 3000)
     whole = kernels.locate_hexagon(lon, lat, 10)
     assert whole.tolist() == [int(kernels.locate_hexagon(lon[k : k + 1], lat[k : k + 1], 10)[0]) for k in range(3000)]
+
+
+@pytest.mark.parametrize("to", [-np.inf, np.inf])
+@pytest.mark.parametrize("off", ["sin", "cos", "arccos", "arctan2"])
+def test_owner_of_an_edge_is_the_same_on_all_machines(monkeypatch, off, to):
+    # Vector units of some machines round sines and arcs otherwise in the last place.
+    lon, lat = np.append(np.arange(-180.0, 180.0, 5.625), 11.25), np.append(np.zeros(64), 35.75)
+    lon, lat = np.append(lon, np.repeat(11.25, 713)), np.append(lat, np.linspace(-89.0, 89.0, 713))
+    usual = [kernels.locate_hexagon(lon, lat, level).tolist() for level in (0, 3, 10)]
+
+    class Other:
+        def __getattr__(self, name):
+            f = getattr(np, name)
+            return (lambda *v: np.nextafter(f(*v), to)) if name == off else f
+
+    monkeypatch.setattr(kernels, "np", Other())
+    assert [kernels.locate_hexagon(lon, lat, level).tolist() for level in (0, 3, 10)] == usual
